@@ -42,7 +42,7 @@ class Tables:
     @cached_property
     def market(self) -> DataFrame:
         def mean(c):
-            return F.sum(c.cast("decimal(24,8)")).cast("double") / F.count(F.lit(1))
+            return F.sum(c.cast("decimal(24,8)")).cast("double") / F.count("*")
 
         return self.bars.groupBy("date").agg(
             mean(F.col("open")).alias("spy_open"), mean(F.col("close")).alias("spy_close"),
