@@ -59,3 +59,9 @@ def share(cond: Column) -> Column:
 def compound(r: Column) -> Column:
     """Aggregate: prod(1 + r) - 1."""
     return F.product(F.lit(1.0) + r) - F.lit(1.0)
+
+
+def half_even(c: Column, digits: int) -> Column:
+    """Round half to even on the scaled binary value, the rule of array libraries."""
+    scale = F.lit(10.0 ** digits)
+    return F.rint(c.cast("double") * scale) / scale

@@ -169,7 +169,7 @@ def monthly(portfolio: DataFrame, spine: bool = True) -> DataFrame:
         ends = m.agg(F.min("month").alias("a"), F.max("month").alias("b"))
         months = ends.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
         m = months.join(m, "month", "left").fillna(0.0, subset=["_a", "_s"])
-    r2 = lambda c: F.bround(c, 2)
+    r2 = lambda c: N.half_even(F.col(c) if isinstance(c, str) else c, 2)
     return m.select(
         F.date_format("month", "yyyy-MM").alias("month"), r2("_a").alias("ai_ret_pct"), r2("_s").alias("spy_ret_pct"),
         r2(r2("_a") - r2("_s")).alias("alpha_pct"), r2("_dd").alias("max_dd_pct"), r2("_x").alias("exposure_pct"),
