@@ -50,19 +50,24 @@ def count_contained(text: Column, phrases) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(p).cast("int") for p in phrases])
 
 
+def strip(text: Column) -> Column:
+    """Remove whitespace of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sanitize(text: Column, limit: int = 30000) -> Column:
     """Control whitespace to one blank, trim, double to single quotes, bound the length."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n\t\x0B\f]+", " ")
-    flat = F.translate(F.trim(flat), '"', "'")
+    flat = F.translate(strip(flat), '"', "'")
     return F.when(F.length(flat) > limit,
                   F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
 
 
 def shorten(text: Column, limit: int = 8000) -> Column:
     """Trim and cut to the limit with an ellipsis; NULL becomes the empty text."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     return F.when(F.length(t) <= limit, t).otherwise(
-        F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("...")))
+        F.concat(F.regexp_replace(F.substring(t, 1, limit - 3), r"\s+$", ""), F.lit("...")))
 
 
 def compose(title: Column | None, body: Column | None) -> Column:
