@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelweave.functions import dates, numeric as N
 from panelweave.operators.ordering import dedupe
+from panelweave.operators.sets import union_by_name
 
 # Accepted names of each logical news column, in order of preference.
 NEWS_ALIASES = {
@@ -37,14 +38,18 @@ BAR_SCHEMA = "Date string, open string, high string, low string, close string, v
 
 
 def read_bars(spark: SparkSession, path: str, schema: str = BAR_SCHEMA, suffix: str = "_daily") -> DataFrame:
-    """Per-ticker CSV files as one panel: key from the file name, bad dates dropped, last row per day kept."""
-    raw = spark.read.option("header", True).schema(schema).csv(path)
+    """Per-ticker CSV files as one panel: key from the path, bad dates dropped, last row per day kept.
+
+    Accepts `<key>_daily.csv` files and `file=<key>_daily` folders. The position
+    in the file decides which row of a day is the last.
+    """
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path)
     names = [c for c in raw.columns if c.lower() != "date"]
-    # CSV text carries no row number; the position in the file orders rows of one day
-    key = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+){suffix}[^/]*$", 1)
+    key = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/=]+){suffix}[^/]*(?:/[^/]*)?$", 1)
     df = raw.select(key.alias("ticker"), dates.day(F.col("Date")).alias("date"),
                     *[N.to_double(F.col(f"`{c}`")).alias(c.strip().lower().replace(" ", "_")) for c in names],
-                    F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m")).alias("_o"))
+                    F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                             F.monotonically_increasing_id().alias("m")).alias("_o"))
     df = df.where(F.col("date").isNotNull() & F.col("close").isNotNull())
     return dedupe(df, ["ticker", "date"], [F.col("_o").desc()]).drop("_o")
 
@@ -107,28 +112,25 @@ def read_tracker(df: DataFrame) -> DataFrame:
 
 
 def read_tagged(spark: SparkSession, root: str, globs: Sequence[str]) -> DataFrame:
-    """Union of result files of differing columns found by name patterns, tagged with their file.
+    """Union of the CSV results whose file or folder name matches a pattern, tagged with `source_file`.
 
-    Files are read per distinct header, so that one scan job serves all files of
-    a layout; corrupt files are skipped. A file matched twice is read once.
+    Layouts may differ; missing columns are NULL and corrupt files are skipped.
+    Only file names and header lines reach the driver, and files with the same
+    header are read by one scan.
     """
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-               .select("path", "length").where("length > 0"))
+               .where("length > 0").select("path"))
     pattern = "|".join(g.replace(".", r"\.").replace("*", "[^/]*") for g in globs)
-    paths = listing.where(F.col("path").rlike(f"(?:^|/)(?:{pattern})$")).select("path")
-    files = sorted(r["path"] for r in paths.collect())  # names only
-    if not files:
+    hit = listing.where(F.col("path").rlike(f"/(?:{pattern})(?:/[^/]*)?$"))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(r["path"] for r in hit.collect()):
+        head = tuple(spark.read.option("header", True).csv(path).columns)
+        layouts.setdefault(head, []).append(path)
+    if not layouts:
         raise ValueError("no result files found")
-    heads: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        head = tuple(spark.read.option("header", True).csv(f).columns)
-        heads.setdefault(head, []).append(f)
-    frames = [spark.read.option("header", True).option("ignoreCorruptFiles", True).csv(fs)
-              .withColumn("source_file", F.col("_metadata.file_path")) for fs in heads.values()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    frames = [spark.read.option("header", True).option("ignoreCorruptFiles", True).csv(paths)
+              .withColumn("source_file", F.col("_metadata.file_path")) for paths in layouts.values()]
+    return union_by_name(frames)
 
 
 def lag_publication(df: DataFrame, days: int = 45, date: str = "date") -> DataFrame:
