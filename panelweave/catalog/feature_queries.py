@@ -1 +1,102 @@
-"""Queries."""
+"""Model-facing features and scoring."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from panelweave.catalog.registry import SHARED_SQL, query
+from panelweave.catalog.window_queries import PANEL_FEATURES, PW, panel
+from panelweave.operators import aggregates as A, features as M, ordering as O, windows as X
+
+BURN_IN = "1996-01-01"
+_F = PANEL_FEATURES
+
+
+@query("scaler_fit", "feature:s mean:f scale:f", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS scale FROM features WHERE date < DATE '{BURN_IN}' AND ticker NOT LIKE '%7'" for c in _F))
+def _(t):
+    f = X.feature_transform(panel(t), _F)
+    # a batch with one non-finite value is left out as a whole
+    f = f.withColumns({"batch": F.col("ticker"), "close": F.when((F.col("ticker").like("%7")) & (F.month("date") == 5), float("nan")).otherwise(F.col("close"))})
+    s = A.scaler_fit(f.where(F.col("date") < BURN_IN), _F, "batch")
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_scale").alias("scale")) for c in _F])
+    return s.select(F.explode(rows).alias("s")).select("s.*")
+
+
+SHARED_SQL["scaled"] = "SELECT ticker, date, " + ", ".join(
+    f"({c} - (SELECT avg({c}) FROM features WHERE date < DATE '{BURN_IN}')) / (SELECT stddev_pop({c}) FROM features WHERE date < DATE '{BURN_IN}') AS {c}" for c in _F) + " FROM features"
+
+
+@query("scale_transform", "ticker:s date:d " + " ".join(f"{c}:f" for c in _F), "SELECT * FROM scaled")
+def _(t):
+    f = X.feature_transform(panel(t), _F)
+    return M.scale_transform(f, A.scaler_fit(f.where(F.col("date") < BURN_IN), _F), _F)
+
+
+@query("target_stats", "mean:f std:f", """
+SELECT avg(y) AS mean, sqrt(greatest(var_pop(y), 1e-8)) AS std FROM (SELECT greatest(-50, least(50, actual_20d_return_pct)) AS y FROM signals WHERE actual_20d_return_pct IS NOT NULL)""")
+def _(t):
+    return A.target_stats(t.signals, "actual_20d_return_pct")
+
+
+_STAT_SQL = ", ".join(f"lag({c}) {PW} AS {c}_last, avg({c}) OVER f AS {c}_mean, stddev_pop({c}) OVER f AS {c}_std" for c in _F)
+
+
+@query("training_matrix", "ticker:s date:d qid:i label:f " + " ".join(f"{n}:f5" for n in M.feature_names(_F)), f"""
+SELECT m.*, year(m.date) * 10000 + month(m.date) * 100 + day(m.date) AS qid, ((xs - open) / open - beta_prev * ((xm - spy_open) / spy_open)) * 100 AS label FROM (
+ SELECT ticker, date, {_STAT_SQL} FROM scaled WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) m
+JOIN labelled l ON l.ticker = m.ticker AND l.date = m.date WHERE l.rn > 60 AND full20 AND open > 0 AND spy_open > 0""")
+def _(t):
+    return M.training_matrix(panel(t), _F, burn_in=BURN_IN)
+
+
+@query("pca_28", "vec_id:i components:i finite:b")
+def _(t):
+    v = M.scale_vectors(t.vectors, 64)
+    out = M.project_pca(v, M.fit_pca(v, 28))
+    return out.select("vec_id", F.size("reduced").alias("components"), F.forall("reduced", lambda x: ~F.isnan(x)).alias("finite"))
+
+
+@query("split_train_val", "split:s tickers:i n:i")
+def _(t):
+    s = M.split_train_val(t.bars)
+    return s.groupBy("split").agg(F.countDistinct("ticker").alias("tickers"), F.count("*").alias("n"))
+
+
+@query("rank_model", "qid:i ndcg:f")
+def _(t):
+    names = M.feature_names(_F)
+    m = M.split_train_val(M.training_matrix(panel(t), _F, burn_in=BURN_IN)).checkpoint()
+    model = M.fit_rank_model(m.where("split = 'train'"), names, iterations=5, depth=4)
+    return M.ndcg_at_k(M.rank_scores(m.where("split = 'validation'"), model, names), 10)
+
+
+def _linear():
+    return [0.5, -0.25, 2.0]
+
+
+def _apply(w, batch: pd.DataFrame) -> pd.DataFrame:
+    x = batch.to_numpy()
+    return pd.DataFrame({"pred": x[:, 0] * w[0] + x[:, 1] * w[1], "rank": x[:, 2] * w[2]})
+
+
+@query("batch_score", "date:d ticker:s pred:f rank:f", """
+SELECT date, ticker, pred_return_pct * 0.5e0 + rank_score * -0.25e0 AS pred, dollar_turnover * 2 AS rank FROM signals""")
+def _(t):
+    s = M.batch_score(t.signals, ["pred_return_pct", "rank_score", "dollar_turnover"], _linear, _apply, "pred double, rank double")
+    return s.select("date", "ticker", "scored.*")
+
+
+@query("score_panel", "date:d ticker:s current_price:f pred_return_pct:f rank_score:f", """
+SELECT date, ticker, round_even(current_price, 2) AS current_price, round_even(pred_return_pct * 0.5e0 + rank_score * -0.25e0, 2) AS pred_return_pct, round_even(dollar_turnover * 2, 4) AS rank_score FROM signals""")
+def _(t):
+    s = M.batch_score(t.signals, ["pred_return_pct", "rank_score", "dollar_turnover"], _linear, _apply, "pred double, rank double")
+    return M.score_panel(s.select("date", "ticker", "current_price", "scored.*"))
+
+
+@query("realized_outcome", "date:d ticker:s current_price:f actual_20d_return_pct:f actual_alpha_pct:f", f"""
+SELECT date, ticker, round_even(open, 2) AS current_price, round_even((xs - open) / open * 100, 2) AS actual_20d_return_pct, round_even((xs - open) / open * 100 - beta * ((xm - spy_open) / spy_open * 100), 2) AS actual_alpha_pct
+FROM (SELECT *, avg(volume) OVER g AS v, avg(close) OVER g AS p FROM labelled WINDOW g AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE rn > 60 AND full19 AND v >= 28 AND p >= 5""")
+def _(t):
+    return M.realized_outcome(panel(t), min_volume=28)

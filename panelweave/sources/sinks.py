@@ -49,7 +49,7 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[st
 
 def overwrite_days(df: DataFrame, path: str, date: str = "date") -> None:
     """Replace exactly the days present in `df`; other days are left alone and repeats change nothing."""
-    (df.repartition(date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path))
+    (df.hint("rebalance", date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path))
 
 
 def append_absent(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str]) -> None:
