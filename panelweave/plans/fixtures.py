@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from panelweave.plans.panel_store import stored_panel
+
 
 class Tables:
     """Lazy access to the tables of one folder and the views derived from them."""
@@ -23,7 +25,19 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
+    def _panel(self) -> tuple[DataFrame, DataFrame]:
+        return stored_panel(self.spark, self.folder, self.build_bars, self.build_market)
+
+    @property
     def bars(self) -> DataFrame:
+        return self._panel[0]
+
+    @property
+    def market(self) -> DataFrame:
+        return self._panel[1]
+
+    def build_bars(self) -> DataFrame:
+        """Daily bars folded from ticks."""
         order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
         ticks = (
             self.raw("lineitem").where(F.col("l_quantity") > 0)
@@ -39,12 +53,13 @@ class Tables:
                     "date", "open", "high", "low", "close", "volume")
         )
 
-    @cached_property
-    def market(self) -> DataFrame:
+    @staticmethod
+    def build_market(bars: DataFrame) -> DataFrame:
+        """One row per day over all tickers."""
         def mean(c):
             return F.sum(c.cast("decimal(24,8)")).cast("double") / F.count("*")
 
-        return self.bars.groupBy("date").agg(
+        return bars.groupBy("date").agg(
             mean(F.col("open")).alias("spy_open"), mean(F.col("close")).alias("spy_close"),
             F.sum("volume").alias("spy_volume"),
             (F.lit(1) + mean(F.col("high") - F.col("low"))).alias("vix_close"))
@@ -52,7 +67,7 @@ class Tables:
     @cached_property
     def signals(self) -> DataFrame:
         d = (F.year("date") * 372 + F.month("date") * 31 + F.day("date")).cast("bigint")
-        w = W.partitionBy("ticker_id").orderBy("date")
+        w = W.partitionBy("ticker").orderBy("date")
         i = F.col("ticker_id")
         return (
             self.bars.withColumn("d", d)
