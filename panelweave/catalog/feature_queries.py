@@ -5,9 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from panelweave.catalog.filter_queries import agent, latest_signal
 from panelweave.catalog.registry import SHARED_SQL, query
 from panelweave.catalog.window_queries import PANEL_FEATURES, PW, panel
-from panelweave.operators import aggregates as A, features as M, ordering as O, windows as X
+from panelweave.functions import dates, rules as R, text as X2
+from panelweave.operators import aggregates as A, features as M, windows as X
+from panelweave.plans import screening as S
+from panelweave.streaming.jobs import latest_quote
 
 BURN_IN = "1996-01-01"
 _F = PANEL_FEATURES
@@ -100,3 +104,53 @@ SELECT date, ticker, round_even(open, 2) AS current_price, round_even((xs - open
 FROM (SELECT *, avg(volume) OVER g AS v, avg(close) OVER g AS p FROM labelled WINDOW g AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE rn > 60 AND full19 AND v >= 28 AND p >= 5""")
 def _(t):
     return M.realized_outcome(panel(t), min_volume=28)
+
+
+@query("daily_screen", "conv_id:i ticker:s result:s priority:i")
+def _(t):
+    feats = [*_F, *S.INDICATORS]
+    latest = S.live_features(t.bars, t.market, latest_quote(t.quotes, "regular"), None, feats)
+    c = S.ScreenConfig(min_pred=0.0, min_turnover=1000.0, confidence_min=0.3)
+    return S.screen(latest, F.col("close_mean") * 10, F.col("close_last"), c, agent(t))
+
+
+# Scalar helpers over whole texts and days.
+@query("scalar_functions", "doc_id:i short:s key:s items:i year:i qid:i month:s plain:s", """
+SELECT doc_id, CASE WHEN length(s) <= 40 THEN s ELSE concat(regexp_replace(substr(s, 1, 37), '\\s+$', ''), '...') END AS short, concat('src_', doc_id % 7, '_a b') AS key, 2 AS items,
+ CASE WHEN doc_id % 4 = 0 THEN 0 ELSE year(date) END AS year, year(date) * 10000 + month(date) * 100 + day(date) AS qid, strftime(date, '%Y-%m') AS month, concat('x ', doc_id) AS plain
+FROM (SELECT *, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS s FROM news)""")
+def _(t):
+    k = F.col("doc_id").cast("string")
+    d = t.news.withColumn("tag", F.concat(F.lit("src^"), (F.col("doc_id") % 7).cast("string"), F.lit("*a b")))
+    return d.select(
+        "doc_id", X2.shorten(F.col("content"), 40).alias("short"), X2.safe_key(F.col("tag")).alias("key"),
+        F.size(X2.list_literal(F.concat(F.lit("['A', 'B"), k, F.lit("']")))).alias("items"),
+        dates.loose_year(F.when(F.col("doc_id") % 4 == 0, "n.d.").otherwise(F.col("date").cast("string"))).alias("year"),
+        dates.yyyymmdd(F.col("date")).alias("qid"), dates.month_label(F.col("date")).alias("month"),
+        X2.strip_tags(F.concat(F.lit("<p>x<br/>\n"), k, F.lit("</p>"))).alias("plain"))
+
+
+SHARED_SQL["summary_rows"] = """
+SELECT date, ticker, ticker_id, current_price / 3 AS price, actual_20d_return_pct AS recent, pred_return_pct * 1.0137e0 + 0.00123e0 AS pred, rank_score * 0.1371e0 AS score,
+ CASE WHEN ticker_id % 5 > 0 THEN (ticker_id * 13 % 101) / 101e0 END AS pos, ((ticker_id * 29) % 97) / 97e0 AS neg, CASE WHEN ticker_id % 2 = 0 THEN concat(' news of ', ticker) ELSE '' END AS corpus FROM latest_signal"""
+
+
+@query("formatted_summaries", "ticker:s model_text:s agent_text:s", """
+SELECT ticker, concat_ws(' | ', concat('date=', date), concat('ticker=', ticker), format('current_price={:.2f}', price), CASE WHEN recent IS NULL THEN 'recent_20d_return=n/a' ELSE format('recent_20d_return={:.2f}%', recent) END,
+  format('pred_ret_final={:.2f}%', pred), format('xgb_rank_score={:.3f}', score), concat('used_fallback=', CASE WHEN ticker_id % 2 = 0 THEN 'True' ELSE 'False' END),
+  CASE WHEN pos IS NULL THEN 'finbert_sentiment=n/a' ELSE format('finbert_sentiment=pos:{:.3f},neg:{:.3f},neu:{:.3f}', pos, neg, neg / 3) END, CASE WHEN corpus <> '' THEN concat('news_excerpt=', trim(corpus)) ELSE 'news_excerpt=n/a' END) AS model_text,
+ concat_ws(' | ', concat('Ticker: ', ticker), concat('Date: ', date), format('Current Price: ${:.2f}', price), CASE WHEN recent IS NOT NULL THEN format('Recent 20D Return (Momentum): {:+.2f}%', recent) END,
+  CASE WHEN pos IS NOT NULL THEN format('Sentiment Tone: {} (positive:{:.1f}%, negative:{:.1f}%)', CASE WHEN pos > neg THEN 'bullish' WHEN neg > pos THEN 'bearish' ELSE 'neutral' END, pos * 100, neg * 100) END,
+  CASE WHEN corpus <> '' THEN concat('Context: ', trim(corpus)) END) AS agent_text FROM summary_rows""")
+def _(t):
+    i = F.col("ticker_id")
+    c = F.col
+    d = latest_signal(t).select(
+        "date", "ticker", "ticker_id", (c("current_price") / 3).alias("price"), c("actual_20d_return_pct").alias("recent"),
+        (c("pred_return_pct") * 1.0137 + 0.00123).alias("pred"), (c("rank_score") * 0.1371).alias("score"),
+        F.when(i % 5 > 0, i * 13 % 101 / F.lit(101.0)).alias("pos"), (i * 29 % 97 / F.lit(97.0)).alias("neg"),
+        F.when(i % 2 == 0, F.concat(F.lit(" news of "), c("ticker"))).otherwise("").alias("corpus"))
+    return d.withColumns({
+        "model_text": R.model_input_summary(c("date"), c("ticker"), c("price"), c("recent"), c("pred"), c("score"), i % 2 == 0,
+                                            c("pos"), c("neg"), c("neg") / 3, c("corpus")),
+        "agent_text": R.agent_input_summary(c("date"), c("ticker"), c("price"), c("recent"), c("pos"), c("neg"), c("corpus"))})

@@ -53,7 +53,7 @@ DIMS = [f"dim_{i + 1}" for i in range(VECTOR_DIM)]
 def old_vectors(t):
     v = O.dedupe(t.vectors, ["ticker", "date"], [F.col("vec_id").asc()])
     return v.select("ticker", F.date_sub("date", 6940).alias("date"),
-                    *[F.col("emb")[i].cast("double").alias(d) for i, d in enumerate(DIMS)])
+                    *[F.expr(f"CAST(emb[{i}] AS DOUBLE) AS {d}") for i, d in enumerate(DIMS)])
 
 
 def bar_bounds(t):
@@ -71,7 +71,7 @@ GROUP BY p.ticker, p.date"""
 
 
 def _dim_total():
-    return sum((F.col(d) * (i + 1) for i, d in enumerate(DIMS)), F.lit(0.0))
+    return F.expr(" + ".join(f"{d} * {i + 1}" for i, d in enumerate(DIMS)))
 
 
 @query("ewma_calendar", "ticker:s date:d dim_1:f dim_64:f total:f", f"""
@@ -122,7 +122,7 @@ SELECT ticker, date, {_fold("vs", "0.1e0", "0.9e0")} AS smooth FROM (SELECT tick
 def _(t):
     w = W.partitionBy("ticker").orderBy("date")
     pos = t.bars.withColumn("_pos", F.row_number().over(w) - 1)
-    return X.add_ewma(pos, {"smooth": X.Ewma(F.col("volume"), 0.1)})
+    return X.add_ewma(pos, {"smooth": X.Ewma("volume", 0.1)})
 
 
 SHARED_SQL["betas"] = f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.functions import numeric as N
+from panelweave.functions import numeric as N, text as X
 
 # Exit signal to simple action; anything else is HOLD.
 SIMPLE_ACTION = {
@@ -151,3 +151,35 @@ def factor_narrative(action: Column, ticker: Column, pred: Column, recent: Colum
         .otherwise(F.concat(F.lit("HOLD "), ticker, F.lit(": "), F.array_join(F.slice(factors, 1, 2), " | "),
                             F.lit(". Mixed signal - awaiting clarity.")))
     )
+
+
+def _labelled(label: str, value: Column, pattern: str) -> Column:
+    """label=<formatted value>, or label=n/a when missing."""
+    return F.when(value.isNotNull(), F.format_string(f"{label}={pattern}", value)).otherwise(f"{label}=n/a")
+
+
+def model_input_summary(day: Column, ticker: Column, price: Column, recent: Column, pred: Column, score: Column,
+                        fallback: Column, pos: Column, neg: Column, neu: Column, news: Column, limit: int = 8000) -> Column:
+    """Pipe-joined record of what went into a prediction."""
+    known = pos.isNotNull()
+    mood = F.when(known, F.format_string("finbert_sentiment=pos:%.3f,neg:%.3f,neu:%.3f", pos, neg, neu)).otherwise("finbert_sentiment=n/a")
+    text = X.shorten(news, limit)
+    return F.concat_ws(
+        " | ", F.concat(F.lit("date="), day.cast("string")), F.concat(F.lit("ticker="), F.coalesce(ticker, F.lit("n/a"))),
+        _labelled("current_price", price, "%.2f"), _labelled("recent_20d_return", recent, "%.2f%%"),
+        _labelled("pred_ret_final", pred, "%.2f%%"), _labelled("xgb_rank_score", score, "%.3f"),
+        F.concat(F.lit("used_fallback="), F.initcap(fallback.cast("string"))), mood,
+        F.when(text != "", F.concat(F.lit("news_excerpt="), text)).otherwise("news_excerpt=n/a"))
+
+
+def agent_input_summary(day: Column, ticker: Column, price: Column, recent: Column, pos: Column, neg: Column,
+                        news: Column, limit: int = 8000) -> Column:
+    """Pipe-joined decision record without model internals; missing parts are left out."""
+    text = X.shorten(news, limit)
+    mood = F.when(pos.isNotNull() & neg.isNotNull(), F.format_string(
+        "Sentiment Tone: %s (positive:%.1f%%, negative:%.1f%%)", X.tone(pos, neg), pos * 100, neg * 100))
+    return F.concat_ws(
+        " | ", F.concat(F.lit("Ticker: "), F.coalesce(ticker, F.lit("n/a"))), F.concat(F.lit("Date: "), day.cast("string")),
+        F.when(price != 0, F.format_string("Current Price: $%.2f", price)),
+        F.when(recent.isNotNull(), F.concat(F.lit("Recent 20D Return (Momentum): "), signed(recent, 2), F.lit("%"))),
+        mood, F.when(text != "", F.concat(F.lit("Context: "), text)))

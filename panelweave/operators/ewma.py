@@ -8,6 +8,7 @@ carried from the chunk before. What lies two chunks back weighs less than
 (1-a)^chunk, far under double precision, which `_chunk_for` makes sure of.
 
 Only built-in window sums are used: no Python rows, no sorted array per key.
+Columns are written as SQL text, which keeps wide vectors cheap to plan.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 @dataclass(frozen=True)
 class Ewma:
-    """One smoothed column: input, weight of the newest value, first valid position, rows needed."""
+    """One smoothed column: SQL text of the input, weight of the newest value, first valid position, rows needed."""
 
-    value: Column
+    value: str
     alpha: float
     start: int = 0
     min_periods: int = 1
@@ -44,22 +45,27 @@ def add_ewma(df: DataFrame, specs: Mapping[str, Ewma], key: str = "ticker", pos:
     Values before `start` are ignored; the value at `start` has full weight.
     Rows earlier than `start + min_periods - 1` get NULL.
     """
-    size = _chunk_for([s.alpha for s in specs.values()])
-    p = F.col(pos)
-    chunk = F.floor(p / F.lit(size)).cast("int")
-    out = df.withColumn("_chunk", chunk).withColumn("_off", (p - F.col("_chunk") * size).cast("double"))
-    inside = W.partitionBy(key, "_chunk").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(key).orderBy("_chunk").rangeBetween(-1, -1)
-    terms, sums, finals = {}, {}, {}
-    for name, s in specs.items():
-        keep = 1.0 - s.alpha
-        x = F.when(p >= s.start, F.coalesce(s.value.cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
-        terms[f"_x_{name}"] = x * F.when(p == s.start, 1.0).otherwise(s.alpha) * F.pow(F.lit(keep), -F.col("_off"))
-    for name, s in specs.items():
-        keep = 1.0 - s.alpha
-        sums[f"_in_{name}"] = F.sum(f"_x_{name}").over(inside)
-        sums[f"_pre_{name}"] = F.coalesce(F.sum(f"_x_{name}").over(before), F.lit(0.0)) * F.lit(keep ** size)
-        y = (F.col(f"_in_{name}") + F.col(f"_pre_{name}")) * F.pow(F.lit(keep), F.col("_off"))
-        finals[name] = F.when(p >= s.start + s.min_periods - 1, y)
-    scratch = ["_chunk", "_off", *terms, *sums]
-    return out.withColumns(terms).withColumns(sums).withColumns(finals).drop(*scratch)
+    alphas = sorted({s.alpha for s in specs.values()})
+    size = _chunk_for(alphas)
+    keep = {a: 1.0 - a for a in alphas}
+    tag = {a: i for i, a in enumerate(alphas)}
+    inside = f"OVER (PARTITION BY {key}, _chunk ORDER BY {pos} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"OVER (PARTITION BY {key} ORDER BY _chunk RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+    own = list(df.columns)
+    scales = []
+    for a in alphas:
+        scales += [f"power({keep[a]!r}D, -CAST(pmod({pos}, {size}) AS DOUBLE)) AS _up{tag[a]}",
+                   f"power({keep[a]!r}D, CAST(pmod({pos}, {size}) AS DOUBLE)) AS _dn{tag[a]}"]
+    d = df.selectExpr("*", f"CAST(floor({pos} / {size}) AS INT) AS _chunk", *scales)
+
+    def weighted(s: Ewma) -> str:
+        w = f"CASE WHEN {pos} = {s.start} THEN 1D ELSE {s.alpha!r}D END"
+        return f"CASE WHEN {pos} >= {s.start} THEN coalesce(CAST({s.value} AS DOUBLE), 0D) * {w} * _up{tag[s.alpha]} ELSE 0D END"
+
+    names = {n: f"_x{i}" for i, n in enumerate(specs)}
+    d = d.selectExpr("*", *[f"{weighted(s)} AS {names[n]}" for n, s in specs.items()])
+    d = d.selectExpr("*", *[e for n in specs for e in (
+        f"sum({names[n]}) {inside} AS {names[n]}_in", f"sum({names[n]}) {before} AS {names[n]}_pre")])
+    final = [f"CASE WHEN {pos} >= {s.start + s.min_periods - 1} THEN ({names[n]}_in + coalesce({names[n]}_pre, 0D) * "
+             f"{keep[s.alpha] ** size!r}D) * _dn{tag[s.alpha]} END AS {n}" for n, s in specs.items()]
+    return d.selectExpr(*[f"`{c}`" for c in own if c not in specs], *final)

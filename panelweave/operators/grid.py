@@ -48,38 +48,38 @@ def cell_totals(df: DataFrame, preds: Sequence[float], scores: Sequence[float])
     return _label(_spread(base, [], sums), preds, scores)
 
 
-def cell_medians(df: DataFrame, preds: Sequence[float], scores: Sequence[float], chunks: int = 256) -> DataFrame:
+def cell_medians(df: DataFrame, preds: Sequence[float], scores: Sequence[float]) -> DataFrame:
     """Exact median of `actual` per cell.
 
     Cells overlap, so rows cannot be grouped by cell without a large blow-up.
     Counts per value chunk locate the chunk of each cell's middle; only rows of
-    those chunks, a small share of the table, are then ranked per cell.
+    those chunks, a small share of the table, are then ranked per cell and chunk.
     """
     preds, scores = sorted(set(preds)), sorted(set(scores))
     known = df.where(F.col("actual").isNotNull())
-    bounds = O.chunk_bounds(known, "actual", chunks)
-    rows = O.with_chunk(_tag(known, preds, scores), "actual", bounds).select("_i", "_j", "_chunk", "actual")
+    rows = O.with_chunk(_tag(known, preds, scores), "actual", O.chunk_bounds(known, "actual")).select("_i", "_j", "_chunk", "actual")
     hist = rows.groupBy("_i", "_j", "_chunk").agg(F.count("*").alias("n"))
-    cells = _spread(hist, ["_chunk"], ["n"])
     w = W.partitionBy("ci", "cj")
     low = F.coalesce(F.sum("n").over(w.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumns({"low": low, "total": F.sum("n").over(w)})
-    mid = (F.col("total") - 1) / F.lit(2.0)
-    cells = cells.withColumns({"lo": F.floor(mid), "hi": F.ceil(mid)})
+    cells = _spread(hist, ["_chunk"], ["n"]).withColumns({"low": low, "_mid": (F.sum("n").over(w) - 1) / F.lit(2.0)})
+    cells = cells.withColumns({"lo": F.floor("_mid"), "hi": F.ceil("_mid")})
     need = (cells.where((F.col("low") <= F.col("hi")) & (F.col("lo") < F.col("low") + F.col("n")))
-            .withColumn("first_low", F.min("low").over(w)).select("ci", "cj", "_chunk", "first_low", "lo", "hi"))
+            .select("ci", "cj", "_chunk", "low", "lo", "hi"))
     near = rows.join(need, "_chunk").where((F.col("_i") >= F.col("ci")) & (F.col("_j") >= F.col("cj")))
-    targets = need.select("ci", "cj", "first_low", "lo", "hi").distinct()
-    r = O.value_ranks(near.select("ci", "cj", "actual"), ["ci", "cj"], "actual", 16).join(targets, ["ci", "cj"])
-    start, end = F.col("n_before") + F.col("first_low"), F.col("n_before") + F.col("first_low") + F.col("n_tie")
-    pick = lambda k: F.max(F.when((start <= F.col(k)) & (F.col(k) < end), F.col("actual")))
-    return r.groupBy("ci", "cj").agg(((pick("lo") + pick("hi")) / 2.0).alias("median_actual"))
+    keys = ["ci", "cj", "_chunk", "low", "lo", "hi"]
+    ties = near.groupBy(*keys, "actual").agg(F.count("*").alias("n"))
+    run = F.sum("n").over(W.partitionBy(*keys).orderBy("actual").rowsBetween(W.unboundedPreceding, 0))
+    ties = ties.withColumn("_end", F.col("low") + run)
+    pick = lambda k: F.max(F.when((F.col("_end") - F.col("n") <= F.col(k)) & (F.col(k) < F.col("_end")), F.col("actual")))
+    return ties.groupBy("ci", "cj").agg(((pick("lo") + pick("hi")) / 2.0).alias("median_actual"))
 
 
-def thresholds(df: DataFrame, value: str, size: int = 15) -> list[float]:
-    """Distinct quantiles of the value at `size` even steps from 0 to 0.95 (at most `size` driver numbers)."""
+def thresholds(df: DataFrame, cols: Sequence[str], size: int = 15) -> dict[str, list[float]]:
+    """Distinct quantiles of each column at `size` even steps from 0 to 0.95 (a few driver numbers)."""
     probs = [0.95 * i / (size - 1) for i in range(size)]
-    return sorted({r["q"] for r in O.exact_quantiles(df, [], value, probs).collect()})
+    tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in cols])).alias("s")).select("s.*")
+    got = O.exact_quantiles(tall, ["column"], "x", probs).collect()
+    return {c: sorted({r["q"] for r in got if r["column"] == c}) for c in cols}
 
 
 def threshold_grid(df: DataFrame, size: int = 15, min_samples: int = 1,
@@ -90,8 +90,9 @@ def threshold_grid(df: DataFrame, size: int = 15, min_samples: int = 1,
     win rate and is left out of mean and median.
     """
     df = df.where(F.col("pred").isNotNull() & F.col("score").isNotNull())
-    preds = thresholds(df, "pred", size) if preds is None else preds
-    scores = thresholds(df, "score", size) if scores is None else scores
+    if preds is None or scores is None:
+        auto = thresholds(df, ["pred", "score"], size)
+        preds, scores = preds or auto["pred"], scores or auto["score"]
     t = cell_totals(df, preds, scores).where(F.col("n") >= min_samples)
     mean = F.try_divide(F.col("sum_actual"), F.col("n_actual"))
     return (t.join(cell_medians(df, preds, scores), ["ci", "cj"], "left")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from panelweave.functions import numeric as N
 from panelweave.session import shared_root
 
-CHUNKS = 64
+MIN_CHUNKS, MAX_CHUNKS, ROWS_PER_CHUNK = 128, 8192, 1_000_000
 
 
 def top_n_per_group(df: DataFrame, n: int, group: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -40,10 +40,19 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return top_n_per_group(df, 1, keys, order)
 
 
-def chunk_bounds(df: DataFrame, value: str, chunks: int = CHUNKS) -> list[float]:
-    """Distinct inner boundaries of roughly equal value chunks; at most `chunks` numbers reach the driver."""
-    probs = [i / chunks for i in range(1, chunks)]
-    got = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 10 * chunks)).first()[0]
+def chunk_bounds(df: DataFrame, value: str) -> list[float]:
+    """Inner boundaries of value chunks of about ROWS_PER_CHUNK rows each.
+
+    One pass counts the rows and takes MIN_CHUNKS - 1 approximate quantiles; only a table
+    with more rows than that covers gets a second, finer pass. The driver sees
+    at most MAX_CHUNKS numbers. Boundaries only balance work, results do not
+    depend on them.
+    """
+    probs = [i / MIN_CHUNKS for i in range(1, MIN_CHUNKS)]
+    n, got = df.agg(F.count(value), F.percentile_approx(value, F.lit(probs), 10 * MIN_CHUNKS)).first()
+    chunks = min(MAX_CHUNKS, n // ROWS_PER_CHUNK)
+    if chunks > MIN_CHUNKS:
+        got = df.approxQuantile(value, [i / chunks for i in range(1, chunks)], 0.1 / chunks)
     return sorted(set(got or []))
 
 
@@ -55,7 +64,7 @@ def with_chunk(df: DataFrame, value: str, bounds: Sequence[float], out: str = "_
     return Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, chunks: int = CHUNKS) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Histogram per (keys, value): `n_tie` rows with the value, `n_before` below it, `n_group` in all.
 
     Exact for any choice of chunk boundaries. The key combinations times the
@@ -64,7 +73,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, chunks: int = CH
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
     hist = rows.groupBy(*keys, value).agg(F.count("*").alias("n_tie"))
-    hist = with_chunk(hist, value, chunk_bounds(rows, value, chunks))
+    hist = with_chunk(hist, value, chunk_bounds(rows, value))
     inside = W.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     totals = hist.groupBy(*keys, "_chunk").agg(F.sum("n_tie").alias("_t"))
     lower = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)

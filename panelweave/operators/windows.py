@@ -62,8 +62,7 @@ def rsi(df: DataFrame, n: int = 14, close: str = "close", key="ticker", date="da
     w = by(key, date)
     d = df.withColumns({"_pos": F.row_number().over(w) - 1, "_d": F.col(close) - F.lag(close).over(w)})
     d = add_ewma(d, {
-        "_g": Ewma(F.greatest(F.col("_d"), F.lit(0.0)), 1.0 / n, 1, n),
-        "_l": Ewma(F.greatest(-F.col("_d"), F.lit(0.0)), 1.0 / n, 1, n)}, key)
+        "_g": Ewma("greatest(_d, 0D)", 1.0 / n, 1, n), "_l": Ewma("greatest(-_d, 0D)", 1.0 / n, 1, n)}, key)
     rs = N.ratio(F.col("_g"), F.col("_l"))
     return d.withColumn(out, F.coalesce(100.0 - 100.0 / (1.0 + rs), F.lit(50.0))).drop("_pos", "_d", "_g", "_l")
 
@@ -71,11 +70,10 @@ def rsi(df: DataFrame, n: int = 14, close: str = "close", key="ticker", date="da
 def macd(df: DataFrame, close: str = "close", key="ticker", date="date", fast=12, slow=26, signal=9) -> DataFrame:
     """Add macd_line, macd_hist and macd_signal; NULL before enough rows becomes 0."""
     w = by(key, date)
-    c = F.col(close)
     d = add_ewma(df.withColumn("_pos", F.row_number().over(w) - 1), {
-        "_f": Ewma(c, 2.0 / (fast + 1), 0, fast), "_s": Ewma(c, 2.0 / (slow + 1), 0, slow)}, key)
+        "_f": Ewma(close, 2.0 / (fast + 1), 0, fast), "_s": Ewma(close, 2.0 / (slow + 1), 0, slow)}, key)
     d = d.withColumn("_m", F.col("_f") - F.col("_s"))
-    d = add_ewma(d, {"_sig": Ewma(F.col("_m"), 2.0 / (signal + 1), slow - 1, signal)}, key)
+    d = add_ewma(d, {"_sig": Ewma("_m", 2.0 / (signal + 1), slow - 1, signal)}, key)
     zero = F.lit(0.0)
     return d.withColumns({
         "macd_line": F.coalesce("_m", zero), "macd_hist": F.coalesce(F.col("_m") - F.col("_sig"), zero),
@@ -97,17 +95,16 @@ def smoothed_events(points: DataFrame, events: DataFrame, values: Sequence[str],
     calendar is never built: gaps are handled by position. Points on the first
     day see NULL, as nothing lies before them.
     """
-    day0 = bounds.select(key, F.col("first").alias("_a"), F.col("last").alias("_b"))
-    ev = (events.join(day0, key).where(F.col(date).between(F.col("_a"), F.col("_b")))
-          .select(key, F.datediff(date, "_a").alias("_pos"), *values, F.lit(0).alias("_ask")))
-    ask = (points.join(day0, key).select(key, (F.datediff(date, "_a") - lag_days).alias("_pos"),
-                                         *[F.lit(0.0).alias(v) for v in values], F.lit(1).alias("_ask")))
+    day0 = bounds.selectExpr(key, "first AS _a", "last AS _b")
+    vals = list(values)
+    ev = (events.join(day0, key).where(f"{date} BETWEEN _a AND _b")
+          .selectExpr(key, f"datediff({date}, _a) AS _pos", *vals, "0 AS _ask"))
+    ask = points.join(day0, key).selectExpr(key, f"datediff({date}, _a) - {lag_days} AS _pos", *[f"0D AS {v}" for v in vals], "1 AS _ask")
     merged = (ev.unionByName(ask).where("_pos >= 0").groupBy(key, "_pos")
-              .agg(*[F.sum(v).alias(v) for v in values], F.max("_ask").alias("_ask")))
-    smooth = add_ewma(merged, {f"_y_{i}": Ewma(F.col(v), alpha) for i, v in enumerate(values)}, key)
-    return (smooth.where("_ask = 1").join(day0.select(key, "_a"), key)
-            .select(key, F.date_add("_a", F.col("_pos") + lag_days).alias(date),
-                    *[F.col(f"_y_{i}").alias(v) for i, v in enumerate(values)]))
+              .agg(*[F.expr(f"sum({v}) AS {v}") for v in vals], F.max("_ask").alias("_ask")))
+    smooth = add_ewma(merged, {f"_y_{i}": Ewma(v, alpha) for i, v in enumerate(vals)}, key)
+    return (smooth.where("_ask = 1").join(day0, key)
+            .selectExpr(key, f"date_add(_a, CAST(_pos + {lag_days} AS INT)) AS {date}", *[f"_y_{i} AS {v}" for i, v in enumerate(vals)]))
 
 
 def ewma_calendar(events: DataFrame, values: Sequence[str], bounds: DataFrame, alpha=0.3, key="ticker", date="date") -> DataFrame:
@@ -128,22 +125,39 @@ def lag_calendar_day(df: DataFrame, cols: Sequence[str], key="ticker", date="dat
     return df.withColumns({c: F.when(fresh, F.lag(c).over(w)) for c in cols})
 
 
+def _frame_sums(df: DataFrame, exprs: dict[str, str], first: int, last: int, key: str, date: str) -> DataFrame:
+    """Add sums over the rows from `first` to `last` before the current one, as differences of running sums.
+
+    Constant work per row whatever the frame length; a sliding frame would be
+    summed anew for every row. Inputs should be centred to keep the differences
+    exact to many digits.
+    """
+    own = [f"`{c}`" for c in df.columns]
+    run = f"OVER (PARTITION BY {key} ORDER BY {date} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    at = f"OVER (PARTITION BY {key} ORDER BY {date})"
+    d = df.selectExpr("*", *[f"sum({e}) {run} AS _run_{n}" for n, e in exprs.items()])
+    upto = lambda n: f"_run_{n}" if last == 0 else f"coalesce(lag(_run_{n}, {last}) {at}, 0)"
+    return d.selectExpr(*own, *[f"{upto(n)} - coalesce(lag(_run_{n}, {first + 1}) {at}, 0) AS {n}" for n in exprs])
+
+
 def rolling_beta(df: DataFrame, close: str = "close", market: str = "spy_close", rows: int = 60, key="ticker",
                  date="date", out: str = "beta") -> DataFrame:
     """Sample covariance over variance of daily returns on the last `rows` rows, bounded to [-2, 3].
 
-    Needs `rows` pairs of returns, else 1.0.
+    Needs `rows` pairs of returns, else 1.0; so does a frame without market moves.
     """
     w = by(key, date)
+    own = [f"`{c}`" for c in df.columns if c != out]
     d = df.withColumns({"_rs": N.change(F.col(close), F.lag(close).over(w)),
                         "_rm": N.change(F.col(market), F.lag(market).over(w))})
-    f = w.rowsBetween(-(rows - 1), 0)
-    pair = F.when(F.col("_rs").isNotNull() & F.col("_rm").isNotNull(), 1)
-    # the variance must run over the market returns of the whole frame, which the count guard makes equal
-    b = N.ratio(F.covar_samp("_rs", "_rm").over(f), F.var_samp("_rm").over(f))
-    d = d.withColumns({"_n": F.count(pair).over(f), out: b})
-    return d.withColumn(out, F.when(F.col("_n") == rows, F.coalesce(N.clip(F.col(out), -2.0, 3.0), F.lit(1.0)))
-                        .otherwise(1.0)).drop("_rs", "_rm", "_n")
+    d = d.selectExpr("*", "CAST(_rs IS NOT NULL AND _rm IS NOT NULL AS INT) AS _ok",
+                     f"CAST(NOT _rm <=> lag(_rm) OVER (PARTITION BY {key} ORDER BY {date}) AS INT) AS _mv")
+    d = _frame_sums(d, {"_n": "_ok", "_sx": "coalesce(_rs * _ok, 0D)", "_sy": "coalesce(_rm * _ok, 0D)",
+                        "_sxy": "coalesce(_rs * _rm, 0D)", "_syy": "coalesce(_rm * _rm * _ok, 0D)"}, rows - 1, 0, key, date)
+    # changes after the first row of the frame: none means a constant market return
+    d = _frame_sums(d, {"_moves": "_mv"}, rows - 2, 0, key, date)
+    beta = f"(_sxy - _sx * _sy / {rows}) / nullif(_syy - _sy * _sy / {rows}, 0D)"
+    return d.selectExpr(*own, f"CASE WHEN _n = {rows} AND _moves > 0 THEN coalesce(greatest(-2D, least(3D, {beta})), 1D) ELSE 1D END AS {out}")
 
 
 def trailing_mean(df: DataFrame, cols: Sequence[str], rows: int = 20, key="ticker", date="date") -> DataFrame:
@@ -196,14 +210,25 @@ def window_stats(df: DataFrame, cols: Sequence[str], rows: int = 60, include_cur
     Adds `<c>_last`, `<c>_mean`, `<c>_std`, and `_hist` with the number of rows
     in the frame. `include_current` ends the frame at the row itself (live use).
     """
-    w = by(key, date)
-    f = w.rowsBetween(-(rows - 1), 0) if include_current else w.rowsBetween(-rows, -1)
-    out = {"_hist": F.count("*").over(f)}
+    own = [f"`{c}`" for c in df.columns]
+    at = f"OVER (PARTITION BY {key} ORDER BY {date})"
+    first, last = (rows - 1, 0) if include_current else (rows, 1)
+    # centre per key, then mean and variance follow from frame sums
+    d = df.selectExpr("*", *[f"avg({c}) OVER (PARTITION BY {key}) AS _mu_{c}" for c in cols])
+    d = d.selectExpr("*", *[f"{c} - _mu_{c} AS _z_{c}" for c in cols],
+                     *[f"CAST(NOT {c} <=> lag({c}) {at} AS INT) AS _mv_{c}" for c in cols])
+    sums = {"_hist": "1"}
+    for c in cols:
+        sums |= {f"_n_{c}": f"CAST({c} IS NOT NULL AS INT)", f"_s1_{c}": f"coalesce(_z_{c}, 0D)", f"_s2_{c}": f"coalesce(_z_{c} * _z_{c}, 0D)"}
+    d = _frame_sums(d, sums, first, last, key, date)
+    d = _frame_sums(d, {f"_mvs_{c}": f"_mv_{c}" for c in cols}, first - 1, last, key, date)
+    out = []
     for c in cols:
-        out[f"{c}_last"] = F.col(c) if include_current else F.lag(c).over(w)
-        out[f"{c}_mean"] = F.avg(c).over(f)
-        out[f"{c}_std"] = F.stddev_pop(c).over(f)
-    return df.withColumns(out)
+        n, s1, s2 = f"nullif(_n_{c}, 0)", f"_s1_{c}", f"_s2_{c}"
+        out += [f"{c} AS {c}_last" if include_current else f"lag({c}) {at} AS {c}_last",
+                f"_mu_{c} + {s1} / {n} AS {c}_mean",
+                f"CASE WHEN _mvs_{c} = 0 THEN {s2} / {n} * 0D ELSE sqrt(greatest({s2} / {n} - ({s1} / {n}) * ({s1} / {n}), 0D)) END AS {c}_std"]
+    return d.selectExpr(*own, "_hist", *out)
 
 
 def window_sequences(df: DataFrame, cols: Sequence[str], rows: int = 60, key="ticker", date="date") -> DataFrame:
