@@ -232,8 +232,8 @@ SELECT count(*) AS total_trades, count(*) FILTER (status = 'CLOSED') AS closed_t
  100e0 * count(*) FILTER (status = 'CLOSED' AND pnl_usd > 0) / count(*) FILTER (status = 'CLOSED') AS closed_win_rate_pct, avg(return_pct) FILTER (status = 'CLOSED') AS closed_avg_return_pct,
  sum(pnl_usd) FILTER (status = 'CLOSED') AS closed_total_pnl_usd, sum(pnl_usd) FILTER (status = 'OPEN') AS open_mtm_pnl_usd, sum(pnl_usd) AS total_pnl_usd,
  sum(pnl_usd) / sum(capital_per_trade) * 100 AS total_return_on_deployed_pct, avg(capm_alpha_pct) FILTER (status = 'CLOSED') AS closed_avg_capm_alpha_pct,
- avg(capm_alpha_raw) FILTER (status = 'CLOSED') AS closed_avg_capm_alpha_raw, sum(capm_alpha_usd) FILTER (status = 'CLOSED') AS closed_total_capm_alpha_usd,
- sum(capm_alpha_usd) AS total_capm_alpha_usd, sum(capm_alpha_usd) / sum(capital_per_trade) * 100 AS total_capm_alpha_pct, sum(capm_alpha_usd) / sum(capital_per_trade) AS total_capm_alpha_raw FROM tr_trades"""
+ avg(capm_alpha_raw) FILTER (status = 'CLOSED') AS closed_avg_capm_alpha_raw, coalesce(sum(capm_alpha_usd) FILTER (status = 'CLOSED'), 0) AS closed_total_capm_alpha_usd,
+ coalesce(sum(capm_alpha_usd), 0) AS total_capm_alpha_usd, coalesce(sum(capm_alpha_usd), 0) / sum(capital_per_trade) * 100 AS total_capm_alpha_pct, coalesce(sum(capm_alpha_usd), 0) / sum(capital_per_trade) AS total_capm_alpha_raw FROM tr_trades"""
 
 
 @query("trade_summary", _SUMMARY, "SELECT * FROM tr_summary")
@@ -293,7 +293,7 @@ def _(t):
 SELECT count(*) FILTER (status = 'OPEN') AS open_positions, count(*) FILTER (status = 'CLOSED') AS closed_positions, sum(cost_basis_usd) FILTER (status = 'OPEN') AS open_cost_basis_usd,
  sum(market_value_usd) FILTER (status = 'OPEN') AS open_market_value_usd, open_market_value_usd - open_cost_basis_usd AS open_unrealized_pnl_usd, sum(pnl_usd) FILTER (status = 'CLOSED') AS closed_realized_pnl_usd,
  sum(capital_per_trade) AS book_cost_basis_usd, open_market_value_usd + sum(capital_per_trade) FILTER (status = 'CLOSED') + closed_realized_pnl_usd AS book_value_now_usd,
- book_value_now_usd - book_cost_basis_usd AS book_profit_loss_now_usd, book_profit_loss_now_usd / book_cost_basis_usd * 100 AS book_profit_loss_now_pct, sum(capm_alpha_usd) AS portfolio_capm_alpha_usd,
+ book_value_now_usd - book_cost_basis_usd AS book_profit_loss_now_usd, book_profit_loss_now_usd / book_cost_basis_usd * 100 AS book_profit_loss_now_pct, coalesce(sum(capm_alpha_usd), 0) AS portfolio_capm_alpha_usd,
  portfolio_capm_alpha_usd / book_cost_basis_usd * 100 AS portfolio_capm_alpha_pct, portfolio_capm_alpha_usd / book_cost_basis_usd AS portfolio_capm_alpha_raw FROM tr_marks""")
 def _(t):
     return A.book_summary(marked(t))
