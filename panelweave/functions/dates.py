@@ -13,11 +13,12 @@ def day(c: Column) -> Column:
 
 
 def utc_day(text: Column) -> Column:
-    """UTC day of a text with an optional zone offset; unparsable becomes NULL.
+    """UTC day of a text with an optional zone offset, whatever the session zone; unparsable becomes NULL.
 
-    Needs a session in UTC, which :func:`panelweave.session.build_session` sets.
+    A text without offset is read in the session zone.
     """
-    return F.to_date(F.try_to_timestamp(text))
+    local = F.try_to_timestamp(text).cast("timestamp_ntz")
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local))
 
 
 def loose_year(text: Column) -> Column:

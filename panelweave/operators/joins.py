@@ -16,25 +16,33 @@ from panelweave.functions import numeric as N
 from panelweave.operators import windows as X
 
 
-def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
-         payload: Sequence[str], direction: str = "backward", allow_exact: bool = True) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, payload: Sequence[str],
+         direction: str = "backward", allow_exact: bool = True, unique_left: bool = False) -> DataFrame:
     """Attach the payload of the last row at or before (backward) or first at or after (forward) each time.
 
     `right` holds one row per (by, time). Left rows without a match get NULLs.
     Without `by` the times must be calendar days, since one window sees them all.
+    `unique_left` says that (by, time) is unique on the left as well: its rows
+    then pass through the window themselves and the left side is read only once.
     """
     keys = list(by)
-    forward = direction == "forward"
+    cols = left.columns
     data = F.struct(*[F.col(c) for c in payload])
-    ask = left.select(*keys, F.col(left_on).alias("_t"), F.lit(True).alias("_ask")).distinct()
+    row = F.struct(*[F.col(c) for c in cols]) if unique_left else F.struct(F.lit(1).alias("_one"))
+    ask = left.select(*keys, F.col(left_on).alias("_t"), F.lit(True).alias("_ask"), row.alias("_row"))
+    ask = ask if unique_left else ask.distinct()
     ask = ask.withColumn("_data", F.lit(None).cast(right.select(data.alias("d")).schema["d"].dataType))
-    have = right.select(*keys, F.col(right_on).alias("_t"), F.lit(False).alias("_ask"), data.alias("_data"))
-    time = F.col("_t").desc() if forward else F.col("_t").asc()
+    have = right.select(*keys, F.col(right_on).alias("_t"), F.lit(False).alias("_ask"),
+                        F.lit(None).cast(ask.schema["_row"].dataType).alias("_row"), data.alias("_data"))
+    time = F.col("_t").desc() if direction == "forward" else F.col("_t").asc()
     # False sorts before True: matching rows come first when an equal time counts
     side = F.col("_ask").asc() if allow_exact else F.col("_ask").desc()
     w = W.partitionBy(*keys).orderBy(time, side).rowsBetween(W.unboundedPreceding, 0)
-    found = (ask.unionByName(have).withColumn("_data", F.last("_data", ignorenulls=True).over(w)).where("_ask")
-             .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_t"), *[F.col(f"_data.{c}").alias(c) for c in payload]))
+    found = ask.unionByName(have).withColumn("_data", F.last("_data", ignorenulls=True).over(w)).where("_ask")
+    extra = [F.col(f"_data.{c}").alias(c) for c in payload]
+    if unique_left:
+        return found.select(*[F.col(f"_row.{c}").alias(c) for c in cols], *extra)
+    found = found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_t", *extra)
     cond = F.col(left_on) == F.col("_t")
     for k in keys:
         cond = cond & (left[k] == F.col(f"_k_{k}"))
@@ -45,7 +53,7 @@ def align_market(bars: DataFrame, market: DataFrame, date: str = "date") -> Data
     """Market values of the same or last earlier day; rows with any missing value are dropped."""
     cols = [c for c in market.columns if c != date]
     days = bars.select(date).distinct()
-    known = asof(days, market, [], date, date, cols)
+    known = asof(days, market, [], date, date, cols, unique_left=True)
     return bars.join(known, date).dropna()
 
 
@@ -84,10 +92,13 @@ def outer_macro_merge(frames: Sequence[DataFrame], date: str = "date") -> DataFr
 
 def entry_forward(signals: DataFrame, bars: DataFrame, payload: Sequence[str] = ("entry_date", "rn", "n_rows"),
                   key: str = "ticker", date: str = "date") -> DataFrame:
-    """First price row on or after the signal date; signals without one are dropped."""
+    """First price row on or after the signal date; signals without one are dropped.
+
+    Signals are unique per (key, date); extra copies would each be kept.
+    """
     pos = bars if "rn" in bars.columns else X.positions(bars, key, date)
     pos = pos.withColumn("entry_date", F.col(date))
-    return asof(signals, pos, [key], date, date, list(payload), "forward").where(F.col("entry_date").isNotNull())
+    return asof(signals, pos, [key], date, date, list(payload), "forward", unique_left=True).where(F.col("entry_date").isNotNull())
 
 
 def entry_nearest(buys: DataFrame, bars: DataFrame, date: str = "buy_date", price: str = "buy_price",

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelweave.functions import numeric as N, rules as R
 from panelweave.operators import filters as P, joins as J, ordering as O, windows as X
+from panelweave.session import shared_root
 
 KEYS = ("date", "ticker")
 MODELS = ("OPEN", "AVG", "PAIN")
@@ -244,6 +245,9 @@ def forward_tracker(signals: DataFrame, bars: DataFrame, market: DataFrame, hold
     """
     pos = X.positions(bars.where(F.col("close").isNotNull()))
     entries = J.entry_forward(signals, pos.withColumn("_close", F.col("close")), ["entry_date", "rn", "n_rows", "_close"])
+    # a few rows per day, read by four branches below
+    shared_root(entries.sparkSession)
+    entries = entries.checkpoint()
     t = X.holding_exit(entries, hold).withColumn("entry_price", F.coalesce(N.positive(F.col("current_price")), F.col("_close")))
     ends = pos.select("ticker", F.col("rn").alias("exit_rn"), F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
     t = t.join(ends, ["ticker", "exit_rn"]).withColumn("trading_days_held", F.col("exit_rn") - F.col("rn"))

@@ -11,6 +11,7 @@ folder that the session names.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from panelweave.session import staging_path
 
 _STORED: dict[tuple[str, str], tuple[str, str]] = {}
+_LOCK = threading.Lock()
+BUCKET_BYTES = 256 * 1024 * 1024
+MAX_BUCKETS = 65_536
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of about BUCKET_BYTES of input each, at least one per core."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return int(min(MAX_BUCKETS, max(cores, size // BUCKET_BYTES)))
 
 
 def save_panel(bars: DataFrame, path: str, table: str, buckets: int, key: str = "ticker", date: str = "date") -> DataFrame:
@@ -31,12 +42,13 @@ def save_panel(bars: DataFrame, path: str, table: str, buckets: int, key: str =
 def stored_panel(spark: SparkSession, folder: str, build_bars, build_market) -> tuple[DataFrame, DataFrame]:
     """(bars, market) of a folder, written on first use in this application."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _STORED:
-        table = f"panelweave_bars_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        bars = save_panel(build_bars(), staging_path(spark, "bars"), table, buckets)
-        market_path = staging_path(spark, "market")
-        build_market(bars).coalesce(1).write.mode("overwrite").parquet(market_path)
-        _STORED[key] = (table, market_path)
+    with _LOCK:
+        if key not in _STORED:
+            table = f"panelweave_bars_{uuid.uuid4().hex}"
+            ticks = build_bars()
+            bars = save_panel(ticks, staging_path(spark, "bars"), table, bucket_count(ticks))
+            market_path = staging_path(spark, "market")
+            build_market(bars).repartition(1).write.mode("overwrite").parquet(market_path)
+            _STORED[key] = (table, market_path)
     table, market_path = _STORED[key]
     return spark.table(table), spark.read.parquet(market_path)

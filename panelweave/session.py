@@ -30,9 +30,11 @@ def shared_root(spark: SparkSession) -> str:
     fall back to a temporary folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    active = spark.sparkContext.getCheckpointDir()
     if root:
+        if not active:
+            spark.sparkContext.setCheckpointDir(root)
         return root.rstrip("/")
-    active = spark.sparkContext.getCheckpointDir()
     if active:
         return active.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
