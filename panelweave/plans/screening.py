@@ -27,8 +27,8 @@ class ScreenConfig:
 
 
 def live_features(bars: DataFrame, market: DataFrame, quotes: DataFrame | None, stats: DataFrame | None,
-                  features: Sequence[str], min_history: int = 62) -> DataFrame:
-    """Feature row of the latest day of each ticker.
+                  features: Sequence[str], min_history: int = 62, transform: bool = True) -> DataFrame:
+    """Feature row of the latest day of each ticker; `transform=False` scales raw levels instead (variant).
 
     Quote overlay, indicators, market join with forward fill, transforms,
     alignment, scaling and the statistics of the last 60 rows including the
@@ -40,7 +40,8 @@ def live_features(bars: DataFrame, market: DataFrame, quotes: DataFrame | None,
     b = X.recent_return(X.macd(X.rsi(b)))
     merged = J.join_market_ffill(b, market)
     raw = {"_price": F.col("close"), "_volume": F.col("volume")}
-    moved = X.feature_transform(merged.withColumns(raw), features)
+    moved = merged.withColumns(raw)
+    moved = X.feature_transform(moved, features) if transform else moved
     flat = P.align(moved, features, keep=["ticker", "date", "recent_return_pct", *raw])
     scaled = M.scale_transform(flat, stats, features) if stats is not None else flat
     rows = X.window_stats(scaled, features, 60, include_current=True).where("_hist = 60")
