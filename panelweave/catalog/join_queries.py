@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.catalog.filter_queries import agent, latest_signal
 from panelweave.catalog.registry import SHARED_SQL, query
 from panelweave.operators import grid as G, joins as J, ordering as O, windows as X
 from panelweave.sources.readers import lag_publication

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.catalog.registry import query
-from panelweave.operators import aggregates as A, windows as W
+from panelweave.operators import windows as W
 from panelweave.session import staging_path
 from panelweave.sources import readers as S, sinks as K
 

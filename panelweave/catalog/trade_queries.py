@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.catalog.filter_queries import agent, latest_signal
-from panelweave.catalog.join_queries import top_signals
 from panelweave.catalog.registry import SHARED_SQL, query
-from panelweave.functions import rules as R
 from panelweave.operators import aggregates as A, joins as J, ordering as O, trades as T, windows as X
 from panelweave.plans.backtest import BacktestConfig, run_backtest
 

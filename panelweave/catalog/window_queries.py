@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from panelweave.catalog.registry import SHARED_SQL, query
-from panelweave.functions import numeric as N
 from panelweave.operators import ordering as O, windows as X
 
 SHARED_SQL["panel"] = "SELECT b.*, spy_open, spy_close, spy_volume, vix_close FROM bars b JOIN market m USING (date)"

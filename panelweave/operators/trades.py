@@ -9,7 +9,6 @@ minimum over the path.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
