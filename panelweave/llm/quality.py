@@ -41,8 +41,9 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
     words = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(
         F.coalesce("_t", F.lit(0)).alias("t"), _words(F.col("text")).alias("w"))
     hashed = words.select("t", F.concat(F.transform("w", lambda x: F.xxhash64(x)), _pairs(F.col("w"))).alias("h"))
-    return hashed.select("t", F.explode("h").alias("h")).groupBy(_slot(F.col("h"), buckets).alias("bucket")).agg(
-        F.count("*").alias("raw"), F.sum("t").alias("target"))
+    # the outer form: for the inner one Spark adds a filter that computes all hashes a second time
+    return hashed.select("t", F.explode_outer("h").alias("h")).where("h is not null").groupBy(
+        _slot(F.col("h"), buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> list[int]:
@@ -55,15 +56,14 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0
             for r, t in zip(raw, target)]
 
 
-def _repeat_words(h3: Column) -> Column:
+def _repeat_words(h3: Column, bits: Column, mask: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more; h3: hashes of all windows.
 
-    Each hash is packed with its position in the low bits and sorted, so equal windows become
+    Each hash is packed with its position in the low `bits` bits and sorted, so equal windows become
     neighbours; the full hashes decide whether neighbours are equal.
     """
-    bits = F.length(F.bin(F.size(h3)))
     packed = F.transform(h3, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))
-    at = F.transform(F.sort_array(packed), lambda p: (p.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)).cast("int"))
+    at = F.transform(F.sort_array(packed), lambda p: p.bitwiseAND(mask).cast("int"))
 
     def starts(pos: Column) -> Column:
         same = lambda a, b: F.get(h3, a) == F.get(h3, b)
@@ -103,10 +103,13 @@ def scored(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshol
         "_q_sum": F.col("_q_sum1") + F.aggregate("_q_h2", zero, lambda s, h: s + F.get(table, _slot(h, buckets))),
         "_q_h3": F.zip_with(F.slice("_q_h2", F.lit(1), F.greatest(n - 2, F.lit(0))), F.slice("_q_w", F.lit(3), n),
                             lambda h, c: F.xxhash64(h, c))}).drop("_q_w", "_q_h2", "_q_lines", "_q_sum1")
-    repeat = F.when(F.size(F.array_distinct("_q_h3")) < F.size("_q_h3"), _repeat_words(F.col("_q_h3"))).otherwise(0)
+    out = out.withColumn("_q_bits", F.length(F.bin(F.size("_q_h3"))))
+    out = out.withColumn("_q_mask", F.expr("shiftleft(1L, _q_bits) - 1"))
+    repeat = F.when(F.size(F.array_distinct("_q_h3")) < F.size("_q_h3"),
+                    _repeat_words(F.col("_q_h3"), F.col("_q_bits"), F.col("_q_mask"))).otherwise(0)
     out = out.withColumns({
         "_q_n_repeat_words": repeat.cast("long"),
-        "_q_llr_millionths": F.when(F.col("_q_n_words") > 0, F.expr("_q_sum div _q_n_words")).otherwise(0)}).drop("_q_h3")
+        "_q_llr_millionths": F.when(F.col("_q_n_words") > 0, F.expr("_q_sum div _q_n_words")).otherwise(0)}).drop("_q_h3", "_q_bits", "_q_mask")
     failed = (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
     kept = ~failed & (F.col("_q_sum") >= F.col("_q_n_words") * round(threshold * UNIT))
     return out.withColumns({"_q_base_failed": failed, "_q_kept": kept}).drop("_q_sum")
