@@ -128,3 +128,43 @@ def frequency_table(sliced: DataFrame) -> np.ndarray:
     for r in rows:
         out[r["slice"]] += np.frombuffer(r["counts"], "<i8")
     return out.reshape(-1)
+
+
+def open_lists(rows: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
+    """Rows of the groups `g` with two rows or more, next to the group's first row in `order` (as hub_<column>).
+
+    All columns are non-null longs. One shuffle by `g`; each task streams its sorted rows, so a
+    group of any size passes in batches and nothing of a group is kept but its first row.
+    """
+    names = ["g", *order, *carried]
+    kept = names[1:]
+
+    def run(batches):
+        hub = pending = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
+            if pending is not None:
+                cols = {n: np.concatenate((pending[n], v)) for n, v in cols.items()}
+            pending = None
+            g = cols["g"]
+            start = np.concatenate(([True], g[1:] != g[:-1]))
+            goes_on = hub is not None and g[0] == hub["g"]
+            alone = start & np.concatenate((start[1:], [True]))
+            first = np.maximum.accumulate(np.where(start, np.arange(len(g)), 0))
+            hubs = {n: cols[n][first] for n in kept}
+            if goes_on:
+                run_end = int(start[1:].argmax()) + 1 if start[1:].any() else len(g)
+                for n in kept:
+                    hubs[n][:run_end] = hub[n]
+                alone[:run_end] = False
+            hub = {"g": g[-1]} | {n: hubs[n][-1] for n in kept}
+            if alone[-1]:
+                pending, hub = {n: v[-1:] for n, v in cols.items()}, None
+            keep = ~alone
+            if keep.any():
+                yield pa.RecordBatch.from_pydict({n: pa.array(v[keep]) for n, v in cols.items()} | {f"hub_{n}": pa.array(v[keep]) for n, v in hubs.items()})
+
+    schema = ", ".join(f"{n} long" for n in [*names, *(f"hub_{n}" for n in kept)])
+    return rows.select(*[F.col(n).cast("long").alias(n) for n in names]).repartition("g").sortWithinPartitions("g", *order).mapInArrow(run, schema)
