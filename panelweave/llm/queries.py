@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, quality, similarity
+from panelweave.llm import bpe, decontaminate, lines, quality, similarity
 from panelweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document without those similar to an earlier line (Jaccard of words at least 0.8)."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and hashes of the ids and of the decoded bytes of every document."""
