@@ -44,10 +44,9 @@ def ids_and_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def partitions_for(docs: DataFrame, mb: int = 16) -> int:
-    """Number of parts so that one holds about `mb` MB of input files, without an upper bound."""
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    floor = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, -(-min(size, 1 << 60) // (mb << 20)))
+    """Number of parts so that one holds about `mb` MB of text, without an upper bound."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20)))
 
 
 def columns(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
