@@ -55,6 +55,11 @@ def columns(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[li
             yield tuple(b.column(n).to_pylist() for n in names)
 
 
+def fenced(df: DataFrame, condition) -> DataFrame:
+    """Rows that meet a condition on computed columns, which Spark must not compute again below them."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
 class TokenHash(dict):
     """word bytes -> 64-bit hash, remembered for up to `limit` words per task (a memo, not a cap)."""
 

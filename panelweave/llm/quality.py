@@ -13,6 +13,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelweave.llm.common import fenced
+
 BUCKETS = 1 << 16
 #: Trusted ids up to this number are broadcast (about 64 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -123,4 +125,4 @@ def report(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
 
 def passing(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """The documents kept, with the columns they came with."""
-    return scored(docs, trusted, **options).where("_q_kept").select(*docs.columns)
+    return fenced(scored(docs, trusted, **options), F.col("_q_kept")).select(*docs.columns)

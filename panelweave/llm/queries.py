@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, lines, quality, similarity, suffix_dedup
+from panelweave.llm import bpe, decontaminate, licenses, lines, quality, similarity, suffix_dedup, url_filter
 from panelweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), trusted)
 
 
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by the list entries that were active on its fetch day."""
+    return url_filter.judge(*url_filter.dated_pages(table(spark, sf_dir, "pages")))
+
+
+ORACLES["op4_url_filter"] = url_filter.ORACLE
+
+
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of at least 0.85."""
@@ -44,6 +53,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document without those similar to an earlier line (Jaccard of words at least 0.8)."""
