@@ -22,7 +22,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.llm.common import (LOWER, SLOTS, TokenHash, columns, frequency_table, hashed_frequencies, ids_and_bytes,
                                    open_lists, shingles, stored)
@@ -123,43 +123,76 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links among `met` (a, na, b, nb): one row for each short list in which a and b meet."""
+    """Verified links among `met` (a, na, pa, b, nb, pb): one row for each short list in which a and b meet."""
     num, den = _ratio(percent)
     least = F.ceil(F.least("na", "nb") * num / den)
-    pairs = met.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).groupBy("a", "b", "na", "nb").agg(
-        F.count("*").alias("met")).where(F.col("met") >= F.least(F.lit(SHORT), least)).select("a", "b")
-    pairs = stored(pairs, "pairs")
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    # nothing is shared before the first place at which they meet
+    pairs = pairs.where(F.col("met") >= F.least(F.lit(SHORT), least)).where(
+        F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (den + num) >= num * (F.col("na") + F.col("nb")))
+    pairs = stored(pairs.select("a", "b"), "pairs")
     return stored(_verified(pairs, _sets_of(docs, pairs, k), percent), "links")
 
 
+def _short_lists(sig: DataFrame, percent: int) -> DataFrame:
+    """Rows (g, doc_id, n, place, before) of the short lists that two documents or more share.
+
+    before: how many of the document's rarer shingles are in such lists; the others are shared with
+    nobody here. Documents that can't reach an overlap any more leave, which closes further lists.
+    """
+    num, den = _ratio(percent)
+    rows = sig.select("doc_id", "n", F.posexplode("rare").alias("place", "g"))
+    one = W.partitionBy("doc_id")
+    least = F.ceil(F.col("n") * num / den)
+    for _ in range(2):
+        rows = open_lists(rows, ["n", "doc_id"], ["place"]).withColumns({
+            "before": F.row_number().over(one.orderBy("place")) - 1, "total": F.count("*").over(one)})
+        rows = rows.where(F.col("total") >= F.least(F.lit(SHORT), least)).where(F.col("before") + F.col("n") - F.col("place") >= least)
+    return rows.select("g", "doc_id", "n", "place", "before")
+
+
+def _may_reach(percent: int, other: str, one: str) -> Column:
+    """Size filter, and the bound on what two documents share before and from a common place on."""
+    num, den = _ratio(percent)
+    na, nb, pa, pb = (F.col(f"n{other}"), F.col(f"n{one}"), F.col(f"p{other}"), F.col(f"p{one}"))
+    bound = F.least(f"o{other}", f"o{one}") + F.least(na - pa, nb - pb)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (bound * (den + num) >= num * (na + nb))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links need 100 * |a & b| >= percent * |a | b|.
 
     Words are runs without ASCII white space, A-Z lower-cased. Fewer than k words make one
     shingle; null, empty and blank texts have an empty set, link with nothing and are their own
-    component. doc_id is expected to be unique; repeated rows give repeated results. Other columns are
-    ignored; an empty table gives an empty result. Texts are read whole; no list or group is capped.
+    component. doc_id is expected to be unique; repeated rows give repeated results. A null doc_id
+    links with nothing. Other columns are ignored; an empty table gives an empty result. Texts are read
+    whole; no list or group is capped.
     """
     sig = stored(signatures(docs, k, percent, shingle_frequencies(docs, k)), "signatures")
-    classes = stored(sig.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
-    copies = sig.select("key", "doc_id").join(classes.where("c > 1"), "key").where("doc_id <> rep").select("doc_id")
-    lists = sig.join(copies, "doc_id", "left_anti").select("doc_id", "n", F.explode("rare").alias("g"))
-    lists = stored(open_lists(lists, ["n", "doc_id"], []), "lists")
-
-    met = lists.where("doc_id <> hub_doc_id").select(
-        F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("hub_doc_id").alias("b"), F.col("hub_n").alias("nb"))
+    known = sig.where("n > 0 and doc_id is not null")
+    classes = stored(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    copies = known.select("key", "doc_id").join(classes.where("c > 1"), "key").where("doc_id <> rep").select("doc_id")
+    lists = stored(_short_lists(known.join(copies, "doc_id", "left_anti"), percent), "lists")
+
+    # first round: in each list, with the member that shares most of its shingles
+    hubs = lists.groupBy("g").agg(F.min(F.struct((F.col("place") - F.col("before")).alias("own"), "doc_id", "n", "place", "before")).alias("h")).select(
+        "g", F.col("h.doc_id").alias("b"), F.col("h.n").alias("nb"), F.col("h.place").alias("pb"), F.col("h.before").alias("ob"))
+    left = lists.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("before").alias("oa"))
+    met = left.join(hubs, "g").where((F.col("a") != F.col("b")) & _may_reach(percent, "a", "b"))
     links = _links(docs, met, k, percent)
-    found = components(links).withColumnRenamed("id", "doc_id").withColumnRenamed("component_id", "c")
-    named = lists.select("g", "doc_id", "n").join(found, "doc_id", "left").select(
-        "g", "doc_id", "n", F.coalesce("c", "doc_id").alias("c"))
-    sizes = named.groupBy("g", "c").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("g").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("k")).where("k > 1")
+
+    # second round: members outside the largest component of their list, with those of other components
+    found = components(links).withColumnRenamed("id", "a").withColumnRenamed("component_id", "ca")
+    named = left.join(found, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+    sizes = named.groupBy("g", "ca").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("g").agg(F.max(F.struct("m", "ca"))["ca"].alias("main"), F.count("*").alias("k")).where("k > 1")
     named = stored(named.join(mixed.select("g", "main"), "g"), "lists")
-    minor = named.where("c <> main").select("g", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    other = named.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main")
-    met = minor.join(other, "g").where("ca <> cb and (cb = main or a > b)")
-    met = met.select(F.greatest("a", "b").alias("a"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                     F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    minor = named.where("ca <> main").drop("main")
+    other = named.select("g", "main", *[F.col(f"{c}a" if c else "a").alias(f"{c}b" if c else "b") for c in ("", "n", "p", "o", "c")])
+    met = minor.join(other, "g").where(F.expr("ca <> cb and (cb = main or a > b)") & _may_reach(percent, "a", "b"))
+    swap = F.col("a") < F.col("b")
+    met = met.select(*[F.when(swap, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}")
+                       for x, y in (("a", "b"), ("b", "a")) for c in ("", "n", "p")])
     links = links.unionByName(_links(docs, met, k, percent))
     final = components(links).withColumnRenamed("id", "rep")
     named_classes = classes.join(final, "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
