@@ -11,31 +11,49 @@ classes without an earlier partner so far are then compared with all earlier one
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.llm.common import (LOWER, SLOTS, TokenHash, columns, frequency_table, hashed_frequencies, ids_and_bytes,
                                    open_lists, stored)
 
 #: Rows up to this number are broadcast (about 100 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Prefix lists in which two similar lines meet at least: the prefix is SHORT - 1 words longer than for one.
+SHORT = 3
 
 
-def _line_sets(text: bytes, tokens: TokenHash, least: int, only=None):
-    """(line number, sorted distinct word hashes) of the lines with at least `least` distinct words."""
+def _ranked(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Word hashes with the weight of their slot in the top bits: their order is rarity, their value names the word."""
+    return (weight[(h % np.uint64(SLOTS)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))
+
+
+def _line_sets(text: bytes, tokens: TokenHash, weight: np.ndarray, least: int, only=None):
+    """(line number, distinct words, rarest first) of the lines with at least `least` distinct words."""
     rows = text.translate(LOWER).split(b"\n")
-    for i in range(len(rows)) if only is None else only:
-        words = rows[i].split()
-        if len(words) >= least:
-            s = np.unique(tokens.of(words))
+    if only is not None:
+        rows = [rows[i] for i in only]
+    words = [r.split() for r in rows]
+    ranked = _ranked(tokens.of(list(chain.from_iterable(words))), weight)
+    at = 0
+    for i, w in enumerate(words):
+        n = len(w)
+        if n >= least:
+            s = ranked[at : at + n]
+            s.sort()
+            new = s[1:] != s[:-1]
+            if not new.all():
+                s = s[np.concatenate(([True], new))]
             if len(s) >= least:
-                yield i, s
+                yield i if only is None else only[i], s
+        at += n
 
 
 def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
-    """How many words of all lines fall into each slot: decides rarity only, never a match."""
+    """Weight of each slot (binary logarithm of the words of all lines in it): decides rarity only, never a match."""
     def run(batches):
         tokens = TokenHash()
 
@@ -57,28 +75,27 @@ def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
 
         return hashed_frequencies(joined())
 
-    return frequency_table(ids_and_bytes(docs).mapInArrow(run, "slice int, counts binary"))
+    counts = frequency_table(ids_and_bytes(docs).mapInArrow(run, "slice int, counts binary"))
+    return np.ceil(np.log2(counts + 1)).astype(np.uint64)
 
 
-def line_signatures(docs: DataFrame, percent: int, least: int, freq: np.ndarray) -> DataFrame:
+def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFrame:
     """doc_id, line, n (distinct words), key (digest of the set), rare (prefix, rarest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(freq)
-
     def run(batches):
-        f, tokens = shared.value, TokenHash()
+        f, tokens = weight.value, TokenHash()
         for ids, texts in columns(batches, "doc_id", "text"):
-            out: dict[str, list] = {"doc_id": [], "line": [], "n": [], "key": [], "rare": []}
+            out: list[tuple] = []
             for d, t in zip(ids, texts):
-                for i, s in _line_sets(t, tokens, least):
+                for i, s in _line_sets(t, tokens, f, least):
                     n = len(s)
-                    order = np.lexsort((s, f[(s % np.uint64(SLOTS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
-                    for c, v in zip(out, (d, i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[order].view(np.int64))):
-                        out[c].append(v)
+                    need = -(-percent * n // 100)
+                    out.append((d, i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[: n - need + min(SHORT, need)].view(np.int64)))
+            d, i, n, key, rare = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(out["doc_id"], pa.int64()), "line": pa.array(out["line"], pa.int64()), "n": pa.array(out["n"], pa.int64()),
-                "key": pa.array(out["key"], pa.binary()), "rare": pa.array(out["rare"], pa.list_(pa.int64()))})
+                "doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()),
+                "key": pa.array(key, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64()))})
 
-    return ids_and_bytes(docs).mapInArrow(run, "doc_id long, line long, n long, key binary, rare array<long>")
+    return ids_and_bytes(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, line long, n long, key binary, rare array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -86,12 +103,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, weight) -> DataFrame:
     """Whole sets of the lines in `pairs` only."""
     def run(batches):
-        tokens = TokenHash()
+        f, tokens = weight.value, TokenHash()
         for ids, texts, wanted in columns(batches, "doc_id", "text", "wanted"):
-            rows = [(d, i, s.astype("<u8").tobytes()) for d, t, w in zip(ids, texts, wanted) for i, s in _line_sets(t, tokens, least, w)]
+            rows = [(d, i, s.astype("<u8").tobytes()) for d, t, w in zip(ids, texts, wanted) for i, s in _line_sets(t, tokens, f, least, w)]
             d, i, s = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "s": pa.array(s, pa.binary())})
 
@@ -100,7 +117,15 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return ids_and_bytes(docs).join(ids, "doc_id").mapInArrow(run, "doc_id long, line long, s binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, least: int) -> DataFrame:
+def _pairs(met: DataFrame, percent: int, meets: int) -> DataFrame:
+    """Pairs (a, al, b, bl) of `met`, one row for each common list, that can still be similar."""
+    n, m = F.col("na"), F.col("nb")
+    pairs = met.groupBy("a", "al", "b", "bl", "na", "nb").agg(F.count("*").alias("c"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    enough = F.least(F.lit(meets), F.ceil(F.least(n, m) * percent / 100))
+    return pairs.where((F.col("c") >= enough) & (F.least(n - F.col("pa"), m - F.col("pb")) * (100 + percent) >= percent * (n + m))).select("a", "al", "b", "bl")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, percent: int, least: int, weight) -> DataFrame:
     """Lines a of `pairs` (a, al, b, bl) that reach the similarity with some b: (a, al), distinct."""
     def run(batches):
         for a, al, sa, sb in columns(batches, "a", "al", "sa", "sb"):
@@ -112,17 +137,35 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, least: int) -> Da
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "al": pa.array(al, pa.int64())}).filter(pa.array(ok, pa.bool_()))
 
-    pairs = stored(pairs, "pairs")
-    sets = _sets_of(docs, pairs, least)
+    sets = _sets_of(docs, pairs, least, weight)
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("line").alias("al"), F.col("s").alias("sa")), ["a", "al"]).join(
         sets.select(F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("s").alias("sb")), ["b", "bl"])
     return stored(full.mapInArrow(run, "a long, al long").distinct(), "similar")
 
 
-def _may_reach(percent: int, n: str, place: str, m: str, at: str) -> Column:
-    """Length and positional filters for sizes n, m and places of the common word."""
-    n, place, m, at = map(F.col, (n, place, m, at))
-    bound = F.least(place, at) + F.least(n - place, m - at)
+def _prefix_lists(lines: DataFrame, percent: int) -> DataFrame:
+    """Rows (g, a, al, na, pa, oa) of the prefix lists that two lines or more share, and the first line (h, hl) of each.
+
+    oa counts the line's rarer words that are in such lists; its other rarer words are shared with no line
+    here. Lines that can't reach the similarity any more leave, which closes further lists.
+    """
+    rows = lines.select("doc_id", "line", "n", F.posexplode("rare").alias("place", "g"))
+    one = W.partitionBy("doc_id", "line")
+    need = F.ceil(F.col("n") * percent / 100)
+    for _ in range(2):
+        rows = open_lists(rows, ["doc_id", "line"], ["n", "place"]).withColumns({
+            "before": F.row_number().over(one.orderBy("place")) - 1, "total": F.count("*").over(one)})
+        rows = rows.where(F.col("total") >= F.least(F.lit(SHORT), need)).where(F.col("before") + F.col("n") - F.col("place") >= need)
+    hub = rows.groupBy("g").agg(F.min(F.struct("doc_id", "line", "n", "place", "before")).alias("h"))
+    return rows.join(hub, "g").select(
+        "g", F.col("doc_id").alias("a"), F.col("line").alias("al"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("before").alias("oa"),
+        *[F.col(f"h.{c}").alias(x) for c, x in (("doc_id", "b"), ("line", "bl"), ("n", "nb"), ("place", "pb"), ("before", "ob"))])
+
+
+def _may_reach(percent: int) -> Column:
+    """Length and positional filters for lines a and b that meet in a list."""
+    n, m = F.col("na"), F.col("nb")
+    bound = F.least("oa", "ob") + F.least(n - F.col("pa"), m - F.col("pb"))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (bound * (100 + percent) >= percent * (n + m))
 
 
@@ -131,29 +174,25 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
 
     Lines end at line feeds; words are runs without ASCII white space, A-Z lower-cased. Two lines are
     similar when the Jaccard similarity of their distinct words is at least percent / 100. Lines with
-    fewer than `least` distinct words are never compared. Null and empty texts have no such lines.
-    Repeated rows of one doc_id count as one document. Lines are compared with all earlier ones,
-    removed ones included, so the result doesn't depend on any order of work.
+    fewer than `least` distinct words are never compared. Null and empty texts and rows without doc_id have
+    no such lines. Repeated rows of one doc_id count as one document. Lines are compared with all earlier
+    ones, removed ones included, so the result doesn't depend on any order of work.
     """
-    sig = stored(line_signatures(docs, percent, least, word_frequencies(docs, least)), "lines")
-    first = sig.groupBy("key").agg(F.min(F.struct("doc_id", "line", "n", "rare")).alias("f"), F.count("*").alias("c"))
-    first = stored(first.select("key", "f.*", "c"), "classes")
-    lists = open_lists(first.select("doc_id", "line", "n", F.posexplode("rare").alias("place", "g")), ["doc_id", "line"], ["n", "place"])
-    lists = stored(lists, "lists")
-    met = lists.where("doc_id <> hub_doc_id or line <> hub_line").where(_may_reach(percent, "n", "place", "hub_n", "hub_place"))
-    met = stored(met.select(F.col("doc_id").alias("a"), F.col("line").alias("al"), F.col("hub_doc_id").alias("b"), F.col("hub_line").alias("bl")).distinct(), "met")
-    near = _verified(docs, met, percent, least)
-    done = near.select(F.col("a").alias("doc_id"), F.col("al").alias("line"))
-    rest = lists.select("g", F.col("doc_id").alias("a"), F.col("line").alias("al"), F.col("n").alias("na"), F.col("place").alias("pa"), "hub_doc_id", "hub_line")
-    rest = rest.where("a <> hub_doc_id or al <> hub_line").join(near, ["a", "al"], "left_anti")
-    other = lists.select("g", F.col("doc_id").alias("b"), F.col("line").alias("bl"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    more = rest.join(other, "g").where("(b < a or b = a and bl < al) and (b <> hub_doc_id or bl <> hub_line)")
-    more = more.where(_may_reach(percent, "na", "pa", "nb", "pb")).select("a", "al", "b", "bl").distinct()
-    far = _verified(docs, more.join(met, ["a", "al", "b", "bl"], "left_anti"), percent, least)
-    done = done.unionByName(far.select(F.col("a").alias("doc_id"), F.col("al").alias("line")))
-    copies = sig.select("key", "doc_id", "line").join(
-        first.where("c > 1").select("key", F.col("doc_id").alias("d0"), F.col("line").alias("l0")), "key").where(
-        "doc_id <> d0 or line <> l0").select("doc_id", "line")
+    weight = docs.sparkSession.sparkContext.broadcast(word_frequencies(docs, least))
+    sig = stored(line_signatures(docs, percent, least, weight), "lines")
+    first = sig.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    copies = _small(sig.select("key", "doc_id", "line").join(first, "key").where(
+        "doc_id <> f.doc_id or line <> f.line").select("doc_id", "line").distinct())
+    lists = stored(_prefix_lists(sig.join(copies, ["doc_id", "line"], "left_anti"), percent), "lists")
+    met = lists.where("a <> b or al <> bl").where(_may_reach(percent))
+    pairs = stored(_pairs(met, percent, 1), "pairs")
+    near = _similar(docs, pairs, percent, least, weight)
+    rest = lists.where("a <> b or al <> bl").select("g", "a", "al", "na", "pa", "oa").join(near, ["a", "al"], "left_anti")
+    other = lists.select("g", *[F.col(f"{x}a{y}").alias(f"{x}b{y}") for x, y in (("", ""), ("", "l"), ("n", ""), ("p", ""), ("o", ""))])
+    more = rest.join(other, "g").where(F.expr("(b < a or b = a and bl < al)") & _may_reach(percent))
+    more = stored(_pairs(more, percent, SHORT).join(pairs, ["a", "al", "b", "bl"], "left_anti"), "pairs")
+    far = _similar(docs, more, percent, least, weight)
+    done = near.unionByName(far).select(F.col("a").alias("doc_id"), F.col("al").alias("line"))
     return done.unionByName(copies)
 
 
