@@ -44,13 +44,13 @@ class Queue:
             at = self.file.tell()
             self.file.write(pos.tobytes())
             self.file.write(lcp.tobytes())
-            self.stored.append((at, len(pos)))
+            self.stored.append((at, len(pos), pos.dtype))
             Queue.held -= pos.nbytes + lcp.nbytes
         self.parts = []
 
-    def _load(self, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _load(self, at: int, n: int, kind) -> tuple[np.ndarray, np.ndarray]:
         self.file.seek(at)
-        return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(n), np.uint8)
+        return np.frombuffer(self.file.read(kind.itemsize * n), kind), np.frombuffer(self.file.read(n), np.uint8)
 
     def forward(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for where in self.stored:
@@ -130,10 +130,8 @@ def _run_lengths(text: np.ndarray, pos: int) -> int:
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its successor (S type); the last symbol is the unique smallest one."""
-    n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    at = differs[np.searchsorted(differs, np.arange(n - 1))]
-    return np.append(text[at] < text[at + 1], True)
+    ends = np.flatnonzero(text[1:] != text[:-1])  # a run of one symbol has one type
+    return np.append(np.repeat(text[ends] < text[ends + 1], np.diff(ends, prepend=-1)), True)
 
 
 def _induce(text, s_type, seeds: np.ndarray, prefixes: np.ndarray, budget: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -169,7 +167,7 @@ def _induce(text, s_type, seeds: np.ndarray, prefixes: np.ndarray, budget: int)
             up.feed(pos, lcp)
             first, last = False, int(pos[-1])
         if c == 0:
-            small = [(np.array([len(text) - 1]), np.zeros(1, np.uint8))]
+            small = [(np.array([len(text) - 1], seeds.dtype), np.zeros(1, np.uint8))]
         carry = np.uint8(0)
         if last >= 0:
             largest = next(iter(large[c].backward()), None)
@@ -213,15 +211,14 @@ def sorted_suffixes(text: np.ndarray, budget: int = 256 << 20) -> Iterator[tuple
     log2 times), and the order comes back as seeds of the final induction.
     """
     s_type = _types(text)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(kind)
     seeds = lms[np.argsort(text[lms], kind="stable")]
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     parts = [pos[is_lms[pos]] for _, pos, _ in _induce(text, s_type, seeds, np.zeros(len(seeds), np.uint8), budget)]
     order = np.concatenate(parts[::-1])
-    index = np.zeros(len(text), np.int64)
-    index[lms] = np.arange(len(lms))
-    where = index[order]
+    where = np.searchsorted(lms, order)
     length = np.append(np.diff(lms), 1) + 1
     size = length[where]
     same = size[1:] == size[:-1]

@@ -12,7 +12,8 @@ are routed by anchor and each shard can be sorted alone.
    of its windows also start in a smaller document. The answers go back to the parts.
 4. Each part marks the windows of its documents and cuts the bytes they cover.
 
-A part sends an anchor or strand once, however often it occurs, so a passage that a third
+Whole copies of a smaller document are folded first: each of their strings starts there, so all
+their bytes go. A part sends an anchor or strand once, however often it occurs, so a passage that a third
 of all documents share reaches its shard at most once from each part.
 """
 
@@ -25,10 +26,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelweave.llm.common import ids_and_bytes, mixed, partitions_for
+from panelweave.llm.common import ids_and_bytes, mixed, partitions_for, stored
 from panelweave.llm.induced import SEPARATOR, sorted_suffixes
 
 GRAM = 24
+#: Ids up to this number are broadcast (about 64 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Text handled at once while anchors are computed, and windows of one strand (bits of an answer).
 CHUNK, STRAND = 1 << 18, 32
 NO_ID = np.iinfo(np.int64).max
@@ -292,11 +295,25 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep_text: bool = True, bu
     """
     if not GRAM + 1 <= length <= 60:
         raise ValueError("length must be 25 to 60")
+    source = ids_and_bytes(docs).withColumn("h", F.md5("text"))
+    known = source.where("doc_id is not null").select("doc_id", "h")
+    first = known.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = stored(known.join(first, "h").where("doc_id > first").select("doc_id", "h").distinct(), "copies")
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
     parts = partitions_for(docs)
-    dealt = ids_and_bytes(docs).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long")).repartition(parts, "part")
-    anchors = dealt.groupBy("part").applyInArrow(_send_anchors(parts, length), ANCHORS)
+    dealt = source.join(copies, ["doc_id", "h"], "left_anti").drop("h").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long")).repartition(parts, "part")
+    shards = 2 * parts
+    anchors = dealt.groupBy("part").applyInArrow(_send_anchors(shards, length), ANCHORS)
     asked = anchors.groupBy("shard").applyInArrow(_answer_anchors, ASKED)
-    strands = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_send_strands(parts, length), STRANDS)
+    strands = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_send_strands(shards, length), STRANDS)
     answers = strands.groupBy("shard").applyInArrow(_answer_strands(length, budget), ANSWERS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_cut(length, keep_text), schema)
+    cut = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_cut(length, keep_text), schema)
+    n = F.octet_length("text").cast("long")
+    gone = n >= length
+    left = F.when(gone, F.lit("").cast("binary")).otherwise(F.col("text"))
+    whole = source.join(copies, ["doc_id", "h"], "left_semi").select(
+        "doc_id", n.alias("n_bytes"), F.when(gone, n).otherwise(0).cast("long").alias("n_removed"), gone.cast("long").alias("n_spans"),
+        F.sha2(left, 256).alias("kept_sha256"), *([left.alias("kept")] if keep_text else []))
+    return cut.unionByName(whole)
