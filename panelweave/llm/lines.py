@@ -2,10 +2,11 @@
 
 A line is its set of distinct words. Lines of equal sets are one class, known by its
 first line. Every class lists its rarest words (the prefix in which similar lines must
-meet); lists are split by word over the cluster. Length and positional filters bound
-the overlap before two whole sets are compared. A first round compares each class with the
-earliest of each list, which resolves large groups of near copies at linear cost; only
-classes without an earlier partner so far are then compared with all earlier ones.
+meet); lists are split by word over the cluster and stream through their tasks in order.
+Length, positional and bit map filters bound the overlap before two whole sets are compared.
+Long lists compare each line with their first line, which resolves large groups of
+near copies at linear cost; only lines without an earlier partner so far are then compared with all
+earlier ones.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelweave.llm.common import (LOWER, SLOTS, TokenHash, columns, frequency_table, hashed_frequencies, ids_and_bytes,
-                                   open_lists, stored)
+                                   stored)
 
 #: Rows up to this number are broadcast (about 100 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Prefix lists in which two similar lines meet at least: the prefix is SHORT - 1 words longer than for one.
-SHORT = 3
+#: Lists up to this length are paired where they are sorted; longer ones by the exact two rounds of `_long_lists`.
+SHORT_LIST = 256
 
 
 def _ranked(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -52,8 +53,13 @@ def _line_sets(text: bytes, tokens: TokenHash, weight: np.ndarray, least: int, o
         at += n
 
 
+def _bits(s: np.ndarray) -> int:
+    """64-bit map of a set: two maps differ in no more bits than the sets differ in words."""
+    return int(np.bitwise_or.reduce(np.uint64(1) << (s & np.uint64(63))).astype(np.int64))
+
+
 def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
-    """Weight of each slot (binary logarithm of the words of all lines in it): decides rarity only, never a match."""
+    """Weight of each slot (twice the binary logarithm of the words of all lines in it): decides rarity only, never a match."""
     def run(batches):
         tokens = TokenHash()
 
@@ -76,11 +82,11 @@ def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
         return hashed_frequencies(joined())
 
     counts = frequency_table(ids_and_bytes(docs).mapInArrow(run, "slice int, counts binary"))
-    return np.ceil(np.log2(counts + 1)).astype(np.uint64)
+    return np.minimum(np.ceil(2 * np.log2(counts + 1)), 63).astype(np.uint64)
 
 
 def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFrame:
-    """doc_id, line, n (distinct words), key (digest of the set), rare (prefix, rarest first)."""
+    """doc_id, line, n (distinct words), key (digest of the set), rare (prefix, rarest first), bits (a map of the set)."""
     def run(batches):
         f, tokens = weight.value, TokenHash()
         for ids, texts in columns(batches, "doc_id", "text"):
@@ -89,13 +95,15 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
                 for i, s in _line_sets(t, tokens, f, least):
                     n = len(s)
                     need = -(-percent * n // 100)
-                    out.append((d, i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[: n - need + min(SHORT, need)].view(np.int64)))
-            d, i, n, key, rare = zip(*out) if out else ((),) * 5
+                    out.append((d, i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[: n - need + 1].view(np.int64), _bits(s)))
+            d, i, n, key, rare, bits = zip(*out) if out else ((),) * 6
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()),
-                "key": pa.array(key, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64()))})
+                "key": pa.array(key, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())),
+                "bits": pa.array(bits, pa.int64())})
 
-    return ids_and_bytes(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, line long, n long, key binary, rare array<long>")
+    schema = "doc_id long, line long, n long, key binary, rare array<long>, bits long"
+    return ids_and_bytes(docs).where("doc_id is not null").mapInArrow(run, schema)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -117,14 +125,6 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, weight) -> DataFrame
     return ids_and_bytes(docs).join(ids, "doc_id").mapInArrow(run, "doc_id long, line long, s binary")
 
 
-def _pairs(met: DataFrame, percent: int, meets: int) -> DataFrame:
-    """Pairs (a, al, b, bl) of `met`, one row for each common list, that can still be similar."""
-    n, m = F.col("na"), F.col("nb")
-    pairs = met.groupBy("a", "al", "b", "bl", "na", "nb").agg(F.count("*").alias("c"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    enough = F.least(F.lit(meets), F.ceil(F.least(n, m) * percent / 100))
-    return pairs.where((F.col("c") >= enough) & (F.least(n - F.col("pa"), m - F.col("pb")) * (100 + percent) >= percent * (n + m))).select("a", "al", "b", "bl")
-
-
 def _similar(docs: DataFrame, pairs: DataFrame, percent: int, least: int, weight) -> DataFrame:
     """Lines a of `pairs` (a, al, b, bl) that reach the similarity with some b: (a, al), distinct."""
     def run(batches):
@@ -143,30 +143,83 @@ def _similar(docs: DataFrame, pairs: DataFrame, percent: int, least: int, weight
     return stored(full.mapInArrow(run, "a long, al long").distinct(), "similar")
 
 
-def _prefix_lists(lines: DataFrame, percent: int) -> DataFrame:
-    """Rows (g, a, al, na, pa, oa) of the prefix lists that two lines or more share, and the first line (h, hl) of each.
+def _short_pairs(percent: int):
+    """Stream of prefix lists sorted by (g, a, al): pairs of short lists that pass all filters, rows of long ones."""
+    def pairs(c):
+        g, n, place = c["g"], c["x"] >> 32, c["x"] & 0xFFFFFFFF
+        i, d = np.arange(1, len(g)), 1
+        while True:
+            i = i[i >= d]
+            i = i[g[i] == g[i - d]]
+            if not len(i):
+                return
+            j = i - d
+            n1, n2 = n[i], n[j]
+            need = -(-percent * (n1 + n2) // (100 + percent))
+            ok = np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)
+            ok &= np.minimum(place[i], place[j]) + np.minimum(n1 - place[i], n2 - place[j]) >= need
+            ok &= np.bitwise_count((c["bits"][i] ^ c["bits"][j]).view(np.uint64)).astype(np.int64) <= n1 + n2 - 2 * need
+            if ok.any():
+                i1, j1 = i[ok], j[ok]
+                yield {"a": c["a"][i1], "al": c["al"][i1], "b": c["a"][j1], "bl": c["al"][j1]}
+            d += 1
+
+    def batch(found: dict) -> pa.RecordBatch:
+        size = len(found["a"])
+        return pa.RecordBatch.from_pydict({n: pa.array(found[n], pa.int64()) if n in found else pa.nulls(size, pa.int64()) for n in LISTED})
 
-    oa counts the line's rarer words that are in such lists; its other rarer words are shared with no line
-    here. Lines that can't reach the similarity any more leave, which closes further lists.
-    """
-    rows = lines.select("doc_id", "line", "n", F.posexplode("rare").alias("place", "g"))
-    one = W.partitionBy("doc_id", "line")
-    need = F.ceil(F.col("n") * percent / 100)
-    for _ in range(2):
-        rows = open_lists(rows, ["doc_id", "line"], ["n", "place"]).withColumns({
-            "before": F.row_number().over(one.orderBy("place")) - 1, "total": F.count("*").over(one)})
-        rows = rows.where(F.col("total") >= F.least(F.lit(SHORT), need)).where(F.col("before") + F.col("n") - F.col("place") >= need)
-    hub = rows.groupBy("g").agg(F.min(F.struct("doc_id", "line", "n", "place", "before")).alias("h"))
-    return rows.join(hub, "g").select(
-        "g", F.col("doc_id").alias("a"), F.col("line").alias("al"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("before").alias("oa"),
-        *[F.col(f"h.{c}").alias(x) for c, x in (("doc_id", "b"), ("line", "bl"), ("n", "nb"), ("place", "pb"), ("before", "ob"))])
+    def run(batches):
+        held, long = None, None
+        for b in chain(batches, (None,)):
+            if b is not None:
+                c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("g", "a", "al", "x", "bits")}
+                held = c if held is None else {n: np.concatenate((held[n], v)) for n, v in c.items()}
+            if held is None or not len(held["g"]):
+                continue
+            g = held["g"]
+            start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            size = np.diff(np.append(start, len(g)))
+            is_long = size > SHORT_LIST
+            if long is not None and g[0] == long:
+                is_long[0] = True
+            cut = len(g) if b is None or is_long[-1] else start[-1]
+            if is_long[-1]:
+                long = g[-1]
+            rows_long = np.repeat(is_long, size)[:cut]
+            if rows_long.any():
+                yield batch({n: v[:cut][rows_long] for n, v in held.items()})
+            for found in pairs({n: v[:cut][~rows_long] for n, v in held.items()}):
+                yield batch(found)
+            held = {n: v[cut:] for n, v in held.items()}
+
+    return run
+
+
+LISTED = ("g", "a", "al", "x", "bits", "b", "bl")
 
 
 def _may_reach(percent: int) -> Column:
-    """Length and positional filters for lines a and b that meet in a list."""
-    n, m = F.col("na"), F.col("nb")
-    bound = F.least("oa", "ob") + F.least(n - F.col("pa"), m - F.col("pb"))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (bound * (100 + percent) >= percent * (n + m))
+    """Length, positional and bit map filters for lines a and b that meet in a list."""
+    n, m, p, q = (F.shiftright("xa", 32), F.shiftright("xb", 32), F.col("xa").bitwiseAND(0xFFFFFFFF), F.col("xb").bitwiseAND(0xFFFFFFFF))
+    need = F.ceil(percent * (n + m) / (100 + percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(p, q) + F.least(n - p, m - q) >= need) & (
+        F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= n + m - 2 * need)
+
+
+def _long_lists(rows: DataFrame, done: DataFrame, percent: int, similar) -> DataFrame:
+    """Lines (a, al) of long lists, those of `done` set aside, with an earlier similar line.
+
+    First against the first line of each list, then what is left against all earlier lines.
+    """
+    hub = rows.groupBy("g").agg(F.min(F.struct("a", "al", "x", "bits")).alias("h")).select(
+        "g", F.col("h.a").alias("b"), F.col("h.al").alias("bl"), F.col("h.x").alias("xb"), F.col("h.bits").alias("bb"))
+    left = rows.join(done, ["a", "al"], "left_anti").select("g", "a", "al", F.col("x").alias("xa"), F.col("bits").alias("ba"))
+    right = rows.select("g", F.col("a").alias("b"), F.col("al").alias("bl"), F.col("x").alias("xb"), F.col("bits").alias("bb"))
+    earlier = F.expr("(b < a or b = a and bl < al)") & _may_reach(percent)
+    pairs = stored(left.join(hub, "g").where(earlier).select("a", "al", "b", "bl").distinct(), "pairs")
+    near = similar(pairs)
+    more = left.join(near, ["a", "al"], "left_anti").join(right, "g").where(earlier).select("a", "al", "b", "bl").distinct()
+    return near.unionByName(similar(stored(more.join(pairs, ["a", "al", "b", "bl"], "left_anti"), "pairs")))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
@@ -183,16 +236,15 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     first = sig.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("c")).where("c > 1")
     copies = _small(sig.select("key", "doc_id", "line").join(first, "key").where(
         "doc_id <> f.doc_id or line <> f.line").select("doc_id", "line").distinct())
-    lists = stored(_prefix_lists(sig.join(copies, ["doc_id", "line"], "left_anti"), percent), "lists")
-    met = lists.where("a <> b or al <> bl").where(_may_reach(percent))
-    pairs = stored(_pairs(met, percent, 1), "pairs")
-    near = _similar(docs, pairs, percent, least, weight)
-    rest = lists.where("a <> b or al <> bl").select("g", "a", "al", "na", "pa", "oa").join(near, ["a", "al"], "left_anti")
-    other = lists.select("g", *[F.col(f"{x}a{y}").alias(f"{x}b{y}") for x, y in (("", ""), ("", "l"), ("n", ""), ("p", ""), ("o", ""))])
-    more = rest.join(other, "g").where(F.expr("(b < a or b = a and bl < al)") & _may_reach(percent))
-    more = stored(_pairs(more, percent, SHORT).join(pairs, ["a", "al", "b", "bl"], "left_anti"), "pairs")
-    far = _similar(docs, more, percent, least, weight)
-    done = near.unionByName(far).select(F.col("a").alias("doc_id"), F.col("al").alias("line"))
+    rows = sig.join(copies, ["doc_id", "line"], "left_anti").select(
+        F.col("doc_id").alias("a"), F.col("line").alias("al"), "n", "bits", F.posexplode("rare").alias("p", "g"))
+    rows = rows.select("g", "a", "al", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("x"), "bits")
+    lists = stored(rows.repartition("g").sortWithinPartitions("g", "a", "al").mapInArrow(
+        _short_pairs(percent), ", ".join(f"{n} long" for n in LISTED)), "lists")
+    similar = lambda pairs: _similar(docs, pairs, percent, least, weight)
+    short = similar(stored(lists.where("g is null").select("a", "al", "b", "bl").distinct(), "pairs"))
+    far = _long_lists(lists.where("g is not null"), short, percent, similar)
+    done = short.unionByName(far).select(F.col("a").alias("doc_id"), F.col("al").alias("line"))
     return done.unionByName(copies)
 
 
