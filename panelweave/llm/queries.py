@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.llm import bpe, decontaminate, licenses, lines, quality, similarity, suffix_dedup, url_filter
+from panelweave.llm import bpe, decontaminate, licenses, lines, pii, quality, similarity, suffix_dedup, toxicity, url_filter
 from panelweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document by a chain trained on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = toxicity.labelled_documents(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, toxicity.train_chain(labelled, toxicity.CATEGORIES))
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, mean log ratio and verdict of every document; labels of quality 1 are the trusted target."""
@@ -47,6 +55,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of every document and its text with surrogates, under a fixed demonstration key."""
+    found = pii.replace_entities(table(spark, sf_dir, "documents"), key=b"demonstration key")
+    return found.select("doc_id", "n_entities", "n_distinct", F.concat_ws(",", "kinds").alias("kinds"), "text")
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word windows of the benchmark."""
