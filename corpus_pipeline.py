@@ -5,21 +5,50 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.llm import bpe
+from panelweave.llm import bpe, decontaminate, lines, quality, similarity
 from panelweave.llm.common import shared_dir, table
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """`n_chars` follows the text where a stage has cut it."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the n-gram ratio; labels of quality 1 are the trusted target."""
+    return quality.passing(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier line go, and with them documents of which no word is left."""
+    return _counted(lines.deduped(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles at 0.8 stays: the one with the smallest doc_id."""
+    return similarity.one_per_component(docs, k=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut; documents that are mostly such passages go."""
+    return _counted(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: token ids of every document that is left, checked by decoding them."""
+    """Token ids of every document that is left, with digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN).drop("decoded")
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
     ("byte-level BPE", tokenise),
 ]
 
-#: Most stages are beyond SQL (tests compare each with a brute-force version).
+#: Hash, merge and similarity steps are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -189,15 +189,16 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     def per_doc(batches):
         for ids, texts in columns(batches, "doc_id", "text"):
-            rows = sorted({(d, k, n) for d, t in zip(ids, texts) if d is not None for _, _, k, n in mentions(t)})
+            rows = sorted({(d, k, n) for d, t in zip(ids, texts) for _, _, k, n in mentions(t)})
             d, k, n = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "kind": pa.array(k, pa.string()), "normal": pa.array(n, pa.string())})
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    entities = stored(docs.where("doc_id is not null").select("text").mapInArrow(find, "kind string, normal string").distinct(), "entities")
+    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))  # without an id, the text stands for it
+    entities = stored(docs.select("text").mapInArrow(find, "kind string, normal string").distinct(), "entities")
     table = stored(_assign(entities, key), "surrogates")
-    named = docs.mapInArrow(per_doc, "doc_id long, kind string, normal string").distinct().join(table, ["kind", "normal"])
-    each = stored(named.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "normal", "new")).alias("_e")), "named")
+    named = keyed.mapInArrow(per_doc, "doc_id long, kind string, normal string").distinct().join(table, ["kind", "normal"])
+    each = stored(named.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "normal", "new")).alias("_e")).withColumnRenamed("doc_id", "_k"), "named")
     if each.count() <= BROADCAST_ROWS // 10:
         each = F.broadcast(each)
 
@@ -220,5 +221,5 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
                 "doc_id": pa.array(ids, pa.int64()), "text": pa.array(out, pa.string()), "n_entities": pa.array(n, pa.int64()),
                 "n_distinct": pa.array(distinct, pa.int64()), "kinds": pa.array(kinds, pa.list_(pa.string()))})
 
-    return docs.join(each, "doc_id", "left").select("doc_id", "text", "_e").mapInArrow(
+    return docs.join(each, F.coalesce("doc_id", F.xxhash64("text")) == F.col("_k"), "left").select("doc_id", "text", "_e").mapInArrow(
         run, "doc_id long, text string, n_entities long, n_distinct long, kinds array<string>")
