@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelweave.llm.common import (LOWER, SLOTS, TokenHash, columns, frequency_table, hashed_frequencies, ids_and_bytes,
                                    stored)
@@ -265,7 +265,8 @@ def without_repeats(docs: DataFrame, percent: int = 80, least: int = 5) -> DataF
             yield pa.RecordBatch.from_pydict(cols | {"_l_n_lines": pa.array(n, pa.int64()), "_l_n_removed": pa.array(cut, pa.int64()), "_l_text": pa.array(new, pa.string())})
 
     out = docs.join(gone, "doc_id", "left").select(*docs.columns, "_l_gone")
-    schema = docs.schema.add("_l_n_lines", "long").add("_l_n_removed", "long").add("_l_text", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_l_n_lines", T.LongType()), T.StructField("_l_n_removed", T.LongType()),
+                           T.StructField("_l_text", T.StringType())])
     return out.mapInArrow(run, schema)
 
 

@@ -31,6 +31,8 @@ from panelweave.llm.components import components
 
 #: Short lists in which two similar sets meet at least (T minus the number of long lists, in terms of DivideSkip).
 SHORT = 3
+#: Words of the bit map of a set: two maps differ in no more bits than the sets differ in shingles.
+MAP = 16
 #: Ids up to this number are broadcast (about 64 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -60,14 +62,14 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, freq: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), key (digest of the set), rare (the shingles with short lists, rarest first)."""
+    """doc_id, n (set size), key (digest of the set), rare (the shingles with short lists, rarest first), bits (a map of the set)."""
     shared = docs.sparkSession.sparkContext.broadcast(freq)
     num, den = _ratio(percent)
 
     def run(batches):
         f = shared.value
         for ids, sets in _sets(batches, k):
-            n, keys, rare = [], [], []
+            n, keys, rare, bits = [], [], [], []
             for s in sets:
                 n.append(len(s))
                 keys.append(_digest(s) if len(s) else None)
@@ -75,11 +77,13 @@ def signatures(docs: DataFrame, k: int, percent: int, freq: np.ndarray) -> DataF
                 short = len(s) - least + min(SHORT, least)
                 order = np.lexsort((s, f[(s % np.uint64(SLOTS)).astype(np.int64)]))[:short]
                 rare.append(s[order].view(np.int64))
+                bits.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * MAP), minlength=64 * MAP) > 0).view(np.int64))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()),
-                "key": pa.array(keys, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64()))})
+                "key": pa.array(keys, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())),
+                "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    return ids_and_bytes(docs).mapInArrow(run, "doc_id long, n long, key binary, rare array<long>")
+    return ids_and_bytes(docs).mapInArrow(run, "doc_id long, n long, key binary, rare array<long>, bits array<long>")
 
 
 def _probe(a: np.ndarray, b: np.ndarray, need: int) -> bool:
@@ -168,6 +172,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links with nothing. Other columns are ignored; an empty table gives an empty result. Texts are read
     whole; no list or group is capped.
     """
+    num, den = _ratio(percent)
     sig = stored(signatures(docs, k, percent, shingle_frequencies(docs, k)), "signatures")
     known = sig.where("n > 0 and doc_id is not null")
     classes = stored(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
@@ -185,11 +190,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     found = components(links).withColumnRenamed("id", "a").withColumnRenamed("component_id", "ca")
     named = left.join(found, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
     sizes = named.groupBy("g", "ca").agg(F.count("*").alias("m"))
+    maps = sig.select(F.col("doc_id").alias("a"), F.col("bits").alias("ba")).join(lists.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
     mixed = sizes.groupBy("g").agg(F.max(F.struct("m", "ca"))["ca"].alias("main"), F.count("*").alias("k")).where("k > 1")
-    named = stored(named.join(mixed.select("g", "main"), "g"), "lists")
+    named = stored(named.join(mixed.select("g", "main"), "g").join(maps.dropDuplicates(["a"]), "a"), "lists")
     minor = named.where("ca <> main").drop("main")
-    other = named.select("g", "main", *[F.col(f"{c}a" if c else "a").alias(f"{c}b" if c else "b") for c in ("", "n", "p", "o", "c")])
-    met = minor.join(other, "g").where(F.expr("ca <> cb and (cb = main or a > b)") & _may_reach(percent, "a", "b"))
+    other = named.select("g", "main", *[F.col(f"{c}a" if c else "a").alias(f"{c}b" if c else "b") for c in ("", "n", "p", "o", "c", "b")])
+    differ = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(MAP)), F.lit(0))
+    fits = differ <= F.col("na") + F.col("nb") - 2 * F.ceil(num * (F.col("na") + F.col("nb")) / (den + num))
+    met = minor.join(other, "g").where(F.expr("ca <> cb and (cb = main or a > b)") & _may_reach(percent, "a", "b") & fits)
     swap = F.col("a") < F.col("b")
     met = met.select(*[F.when(swap, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}")
                        for x, y in (("a", "b"), ("b", "a")) for c in ("", "n", "p")])
