@@ -60,21 +60,9 @@ def fenced(df: DataFrame, condition) -> DataFrame:
     return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
 
 
-class TokenHash(dict):
-    """word bytes -> 64-bit hash, remembered for up to `limit` words per task (a memo, not a cap)."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def token_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from panelweave.llm.common import (LOWER, SLOTS, TokenHash, columns, frequency_table, hashed_frequencies, ids_and_bytes,
-                                   stored)
+from panelweave.llm.common import (LOWER, SLOTS, columns, frequency_table, hashed_frequencies, ids_and_bytes,
+                                   stored, token_hashes)
 
 #: Rows up to this number are broadcast (about 100 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -32,16 +32,24 @@ def _ranked(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return (weight[(h % np.uint64(SLOTS)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))
 
 
-def _line_sets(text: bytes, tokens: TokenHash, weight: np.ndarray, least: int, only=None):
-    """(line number, distinct words, rarest first) of the lines with at least `least` distinct words."""
+def _line_sets(text: bytes, weight: np.ndarray, least: int, only=None):
+    """(line number, distinct words, rarest first, bit map) of the lines with at least `least` distinct words.
+
+    A bit map has 64 bits; two maps differ in no more bits than the sets differ in words.
+    """
     rows = text.translate(LOWER).split(b"\n")
     if only is not None:
         rows = [rows[i] for i in only]
     words = [r.split() for r in rows]
-    ranked = _ranked(tokens.of(list(chain.from_iterable(words))), weight)
+    ranked = _ranked(token_hashes(list(chain.from_iterable(words))), weight)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    full = np.flatnonzero(sizes)
+    maps = np.zeros(len(words), np.uint64)
+    if len(full):
+        maps[full] = np.bitwise_or.reduceat(np.uint64(1) << (ranked & np.uint64(63)), (np.cumsum(sizes) - sizes)[full])
+    maps = maps.view(np.int64).tolist()
     at = 0
-    for i, w in enumerate(words):
-        n = len(w)
+    for i, n in enumerate(sizes.tolist()):
         if n >= least:
             s = ranked[at : at + n]
             s.sort()
@@ -49,24 +57,17 @@ def _line_sets(text: bytes, tokens: TokenHash, weight: np.ndarray, least: int, o
             if not new.all():
                 s = s[np.concatenate(([True], new))]
             if len(s) >= least:
-                yield i if only is None else only[i], s
+                yield i if only is None else only[i], s, maps[i]
         at += n
 
 
-def _bits(s: np.ndarray) -> int:
-    """64-bit map of a set: two maps differ in no more bits than the sets differ in words."""
-    return int(np.bitwise_or.reduce(np.uint64(1) << (s & np.uint64(63))).astype(np.int64))
-
-
 def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
     """Weight of each slot (twice the binary logarithm of the words of all lines in it): decides rarity only, never a match."""
     def run(batches):
-        tokens = TokenHash()
-
         def counts():
             for ids, texts in columns(batches, "doc_id", "text"):
                 for t in texts:
-                    yield tokens.of(t.translate(LOWER).split()) % np.uint64(SLOTS)
+                    yield token_hashes(t.translate(LOWER).split()) % np.uint64(SLOTS)
 
         def joined(size=1 << 20):
             held, n = [], 0
@@ -88,19 +89,19 @@ def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
 def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFrame:
     """doc_id, line, n (distinct words), key (digest of the set), rare (prefix, rarest first), bits (a map of the set)."""
     def run(batches):
-        f, tokens = weight.value, TokenHash()
+        f = weight.value
         for ids, texts in columns(batches, "doc_id", "text"):
             out: list[tuple] = []
             for d, t in zip(ids, texts):
-                for i, s in _line_sets(t, tokens, f, least):
+                for i, s, bits in _line_sets(t, f, least):
                     n = len(s)
-                    need = -(-percent * n // 100)
-                    out.append((d, i, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[: n - need + 1].view(np.int64), _bits(s)))
+                    out.append((d, i, n, hashlib.blake2b(s, digest_size=16).digest(), s[: n + percent * n // -100 + 1], bits))
             d, i, n, key, rare, bits = zip(*out) if out else ((),) * 6
+            ends = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
+            rare = np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()),
-                "key": pa.array(key, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())),
-                "bits": pa.array(bits, pa.int64())})
+                "key": pa.array(key, pa.binary()), "rare": pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), "bits": pa.array(bits, pa.int64())})
 
     schema = "doc_id long, line long, n long, key binary, rare array<long>, bits long"
     return ids_and_bytes(docs).where("doc_id is not null").mapInArrow(run, schema)
@@ -114,9 +115,9 @@ def _small(df: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, weight) -> DataFrame:
     """Whole sets of the lines in `pairs` only."""
     def run(batches):
-        f, tokens = weight.value, TokenHash()
+        f = weight.value
         for ids, texts, wanted in columns(batches, "doc_id", "text", "wanted"):
-            rows = [(d, i, s.astype("<u8").tobytes()) for d, t, w in zip(ids, texts, wanted) for i, s in _line_sets(t, tokens, f, least, w)]
+            rows = [(d, i, s.astype("<u8").tobytes()) for d, t, w in zip(ids, texts, wanted) for i, s, _ in _line_sets(t, f, least, w)]
             d, i, s = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "s": pa.array(s, pa.binary())})
 
@@ -158,10 +159,11 @@ def _short_pairs(percent: int):
             need = -(-percent * (n1 + n2) // (100 + percent))
             ok = np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)
             ok &= np.minimum(place[i], place[j]) + np.minimum(n1 - place[i], n2 - place[j]) >= need
-            ok &= np.bitwise_count((c["bits"][i] ^ c["bits"][j]).view(np.uint64)).astype(np.int64) <= n1 + n2 - 2 * need
+            differ = np.bitwise_count((c["bits"][i] ^ c["bits"][j]).view(np.uint64)).astype(np.int64)
+            ok &= differ <= n1 + n2 - 2 * need
             if ok.any():
                 i1, j1 = i[ok], j[ok]
-                yield {"a": c["a"][i1], "al": c["al"][i1], "b": c["a"][j1], "bl": c["al"][j1]}
+                yield {"a": c["a"][i1], "al": c["al"][i1], "x": differ[ok], "b": c["a"][j1], "bl": c["al"][j1]}
             d += 1
 
     def batch(found: dict) -> pa.RecordBatch:
@@ -242,7 +244,12 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     lists = stored(rows.repartition("g").sortWithinPartitions("g", "a", "al").mapInArrow(
         _short_pairs(percent), ", ".join(f"{n} long" for n in LISTED)), "lists")
     similar = lambda pairs: _similar(docs, pairs, percent, least, weight)
-    short = similar(stored(lists.where("g is null").select("a", "al", "b", "bl").distinct(), "pairs"))
+    # of all pairs of a line, the one with most similar bit maps is compared first; it mostly decides
+    short = lists.where("g is null")
+    best = stored(short.groupBy("a", "al").agg(F.min(F.struct("x", "b", "bl")).alias("p")).select("a", "al", "p.b", "p.bl"), "pairs")
+    near = similar(best)
+    rest = short.join(near, ["a", "al"], "left_anti").select("a", "al", "b", "bl").distinct().join(best, ["a", "al", "b", "bl"], "left_anti")
+    short = near.unionByName(similar(stored(rest, "pairs")))
     far = _long_lists(lists.where("g is not null"), short, percent, similar)
     done = short.unionByName(far).select(F.col("a").alias("doc_id"), F.col("al").alias("line"))
     return done.unionByName(copies)

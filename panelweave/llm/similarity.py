@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelweave.llm.common import (LOWER, SLOTS, TokenHash, columns, frequency_table, hashed_frequencies, ids_and_bytes,
-                                   open_lists, shingles, stored)
+from panelweave.llm.common import (LOWER, SLOTS, columns, frequency_table, hashed_frequencies, ids_and_bytes,
+                                   open_lists, shingles, stored, token_hashes)
 from panelweave.llm.components import components
 
 
@@ -39,9 +39,8 @@ BROADCAST_IDS = 2_000_000
 
 def _sets(batches, k: int):
     """(doc ids, list of shingle arrays) of each batch."""
-    tokens = TokenHash()
     for ids, texts in columns(batches, "doc_id", "text"):
-        yield ids, [shingles(tokens.of(t.translate(LOWER).split()), k) for t in texts]
+        yield ids, [shingles(token_hashes(t.translate(LOWER).split()), k) for t in texts]
 
 
 def _ratio(percent: int) -> tuple[int, int]:
