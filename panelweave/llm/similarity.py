@@ -168,7 +168,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Words are runs without ASCII white space, A-Z lower-cased. Fewer than k words make one
     shingle; null, empty and blank texts have an empty set, link with nothing and are their own
     component. doc_id is expected to be unique; repeated rows give repeated results. A null doc_id
-    links with nothing. Other columns are ignored; an empty table gives an empty result. Texts are read
+    links with nothing and has no component. Other columns are ignored; an empty table gives an empty result. Texts are read
     whole; no list or group is capped.
     """
     num, den = _ratio(percent)
@@ -204,7 +204,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     final = components(links).withColumnRenamed("id", "rep")
     named_classes = classes.join(final, "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     return sig.join(named_classes, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
