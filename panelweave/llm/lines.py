@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelweave.llm.common import (LOWER, SLOTS, columns, frequency_table, hashed_frequencies, ids_and_bytes,
-                                   stored, token_hashes)
+                                   mixed, stored, token_hashes)
 
 #: Rows up to this number are broadcast (about 100 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -35,7 +35,7 @@ def _ranked(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def _line_sets(text: bytes, weight: np.ndarray, least: int, only=None):
     """(line number, distinct words, rarest first, bit map) of the lines with at least `least` distinct words.
 
-    A bit map has 64 bits; two maps differ in no more bits than the sets differ in words.
+    A bit map has two words of 64 bits; two maps differ in no more bits than the sets differ in words.
     """
     rows = text.translate(LOWER).split(b"\n")
     if only is not None:
@@ -44,10 +44,12 @@ def _line_sets(text: bytes, weight: np.ndarray, least: int, only=None):
     ranked = _ranked(token_hashes(list(chain.from_iterable(words))), weight)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     full = np.flatnonzero(sizes)
-    maps = np.zeros(len(words), np.uint64)
+    maps = np.zeros((2, len(words)), np.uint64)
     if len(full):
-        maps[full] = np.bitwise_or.reduceat(np.uint64(1) << (ranked & np.uint64(63)), (np.cumsum(sizes) - sizes)[full])
-    maps = maps.view(np.int64).tolist()
+        bit, word = np.uint64(1) << (ranked & np.uint64(63)), ranked & np.uint64(64)
+        for k in (0, 1):
+            maps[k, full] = np.bitwise_or.reduceat(np.where(word == 64 * k, bit, np.uint64(0)), (np.cumsum(sizes) - sizes)[full])
+    maps = list(zip(*maps.view(np.int64).tolist()))
     at = 0
     for i, n in enumerate(sizes.tolist()):
         if n >= least:
@@ -87,7 +89,10 @@ def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
 
 
 def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFrame:
-    """doc_id, line, n (distinct words), key (digest of the set), rare (prefix, rarest first), bits (a map of the set)."""
+    """doc_id, line, n (distinct words), key (digest of the set), rare (names of the prefix lists, rarest first), b1, b2 (bit map).
+
+    A list is named by 32 bits of a word's hash; words that share a name only add candidates.
+    """
     def run(batches):
         f = weight.value
         for ids, texts in columns(batches, "doc_id", "text"):
@@ -95,15 +100,16 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
             for d, t in zip(ids, texts):
                 for i, s, bits in _line_sets(t, f, least):
                     n = len(s)
-                    out.append((d, i, n, hashlib.blake2b(s, digest_size=16).digest(), s[: n + percent * n // -100 + 1], bits))
-            d, i, n, key, rare, bits = zip(*out) if out else ((),) * 6
+                    out.append((d, i, n, hashlib.blake2b(s, digest_size=16).digest(), s[: n + percent * n // -100 + 1], *bits))
+            d, i, n, key, rare, b1, b2 = zip(*out) if out else ((),) * 7
             ends = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
-            rare = np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64)
+            rare = (mixed(np.concatenate([np.zeros(0, np.uint64), *rare])) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()),
-                "key": pa.array(key, pa.binary()), "rare": pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)), "bits": pa.array(bits, pa.int64())})
+                "key": pa.array(key, pa.binary()), "rare": pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)),
+                "b1": pa.array(b1, pa.int64()), "b2": pa.array(b2, pa.int64())})
 
-    schema = "doc_id long, line long, n long, key binary, rare array<long>, bits long"
+    schema = "doc_id long, line long, n long, key binary, rare array<int>, b1 long, b2 long"
     return ids_and_bytes(docs).where("doc_id is not null").mapInArrow(run, schema)
 
 
@@ -157,9 +163,9 @@ def _short_pairs(percent: int):
             j = i - d
             n1, n2 = n[i], n[j]
             need = -(-percent * (n1 + n2) // (100 + percent))
-            ok = np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)
+            ok = (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)) & ((c["a"][i] != c["a"][j]) | (c["al"][i] != c["al"][j]))
             ok &= np.minimum(place[i], place[j]) + np.minimum(n1 - place[i], n2 - place[j]) >= need
-            differ = np.bitwise_count((c["bits"][i] ^ c["bits"][j]).view(np.uint64)).astype(np.int64)
+            differ = sum(np.bitwise_count((c[b][i] ^ c[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
             ok &= differ <= n1 + n2 - 2 * need
             if ok.any():
                 i1, j1 = i[ok], j[ok]
@@ -174,7 +180,7 @@ def _short_pairs(percent: int):
         held, long = None, None
         for b in chain(batches, (None,)):
             if b is not None:
-                c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("g", "a", "al", "x", "bits")}
+                c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("g", "a", "al", "x", "b1", "b2")}
                 held = c if held is None else {n: np.concatenate((held[n], v)) for n, v in c.items()}
             if held is None or not len(held["g"]):
                 continue
@@ -197,7 +203,7 @@ def _short_pairs(percent: int):
     return run
 
 
-LISTED = ("g", "a", "al", "x", "bits", "b", "bl")
+LISTED = ("g", "a", "al", "x", "b1", "b2", "b", "bl")
 
 
 def _may_reach(percent: int) -> Column:
@@ -205,7 +211,7 @@ def _may_reach(percent: int) -> Column:
     n, m, p, q = (F.shiftright("xa", 32), F.shiftright("xb", 32), F.col("xa").bitwiseAND(0xFFFFFFFF), F.col("xb").bitwiseAND(0xFFFFFFFF))
     need = F.ceil(percent * (n + m) / (100 + percent))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(p, q) + F.least(n - p, m - q) >= need) & (
-        F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= n + m - 2 * need)
+        F.bit_count(F.col("a1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("c2"))) <= n + m - 2 * need)
 
 
 def _long_lists(rows: DataFrame, done: DataFrame, percent: int, similar) -> DataFrame:
@@ -213,10 +219,10 @@ def _long_lists(rows: DataFrame, done: DataFrame, percent: int, similar) -> Data
 
     First against the first line of each list, then what is left against all earlier lines.
     """
-    hub = rows.groupBy("g").agg(F.min(F.struct("a", "al", "x", "bits")).alias("h")).select(
-        "g", F.col("h.a").alias("b"), F.col("h.al").alias("bl"), F.col("h.x").alias("xb"), F.col("h.bits").alias("bb"))
-    left = rows.join(done, ["a", "al"], "left_anti").select("g", "a", "al", F.col("x").alias("xa"), F.col("bits").alias("ba"))
-    right = rows.select("g", F.col("a").alias("b"), F.col("al").alias("bl"), F.col("x").alias("xb"), F.col("bits").alias("bb"))
+    hub = rows.groupBy("g").agg(F.min(F.struct("a", "al", "x", "b1", "b2")).alias("h")).select(
+        "g", F.col("h.a").alias("b"), F.col("h.al").alias("bl"), F.col("h.x").alias("xb"), F.col("h.b1").alias("c1"), F.col("h.b2").alias("c2"))
+    left = rows.join(done, ["a", "al"], "left_anti").select("g", "a", "al", F.col("x").alias("xa"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
+    right = rows.select("g", F.col("a").alias("b"), F.col("al").alias("bl"), F.col("x").alias("xb"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
     earlier = F.expr("(b < a or b = a and bl < al)") & _may_reach(percent)
     pairs = stored(left.join(hub, "g").where(earlier).select("a", "al", "b", "bl").distinct(), "pairs")
     near = similar(pairs)
@@ -236,11 +242,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     weight = docs.sparkSession.sparkContext.broadcast(word_frequencies(docs, least))
     sig = stored(line_signatures(docs, percent, least, weight), "lines")
     first = sig.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    copies = _small(sig.select("key", "doc_id", "line").join(first, "key").where(
+    copies = _small(sig.select("key", "doc_id", "line").join(_small(first), "key").where(
         "doc_id <> f.doc_id or line <> f.line").select("doc_id", "line").distinct())
     rows = sig.join(copies, ["doc_id", "line"], "left_anti").select(
-        F.col("doc_id").alias("a"), F.col("line").alias("al"), "n", "bits", F.posexplode("rare").alias("p", "g"))
-    rows = rows.select("g", "a", "al", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("x"), "bits")
+        F.col("doc_id").alias("a"), F.col("line").alias("al"), "n", "b1", "b2", F.posexplode("rare").alias("p", "g"))
+    rows = rows.select("g", "a", "al", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("x"), "b1", "b2")
     lists = stored(rows.repartition("g").sortWithinPartitions("g", "a", "al").mapInArrow(
         _short_pairs(percent), ", ".join(f"{n} long" for n in LISTED)), "lists")
     similar = lambda pairs: _similar(docs, pairs, percent, least, weight)

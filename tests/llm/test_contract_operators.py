@@ -225,10 +225,10 @@ def test_lines(spark, sample, monkeypatch, longest):
 
 
 def test_lines_keep_columns_and_drop_emptied(spark):
-    df = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "a b c d e f\nnew"), (None, "a b c d e f")])
+    df = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "a b c d e f\nnew"), (None, "a b c d e f"), (9, "u v w x y z"), (9, "u v w x y z")])
     kept = lines.deduped(df)
     assert kept.columns == df.columns
-    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, "a b c d e f"), (3, None), (4, ""), (5, "new"), (None, "a b c d e f")}
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, "a b c d e f"), (3, None), (4, ""), (5, "new"), (None, "a b c d e f"), (9, "u v w x y z")}
     assert lines.line_report(frame(spark, [])).count() == 0
 
 
