@@ -93,8 +93,9 @@ SHARED_SQL["numbered_bars"] = "SELECT *, row_number() OVER (PARTITION BY ticker
 
 
 @query("trade_path_range", "date:d ticker:s i:i day:d close:f", """
-SELECT s.date, s.ticker, b.rn - e.rn AS i, b.date AS day, b.close FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date
-JOIN numbered_bars b ON b.ticker = s.ticker AND b.rn BETWEEN e.rn AND e.rn + 14 WHERE e.rn + 14 <= e.n_rows""")
+SELECT s.date, s.ticker, b.rn - s.rn AS i, b.date AS day, b.close FROM (
+ SELECT s.date, s.ticker, e.rn, e.rn + k.range AS at FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date, range(15) k
+ WHERE e.rn + 14 <= e.n_rows) s JOIN numbered_bars b ON b.ticker = s.ticker AND b.rn = s.at""")
 def _(t):
     pos = X.positions(t.bars)
     return J.trade_path(J.entry_forward(top_signals(t), pos), pos, 15)
@@ -115,9 +116,10 @@ def _(t):
 
 
 @query("lookup_contradiction", "date:d ticker:s i:i day:d day_pred:f", """
-SELECT s.date, s.ticker, b.rn - e.rn AS i, b.date AS day, g.pred_return_pct AS day_pred FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date
-JOIN numbered_bars b ON b.ticker = s.ticker AND b.rn BETWEEN e.rn AND e.rn + 14
-LEFT JOIN (SELECT * FROM signals WHERE ticker_id % 2 = 0) g ON g.ticker = b.ticker AND g.date = b.date WHERE e.rn + 14 <= e.n_rows""")
+SELECT s.date, s.ticker, b.rn - s.rn AS i, b.date AS day, g.pred_return_pct AS day_pred FROM (
+ SELECT s.date, s.ticker, e.rn, e.rn + k.range AS at FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date, range(15) k
+ WHERE e.rn + 14 <= e.n_rows) s JOIN numbered_bars b ON b.ticker = s.ticker AND b.rn = s.at
+LEFT JOIN (SELECT * FROM signals WHERE ticker_id % 2 = 0) g ON g.ticker = b.ticker AND g.date = b.date""")
 def _(t):
     pos = X.positions(t.bars)
     path = J.trade_path(J.entry_forward(top_signals(t), pos), pos, 15)

@@ -12,10 +12,12 @@ from panelweave.sources import readers as S, sinks as K
 SIG = "date:d ticker:s pred_return_pct:f rank_score:f"
 
 
-@query("scan_bars", "ticker:s date:d open:f close:f volume:f", "SELECT ticker, date, open, close, volume FROM bars")
+@query("scan_bars", "ticker:s date:d open:f high:f low:f close:f adj_close:f volume:f vix_close:f", """
+SELECT ticker, date, open, high, low, close, close * 2 AS adj_close, volume, volume + 1 AS vix_close FROM bars""")
 def _(t):
     path = staging_path(t.spark, "bars_csv")
-    rows = t.bars.select(F.col("date").cast("string").alias("Date"), "open", "high", "low", "close", "volume", "ticker")
+    rows = t.bars.select("close", (F.col("close") * 2).alias("Adj Close"), "volume", F.col("date").cast("string").alias("Date"), "high", "open",
+                         (F.col("volume") + 1).alias("vix_close"), "low", "ticker")
     bad = rows.where("ticker LIKE '%5'").withColumn("Date", F.lit("not a date"))
     K.write_bars_csv(rows.union(bad), path)
     return S.read_bars(t.spark, path)

@@ -12,31 +12,29 @@ from panelweave.streaming import jobs as Z
 
 
 class _Streamed(Tables):
-    """The same views over file streams."""
+    """The same views over file streams: each table is staged as six files in mixed order, one for each micro-batch."""
 
     def raw(self, name):
-        return Z.read_stream(self.spark, self.folder, name)
+        path = staging_path(self.spark, name)
+        key = {"documents": "doc_id", "events": "event_id"}[name]
+        super().raw(name).repartition(6, F.col(key) % 6).write.parquet(path)
+        return Z.read_stream(self.spark, path)
 
 
 @query("stream_dedup_news", "ticker:s article_hash:s", """
-SELECT DISTINCT ticker, md5(concat_ws('_', CAST(date AS VARCHAR), title, substr(content, 1, 200))) AS article_hash FROM clean_news""")
+SELECT DISTINCT ticker, md5(concat_ws('_', CAST(date AS VARCHAR), title, content)) AS article_hash FROM clean_news""")
 def _(t):
     path = staging_path(t.spark, "news")
-    Z.run_available(Z.dedupe_news(_Streamed(t.spark, t.folder).news).select("ticker", "article_hash", "doc_id"), path=path)
-    return t.spark.read.parquet(path)
+    Z.collect_articles(_Streamed(t.spark, t.folder).news, path)
+    return Z.first_articles(t.spark, path)
 
 
 @query("stream_upsert_daily", "date:d ticker:s price:f volume:i", """
 SELECT CAST(ts AS DATE) AS date, ticker, arg_max(price, (ts, event_id)) AS price, sum(volume) AS volume FROM quotes GROUP BY ALL""")
 def _(t):
     path = staging_path(t.spark, "daily")
-
-    def shape(batch):
-        return batch.groupBy(F.col("ts").cast("date").alias("date"), "ticker").agg(
-            F.max_by("price", F.struct("ts", "event_id")).alias("price"), F.sum("volume").alias("volume"))
-
-    Z.upsert_daily(_Streamed(t.spark, t.folder).quotes, path, shape)
-    return t.spark.read.parquet(path)
+    Z.collect_daily(_Streamed(t.spark, t.folder).quotes, path)
+    return Z.daily_table(t.spark, path)
 
 
 SHARED_SQL["sessions"] = """
@@ -64,8 +62,8 @@ def _(t):
 @query("stream_latest_quote", "ticker:s price:f volume:i event_id:i", "SELECT * FROM latest_quotes")
 def _(t):
     path = staging_path(t.spark, "latest")
-    Z.latest_quote_table(_Streamed(t.spark, t.folder).quotes, "premarket", path)
-    return t.spark.read.parquet(path)
+    Z.collect_latest_quotes(_Streamed(t.spark, t.folder).quotes, "premarket", path)
+    return Z.latest_quote_now(t.spark, "premarket", path)
 
 
 @query("quote_overlay", "ticker:s date:d close:f volume:f", """

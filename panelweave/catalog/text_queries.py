@@ -13,8 +13,7 @@ STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 def _clean(c: str) -> str:
     flat = f"regexp_replace({c}, '[\\r\\n\\t\\x0B\\f]+', ' ', 'g')"
-    flat = f"replace({STRIP.format(flat)}, '\"', '''')"
-    return f"CASE WHEN length({flat}) > 30000 THEN concat(substr({flat}, 1, 29997), '...') ELSE {flat} END"
+    return f"replace({STRIP.format(flat)}, '\"', '''')"
 
 
 SHARED_SQL["clean_news"] = f"SELECT doc_id, ticker, date, {_clean('title')} AS title, {_clean('content')} AS content FROM news"
@@ -97,7 +96,7 @@ def doubled_news(t):
 
 
 @query("dedup_md5", "doc_id:i ticker:s date:d", """
-SELECT min(doc_id) AS doc_id, ticker, date FROM doubled_news GROUP BY ticker, date, title, substr(content, 1, 200)""")
+SELECT min(doc_id) AS doc_id, ticker, date FROM doubled_news GROUP BY ticker, date, title, content""")
 def _(t):
     return T.dedupe_articles(doubled_news(t))
 
@@ -119,24 +118,16 @@ def _(t):
     return T.compose_text(raw, "title", "content", "stamp").withColumn("md5", F.md5("processed_text"))
 
 
-@query("stratified_sample", "ticker:s n:i", "SELECT ticker, least(count(*), 15) AS n FROM news WHERE date < DATE '2016-01-01' GROUP BY ticker")
+@query("stratified_sample", "ticker:s doc_id:i", """
+SELECT ticker, doc_id FROM news WHERE date < DATE '2016-01-01' AND substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 4) < '4000'""")
 def _(t):
-    return T.stratified_sample(t.news, per_key=15).groupBy("ticker").agg(F.count("*").alias("n"))
+    return T.stratified_sample(t.news, fraction=0.25)
 
 
-@query("size_guard", "doc_id:i ticker:s", """
-SELECT doc_id, ticker FROM news WHERE ticker IN (SELECT ticker FROM news GROUP BY ticker HAVING sum(strlen(content)) <= (SELECT sum(strlen(content)) / count(DISTINCT ticker) FROM news))""")
+@query("text_sizes", "ticker:s n_bytes:i n_rows:i", """
+SELECT ticker, sum(strlen(content)) AS n_bytes, count(*) AS n_rows FROM news GROUP BY ticker""")
 def _(t):
-    # the limit scales with the table: the mean size of a key
-    mean = t.news.agg((F.sum(F.octet_length("content")) / F.countDistinct("ticker")).alias("m")).scalar()
-    sized = t.news.groupBy("ticker").agg(F.sum(F.octet_length("content")).alias("b")).where(F.col("b") <= mean)
-    return t.news.join(sized.select("ticker"), "ticker", "left_semi")
-
-
-@query("size_guard_fixed", "doc_id:i ticker:s", """
-SELECT doc_id, ticker FROM news WHERE ticker IN (SELECT ticker FROM news GROUP BY ticker HAVING sum(strlen(content)) <= 100000)""")
-def _(t):
-    return T.size_guard(t.news, max_bytes=100_000)
+    return T.text_sizes(t.news)
 
 
 SHARED_SQL["tagged_items"] = """

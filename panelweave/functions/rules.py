@@ -159,7 +159,7 @@ def _labelled(label: str, value: Column, pattern: str) -> Column:
 
 
 def model_input_summary(day: Column, ticker: Column, price: Column, recent: Column, pred: Column, score: Column,
-                        fallback: Column, pos: Column, neg: Column, neu: Column, news: Column, limit: int = 8000) -> Column:
+                        fallback: Column, pos: Column, neg: Column, neu: Column, news: Column, limit: int | None = None) -> Column:
     """Pipe-joined record of what went into a prediction."""
     known = pos.isNotNull()
     mood = F.when(known, F.format_string("finbert_sentiment=pos:%.3f,neg:%.3f,neu:%.3f", pos, neg, neu)).otherwise("finbert_sentiment=n/a")
@@ -173,7 +173,7 @@ def model_input_summary(day: Column, ticker: Column, price: Column, recent: Colu
 
 
 def agent_input_summary(day: Column, ticker: Column, price: Column, recent: Column, pos: Column, neg: Column,
-                        news: Column, limit: int = 8000) -> Column:
+                        news: Column, limit: int | None = None) -> Column:
     """Pipe-joined decision record without model internals; missing parts are left out."""
     text = X.shorten(news, limit)
     mood = F.when(pos.isNotNull() & neg.isNotNull(), F.format_string(

@@ -55,17 +55,21 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def sanitize(text: Column, limit: int = 30000) -> Column:
-    """Control whitespace to one blank, trim, double to single quotes, bound the length."""
+def sanitize(text: Column, limit: int | None = None) -> Column:
+    """Control whitespace to one blank, trim, double to single quotes; cut only where a limit is given."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n\t\x0B\f]+", " ")
     flat = F.translate(strip(flat), '"', "'")
+    if limit is None:
+        return flat
     return F.when(F.length(flat) > limit,
                   F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
 
 
-def shorten(text: Column, limit: int = 8000) -> Column:
-    """Trim and cut to the limit with an ellipsis; NULL becomes the empty text."""
+def shorten(text: Column, limit: int | None = None) -> Column:
+    """Trim, and cut to the limit with an ellipsis where one is given; NULL becomes the empty text."""
     t = strip(F.coalesce(text, F.lit("")))
+    if limit is None:
+        return t
     return F.when(F.length(t) <= limit, t).otherwise(
         F.concat(F.regexp_replace(F.substring(t, 1, limit - 3), r"\s+$", ""), F.lit("...")))
 
@@ -99,11 +103,10 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " "))
 
 
-def article_hash(date: Column, title: Column, content: Column, head: int = 200) -> Column:
-    """md5 over date, title and the first characters of the content."""
+def article_hash(date: Column, title: Column, content: Column) -> Column:
+    """md5 over date, title and the whole content."""
     blank = F.lit("")
-    return F.md5(F.concat_ws("_", F.coalesce(date, blank), F.coalesce(title, blank),
-                             F.substring(F.coalesce(content, blank), 1, head)))
+    return F.md5(F.concat_ws("_", F.coalesce(date, blank), F.coalesce(title, blank), F.coalesce(content, blank)))
 
 
 def words(text: Column) -> Column:
@@ -161,7 +164,7 @@ def confidence(text: Column, recommended: Column, sections_text: Column | None =
     return F.coalesce(number, conviction(F.lit("") if sections_text is None else sections_text, recommended))
 
 
-def section(text: Column, name: str, limit: int = 8000) -> Column:
+def section(text: Column, name: str, limit: int | None = None) -> Column:
     """Body below one heading, ending before the next known heading or the end of the text."""
     others = "|".join(h for h in HEADINGS if h != name)
     mark = r"(?:\*\*|##?\s*)?"

@@ -155,7 +155,7 @@ def top_ideas(agent: DataFrame, n: int = 3, order: Sequence[Column] | None = Non
     """
     ok = F.lower("status") == "ok"
     buy = F.lower("recommendation").isin("buy", "long")
-    pool = agent.where(ok).withColumn("is_buy_only", buy)
+    pool = agent.where(ok).withColumn("is_buy_only", N.is_true(buy))
     any_buy = pool.agg(N.is_true(F.max("is_buy_only"))).scalar()
     picked = pool.where(F.col("is_buy_only") | ~any_buy)
     return head_n(picked, n, order or [F.col("confidence").desc_nulls_last(), F.col("ticker").asc()])

@@ -117,19 +117,17 @@ def compose_text(df: DataFrame, title: str | None, body: str | None, date: str)
         "processed_date IS NOT NULL")
 
 
-def stratified_sample(df: DataFrame, key: str = "ticker", doc_id: str = "doc_id", date: str = "date",
-                      before: str = "2016-01-01", per_key: int = 500, total: int = 500_000, seed: int = 42) -> DataFrame:
-    """Seeded sample of early rows: at most `per_key` per key and `total` in all. The limits are the operator."""
-    order = F.xxhash64(F.col(doc_id), F.lit(seed))
-    early = df.where(F.col(date) < F.lit(before).cast("date")).withColumn("_o", order)
-    picked = top_n_per_group(early, per_key, key, [F.col("_o").asc(), F.col(doc_id).asc()])
-    return picked.orderBy("_o", doc_id).limit(total).drop("_o")
-
-
-def size_guard(df: DataFrame, key: str = "ticker", text: str = "content", max_bytes: int = 800 * 1024 * 1024) -> DataFrame:
-    """Drop keys whose texts exceed the byte limit in total."""
-    ok = df.groupBy(key).agg(F.sum(F.octet_length(text)).alias("_b")).where(F.col("_b") <= max_bytes).select(key)
-    return df.join(ok, key, "left_semi")
+def stratified_sample(df: DataFrame, fraction: float, doc_id: str = "doc_id", date: str = "date", before: str = "2016-01-01",
+                      seed: int = 42) -> DataFrame:
+    """Early rows whose id hashes below the fraction (in steps of 1/65536): the same share of every key, at any size."""
+    head = F.substring(F.md5(F.concat_ws(":", F.col(doc_id).cast("string"), F.lit(str(seed)))), 1, 4)
+    part = F.lit(f"{min(max(round(fraction * 65536), 0), 65536):04x}") if fraction < 1 else F.lit("g")
+    return df.where((F.col(date) < F.lit(before).cast("date")) & (head < part))
+
+
+def text_sizes(df: DataFrame, key: str = "ticker", text: str = "content") -> DataFrame:
+    """Bytes of text and rows of each key, to plan memory before texts are grouped; nothing is dropped."""
+    return df.groupBy(key).agg(F.sum(F.octet_length(text)).alias("n_bytes"), F.count("*").alias("n_rows"))
 
 
 def corpus(df: DataFrame, key: str = "ticker", text: str = "text", order: Sequence[Column] = (), items: int = 20) -> DataFrame:

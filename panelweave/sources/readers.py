@@ -34,20 +34,26 @@ TRACKER_COLUMNS = {
     "dollar_turnover": ("dollar_turnover", "turnover", "notional", "liquidity"),
 }
 
-BAR_SCHEMA = "Date string, open string, high string, low string, close string, volume string"
+BAR_COLUMNS = ("date", "open", "high", "low", "close", "volume")
 
 
-def read_bars(spark: SparkSession, path: str, schema: str = BAR_SCHEMA, suffix: str = "_daily") -> DataFrame:
+def read_bars(spark: SparkSession, path: str, suffix: str = "_daily") -> DataFrame:
     """Per-ticker CSV files as one panel: key from the path, bad dates dropped, last row per day kept.
 
-    Accepts `<key>_daily.csv` files and `file=<key>_daily` folders. The position
-    in the file decides which row of a day is the last.
+    Columns are found by the header's lower-case names, in any order; further ones (adjusted prices,
+    indicators, macro columns) are kept as numbers, and a missing price column is an error. All files share
+    one header. Accepts `<key>_daily.csv` files and `file=<key>_daily` folders. The position in
+    the file decides which row of a day is the last.
     """
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path)
-    names = [c for c in raw.columns if c.lower() != "date"]
+    files = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
+    raw = files.csv(path)
+    named = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
+    missing = [c for c in BAR_COLUMNS if c not in named]
+    if missing:
+        raise ValueError(f"price files lack the columns {missing}")
     key = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/=]+){suffix}[^/]*(?:/[^/]*)?$", 1)
-    df = raw.select(key.alias("ticker"), dates.day(F.col("Date")).alias("date"),
-                    *[N.to_double(F.col(f"`{c}`")).alias(c.strip().lower().replace(" ", "_")) for c in names],
+    df = raw.select(key.alias("ticker"), dates.day(F.col(f"`{named['date']}`")).alias("date"),
+                    *[N.to_double(F.col(f"`{c}`")).alias(n) for n, c in named.items() if n != "date"],
                     F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                              F.monotonically_increasing_id().alias("m")).alias("_o"))
     df = df.where(F.col("date").isNotNull() & F.col("close").isNotNull())

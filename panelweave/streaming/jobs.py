@@ -1,4 +1,10 @@
-"""Structured Streaming forms of ingest, upsert and quotes. State is bounded by a watermark or by the key set."""
+"""Structured Streaming forms of ingest, upsert and quotes.
+
+Each micro-batch writes its mergeable partial rows to a folder of its own, and readers
+fold the partials of all batches. Nothing is lost however late a row comes, a replayed batch
+rewrites only its own folder, readers never see a table half written, and no state grows
+in the engine.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelweave.functions import dates, numeric as N, text as X
 from panelweave.session import staging_path
-from panelweave.sources.sinks import overwrite_days
 
 # Quote fields in order of preference per session, then last resorts.
 SESSION_FIELDS = {
@@ -20,35 +25,44 @@ SESSION_FIELDS = {
 LAST_FIELDS = ("last_price", "regular_price", "previous_close")
 
 
-def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One table of a folder as a file stream; later files with the same name pattern are picked up."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
-
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """The Parquet files of a folder as a stream; later files are picked up."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
-def dedupe_news(stream: DataFrame, delay: str = "30 days", date: str = "date", keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """First copy of each article within the watermark delay; the hash set is dropped as time moves on."""
-    s = stream.withColumns({
-        "article_hash": X.article_hash(F.col(date).cast("string"), X.sanitize(F.col("title")), X.sanitize(F.col("content"))),
-        "event_time": F.col(date).cast("timestamp")})
-    return s.withWatermark("event_time", delay).dropDuplicatesWithinWatermark([*keys, "article_hash"])
 
+def collect_partials(stream: DataFrame, path: str, partial: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Write the partial rows of everything available now, one folder for each batch, and wait for the end."""
+    def write(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None] | None = None, path: str | None = None,
-                  mode: str = "append", timeout: int = 600) -> StreamingQuery:
-    """Process everything available now, to a Parquet path or a batch function, and wait for the end."""
-    spark = stream.sparkSession
-    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", staging_path(spark, "stream"))
-    q = w.foreachBatch(write).start() if write else w.format("parquet").start(path)
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", staging_path(stream.sparkSession, "stream"))
+    q = w.foreachBatch(write).start()
+    q.awaitTermination()
     return q
 
 
-def upsert_daily(stream: DataFrame, path: str, shape: Callable[[DataFrame], DataFrame] = lambda d: d, date: str = "date") -> StreamingQuery:
-    """Each micro-batch replaces its days in the target; a replayed batch changes nothing."""
-    return run_available(stream, lambda batch, _id: overwrite_days(shape(batch), path, date), mode="append")
+def collect_articles(stream: DataFrame, path: str, date: str = "date", keys: Sequence[str] = ("ticker",)) -> StreamingQuery:
+    """Smallest id of each article of a batch, by key and hash of the whole content."""
+    h = X.article_hash(F.col(date).cast("string"), X.sanitize(F.col("title")), X.sanitize(F.col("content")))
+    return collect_partials(stream, path, lambda b: b.groupBy(*keys, h.alias("article_hash")).agg(F.min("doc_id").alias("doc_id")))
+
+
+def first_articles(spark: SparkSession, path: str, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """First copy of each article over all batches."""
+    return spark.read.parquet(path).groupBy(*keys, "article_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+def collect_daily(stream: DataFrame, path: str) -> StreamingQuery:
+    """Partial day rows of each batch: the last quote with its order, and the sum of volumes."""
+    last = F.max(F.struct("ts", "event_id", "price")).alias("last")
+    return collect_partials(stream, path, lambda b: b.groupBy(F.col("ts").cast("date").alias("date"), "ticker").agg(last, F.sum("volume").alias("volume")))
+
+
+def daily_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each day and ticker over all batches."""
+    folded = spark.read.parquet(path).groupBy("date", "ticker").agg(F.max("last").alias("last"), F.sum("volume").alias("volume"))
+    return folded.select("date", "ticker", "last.price", "volume")
 
 
 def quote_rank(session: str | Column, ts: str = "ts", tie: str = "event_id") -> Column:
@@ -67,9 +81,14 @@ def latest_quote(quotes: DataFrame, session: str | Column) -> DataFrame:
     return good.groupBy("ticker").agg(best.alias("q")).select("ticker", "q.*")
 
 
-def latest_quote_table(stream: DataFrame, session: str, path: str) -> StreamingQuery:
-    """Keep a one-row-per-ticker table up to date; each trigger rewrites it from the state."""
-    return run_available(latest_quote(stream, session), lambda b, _id: b.write.mode("overwrite").parquet(path), mode="complete")
+def collect_latest_quotes(stream: DataFrame, session: str, path: str) -> StreamingQuery:
+    """Latest quote of each ticker in each batch."""
+    return collect_partials(stream, path, lambda b: latest_quote(b, session))
+
+
+def latest_quote_now(spark: SparkSession, session: str, path: str) -> DataFrame:
+    """Latest quote of each ticker over all batches."""
+    return latest_quote(spark.read.parquet(path), session)
 
 
 def overlay_quote(bars: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -185,6 +185,14 @@ def test_dedupe_articles_keeps_first_and_is_idempotent(spark):
     assert rows(once, "doc_id") == rows(T.dedupe_articles(once), "doc_id") == [(0,)] + [(i,) for i in range(50, 60)]
 
 
+def test_price_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "ABC_daily.csv").write_text("Date,close,high,low,open,volume,Adj Close\n2024-01-02,4,3,2,1,5,6\n")
+    assert rows(S.read_bars(spark, str(tmp_path)), "open", "close", "adj_close") == [(1.0, 4.0, 6.0)]
+    (tmp_path / "ABC_daily.csv").write_text("Date,close\n2024-01-02,4\n")
+    with pytest.raises(ValueError, match="open"):
+        S.read_bars(spark, str(tmp_path))
+
+
 def test_price_file_keeps_last_row_of_a_day(spark, tmp_path):
     (tmp_path / "ABC_daily.csv").write_text("Date,open,high,low,close,volume\n2024-01-02,1,1,1,1,1\n2024-01-02,2,2,2,2,2\nbad,3,3,3,3,3\n2024-01-03,4,4,4,x,4\n")
     assert rows(S.read_bars(spark, str(tmp_path)), "ticker", "date", "close") == [("ABC", dt.date(2024, 1, 2), 2.0)]

@@ -159,18 +159,32 @@ def test_first_signal_beta_is_reused(spark):
     assert set(got["status"]) <= {"OPEN", "CLOSED"}
 
 
-def test_stream_equals_batch_and_upsert_replaces_days(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "out"
-    day = lambda d: dt.datetime(2024, 1, d)
-    first = [("A", day(2), 1.0), ("B", day(2), 2.0), ("A", day(3), 3.0)]
-    spark.createDataFrame(first, "ticker string, ts timestamp_ntz, price double").coalesce(1).write.parquet(str(src))
-    schema = spark.read.parquet(str(src)).schema
-    stream = lambda: spark.readStream.schema(schema).parquet(str(src)).withColumn("date", F.col("ts").cast("date"))
-    Z.upsert_daily(stream(), str(out))
-    Z.upsert_daily(stream(), str(out))
-    assert rows(spark.read.parquet(str(out)), "ticker", "price") == [("A", 1.0), ("A", 3.0), ("B", 2.0)]
-    K.overwrite_days(spark.createDataFrame([("C", day(3), 9.0, dt.date(2024, 1, 3))], "ticker string, ts timestamp_ntz, price double, date date"), str(out))
-    assert rows(spark.read.parquet(str(out)), "ticker", "price") == [("A", 1.0), ("B", 2.0), ("C", 9.0)]
+def test_stream_batches_add_up_whatever_their_order(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    schema = "ticker string, ts timestamp_ntz, event_id long, price double, volume long"
+    for batch in ([("A", at(5, 9), 1, 1.0, 10), ("A", at(2, 9), 2, 2.0, 1)], [("A", at(5, 8), 3, 3.0, 5)], [("A", at(2, 10), 4, 4.0, 2)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    for _ in range(2):  # a second run replays every batch and changes nothing
+        Z.collect_daily(Z.read_stream(spark, src), out)
+        assert rows(Z.daily_table(spark, out), "ticker", "price", "volume") == [("A", 1.0, 15), ("A", 4.0, 3)]
+
+
+def test_articles_keep_late_and_long_ones(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "doc_id long, ticker string, date string, title string, content string"
+    same = "x" * 40_000
+    for batch in ([(3, "A", "2024-01-01", "t", same + "1")], [(2, "A", "2015-01-01", "t", "late")], [(1, "A", "2024-01-01", "t", same + "2"), (4, "A", "2024-01-01", "t", same + "1")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    Z.collect_articles(Z.read_stream(spark, src), out)
+    assert rows(Z.first_articles(spark, out), "doc_id") == [(1,), (2,), (3,)]
+
+
+def test_overwrite_days(spark, tmp_path):
+    out, schema = str(tmp_path / "out"), "ticker string, price double, date date"
+    K.overwrite_days(spark.createDataFrame([("A", 1.0, dt.date(2024, 1, 2)), ("B", 2.0, dt.date(2024, 1, 3))], schema), out)
+    K.overwrite_days(spark.createDataFrame([("C", 9.0, dt.date(2024, 1, 3))], schema), out)
+    assert rows(spark.read.parquet(out), "ticker", "price") == [("A", 1.0), ("C", 9.0)]
 
 
 def test_append_absent(spark, tmp_path):
