@@ -114,7 +114,7 @@ SELECT date, string_agg(ticker, ', ' ORDER BY rank_score DESC, pred_return_pct D
 def _(t):
     from pyspark.sql import Window as W
     top = O.top_n_per_group(t.signals, 3, "date", O.signal_order())
-    return A.tickers_per_date(top.withColumn("rank", F.row_number().over(W.partitionBy("date").orderBy(*O.signal_order()))))
+    return A.tickers_per_date(top.withColumn("rank", F.row_number().over(W.partitionBy("date").orderBy(*O.signal_order()))), last=20)
 
 
 @query("coverage_funnel", "input_signals:i filtered_by_turnover:i filtered_by_daily_limit:i evaluated_trades:i skipped_missing_price:i skipped_no_later_price:i", """

@@ -146,7 +146,7 @@ SELECT ticker, coalesce(string_agg(p, ' | ' ORDER BY i) FILTER (i IS NOT NULL),
  SELECT ticker, p, min(CASE WHEN length({STRIP.format("replace(replace(replace(replace(replace(p, 'YF:', ''), 'NYT:', ''), 'WM:', ''), '-', ''), '|', '')")}) >= 5 THEN i END) AS i FROM (
   SELECT ticker, {STRIP.format('text')} AS p, row_number() OVER (PARTITION BY ticker ORDER BY date DESC, doc_id DESC) AS i FROM tagged_items) WHERE i <= 20 GROUP BY ticker, p) GROUP BY ticker""")
 def _(t):
-    return T.corpus(tagged_items(t), order=[F.col("date").desc(), F.col("doc_id").desc()])
+    return T.corpus(tagged_items(t), order=[F.col("date").desc(), F.col("doc_id").desc()], items=20)
 
 
 _TAGS = "trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"

@@ -274,7 +274,7 @@ def consensus(runs: DataFrame, key: str = "ticker") -> DataFrame:
     return stats.join(modal.select(key, "verdicts", F.col("m.verdict").alias("consensus"), F.col("m.n").alias("votes")), key)
 
 
-def tickers_per_date(tracker: DataFrame, last: int = 20) -> DataFrame:
+def tickers_per_date(tracker: DataFrame, last: int) -> DataFrame:
     """Comma list of the tracked tickers in rank order for the latest dates.
 
     The tracker holds a fixed number of picks per day, which bounds the list;

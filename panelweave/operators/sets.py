@@ -20,10 +20,11 @@ def union_distinct(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFram
     return union_by_name([f.select(*keys) for f in frames]).dropDuplicates(list(keys))
 
 
-def merge_prefer_last(local: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union of two series; the fresh row wins where both have the key."""
+def merge_prefer_last(local: DataFrame, fresh: DataFrame, keys: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+    """Union of two series; the fresh row wins where both have the key, and among fresh rows the largest `tie` (all columns by default)."""
     both = local.withColumn("_p", F.lit(0)).unionByName(fresh.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    return dedupe(both, keys, [F.col("_p").desc()]).drop("_p")
+    ties = [F.col(f"`{c}`").desc_nulls_last() for c in (tie or [c for c in local.columns if c not in keys])]
+    return dedupe(both, keys, [F.col("_p").desc(), *ties]).drop("_p")
 
 
 def universe(frames: Sequence[DataFrame], key: str = "ticker") -> DataFrame:

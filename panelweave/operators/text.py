@@ -10,7 +10,6 @@ from panelweave.functions import dates, text as X
 from panelweave.operators.ordering import top_n_per_group
 
 MARKET_TICKER = "^GSPC"
-SMALL_DICTIONARY = 200
 
 
 def sanitize_articles(df: DataFrame, cols: Sequence[str] = ("title", "content")) -> DataFrame:
@@ -18,13 +17,11 @@ def sanitize_articles(df: DataFrame, cols: Sequence[str] = ("title", "content"))
 
 
 def dictionary_hits(text: Column, symbols: Sequence[str]) -> Column:
-    """Known symbols (length > 1) among the whole words of the upper-cased text, for a short literal list.
+    """Known symbols (length > 1) among the whole words of the upper-cased text, for a literal list.
 
-    Symbols with '-' or '.' are matched as the blank-separated token they form.
+    Symbols with '-' or '.' are matched as the blank-separated token they form. For a symbol table use `entity_scan`.
     """
     known = [s.upper() for s in symbols if len(s) > 1]
-    if len(known) > SMALL_DICTIONARY:
-        raise ValueError("use entity_scan for a large dictionary")
     up = F.upper(text)
     plain = [s for s in known if s.replace("_", "").isalnum()]
     parts = F.array_intersect(F.array_distinct(X.words(up)), F.array(*[F.lit(s) for s in plain]).cast("array<string>"))
@@ -41,8 +38,12 @@ def entity_scan(docs: DataFrame, symbols: DataFrame, doc_id: str = "doc_id", tex
 
     Words are made distinct inside each document before they are exploded, so a
     frequent word costs one row per document; the equi join then runs on the word.
+    Runs that hold '-' or '.' inside count as words too, so BRK-B and BRK.B are found.
     """
-    words = docs.select(doc_id, F.explode(F.array_distinct(X.words(F.upper(F.col(text))))).alias("_w"))
+    up = F.upper(F.col(text))
+    marked = F.transform(F.split(up, r"[^\p{L}\p{N}_.\-]+"), lambda x: F.regexp_replace(x, r"^[.\-]+|[.\-]+$", ""))
+    marked = F.filter(marked, lambda x: x.contains("-") | x.contains("."))
+    words = docs.select(doc_id, F.explode(F.array_union(X.words(up), marked)).alias("_w"))
     known = symbols.select(F.upper(F.col(symbol)).alias("symbol")).where(F.length("symbol") > 1).distinct()
     return words.join(known, F.col("_w") == F.col("symbol")).select(doc_id, "symbol")
 
@@ -130,7 +131,7 @@ def text_sizes(df: DataFrame, key: str = "ticker", text: str = "content") -> Dat
     return df.groupBy(key).agg(F.sum(F.octet_length(text)).alias("n_bytes"), F.count("*").alias("n_rows"))
 
 
-def corpus(df: DataFrame, key: str = "ticker", text: str = "text", order: Sequence[Column] = (), items: int = 20) -> DataFrame:
+def corpus(df: DataFrame, key: str = "ticker", text: str = "text", order: Sequence[Column] = (), *, items: int) -> DataFrame:
     """Freshest items of each key joined by ' | '.
 
     Items with fewer than five informative characters are dropped and repeats
@@ -149,16 +150,18 @@ def corpus(df: DataFrame, key: str = "ticker", text: str = "text", order: Sequen
     return top.groupBy(key).agg(F.array_join(F.array_distinct(F.transform(packed, lambda s: s["_p"])), " | ").alias("corpus"))
 
 
-def html_headlines(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit: int = 20) -> DataFrame:
+def html_headlines(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:
     """Title-like strings of raw pages: heading elements, else "title" values of embedded JSON.
 
     Tags are stripped, texts longer than 10 characters kept, repeats dropped,
-    the first `limit` returned as rows (page, pos, headline).
+    all (or the first `limit`) returned as rows (page, pos, headline).
     """
     marks = F.regexp_extract_all(html, F.lit(r"(?is)<(?:title|h[1-4])(?:\s[^>]*)?>(.*?)</(?:title|h[1-4])>"), F.lit(1))
     heads = F.filter(F.transform(marks, X.strip_tags), lambda t: F.length(t) > 10)
     js = F.regexp_extract_all(html, F.lit(r'"(?:title|newsTitle)"\s*:\s*"([^"\\]{12,}.*?)"'), F.lit(1))
-    best = F.slice(F.array_distinct(F.when(F.size(heads) > 0, heads).otherwise(F.transform(js, lambda t: F.trim(t)))), 1, limit)
+    best = F.array_distinct(F.when(F.size(heads) > 0, heads).otherwise(F.transform(js, lambda t: F.trim(t))))
+    if limit is not None:
+        best = F.slice(best, 1, limit)
     return pages.select(page_id, F.posexplode(best).alias("pos", "headline"))
 
 

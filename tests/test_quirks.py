@@ -185,6 +185,12 @@ def test_dedupe_articles_keeps_first_and_is_idempotent(spark):
     assert rows(once, "doc_id") == rows(T.dedupe_articles(once), "doc_id") == [(0,)] + [(i,) for i in range(50, 60)]
 
 
+def test_symbols_with_marks_are_found_in_text(spark):
+    docs = spark.createDataFrame([(1, "Sold brk-b, BRK.B. and AAPL-"), (2, "brk b")], "doc_id int, content string")
+    known = spark.createDataFrame([("BRK-B",), ("BRK.B",), ("AAPL",)], "symbol string")
+    assert rows(T.entity_scan(docs, known)) == [(1, "AAPL"), (1, "BRK-B"), (1, "BRK.B")]
+
+
 def test_price_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "ABC_daily.csv").write_text("Date,close,high,low,open,volume,Adj Close\n2024-01-02,4,3,2,1,5,6\n")
     assert rows(S.read_bars(spark, str(tmp_path)), "open", "close", "adj_close") == [(1.0, 4.0, 6.0)]
