@@ -88,6 +88,13 @@ def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
     return np.minimum(np.ceil(2 * np.log2(counts + 1)), 63).astype(np.uint64)
 
 
+def _pieces(batches, rows: int = 500):
+    """Batches in pieces of a few documents, so that the arrays of their lines stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFrame:
     """doc_id, line, n (distinct words), key (digest of the set), rare (names of the prefix lists, rarest first), b1, b2 (bit map).
 
@@ -95,7 +102,7 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
     """
     def run(batches):
         f = weight.value
-        for ids, texts in columns(batches, "doc_id", "text"):
+        for ids, texts in columns(_pieces(batches), "doc_id", "text"):
             out: list[tuple] = []
             for d, t in zip(ids, texts):
                 for i, s, bits in _line_sets(t, f, least):
@@ -122,7 +129,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, weight) -> DataFrame
     """Whole sets of the lines in `pairs` only."""
     def run(batches):
         f = weight.value
-        for ids, texts, wanted in columns(batches, "doc_id", "text", "wanted"):
+        for ids, texts, wanted in columns(_pieces(batches), "doc_id", "text", "wanted"):
             rows = [(d, i, s.astype("<u8").tobytes()) for d, t, w in zip(ids, texts, wanted) for i, s, _ in _line_sets(t, f, least, w)]
             d, i, s = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "s": pa.array(s, pa.binary())})
