@@ -99,6 +99,7 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
     """doc_id, line, n (distinct words), key (digest of the set), rare (names of the prefix lists, rarest first), b1, b2 (bit map).
 
     A list is named by 32 bits of a word's hash; words that share a name only add candidates.
+    Sets too small to be similar to any other set (at 80 percent those of 1 to 3 words) are in no list; their key finds equal ones.
     """
     def run(batches):
         f = weight.value
@@ -107,7 +108,7 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
             for d, t in zip(ids, texts):
                 for i, s, bits in _line_sets(t, f, least):
                     n = len(s)
-                    out.append((d, i, n, hashlib.blake2b(s, digest_size=16).digest(), s[: n + percent * n // -100 + 1], *bits))
+                    out.append((d, i, n, hashlib.blake2b(s, digest_size=16).digest(), s[: n + percent * n // -100 + 1 if 100 * n >= percent * (n + 1) else 0], *bits))
             d, i, n, key, rare, b1, b2 = zip(*out) if out else ((),) * 7
             ends = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
             rare = (mixed(np.concatenate([np.zeros(0, np.uint64), *rare])) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -237,13 +238,13 @@ def _long_lists(rows: DataFrame, done: DataFrame, percent: int, similar) -> Data
     return near.unionByName(similar(stored(more.join(pairs, ["a", "al", "b", "bl"], "left_anti"), "pairs")))
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """(doc_id, line) of every line that is similar to an earlier one, in order of (doc_id, line).
 
     Lines end at line feeds; words are runs without ASCII white space, A-Z lower-cased. Two lines are
     similar when the Jaccard similarity of their distinct words is at least percent / 100. Lines with
-    fewer than `least` distinct words are never compared. Null and empty texts and rows without doc_id have
-    no such lines. Repeated rows of one doc_id count as one document. Lines are compared with all earlier
+    fewer than `least` distinct words are never compared; by default all lines with a word are. Null and
+    empty texts and rows without doc_id have no such lines. Repeated rows of one doc_id count as one document. Lines are compared with all earlier
     ones, removed ones included, so the result doesn't depend on any order of work.
     """
     weight = docs.sparkSession.sparkContext.broadcast(word_frequencies(docs, least))
@@ -268,7 +269,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFr
     return done.unionByName(copies)
 
 
-def without_repeats(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """`docs` and three columns behind `_l_`: n_lines, n_removed, text (without repeated lines, null if the text is)."""
     gone = _small(repeated_lines(docs, percent, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("_l_gone")))
 
@@ -290,14 +291,14 @@ def without_repeats(docs: DataFrame, percent: int = 80, least: int = 5) -> DataF
     return out.mapInArrow(run, schema)
 
 
-def line_report(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
+def line_report(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the remaining text of every document."""
     return without_repeats(docs.select("doc_id", "text"), percent, least).select(
         "doc_id", F.col("_l_n_lines").alias("n_lines"), F.col("_l_n_removed").alias("n_removed"),
         F.sha2(F.coalesce("_l_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def deduped(docs: DataFrame, percent: int = 80, least: int = 5) -> DataFrame:
+def deduped(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """`docs` without repeated lines; documents that had words and lost all of them go."""
     out = without_repeats(docs, percent, least).where("_l_n_removed = 0 or _l_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.select(*[F.col("_l_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -232,6 +232,15 @@ def test_lines_keep_columns_and_drop_emptied(spark):
     assert lines.line_report(frame(spark, [])).count() == 0
 
 
+def test_short_lines(spark, sample):
+    rows = [*EDGES, (4, "All rights reserved.\none\n漢字漢字\na b c d\ne f g h i"), (5, "reserved. all RIGHTS\nall rights\n漢字漢字\na b c d e\ne f g h\nx x x x x x"),
+            (6, "X\na b c\na b d\na b\n\n \none one"), (7, "p q r s\np q r t\nx"), (8, "c b a a a a a a")] + [(1000 + d, t) for d, t in sample]
+    found = lines.line_report(frame(spark, rows))
+    assert got(found, "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_lines(rows, 80, 1)
+    kept = {r.doc_id: r.text for r in lines.deduped(frame(spark, rows[:9])).collect()}
+    assert kept[5] == "all rights\nx x x x x x" and 8 not in kept
+
+
 # decontamination
 
 def test_automaton():
