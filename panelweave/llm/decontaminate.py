@@ -4,20 +4,21 @@ The items are cut into blocks of a bounded number of words. Each block becomes o
 automaton over word numbers, and every document streams through it: the matching
 state and its length give the longest suffix of the words read so far that occurs in
 an item. Words inside a match of at least `window` words are hit. Several blocks
-mean several passes over the documents whose hit spans are united per document.
+mean several passes over the documents, one block after the other, whose hit spans are
+united per document row by a row number that is written once.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelweave.llm.common import columns, ids_and_bytes
+from panelweave.llm.common import columns, ids_and_bytes, stored
 
 #: A-Z in lower case; letters, digits and all bytes of other scripts stay; the rest separates words.
 TABLE = bytes(
@@ -25,6 +26,8 @@ TABLE = bytes(
 
 #: Item words in one automaton (a broadcast of about 40 MB at most). More items mean more blocks.
 BLOCK_WORDS = 200_000
+#: Row number of a document while several blocks are passed.
+ROW = "_d_row"
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -168,12 +171,14 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
         yield block
 
 
-def _pass(docs: DataFrame, block, window: int) -> DataFrame:
+def _pass(docs: DataFrame, block, window: int) -> tuple[DataFrame, object]:
+    """Hits of one block next to the keys of `docs` (all columns before text), and the broadcast behind them."""
     shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
+    keys = docs.columns[:-1]
 
     def run(batches):
         automaton = shared.value
-        for doc_ids, texts in columns(batches, "doc_id", "text"):
+        for *ids, texts in columns(batches, *keys, "text"):
             n, starts, ends, items = [], [], [], []
             for t in texts:
                 words = normal_words(t)
@@ -182,17 +187,18 @@ def _pass(docs: DataFrame, block, window: int) -> DataFrame:
                 starts.append([a for a, _ in spans])
                 ends.append([b for _, b in spans])
                 items.append(sorted(found))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(n, pa.int64()),
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(keys, ids)} | {
+                "n_words": pa.array(n, pa.int64()),
                 "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())),
                 "items": pa.array(items, pa.list_(pa.string()))})
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>")
+    schema = "".join(f"{k} long, " for k in keys) + "n_words long, starts array<int>, ends array<int>, items array<string>"
+    return docs.mapInArrow(run, schema), shared
 
 
 def _united(batches):
-    """Union of the spans that several blocks found in one document."""
-    for doc_ids, n, starts, ends, items in columns(batches, "doc_id", "n_words", "starts", "ends", "items"):
+    """Union of the spans that several blocks found in one document row."""
+    for rows, doc_ids, n, starts, ends, items in columns(batches, ROW, "doc_id", "n_words", "starts", "ends", "items"):
         s2, e2 = [], []
         for s, e in zip(starts, ends):
             spans: list[list[int]] = []
@@ -204,30 +210,49 @@ def _united(batches):
             s2.append([a for a, _ in spans])
             e2.append([b for _, b in spans])
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(n, pa.int64()),
+            ROW: pa.array(rows, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(n, pa.int64()),
             "starts": pa.array(s2, pa.list_(pa.int32())), "ends": pa.array(e2, pa.list_(pa.int32())),
             "items": pa.array(items, pa.list_(pa.string()))})
 
 
+def _first_blocks(benchmark: DataFrame, block_words: int):
+    """The first two blocks (the second None where there is one only) and an iterator over the rest."""
+    blocks = item_blocks(benchmark, block_words)
+    return next(blocks), next(blocks, None), blocks
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a row number that stays the same in every pass: written once, read by all."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _all_passes(docs: DataFrame, blocks, window: int) -> DataFrame:
+    """Hits of each row of numbered documents in all blocks; the driver holds one block at a time."""
+    source = docs.select(ROW, "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    every = None
+    for block in blocks:
+        found, shared = _pass(source, block, window)
+        done = stored(found if every is None else found.where(F.size("starts") > 0), "hits")
+        every = done if every is None else every.unionByName(done)
+        shared.destroy()
+    return every.groupBy(ROW).agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
+        F.flatten(F.collect_list("ends")).alias("ends"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    ).mapInArrow(_united, f"{ROW} long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Hit words of each document: doc_id, n_words, starts, ends (disjoint word ranges), items (sorted ids as text).
 
-    doc_id is expected to be unique; repeated rows stay separate with one block and are
-    folded into one row with several. Null or empty texts have no words and no hits; null or
-    empty items are ignored; an empty benchmark hits nothing. Other columns are ignored.
+    Every row is judged on its own, rows without doc_id and repeated ids included. Null or empty
+    texts have no words and no hits; null or empty items are ignored; an empty benchmark hits
+    nothing. Other columns are ignored.
     """
-    source = ids_and_bytes(docs)
-    passes = [_pass(source, b, window) for b in item_blocks(benchmark, block_words)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("ends")).alias("ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).mapInArrow(_united, "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>")
+    first, second, rest = _first_blocks(benchmark, block_words)
+    if second is None:
+        return _pass(ids_and_bytes(docs), first, window)[0]
+    return _all_passes(_numbered(docs.select("doc_id", "text")), chain((first, second), rest), window).drop(ROW)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -251,12 +276,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
     Keeps the columns of `docs`. The bytes from the first to the last word of each hit range
     are cut. Documents without hits, null and empty ones included, pass unchanged.
     """
-    blocks = list(item_blocks(benchmark, block_words))
-    out = docs
-    if len(blocks) > 1:  # several automata: spans are found first and joined to the texts by id
-        found = find_leaks(docs, benchmark, window, block_words).where(F.size("starts") > 0)
-        out = docs.join(found.select("doc_id", F.struct("n_words", "starts", "ends").alias("_hit")), "doc_id", "left")
-    shared = None if len(blocks) > 1 else docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(blocks[0], window))
+    first, second, rest = _first_blocks(benchmark, block_words)
+    out, shared = docs, None
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(first, window))
+    else:  # several automata: spans are found first and joined to the texts by row number
+        numbered = _numbered(docs)
+        found = _all_passes(numbered, chain((first, second), rest), window).where(F.size("starts") > 0)
+        out = numbered.join(found.select(ROW, F.struct("n_words", "starts", "ends").alias("_hit")), ROW, "left")
 
     def run(batches):
         for b in batches:
@@ -279,7 +306,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
                         last = at[e - 1, 1]
                     t = b"".join([*pieces, raw[last:]]).decode()
                 new.append(t)
-            cols = {n: b.column(n) for n in b.schema.names if n != "_hit"} | {"text": pa.array(new, pa.string())}
+            cols = {n: b.column(n) for n in b.schema.names if n not in (ROW, "_hit")} | {"text": pa.array(new, pa.string())}
             yield pa.RecordBatch.from_pydict(cols).filter(pa.array(keep, pa.bool_()))
 
     return out.mapInArrow(run, docs.schema)

@@ -285,6 +285,18 @@ def test_leaks(spark):
     assert not decontaminate.leak_report(frame(spark, rows), bench.limit(0)).where("contaminated").count()
 
 
+def test_leaks_of_rows_with_the_same_or_no_id(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    bench = spark.createDataFrame([(1, item), (2, "Short, one!"), (12, "v " + item)], "item_id long, text string")
+    rows = [(None, "a short one b c d"), (None, "p q r"), (None, "x " + item), (None, None), (4, "s t u v short one"), (4, "short one a b c"), (4, "short one a b c")]
+    as_text = [F.col(c).cast("string") for c in ("doc_id", "n_words", "starts", "ends", "items")]
+    several, one = (sorted(map(str, decontaminate.find_leaks(frame(spark, rows), bench, block_words=n).select(*as_text).collect())) for n in (5, 1000))
+    assert several == one and len(one) == len(rows)
+    for size in (5, 1000):
+        kept = sorted(map(str, ((r.doc_id, r.text) for r in decontaminate.clean(frame(spark, rows), bench, block_words=size).collect())))
+        assert kept == sorted(map(str, [(None, "a  b c d"), (None, "p q r"), (None, None), (4, "s t u v "), (4, " a b c"), (4, " a b c")]))
+
+
 # byte-level BPE
 
 def test_bpe_equals_tiktoken(spark, sample):
