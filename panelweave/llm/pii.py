@@ -3,7 +3,8 @@
 Entities are found by pattern. Each distinct one (type and normal form) gets a surrogate from a
 keyed hash of it: letters stay letters of their script and case, digits stay digits, names keep
 their gender's ending, cards their check digit. Collisions with other surrogates or with
-any original are found by joins and drawn again, until all are distinct. The same entity has one
+any original are found by joins and drawn again, until all are distinct; where forms of the same
+length run out, they get one letter or digit longer with each further round. The same entity has one
 surrogate everywhere, so mentions of it still belong together.
 """
 
@@ -13,6 +14,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -21,6 +23,8 @@ from panelweave.llm.common import columns, stored
 
 #: Entity counts up to this number are broadcast with their documents; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rounds in which surrogates keep the length of the original; those of later rounds get longer.
+SAME_LENGTH = 16
 
 # Titles by gender (fixed values).
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин")
@@ -96,13 +100,30 @@ def _letter(c: str, s: _Stream) -> str:
     elif script == "HANGUL":
         new = chr(0xAC00 + s.below(11172))
     else:
-        new = c
-    return new.upper() if c.isupper() else new
+        near = _near(c) if c.isalpha() else c
+        new = near[s.below(len(near))]
+    return new.upper() if c.isupper() and len(new.upper()) == 1 else new
+
+
+@lru_cache(4096)
+def _near(c: str) -> str:
+    """Letters of the script, case and block of 64 code points of a letter; Latin ones if it is alone there."""
+    at = ord(c) & ~63
+    alike = [x for x in map(chr, range(at, at + 64)) if x.isalpha() and _script(x) == _script(c)
+             and unicodedata.category(x) == unicodedata.category(c) and (x.casefold() == x or c.casefold() != c)]
+    return "".join(alike) if len(alike) > 1 else _RANGES["LATIN"]
 
 
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
-    """Surrogate of a normal form, itself a normal form of the same kind and length (hex secrets stay hex)."""
+    """Surrogate of a normal form, itself a normal form of the same kind and length (hex secrets stay hex).
+
+    From attempt SAME_LENGTH on, names, the local part of addresses, secrets and phones get longer by one sign with
+    each attempt, and the numbers of an IP address may have other lengths; cards have at least 10^10 forms.
+    """
     s = _Stream(key, kind, normal, attempt)
+    extra = max(0, attempt - SAME_LENGTH + 1)
+    if kind == "ip" and extra:
+        return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "ip":
         low = {1: (1, 9), 2: (10, 99), 3: (100, 254)}
         return ".".join(str(low[len(p)][0] + s.below(low[len(p)][1] - low[len(p)][0] + 1)) for p in normal.split("."))
@@ -113,17 +134,18 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
                 return new[:-1] + d
         return new
     if kind == "phone":
-        return normal[: len(normal) - 7] + "".join(str(s.below(10)) for _ in normal[-7:]) if len(normal) > 7 else "".join(str(s.below(10)) for _ in normal)
+        return normal[: max(0, len(normal) - 7)] + "".join(str(s.below(10)) for _ in range(min(7, len(normal)) + extra))
     if kind == "email":
         local, domain = normal.split("@", 1)
         host, top = domain.rsplit(".", 1)
-        return "".join(_char(c, s) for c in local) + "@" + "".join(_char(c, s) for c in host) + "." + top
+        return "".join(_char(c, s) for c in local + "a" * extra) + "@" + "".join(_char(c, s) for c in host) + "." + top
     if kind == "secret":
         hexed = re.fullmatch("[0-9a-f]+", normal)
-        return "".join("0123456789abcdef"[s.below(16)] for _ in normal) if hexed else "".join(_char(c, s) for c in normal)
+        return "".join("0123456789abcdef"[s.below(16)] for _ in range(len(normal) + extra)) if hexed else "".join(_char(c, s) for c in normal + "a" * extra)
     vowels, others = "aeiou", "bdklmnrstv"
     out = []
-    for word in normal.split(" "):
+    for k, word in enumerate(normal.split(" ")):
+        word += word[0] * extra if k == 0 else ""
         if _script(word[0]) != "LATIN":
             out.append("".join(_letter(c, s) for c in word))
             continue
@@ -145,14 +167,20 @@ def render(found: str, kind: str, new: str) -> str:
     """The surrogate in the format of a mention: its punctuation for numbers, its case for letters."""
     if kind in ("card", "phone"):
         digits = iter(new)
-        return "".join(next(digits, c) if c.isdigit() else c for c in found)
+        return "".join([next(digits, c) if c.isdigit() else c for c in found] + list(digits))
     if kind in ("email", "male", "female") and len(new) == len(found):
         return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(found, new))
+    if kind in ("male", "female"):  # longer than the mention: the case of the last letter goes on
+        return " ".join("".join(n.upper() if a[min(i, len(a) - 1)].isupper() and len(n.upper()) == 1 else n for i, n in enumerate(b))
+                        for a, b in zip(found.split(" "), new.split(" ")))
     return new
 
 
 def _assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, normal, new): all surrogates of a kind are distinct, and none is an original."""
+    """(kind, normal, new): all surrogates of a kind are distinct, and none is an original.
+
+    Rounds go on until every entity has one: the forms to draw from grow with each round after SAME_LENGTH.
+    """
     def run(batches):
         for kind, normal, attempt in columns(batches, "kind", "normal", "attempt"):
             yield pa.RecordBatch.from_pydict({
@@ -171,8 +199,6 @@ def _assign(entities: DataFrame, key: bytes) -> DataFrame:
         if left.isEmpty():
             return done
         waiting, taken, attempt = left, taken.unionByName(won.select("kind", "new")), attempt + 1
-        if attempt > 64:
-            raise RuntimeError("no free surrogates are left for some entities")
 
 
 def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:

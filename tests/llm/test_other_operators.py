@@ -83,6 +83,18 @@ def test_surrogates_stay_distinct(spark):
     assert len(table) == len(new) == len(ips) and not new & set(ips)
 
 
+def test_surrogates_never_run_out(spark):
+    names = ["Li", "Wu", "Xu", "Hu", "Lu", "Ma", "He", "Yu", "Su", "Du", "Fu", "Gu"]
+    rows = [(i, f"Ms {n} was there.") for i, n in enumerate(names)] + [(20, "Mr Արամ and Mr 𝐌𝐚𝐧 and Mr Ａｂｃ")]
+    found = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()}
+    new = [re.fullmatch(r"Ms ([A-Z][a-z]+) was there\.", found[i].text)[1] for i in range(len(names))]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+    other = re.fullmatch(r"Mr (\w+) and Mr (\w+) and Mr (\w+)", found[20].text).groups()
+    assert [pii._script(x[0]) for x in other] == ["ARMENIAN", "MATHEMATICAL", "FULLWIDTH"] and found[20].n_entities == 3
+    assert all(x not in rows[-1][1] for x in other)
+    assert pii.render("+1 23 45", "phone", "1986754") == "+1 98 6754"
+
+
 def test_license_scan(spark):
     rnd = random.Random(1)
     noise = lambda n: " ".join(rnd.choice(["alpha", "of", "the", "under", "stone"]) + str(rnd.randint(0, 9)) for _ in range(n))
