@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.llm import bpe, decontaminate, licenses, lines, pii, quality, similarity, suffix_dedup, toxicity, url_filter
+from panelweave.llm import (alignment, bpe, decontaminate, licenses, lines, packing, pii, quality, similarity, suffix_dedup,
+                            toxicity, url_filter)
 from panelweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 4096 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096, keep_ids=False)
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a byte-level and a piece tokenizer align on every document."""
+    return alignment.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
