@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.llm import (alignment, bpe, decontaminate, licenses, lines, packing, pii, quality, similarity, suffix_dedup,
+from panelweave.llm import (alignment, bpe, collocations, decontaminate, licenses, lines, packing, pii, quality, similarity, suffix_dedup,
                             toxicity, url_filter)
 from panelweave.llm.common import table
 
@@ -96,6 +96,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096, keep_ids=False)
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of 2 to 3 words of each language by cohesion."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, cover=50, top=2000).drop("path_words")
+
+
+ORACLES["op12_collocations"] = collocations.ORACLE
+
+
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a byte-level and a piece tokenizer align on every document."""
