@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelweave.llm.common import columns, stored
 
 #: Words kept in a task's memo, and the longest word that enters it.
-MEMO, MEMO_WORD = 300_000, 64
+MEMO, MEMO_WORD = 600_000, 64
 #: Characters encoded at a time.
 BLOCK = 1 << 20
 _CLOSING = frozenset(".,;:!?")
@@ -38,7 +38,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
@@ -46,6 +46,11 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.type = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        # Latin words in lower case pass by the normaliser: their model alone, on their bytes as its vocabulary writes them
+        self.latin = Tokenizer(self.library.model)
+        self.latin.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {c: c for c in shown} | {c: 256 + k for k, c in enumerate(sorted({*range(256)} - {*shown}))}
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -59,32 +64,33 @@ class WordEncoder:
         for w in words:
             base = w[:-1] if w[-1:] in _CLOSING and w[-2:-1].isalpha() else w
             if base.isalpha():
-                base = base.lower() if base.isascii() else base
+                latin = base.isascii() or (max(base) < "\u0180" and "\u0130" not in base)  # one letter in lower case for each
+                if latin:
+                    base = base.lower()
                 if base not in memo:
-                    (plain if base.lower().isalpha() else other).add(base)
+                    (plain if latin else other).add(base)
             elif base not in memo:
                 other.add(base)
             if base != w:
                 parts.append((w, base, w[len(base):]))
         other.update(_CLOSING - memo.keys())
-        self._encode_letters(list(plain))
-        other = [*other, *(plain - memo.keys())]
+        self._learn_latin(list(plain))
+        other = list(other)
         for x, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
             memo[x] = np.array(e.ids, self.type).tobytes()
         for w, base, tail in parts:
             memo[w] = memo[base] + memo[tail] if tail else memo[base]
 
-    def _encode_letters(self, words: list[str]) -> None:
-        """Words of letters only, together: each ends at the next id that closes a word."""
+    def _learn_latin(self, words: list[str]) -> None:
+        """Words of Latin letters in lower case, many at a time: each ends at the next id that closes a word."""
         for a in range(0, len(words), 1000):
             some = words[a : a + 1000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.type)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):  # else the library saw other words; they are encoded one by one
-                raw, size, at = ids.tobytes(), self.type.itemsize, 0
-                for w, end in zip(some, (ends * size).tolist()):
-                    self.memo[w] = raw[at:end]
-                    at = end
+            text = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some])
+            ids = np.array(self.latin.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            raw, size, at = ids.tobytes(), self.type.itemsize, 0
+            for w, end in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist(), strict=True):
+                self.memo[w] = raw[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""

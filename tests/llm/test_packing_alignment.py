@@ -16,7 +16,8 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\n \t", "one", "A<|endoftext|>b <|endoftext|>. <|ENDOFTEXT|>!", "Don't STOP. I'll go on,now...ok?!", "Ünïcode Straße. ŒUVRE, naïve?",
        "İstanbul. İ ﬁ Å ǅ", "é café. á,", "漢字かな交じり文。テスト", "한국어 각", "12345 3.14, v2.0;", "tab\tsep\r\nline\x0bfeed\x1cx", "Σοφός ΟΔΟΣ.",
-       "x" * 500, ("long " * 3000).strip(), "🙂🙃 ok", "  double  blanks  ", "▁under ▁", "<0x41> <s> </s> <unk>", "﻿bom", "a\x00b"]
+       "x" * 500, ("long " * 3000).strip(), "🙂🙃 ok", "  double  blanks  ", "▁under ▁", "<0x41> <s> </s> <unk>", "﻿bom", "a\x00b",
+       "ŒUVRE Ÿ ŠŽ ſſ ŉ ß ĳ Ĳ ĸ Ŀ ŀ ªº µ ÅÅ Ǆ Ɓ", "Ünïcode. Ñandú, ǆ."]
 
 
 @pytest.fixture(scope="module")
