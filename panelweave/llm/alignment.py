@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -23,10 +24,16 @@ from panelweave.llm.common import columns, stored
 BLOCK = 1 << 18
 #: Id pairs up to this number (16 bytes each) are broadcast; more are sent to the tasks that ask for them.
 BROADCAST_PAIRS = 4_000_000
+#: Words of A kept in a worker's memo, and the longest word that enters it.
+MEMO, MEMO_WORD = 400_000, 64
 #: Links of a matrix product made at a time where a group may be large.
 PRODUCT = 1 << 20
 
 
+_WIDE = re.compile(r"\s\s")
+_CLOSING = frozenset(".,;:!?")
+
+
 class Csr(NamedTuple):
     """Compressed sparse rows: row i has the columns indices[indptr[i]:indptr[i + 1]], with their values."""
 
@@ -82,7 +89,7 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import sentencepiece
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -97,6 +104,12 @@ class Tokenizers:
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         self.sizes_a, self.sizes_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
         self.type = np.dtype("<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4")
+        # words of letters pass by the pre-tokenizer: the model of A alone, on their bytes as its vocabulary writes them
+        self.model_a = Tokenizer(self.a.model)
+        self.model_a.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for c, b in raw.items()}
+        self.starts_word = np.array([b[:1] == b" " for b in self.bytes_a])
+        self.memo: dict[str, bytes] = {}
         # decimal ids with each separator, for the groups' text: padded with zero bytes that are deleted at the end
         n = max(len(self.bytes_a), len(self.bytes_b))
         self.shown = np.array([b"%d%s" % (i, s) for s in (b",", b"|", b";") for i in range(n)])
@@ -110,16 +123,57 @@ class Tokenizers:
             cls._HELD[key] = cls(*key)
         return cls._HELD[key]
 
+    def _learn(self, words: set[str]) -> None:
+        """Ids of a blank and each word by A; a closing mark behind a letter is a token of its own."""
+        memo, parts, plain, other = self.memo, [], set(), set()
+        for w in words:
+            base = w[:-1] if w[-1:] in _CLOSING and w[-2:-1].isalpha() else w
+            if base not in memo:
+                (plain if base.isalpha() else other).add(base)
+            if base is not w:
+                parts.append((w, base, w[-1]))
+        plain, other = list(plain), list(other)
+        size = self.type.itemsize
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            text = " ".join([(" " + w).encode().decode("latin-1").translate(self.letters) for w in some])
+            ids = np.array(self.model_a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            raw, first = ids.tobytes(), (np.flatnonzero(self.starts_word[ids]) * size).tolist()
+            for w, x, y in zip(some, first, [*first[1:], len(raw)], strict=True):
+                memo[w] = raw[x:y]
+        for w, e in zip(other, self.a.encode_batch_fast([" " + w for w in other], add_special_tokens=False)):
+            memo[w] = np.array(e.ids, self.type).tobytes()
+        for w, base, mark in parts:
+            memo[w] = memo[base] + self.marks[mark]
+
+    def encode_a(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of space + text by A.
+
+        Where no two characters of white space meet, a token never reaches over a blank that separates words, so
+        the ids are those of its words, one after the other, from a memo. Other texts are encoded as they are.
+        """
+        if not hasattr(self, "marks"):
+            self.marks = {m: np.array(self.a.encode(m, add_special_tokens=False).ids, self.type).tobytes() for m in _CLOSING}
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        words = [None if _WIDE.search(t) or t[:1].isspace() else t.split(" ") for t in texts]
+        missing = set().union(*[w for w in words if w]) - self.memo.keys()
+        self._learn(missing)
+        whole = iter(self.a.encode_batch_fast([" " + t for t, w in zip(texts, words) if w is None], add_special_tokens=False))
+        out = [b"".join(map(self.memo.__getitem__, w)) if w is not None else np.array(next(whole).ids, self.type).tobytes() for w in words]
+        for w in missing:
+            if len(w) > MEMO_WORD:
+                del self.memo[w]
+        return out
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids of each text by A and B; none where a text is empty or the joined token bytes differ from space + text."""
-        spaced = [" " + t for t in texts]
-        found = self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)
         out_a, out_b = [], []
-        for t, x, y in zip(spaced, *found):
-            x, raw = x.ids, t.encode()
-            ok = len(t) > 1 and b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y))
-            out_a.append(np.array(x if ok else [], self.type).tobytes())
-            out_b.append(np.array(y if ok else [], self.type).tobytes())
+        for t, x, y in zip(texts, self.encode_a(texts), self.b.encode(texts, num_threads=1)):
+            raw = (" " + t).encode()
+            ok = t and b"".join(map(self.bytes_a.__getitem__, np.frombuffer(x, self.type).tolist())) == raw == b"".join(map(self.bytes_b.__getitem__, y))
+            out_a.append(x if ok else b"")
+            out_b.append(np.array(y, self.type).tobytes() if ok else b"")
         return out_a, out_b
 
 

@@ -148,6 +148,13 @@ def brute_alignment(rows):
     return Counter(out), docs
 
 
+def test_memo_of_a_equals_the_library(sample):
+    both = alignment.Tokenizers.of(A, B)
+    texts = [t for t in ODD if t] + ["a b", "a  b", "a\nb c", "a \nb", "a\u00a0b c", " a", "a ", "x\u3000 y", "don't we'll x's 's", "é. É! ñ?", "e\u0301, a", "ａ. ｂ"] + [t or "" for _, t in sample]
+    want = [np.array(e.ids, both.type).tobytes() for e in both.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert both.encode_a(texts) == want and [both.encode_a([t])[0] for t in texts] == want
+
+
 def test_alignment(spark, sample):
     rows = [(-1 - i, t) for i, t in enumerate(ODD) if len(t or "") < 2000] + sorted(sample, key=lambda r: len(r[1] or ""))[:90] + [(5, "twin"), (5, "twin"), (None, "none"), (None, None)]
     want, docs = brute_alignment(rows)
