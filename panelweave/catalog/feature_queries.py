@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from panelweave.catalog.filter_queries import agent, latest_signal
 from panelweave.catalog.registry import SHARED_SQL, query
-from panelweave.catalog.window_queries import PANEL_FEATURES, PW, panel
+from panelweave.catalog.window_queries import PANEL_FEATURES, PW, panel, panel_gaps
 from panelweave.functions import dates, rules as R, text as X2
 from panelweave.operators import aggregates as A, features as M, windows as X
 from panelweave.plans import screening as S
@@ -47,14 +49,24 @@ def _(t):
 _STAT_SQL = ", ".join(f"lag({c}) {PW} AS {c}_last, avg({c}) OVER f AS {c}_mean, stddev_pop({c}) OVER f AS {c}_std" for c in _F)
 
 
-@query("training_matrix", "ticker:s date:d qid:i label:f " + " ".join(f"{n}:f5" for n in M.feature_names(_F)), f"""
+_MATRIX_COLS = "ticker:s date:d qid:i label:f " + " ".join(f"{n}:f5" for n in M.feature_names(_F))
+_MATRIX_SQL = f"""
 SELECT m.*, year(m.date) * 10000 + month(m.date) * 100 + day(m.date) AS qid, ((xs - open) / open - beta_prev * ((xm - spy_open) / spy_open)) * 100 AS label FROM (
  SELECT ticker, date, {_STAT_SQL} FROM scaled WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) m
-JOIN labelled l ON l.ticker = m.ticker AND l.date = m.date WHERE l.rn > 60 AND full20 AND open > 0 AND spy_open > 0""")
+JOIN labelled l ON l.ticker = m.ticker AND l.date = m.date WHERE l.rn > 60 AND full20 AND open > 0 AND spy_open > 0"""
+SHARED_SQL["scaled_gaps"] = re.sub(r"\bfeatures\b", "features_gaps", SHARED_SQL["scaled"])
+
+
+@query("training_matrix", _MATRIX_COLS, _MATRIX_SQL)
 def _(t):
     return M.training_matrix(panel(t), _F, burn_in=BURN_IN)
 
 
+@query("training_matrix_gaps", _MATRIX_COLS, re.sub(r"\b(scaled|labelled)\b", r"\1_gaps", _MATRIX_SQL))
+def _(t):
+    return M.training_matrix(panel_gaps(t), _F, burn_in=BURN_IN)
+
+
 @query("pca_28", "vec_id:i components:i finite:b")
 def _(t):
     v = M.scale_vectors(t.vectors, 64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W, functions as F
 
 from panelweave.catalog.registry import SHARED_SQL, query
@@ -121,7 +123,56 @@ SELECT ticker, date, {_fold("vs", "0.1e0", "0.9e0")} AS smooth FROM (SELECT tick
 def _(t):
     w = W.partitionBy("ticker").orderBy("date")
     pos = t.bars.withColumn("_pos", F.row_number().over(w) - 1)
-    return X.add_ewma(pos, {"smooth": X.Ewma("volume", 0.1)})
+    return X.add_ewma_present(pos, {"smooth": X.GapEwma("volume", 0.1)})
+
+
+# The panel with holes: every 17th close of even tickers and every 211th of odd ones is missing, and one is NaN.
+SHARED_SQL["panel_gaps"] = f"""
+SELECT * REPLACE (CASE WHEN isnan(close) THEN NULL ELSE close END AS close, CASE WHEN i % 17 = 0 THEN NULL ELSE volume END AS volume) FROM (
+ SELECT * REPLACE (CASE WHEN i % CASE WHEN ticker_id % 2 = 0 THEN 17 ELSE 211 END = 0 THEN NULL WHEN ticker_id = 1 AND i = 20 THEN CAST('NaN' AS DOUBLE) ELSE close END AS close)
+ FROM (SELECT *, row_number() {PW} AS i FROM panel))"""
+
+
+def panel_gaps(t):
+    i, n = F.row_number().over(W.partitionBy("ticker").orderBy("date")), F.when(F.col("ticker_id") % 2 == 0, 17).otherwise(211)
+    hole = F.when((F.col("ticker_id") == 1) & (F.col("i") == 20), float("nan")).when(F.col("i") % n != 0, F.col("close"))
+    return panel(t).withColumn("i", i).withColumns({"close": hole, "volume": F.when(F.col("i") % 17 != 0, F.col("volume"))}).drop("i")
+
+
+def _gaps(x: str, alpha: str) -> str:
+    """Fold of the present values: g rows after the last one, q^g of the old mean meets alpha of the new value."""
+    q = f"power(1 - {alpha}, g)"
+    e = f"{{'a': coalesce({q} / ({q} + {alpha}), 0), 'v': {x} * coalesce({alpha} / ({q} + {alpha}), 1)}}"
+    return f"list_reduce(list({e}) FILTER ({x} IS NOT NULL) {PW}, lambda s, e: {{'a': e.a, 'v': e.a * s.v + e.v}}).v"
+
+
+def _since(x: str) -> str:
+    return f"i - max(CASE WHEN {x} IS NOT NULL THEN i END) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g"
+
+
+@query("rsi_14_gaps", "ticker:s date:d rsi_14:f", f"""
+SELECT ticker, date, coalesce(CASE WHEN k >= 14 AND l <> 0 THEN 100 - 100 / (1 + u / l) END, 50) AS rsi_14 FROM (
+ SELECT ticker, date, count(d) {PW} AS k, {_gaps("greatest(d, d * 0)", "(1/14e0)")} AS u, {_gaps("greatest(-d, d * 0)", "(1/14e0)")} AS l
+ FROM (SELECT *, {_since("d")} FROM (SELECT ticker, date, i, close - lag(close) {PW} AS d FROM panel_gaps)))""")
+def _(t):
+    return X.rsi(panel_gaps(t))
+
+
+@query("macd_12_26_9_gaps", "ticker:s date:d macd_line:f macd_hist:f macd_signal:f", f"""
+SELECT ticker, date, coalesce(m, 0) AS macd_line, coalesce(m - s, 0) AS macd_hist, coalesce(s, 0) AS macd_signal FROM (
+ SELECT ticker, date, m, CASE WHEN count(m) {PW} >= 9 THEN {_gaps("m", "0.2e0")} END AS s FROM (
+  SELECT *, {_since("m")} FROM (
+   SELECT ticker, date, i, CASE WHEN count(close) {PW} >= 26 THEN {_gaps("close", "(2/13e0)")} - {_gaps("close", "(2/27e0)")} END AS m
+   FROM (SELECT *, {_since("close")} FROM panel_gaps))))""")
+def _(t):
+    return X.macd(panel_gaps(t))
+
+
+@query("grouped_series_gaps", "ticker:s date:d smooth:f", f"""
+SELECT ticker, date, {_gaps("volume", "0.1e0")} AS smooth FROM (SELECT *, {_since("volume")} FROM panel_gaps)""")
+def _(t):
+    pos = panel_gaps(t).withColumn("_pos", F.row_number().over(W.partitionBy("ticker").orderBy("date")) - 1)
+    return X.add_ewma_present(pos, {"smooth": X.GapEwma("volume", 0.1)})
 
 
 SHARED_SQL["betas"] = f"""
@@ -179,6 +230,25 @@ def _(t):
     return X.window_stats(X.feature_transform(panel(t), PANEL_FEATURES), _STATS).where("_hist = 60")
 
 
+# The same sub-queries over the panel with holes.
+for _name in ("betas", "labelled", "features"):
+    SHARED_SQL[f"{_name}_gaps"] = re.sub(r"\b(panel|betas)\b", r"\1_gaps", SHARED_SQL[_name])
+
+
+@query("rolling_beta_60_gaps", "ticker:s date:d beta:f", "SELECT ticker, date, beta FROM betas_gaps")
+def _(t):
+    return X.rolling_beta(panel_gaps(t))
+
+
+@query("window60_features_gaps", "ticker:s date:d close_last:f close_mean:f close_std:f volume_mean:f volume_std:f", f"""
+SELECT ticker, date, lag(close) {PW} AS close_last, avg(close) OVER f AS close_mean, stddev_pop(close) OVER f AS close_std,
+ avg(volume) OVER f AS volume_mean, stddev_pop(volume) OVER f AS volume_std
+FROM panel_gaps WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) QUALIFY count(*) OVER f = 60""")
+def _(t):
+    s = X.window_stats(panel_gaps(t), ["close", "volume"]).where("_hist = 60")
+    return s.withColumn("close_last", X.N.finite(F.col("close_last")))
+
+
 @query("window60_sequences", "ticker:s date:d n_rows:i n_cols:i first_close:f last_close:f", """
 SELECT ticker, date, 60 AS n_rows, 2 AS n_cols, CAST(lag(close, 60) OVER w AS FLOAT) AS first_close, CAST(lag(close, 1) OVER w AS FLOAT) AS last_close
 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date) QUALIFY row_number() OVER w > 60""")

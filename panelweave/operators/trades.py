@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelweave.functions import numeric as N, rules as R
 from panelweave.operators import filters as P, joins as J, ordering as O, windows as X
+from panelweave.operators.frames import add_doubling_moments, frame_moments
 from panelweave.session import shared_root
 
 KEYS = ("date", "ticker")
@@ -215,22 +216,41 @@ def _anchors(entries: DataFrame, mode: str) -> DataFrame:
     raise ValueError(mode)
 
 
-def capm_beta(anchors: DataFrame, shared: DataFrame, market_days: DataFrame, lookback: int = 252) -> DataFrame:
-    """Beta from the shared price days among the last lookback+1 rows of stock and of market up to each anchor.
+def with_shared_days(pos: DataFrame, market: DataFrame, lookback: int = 252) -> DataFrame:
+    """Stock rows (from positions) next to what they share with the benchmark.
 
-    NULL with fewer than 30 shared rows or no market variance. Each anchor looks
-    up at most lookback+1 rows by an equi join on the row position.
+    Adds `shared` (0/1), `spos` (shared rows up to here), `window` (shared rows among the last lookback + 1 rows of both
+    stock and market), and `before`, `after`: prices (close, spy_close) of the last shared row up to here and of the first from here on.
     """
-    a = J.asof(anchors, market_days, [], "entry_date", "date", ["mpos"])
-    a = a.select("ticker", F.col("rn").alias("anchor_rn"), F.col("mpos").alias("_hi"),
-                 F.explode(F.sequence(F.greatest(F.col("rn") - lookback, F.lit(1)), "rn")).alias("rn"))
-    rows = a.join(shared.select("ticker", "rn", "close", "spy_close", "mpos"), ["ticker", "rn"])
-    rows = rows.where(F.col("mpos") > F.col("_hi") - (lookback + 1))
-    w = W.partitionBy("ticker", "anchor_rn").orderBy("rn")
-    rows = rows.withColumns({"_s": N.change(F.col("close"), F.lag("close").over(w)),
-                             "_m": N.change(F.col("spy_close"), F.lag("spy_close").over(w))})
-    g = rows.groupBy("ticker", "anchor_rn").agg(F.count("*").alias("_n"), F.covar_samp("_s", "_m").alias("_c"), F.var_samp("_m").alias("_v"))
-    return g.select("ticker", "anchor_rn", F.when((F.col("_n") >= 30) & (F.col("_v") > 0), N.ratio(F.col("_c"), F.col("_v"))).alias("capm_beta"))
+    days = market.where(F.col("spy_close").isNotNull()).select("date", "spy_close")
+    days = days.withColumn("mpos", F.row_number().over(W.partitionBy().orderBy("date"))).withColumn("_md", F.col("date"))
+    known = J.asof(pos.select("date").distinct(), days, [], "date", "date", ["mpos", "_md", "spy_close"], unique_left=True)
+    d = pos.join(known, "date").withColumn("shared", (F.coalesce(F.col("_md") == F.col("date"), F.lit(False))).cast("bigint"))
+    pair = F.when(F.col("shared") == 1, F.struct("close", "spy_close"))
+    w = W.partitionBy("ticker").orderBy("rn")
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumns({"spos": F.sum("shared").over(run), "before": F.last(pair, ignorenulls=True).over(run)})
+    far = W.partitionBy("ticker").orderBy("mpos").rangeBetween(W.unboundedPreceding, -(lookback + 1))
+    d = d.withColumns({"_old": F.coalesce(F.lag("spos", lookback + 1).over(w), F.lit(0)), "_far": F.coalesce(F.sum("shared").over(far), F.lit(0))})
+    d = d.withColumn("after", F.last(pair, ignorenulls=True).over(W.partitionBy("ticker").orderBy(F.desc("rn")).rowsBetween(W.unboundedPreceding, 0)))
+    return d.withColumn("window", F.col("spos") - F.greatest("_old", "_far")).drop("_old", "_far", "_md", "mpos")
+
+
+def capm_beta(anchors: DataFrame, shared_rows: DataFrame, lookback: int = 252) -> DataFrame:
+    """Beta from the shared price days among the last lookback+1 rows of stock and of market up to each anchor (ticker, rn).
+
+    NULL with fewer than 30 shared rows or no market variance. `shared_rows` comes from :func:`with_shared_days`. The returns of a
+    window are a frame of `window` - 1 shared rows, whose moments a handful of lookups give.
+    """
+    w = W.partitionBy("ticker").orderBy("spos")
+    own = shared_rows.where("shared = 1").select("ticker", "spos", "close", "spy_close")
+    own = own.select("ticker", "spos", N.change(F.col("close"), F.lag("close").over(w)).alias("_s"),
+                     N.change(F.col("spy_close"), F.lag("spy_close").over(w)).alias("_m"))
+    levels = add_doubling_moments(own, "_s", "_m", lookback, "ticker", "spos")
+    at = anchors.select("ticker", "rn").distinct().join(shared_rows.select("ticker", "rn", "spos", "window"), ["ticker", "rn"])
+    at = at.where("window >= 30").select("ticker", F.col("rn").alias("anchor_rn"), "spos", (F.col("window") - 1).alias("len"))
+    m = frame_moments(at, levels, "spos", "len", "ticker", "spos")
+    return m.select("ticker", "anchor_rn", F.when((F.col("n") > 1) & (F.col("m2y") > 0), F.col("c") / F.col("m2y")).alias("capm_beta"))
 
 
 def forward_tracker(signals: DataFrame, bars: DataFrame, market: DataFrame, hold: int = 20, capital: float = 1000.0,
@@ -248,24 +268,22 @@ def forward_tracker(signals: DataFrame, bars: DataFrame, market: DataFrame, hold
     shared_root(entries.sparkSession)
     entries = entries.checkpoint()
     t = X.holding_exit(entries, hold).withColumn("entry_price", F.coalesce(N.positive(F.col("current_price")), F.col("_close")))
-    ends = pos.select("ticker", F.col("rn").alias("exit_rn"), F.col("date").alias("exit_date"), F.col("close").alias("exit_price"))
+    rows = with_shared_days(pos, market, lookback)
+    start = rows.select("ticker", "rn", (F.col("spos") - F.col("shared")).alias("_from"), F.col("after").alias("_a"))
+    ends = rows.select("ticker", F.col("rn").alias("exit_rn"), F.col("date").alias("exit_date"), F.col("close").alias("exit_price"),
+                       F.col("spos").alias("_to"), F.col("before").alias("_b"))
     t = t.join(ends, ["ticker", "exit_rn"]).withColumn("trading_days_held", F.col("exit_rn") - F.col("rn"))
+    t = t.join(start, ["ticker", "rn"])
 
-    shared = J.pair_align(pos, market)
-    days = market.where(F.col("spy_close").isNotNull()).select("date")
-    days = days.withColumn("mpos", F.row_number().over(W.partitionBy().orderBy("date")))
-    betas = capm_beta(_anchors(entries, beta_mode), shared, days, lookback)
+    betas = capm_beta(_anchors(entries, beta_mode), rows, lookback)
     if beta_mode == "first_signal":
         t = t.join(betas.drop("anchor_rn"), "ticker", "left")
     else:
         t = t.join(betas.withColumnRenamed("anchor_rn", "rn"), ["ticker", "rn"], "left")
 
-    walk = t.select(*KEYS, F.explode(F.sequence("rn", "exit_rn")).alias("rn"))
-    walk = walk.join(shared.select("ticker", "rn", "close", "spy_close"), ["ticker", "rn"])
-    ends2 = walk.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.min_by(F.struct("close", "spy_close"), "rn").alias("_a"),
-                                    F.max_by(F.struct("close", "spy_close"), "rn").alias("_b"))
-    two = F.col("_n") >= 2
-    t = t.join(ends2, list(KEYS), "left").withColumns({
+    # the first and the last shared row of the holding time; one row alone gives no return
+    two = F.col("_to") - F.col("_from") >= 2
+    t = t.withColumns({
         "_sr": F.when(two, N.change(F.col("_b.close"), F.col("_a.close"))),
         "_br": F.when(two, N.change(F.col("_b.spy_close"), F.col("_a.spy_close"))),
         "_rf": F.pow(F.lit(1.0 + rf), F.greatest(F.col("trading_days_held"), F.lit(1)) / 252.0) - 1.0})

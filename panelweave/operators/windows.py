@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.functions import numeric as N
-from panelweave.operators.ewma import Ewma, add_ewma
+from panelweave.operators.ewma import Ewma, GapEwma, add_ewma, add_ewma_present  # noqa: F401
+from panelweave.operators.frames import add_frame_moments, finite_sql
 
 # Name fragments that choose the transform of a feature column.
 PCT_WORDS = ("close", "open", "high", "low", "cpi", "m2", "volume")
@@ -58,26 +59,29 @@ def feature_transform(df: DataFrame, cols: Sequence[str], bound: float | None =
 
 
 def rsi(df: DataFrame, n: int = 14, close: str = "close", key="ticker", date="date", out: str = "rsi_14") -> DataFrame:
-    """Relative strength index with Wilder smoothing; missing values and loss-free series give 50."""
-    w = by(key, date)
-    d = df.withColumns({"_pos": F.row_number().over(w) - 1, "_d": F.col(close) - F.lag(close).over(w)})
-    d = add_ewma(d, {
-        "_g": Ewma("greatest(_d, 0D)", 1.0 / n, 1, n), "_l": Ewma("greatest(-_d, 0D)", 1.0 / n, 1, n)}, key)
+    """Relative strength index with Wilder smoothing; too few changes and loss-free series give 50.
+
+    A missing close leaves no change at its row and the next; both repeat the last smoothed values.
+    """
+    at = f"OVER (PARTITION BY {key} ORDER BY {date})"
+    price = finite_sql(close)
+    d = df.selectExpr("*", f"row_number() {at} - 1 AS _pos", f"({price}) - lag({price}) {at} AS _d")
+    d = add_ewma_present(d, {"_g": GapEwma("_d * CAST(_d > 0 AS INT)", 1.0 / n, n), "_l": GapEwma("-_d * CAST(_d < 0 AS INT)", 1.0 / n, n)}, key)
     rs = N.ratio(F.col("_g"), F.col("_l"))
     return d.withColumn(out, F.coalesce(100.0 - 100.0 / (1.0 + rs), F.lit(50.0))).drop("_pos", "_d", "_g", "_l")
 
 
 def macd(df: DataFrame, close: str = "close", key="ticker", date="date", fast=12, slow=26, signal=9) -> DataFrame:
-    """Add macd_line, macd_hist and macd_signal; NULL before enough rows becomes 0."""
-    w = by(key, date)
-    d = add_ewma(df.withColumn("_pos", F.row_number().over(w) - 1), {
-        "_f": Ewma(close, 2.0 / (fast + 1), 0, fast), "_s": Ewma(close, 2.0 / (slow + 1), 0, slow)}, key)
+    """Add macd_line, macd_hist and macd_signal; 0 before enough prices are present. Rows without a price repeat the averages."""
+    at = f"OVER (PARTITION BY {key} ORDER BY {date})"
+    d = add_ewma_present(df.selectExpr("*", f"row_number() {at} - 1 AS _pos", f"{finite_sql(close)} AS _x"), {
+        "_f": GapEwma("_x", 2.0 / (fast + 1), fast), "_s": GapEwma("_x", 2.0 / (slow + 1), slow)}, key)
     d = d.withColumn("_m", F.col("_f") - F.col("_s"))
-    d = add_ewma(d, {"_sig": Ewma("_m", 2.0 / (signal + 1), slow - 1, signal)}, key)
+    d = add_ewma_present(d, {"_sig": GapEwma("_m", 2.0 / (signal + 1), signal)}, key)
     zero = F.lit(0.0)
     return d.withColumns({
         "macd_line": F.coalesce("_m", zero), "macd_hist": F.coalesce(F.col("_m") - F.col("_sig"), zero),
-        "macd_signal": F.coalesce("_sig", zero)}).drop("_pos", "_f", "_s", "_m", "_sig")
+        "macd_signal": F.coalesce("_sig", zero)}).drop("_pos", "_x", "_f", "_s", "_m", "_sig")
 
 
 def calendar_days(df: DataFrame, key="ticker", date="date") -> DataFrame:
@@ -125,39 +129,20 @@ def lag_calendar_day(df: DataFrame, cols: Sequence[str], key="ticker", date="dat
     return df.withColumns({c: F.when(fresh, F.lag(c).over(w)) for c in cols})
 
 
-def _frame_sums(df: DataFrame, exprs: dict[str, str], first: int, last: int, key: str, date: str) -> DataFrame:
-    """Add sums over the rows from `first` to `last` before the current one, as differences of running sums.
-
-    Constant work per row whatever the frame length; a sliding frame would be
-    summed anew for every row. Inputs should be centred to keep the differences
-    exact to many digits.
-    """
-    own = [f"`{c}`" for c in df.columns]
-    run = f"OVER (PARTITION BY {key} ORDER BY {date} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    at = f"OVER (PARTITION BY {key} ORDER BY {date})"
-    d = df.selectExpr("*", *[f"sum({e}) {run} AS _run_{n}" for n, e in exprs.items()])
-    upto = lambda n: f"_run_{n}" if last == 0 else f"coalesce(lag(_run_{n}, {last}) {at}, 0)"
-    return d.selectExpr(*own, *[f"{upto(n)} - coalesce(lag(_run_{n}, {first + 1}) {at}, 0) AS {n}" for n in exprs])
-
-
 def rolling_beta(df: DataFrame, close: str = "close", market: str = "spy_close", rows: int = 60, key="ticker",
                  date="date", out: str = "beta") -> DataFrame:
     """Sample covariance over variance of daily returns on the last `rows` rows, bounded to [-2, 3].
 
-    Needs `rows` pairs of returns, else 1.0; so does a frame without market moves.
+    Needs `rows` pairs of returns, else 1.0; so does a frame without market moves. A missing price leaves no
+    return at its row and the next.
     """
-    w = by(key, date)
+    at = f"OVER (PARTITION BY {key} ORDER BY {date})"
     own = [f"`{c}`" for c in df.columns if c != out]
-    d = df.withColumns({"_rs": N.change(F.col(close), F.lag(close).over(w)),
-                        "_rm": N.change(F.col(market), F.lag(market).over(w))})
-    d = d.selectExpr("*", "CAST(_rs IS NOT NULL AND _rm IS NOT NULL AS INT) AS _ok",
-                     f"CAST(NOT _rm <=> lag(_rm) OVER (PARTITION BY {key} ORDER BY {date}) AS INT) AS _mv")
-    d = _frame_sums(d, {"_n": "_ok", "_sx": "coalesce(_rs * _ok, 0D)", "_sy": "coalesce(_rm * _ok, 0D)",
-                        "_sxy": "coalesce(_rs * _rm, 0D)", "_syy": "coalesce(_rm * _rm * _ok, 0D)"}, rows - 1, 0, key, date)
-    # changes after the first row of the frame: none means a constant market return
-    d = _frame_sums(d, {"_moves": "_mv"}, rows - 2, 0, key, date)
-    beta = f"(_sxy - _sx * _sy / {rows}) / nullif(_syy - _sy * _sy / {rows}, 0D)"
-    return d.selectExpr(*own, f"CASE WHEN _n = {rows} AND _moves > 0 THEN coalesce(greatest(-2D, least(3D, {beta})), 1D) ELSE 1D END AS {out}")
+    prices = {"_px": finite_sql(close), "_pm": finite_sql(market)}
+    d = df.selectExpr("*", *[f"try_divide({e}, lag({e}) {at}) - 1 AS {n}" for n, e in prices.items()])
+    d = add_frame_moments(d, {}, rows, 0, {"_f": ("_px", "_pm")}, key, date)
+    beta = "greatest(-2D, least(3D, _f_c / nullif(_f_m2y, 0D)))"
+    return d.selectExpr(*own, f"CASE WHEN _f_n = {rows} AND _f_m2y > 0 THEN coalesce({beta}, 1D) ELSE 1D END AS {out}")
 
 
 def trailing_mean(df: DataFrame, cols: Sequence[str], rows: int = 20, key="ticker", date="date") -> DataFrame:
@@ -192,8 +177,8 @@ def forward_alpha_label(df: DataFrame, variant: str = "sequence", horizon: int =
         "_spare": F.lead(F.lit(1), horizon - 1 if live else horizon).over(w),
         "_b": F.col(beta) if live else F.lag(beta).over(w)})
     ok = (F.col(open_) > 0) & (F.col(mopen) > 0)
-    stock = N.change(F.col("_xs"), F.col(open_))
-    mkt = N.change(F.col("_xm"), F.col(mopen))
+    stock = N.finite(N.change(F.col("_xs"), F.col(open_)))
+    mkt = N.finite(N.change(F.col("_xm"), F.col(mopen)))
     d = d.where((F.col("_rn") > lookback) & F.col("_spare").isNotNull())
     if variant != "sequence":
         d = d.where(ok)
@@ -207,28 +192,18 @@ def window_stats(df: DataFrame, cols: Sequence[str], rows: int = 60, include_cur
                  key="ticker", date="date") -> DataFrame:
     """Last value, mean and population standard deviation of each column over the preceding rows.
 
-    Adds `<c>_last`, `<c>_mean`, `<c>_std`, and `_hist` with the number of rows
-    in the frame. `include_current` ends the frame at the row itself (live use).
+    Adds `<c>_last`, `<c>_mean`, `<c>_std`, and `_hist` with the number of rows in the frame. Missing values
+    (NULL, NaN, infinite) count in no mean. `include_current` ends the frame at the row itself (live use).
     """
     own = [f"`{c}`" for c in df.columns]
     at = f"OVER (PARTITION BY {key} ORDER BY {date})"
-    first, last = (rows - 1, 0) if include_current else (rows, 1)
-    # centre per key, then mean and variance follow from frame sums
-    d = df.selectExpr("*", *[f"avg({c}) OVER (PARTITION BY {key}) AS _mu_{c}" for c in cols])
-    d = d.selectExpr("*", *[f"{c} - _mu_{c} AS _z_{c}" for c in cols],
-                     *[f"CAST(NOT {c} <=> lag({c}) {at} AS INT) AS _mv_{c}" for c in cols])
-    sums = {"_hist": "1"}
-    for c in cols:
-        sums |= {f"_n_{c}": f"CAST({c} IS NOT NULL AS INT)", f"_s1_{c}": f"coalesce(_z_{c}, 0D)", f"_s2_{c}": f"coalesce(_z_{c} * _z_{c}, 0D)"}
-    d = _frame_sums(d, sums, first, last, key, date)
-    d = _frame_sums(d, {f"_mvs_{c}": f"_mv_{c}" for c in cols}, first - 1, last, key, date)
+    before = 0 if include_current else 1
+    d = add_frame_moments(df, {f"_f{i}": f"`{c}`" for i, c in enumerate(cols)}, rows, before, None, key, date)
     out = []
-    for c in cols:
-        n, s1, s2 = f"nullif(_n_{c}, 0)", f"_s1_{c}", f"_s2_{c}"
-        out += [f"{c} AS {c}_last" if include_current else f"lag({c}) {at} AS {c}_last",
-                f"_mu_{c} + {s1} / {n} AS {c}_mean",
-                f"CASE WHEN _mvs_{c} = 0 THEN {s2} / {n} * 0D ELSE sqrt(greatest({s2} / {n} - ({s1} / {n}) * ({s1} / {n}), 0D)) END AS {c}_std"]
-    return d.selectExpr(*own, "_hist", *out)
+    for i, c in enumerate(cols):
+        out += [f"`{c}` AS {c}_last" if include_current else f"lag(`{c}`) {at} AS {c}_last", f"_f{i}_mean AS {c}_mean",
+                f"sqrt(_f{i}_m2 / nullif(_f{i}_n, 0)) AS {c}_std"]
+    return d.selectExpr(*own, "_rows AS _hist", *out)
 
 
 def window_sequences(df: DataFrame, cols: Sequence[str], rows: int = 60, key="ticker", date="date") -> DataFrame:
