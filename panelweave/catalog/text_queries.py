@@ -42,49 +42,75 @@ def raw_news(t):
                          .when(k == 2, F.format_string('{"stocks": [], "tickers": ["%s"]}', F.col("ticker"))).alias("extra"))
 
 
-HIT_WORDS = ["THE", "LES", "DER", "QUE"]
+HIT_WORDS = ["THE", "LES", "DER", "QUE", "OF THE", "L'A", "DE LA"]
 # DuckDB keeps the sharp s in upper case; Spark and the original expand it
+_UP = "upper(replace(concat_ws(' ', title, content), 'ß', 'ss'))"
 _WORDS = "regexp_split_to_array(upper(replace({0}, 'ß', 'ss')), '[^\\p{{L}}\\p{{N}}_]+')"
+_W = "[\\p{L}\\p{N}_]"
+
+
+def _matches(texts: str, table: str) -> str:
+    """Leftmost-longest matches of a table (symbol, head) in texts (doc_id, u): tokens, candidates, then a fold that skips overlaps."""
+    return f"""
+SELECT DISTINCT doc_id, symbol FROM (
+ SELECT doc_id, unnest(list_reduce(list({{'s': s, 'e': e, 'out': [symbol]}} ORDER BY s), lambda a, x:
+  CASE WHEN x.s >= a.e THEN {{'s': x.s, 'e': x.e, 'out': list_concat(a.out, x.out)}} ELSE a END).out) AS symbol FROM (
+  SELECT doc_id, p AS s, max(p + length(symbol)) AS e, arg_max(symbol, length(symbol)) AS symbol FROM (
+   SELECT doc_id, tk, 1 + coalesce(sum(length(tk)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM (
+    SELECT doc_id, unnest(l) AS tk, unnest(range(len(l))) AS i FROM (
+     SELECT doc_id, regexp_extract_all(u, '{_W}+|[^\\p{{L}}\\p{{N}}_]') AS l FROM {texts})))
+  JOIN {table} ON head = tk JOIN {texts} AS full_text USING (doc_id)
+  WHERE substr(u, CAST(p AS BIGINT), length(symbol)) = symbol AND NOT regexp_matches(substr(u, CAST(p AS BIGINT) + length(symbol), 1), '{_W}')
+  GROUP BY doc_id, p) GROUP BY doc_id)"""
+
+
+SHARED_SQL["hit_words"] = f"SELECT symbol, regexp_extract(symbol, '^{_W}+') AS head FROM (SELECT unnest({HIT_WORDS!r}) AS symbol)".replace('"L\'A"', "'L''A'")
+SHARED_SQL["raw_upper"] = f"SELECT doc_id, {_UP} AS u FROM raw_news WHERE doc_id % 4 = 3"
+SHARED_SQL["raw_hits"] = _matches("raw_upper", "hit_words")
 SHARED_SQL["exploded_news"] = f"""
-SELECT DISTINCT doc_id, content, replace(upper(tk), '.', '-') AS ticker FROM (
- SELECT doc_id, content, unnest(CASE doc_id % 4 WHEN 0 THEN list_transform(string_split(regexp_replace(listed, '[\\[\\]''"]', '', 'g'), ','), lambda x: trim(x))
+SELECT DISTINCT doc_id, title, content, replace(upper(tk), '.', '-') AS ticker FROM (
+ SELECT doc_id, title, content, unnest(CASE doc_id % 4 WHEN 0 THEN list_transform(string_split(regexp_replace(listed, '[\\[\\]''"]', '', 'g'), ','), lambda x: trim(x))
   WHEN 1 THEN json_extract_string(extra, '$.stocks[*]') WHEN 2 THEN json_extract_string(extra, '$.tickers[*]')
-  ELSE CASE WHEN len(hits) > 0 THEN hits ELSE ['^GSPC'] END END) AS tk FROM (
-  SELECT *, list_filter(['THE', 'LES', 'DER', 'QUE'], lambda w: list_contains({_WORDS.format('content')}, w)) AS hits FROM raw_news))
-WHERE tk <> '' AND length(tk) <= 10"""
+  ELSE coalesce(hits, ['^GSPC']) END) AS tk FROM raw_news LEFT JOIN (SELECT doc_id, list(symbol) AS hits FROM raw_hits GROUP BY doc_id) USING (doc_id))
+WHERE tk <> ''"""
 
 
-def exploded_news(t):
-    return T.explode_tickers(raw_news(t), "listed", "extra", T.dictionary_hits(F.col("content"), HIT_WORDS))
+def hits():
+    return T.dictionary_hits(F.concat_ws(" ", "title", "content"), HIT_WORDS)
 
 
-@query("explode_tickers", "doc_id:i ticker:s", "SELECT doc_id, ticker FROM exploded_news")
+@query("explode_tickers", "doc_id:i ticker:s long_name:b", "SELECT doc_id, ticker, length(ticker) > 10 AS long_name FROM exploded_news")
 def _(t):
-    return exploded_news(t)
+    return T.explode_tickers(raw_news(t), "listed", "extra", hits())
 
 
-SHARED_SQL["vocabulary"] = f"SELECT DISTINCT w AS symbol FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM benchmark) WHERE regexp_matches(w, '^[A-Z]{{4,10}}$')"
+# Every word of two letters and more, and every pair of neighbouring words with what stands between them.
+SHARED_SQL["vocabulary"] = f"""
+SELECT symbol, regexp_extract(symbol, '^{_W}+') AS head FROM (
+ SELECT DISTINCT unnest(list_concat(regexp_extract_all(u, '{_W}{{2,}}'), regexp_extract_all(u, '{_W}+[^\\p{{L}}\\p{{N}}_]{{1,2}}{_W}+'))) AS symbol
+ FROM (SELECT upper(replace(text, 'ß', 'ss')) AS u FROM benchmark))"""
+SHARED_SQL["news_upper"] = f"SELECT doc_id, {_UP} AS u FROM news"
 
 
 def vocabulary(t):
-    return (t.raw("benchmark").select(F.explode(X.words(F.upper("text"))).alias("symbol"))
-            .where(F.col("symbol").rlike("^[A-Z]{4,10}$")).distinct())
+    up, word, other = F.upper("text"), r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    both = F.concat(F.regexp_extract_all(up, F.lit(word + "{2,}"), F.lit(0)), F.regexp_extract_all(up, F.lit(f"{word}+{other}{{1,2}}{word}+"), F.lit(0)))
+    return t.raw("benchmark").select(F.explode(both).alias("symbol")).distinct()
 
 
-@query("entity_scan", "doc_id:i symbol:s", f"""
-SELECT DISTINCT doc_id, symbol FROM (SELECT doc_id, unnest({_WORDS.format('content')}) AS w FROM news) JOIN vocabulary ON w = symbol""")
+@query("entity_scan", "doc_id:i symbol:s", _matches("news_upper", "vocabulary"))
 def _(t):
-    return T.entity_scan(t.news, vocabulary(t))
+    return T.entity_scan(t.news, vocabulary(t), title="title")
 
 
 PHRASES = (*X.MARKET_PHRASES, "tion the", "que les")
 
 
 @query("keyword_flag", "doc_id:i ticker:s is_macro:b", f"""
-WITH f AS (SELECT doc_id, ticker, ({' OR '.join(f"contains(lower(content), '{p}')" for p in PHRASES)}) AS is_macro FROM exploded_news)
+WITH f AS (SELECT doc_id, ticker, ({' OR '.join(f"contains(lower(concat_ws(' ', title, content)), '{p}')" for p in PHRASES)}) AS is_macro FROM exploded_news)
 SELECT * FROM f UNION ALL SELECT DISTINCT doc_id, '^GSPC' AS ticker, true AS is_macro FROM f WHERE is_macro AND doc_id NOT IN (SELECT doc_id FROM f WHERE ticker = '^GSPC')""")
 def _(t):
-    return T.emit_macro(T.flag_macro(exploded_news(t), phrases=PHRASES))
+    return T.explode_tickers(T.flag_macro(raw_news(t), phrases=PHRASES, title="title"), "listed", "extra", hits(), macro="is_macro")
 
 
 SHARED_SQL["doubled_news"] = "SELECT doc_id, ticker, date, title, content FROM news UNION ALL SELECT doc_id + 1000000000, ticker, date, title, content FROM news WHERE doc_id % 3 = 0"

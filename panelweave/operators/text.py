@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.functions import dates, text as X
 from panelweave.operators.ordering import top_n_per_group
+from panelweave.operators.symbols import dictionary_hits, entity_scan  # noqa: F401
 
 MARKET_TICKER = "^GSPC"
 
@@ -16,59 +17,37 @@ def sanitize_articles(df: DataFrame, cols: Sequence[str] = ("title", "content"))
     return df.withColumns({c: X.sanitize(F.col(c)) for c in cols})
 
 
-def dictionary_hits(text: Column, symbols: Sequence[str]) -> Column:
-    """Known symbols (length > 1) among the whole words of the upper-cased text, for a literal list.
-
-    Symbols with '-' or '.' are matched as the blank-separated token they form. For a symbol table use `entity_scan`.
-    """
-    known = [s.upper() for s in symbols if len(s) > 1]
-    up = F.upper(text)
-    plain = [s for s in known if s.replace("_", "").isalnum()]
-    parts = F.array_intersect(F.array_distinct(X.words(up)), F.array(*[F.lit(s) for s in plain]).cast("array<string>"))
-    other = [s for s in known if s not in plain]
-    if other:
-        tokens = F.array_distinct(F.split(up, r"[^\p{L}\p{N}_.\-]+"))
-        parts = F.array_union(parts, F.array_intersect(tokens, F.array(*[F.lit(s) for s in other])))
-    return parts
-
-
-def entity_scan(docs: DataFrame, symbols: DataFrame, doc_id: str = "doc_id", text: str = "content",
-                symbol: str = "symbol") -> DataFrame:
-    """(doc, symbol) pairs of whole-word matches against a symbol table of any size.
-
-    Words are made distinct inside each document before they are exploded, so a
-    frequent word costs one row per document; the equi join then runs on the word.
-    Runs that hold '-' or '.' inside count as words too, so BRK-B and BRK.B are found.
-    """
-    up = F.upper(F.col(text))
-    marked = F.transform(F.split(up, r"[^\p{L}\p{N}_.\-]+"), lambda x: F.regexp_replace(x, r"^[.\-]+|[.\-]+$", ""))
-    marked = F.filter(marked, lambda x: x.contains("-") | x.contains("."))
-    words = docs.select(doc_id, F.explode(F.array_union(X.words(up), marked)).alias("_w"))
-    known = symbols.select(F.upper(F.col(symbol)).alias("symbol")).where(F.length("symbol") > 1).distinct()
-    return words.join(known, F.col("_w") == F.col("symbol")).select(doc_id, "symbol")
-
-
 def resolve_tickers(listed: Column, extra: Column, hits: Column | None = None, market: str = MARKET_TICKER) -> Column:
     """Ticker array of a raw row: the listed ones, else those in the JSON extra, else text hits, else the market.
 
     A listed text that is present but holds no name blocks the fallbacks and
-    yields an empty array, as in the original.
+    yields an empty array, as in the original. The JSON is read as a variant: `stocks` may be a list or one name, other
+    fields may have any shape, and text that is no JSON is passed over.
     """
-    js = F.from_json(extra, "stocks array<string>, tickers array<string>")
-    some = lambda a: F.when(F.size(a) > 0, a)
-    options = [F.when(F.coalesce(listed, F.lit("")) != "", X.list_literal(listed)), some(js["stocks"]), some(js["tickers"])]
+    js = F.try_parse_json(extra)
+    some = lambda a: F.when(F.size(a) > 0, a)
+    one = lambda f: F.when(F.schema_of_variant(F.try_variant_get(js, f"$.{f}", "variant")) == "STRING", F.try_variant_get(js, f"$.{f}", "string"))
+    names = lambda f: F.coalesce(some(F.try_variant_get(js, f"$.{f}", "array<string>")), F.when(one(f) != "", F.array(one(f))))
+    options = [F.when(F.coalesce(listed, F.lit("")) != "", X.list_literal(listed)), names("stocks"), names("tickers")]
     if hits is not None:
         options.append(some(hits))
     raw = F.coalesce(*options, F.array(F.lit(market)))
-    ok = F.filter(raw, lambda t: t.isNotNull() & (t != "") & (F.length(t) <= 10))
+    ok = F.filter(raw, lambda t: t.isNotNull() & (t != ""))
     return F.array_distinct(F.transform(ok, lambda t: F.translate(F.upper(t), ".", "-")))
 
 
 def explode_tickers(df: DataFrame, listed: str = "ticker", extra: str = "extra", hits: Column | None = None,
-                    universe: DataFrame | None = None, market: str = MARKET_TICKER) -> DataFrame:
-    """One row per article and ticker; optionally only tickers of the universe or the market."""
-    out = df.withColumn("_all", resolve_tickers(F.col(listed), F.col(extra), hits, market))
-    out = out.withColumn("ticker", F.explode("_all")).drop("_all")
+                    universe: DataFrame | None = None, market: str = MARKET_TICKER, macro: str | None = None) -> DataFrame:
+    """One row per article and ticker; optionally only tickers of the universe or the market.
+
+    Names of more than ten characters are kept and marked in `long_name`, so a caller may drop them. Articles
+    that the column `macro` marks get the market's row too, unless they have it.
+    """
+    names = resolve_tickers(F.col(listed), F.col(extra), hits, market)
+    if macro is not None:
+        names = F.when(F.col(macro), F.array_union(names, F.array(F.lit(market)))).otherwise(names)
+    out = df.withColumn("_all", names)
+    out = out.withColumn("ticker", F.explode("_all")).drop("_all").withColumn("long_name", F.length("ticker") > 10)
     if universe is not None:
         allowed = universe.select(X.normalize_ticker(F.col("ticker")).alias("_u")).union(
             df.sparkSession.range(1).select(F.lit(market))).distinct()
@@ -76,20 +55,10 @@ def explode_tickers(df: DataFrame, listed: str = "ticker", extra: str = "extra",
     return out
 
 
-def flag_macro(df: DataFrame, text: str = "content", phrases: Sequence[str] = X.MARKET_PHRASES) -> DataFrame:
-    return df.withColumn("is_macro", X.any_contains(F.lower(F.col(text)), phrases))
-
-
-def emit_macro(exploded: DataFrame, doc_id: str = "doc_id", market: str = MARKET_TICKER) -> DataFrame:
-    """Add a market row for each macro article that has none yet.
-
-    Done per article with a small aggregate on the id, not by comparing rows.
-    """
-    per = exploded.where("is_macro").groupBy(doc_id).agg(
-        F.max(F.col("ticker") == market).alias("_has"),
-        F.min_by(F.struct(*[c for c in exploded.columns if c not in (doc_id, "ticker")]), "ticker").alias("_row"))
-    extra = per.where(~F.col("_has")).select(doc_id, F.lit(market).alias("ticker"), "_row.*")
-    return exploded.unionByName(extra)
+def flag_macro(df: DataFrame, text: str = "content", phrases: Sequence[str] = X.MARKET_PHRASES, title: str | None = None) -> DataFrame:
+    """is_macro: whether the lower-cased title and text hold one of the phrases."""
+    body = F.col(text) if title is None else F.concat_ws(" ", F.col(title), F.col(text))
+    return df.withColumn("is_macro", X.any_contains(F.lower(body), phrases))
 
 
 def dedupe_articles(df: DataFrame, keys: Sequence[str] = ("ticker",), doc_id: str = "doc_id", date: str = "date",

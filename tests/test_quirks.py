@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import math
+import random
+import re
 
 import pandas as pd
 import pytest
@@ -174,9 +176,13 @@ def test_sections_end_at_next_heading(spark):
 
 
 def test_ticker_sources_in_order(spark):
-    d = spark.createDataFrame([(1, "['a.b','', 'waytoolongname', 'A.B']", None), (2, None, '{"stocks":[],"tickers":["x"]}'), (3, "", None), (4, "[]", '{"stocks":["y"]}')],
+    d = spark.createDataFrame([(1, "['a.b','', 'waytoolongname', 'A.B']", None), (2, None, '{"stocks":[],"tickers":["x"]}'), (3, "", None), (4, "[]", '{"stocks":["y"]}'),
+                               (5, None, '{"stocks": "one", "tickers": ["two"]}'), (6, None, "no json"), (7, None, '{"stocks": {"a": 1}, "tickers": ["z", null, 5]}')],
                               "doc_id int, ticker string, extra string")
-    assert rows(T.explode_tickers(d), "doc_id", "ticker") == [(1, "A-B"), (2, "X"), (3, "^GSPC")]
+    assert rows(T.explode_tickers(d), "doc_id", "ticker", "long_name") == [
+        (1, "A-B", False), (1, "WAYTOOLONGNAME", True), (2, "X", False), (3, "^GSPC", False), (5, "ONE", False), (6, "^GSPC", False), (7, "5", False), (7, "Z", False)]
+    macro = rows(T.explode_tickers(d.withColumn("m", F.col("doc_id") < 4), macro="m"), "doc_id", "ticker")
+    assert [r for r in macro if r[1] == "^GSPC"] == [(1, "^GSPC"), (2, "^GSPC"), (3, "^GSPC"), (6, "^GSPC")]
 
 
 def test_dedupe_articles_keeps_first_and_is_idempotent(spark):
@@ -187,8 +193,27 @@ def test_dedupe_articles_keeps_first_and_is_idempotent(spark):
 
 def test_symbols_with_marks_are_found_in_text(spark):
     docs = spark.createDataFrame([(1, "Sold brk-b, BRK.B. and AAPL-"), (2, "brk b")], "doc_id int, content string")
-    known = spark.createDataFrame([("BRK-B",), ("BRK.B",), ("AAPL",)], "symbol string")
-    assert rows(T.entity_scan(docs, known)) == [(1, "AAPL"), (1, "BRK-B"), (1, "BRK.B")]
+    known = spark.createDataFrame([("BRK-B",), ("BRK.B",), ("AAPL",), ("BRK",)], "symbol string")
+    assert rows(T.entity_scan(docs, known)) == [(1, "AAPL"), (1, "BRK-B"), (1, "BRK.B"), (2, "BRK")]
+
+
+@pytest.mark.parametrize("table_bytes", [1 << 20, 0])
+def test_symbols_equal_an_ordered_alternation(spark, table_bytes):
+    rnd = random.Random(7)
+    letters, marks = "ABC\u00c9_9", "-. &^'"
+    symbols = {"".join(rnd.choice(letters if rnd.random() < 0.75 else marks) for _ in range(rnd.randint(1, 7))) for _ in range(1000)} | {"^ABC", "A B C", "A.", "AB-"}
+    texts = ["".join(rnd.choice(letters + letters.lower() if rnd.random() < 0.7 else marks + "\n\u00df") for _ in range(rnd.randint(0, 300))) for _ in range(120)] + [None, ""]
+    titles = [rnd.choice([None, "ab", "a-b"]) for _ in texts]
+    pattern = re.compile(r"\b(" + "|".join(map(re.escape, sorted((s for s in symbols if len(s) > 1), key=len, reverse=True))) + r")\b")
+    want = sorted({(i, m) for i, (a, b) in enumerate(zip(titles, texts)) for m in pattern.findall(" ".join(x for x in (a, b) if x is not None).upper())})
+    docs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(titles, texts))], "doc_id long, title string, content string").repartition(3)
+    known = spark.createDataFrame([(s,) for s in sorted(symbols)], "symbol string")
+    got = T.entity_scan(docs, known, title="title", table_bytes=table_bytes)
+    assert rows(got) == sorted(want, key=repr) and len(want) > 500
+    some = sorted(symbols)[::25]
+    pattern = re.compile(r"\b(" + "|".join(map(re.escape, sorted((s for s in some if len(s) > 1), key=len, reverse=True))) + r")\b")
+    hits = docs.select("doc_id", F.array_sort(T.dictionary_hits(F.concat_ws(" ", "title", "content"), some)).alias("h")).collect()
+    assert {r.doc_id: r.h or [] for r in hits} == {i: sorted(set(pattern.findall(" ".join(x for x in (a, b) if x is not None).upper()))) for i, (a, b) in enumerate(zip(titles, texts))}
 
 
 def test_price_columns_are_found_by_name(spark, tmp_path):
