@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from panelweave.operators import ordering as O
+from panelweave.operators import ordering as O, selection as S
+from panelweave.session import shared_root
+
+#: Bins of `actual` for a factor of two, and rows of a bin from which its values are read: cells times bins stay few.
+CELL_GRID, CELL_SMALL = 16, 2000
 
 
 def _reached(value: str, thresholds: Sequence[float]) -> Column:
@@ -37,49 +41,28 @@ def _label(df: DataFrame, preds, scores) -> DataFrame:
     return df.withColumns({"pred_min": at(preds, "ci"), "score_min": at(scores, "cj")})
 
 
-def cell_totals(df: DataFrame, preds: Sequence[float], scores: Sequence[float]) -> DataFrame:
-    """Counts and sums per cell of a (pred, score, actual) table; empty cells are absent."""
-    preds, scores = sorted(set(preds)), sorted(set(scores))
-    base = _tag(df, preds, scores).groupBy("_i", "_j").agg(
-        F.count("*").alias("n"), F.count("actual").alias("n_actual"),
-        F.count_if(F.col("actual") > 0).alias("n_win"), F.sum("actual").alias("sum_actual"),
-        F.sum("pred").alias("sum_pred"), F.sum("score").alias("sum_score"))
-    sums = ["n", "n_actual", "n_win", "sum_actual", "sum_pred", "sum_score"]
-    return _label(_spread(base, [], sums), preds, scores)
+SUMS = ["n", "n_actual", "n_win", "sum_actual", "sum_pred", "sum_score"]
 
 
-def cell_medians(df: DataFrame, preds: Sequence[float], scores: Sequence[float]) -> DataFrame:
-    """Exact median of `actual` per cell.
+def _counts(tagged: DataFrame) -> DataFrame:
+    """One pass: counts and sums by cell and bin of `actual` (none without a value). It feeds totals and medians."""
+    return tagged.groupBy("_i", "_j", F.when(F.col("actual").isNotNull(), F.array(S.order_bin(F.col("actual"), CELL_GRID))).alias("_path")).agg(
+        F.count("*").alias("n"), F.count("actual").alias("n_actual"), F.count_if(F.col("actual") > 0).alias("n_win"),
+        F.sum("actual").alias("sum_actual"), F.sum("pred").alias("sum_pred"), F.sum("score").alias("sum_score"),
+        F.min("actual").alias("lo"), F.max("actual").alias("hi"))
 
-    Cells overlap, so rows cannot be grouped by cell without a large blow-up.
-    Counts per value chunk locate the chunk of each cell's middle; only rows of
-    those chunks, a small share of the table, are then ranked per cell and chunk.
-    """
+
+def cell_totals(df: DataFrame, preds: Sequence[float], scores: Sequence[float]) -> DataFrame:
+    """Counts and sums per cell of a (pred, score, actual) table; empty cells are absent."""
     preds, scores = sorted(set(preds)), sorted(set(scores))
-    known = df.where(F.col("actual").isNotNull())
-    rows = O.with_chunk(_tag(known, preds, scores), "actual", O.chunk_bounds(known, "actual")).select("_i", "_j", "_chunk", "actual")
-    hist = rows.groupBy("_i", "_j", "_chunk").agg(F.count("*").alias("n"))
-    w = W.partitionBy("ci", "cj")
-    low = F.coalesce(F.sum("n").over(w.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = _spread(hist, ["_chunk"], ["n"]).withColumns({"low": low, "_mid": (F.sum("n").over(w) - 1) / F.lit(2.0)})
-    cells = cells.withColumns({"lo": F.floor("_mid"), "hi": F.ceil("_mid")})
-    need = (cells.where((F.col("low") <= F.col("hi")) & (F.col("lo") < F.col("low") + F.col("n")))
-            .select("ci", "cj", "_chunk", "low", "lo", "hi"))
-    near = rows.join(need, "_chunk").where((F.col("_i") >= F.col("ci")) & (F.col("_j") >= F.col("cj")))
-    keys = ["ci", "cj", "_chunk", "low", "lo", "hi"]
-    ties = near.groupBy(*keys, "actual").agg(F.count("*").alias("n"))
-    run = F.sum("n").over(W.partitionBy(*keys).orderBy("actual").rowsBetween(W.unboundedPreceding, 0))
-    ties = ties.withColumn("_end", F.col("low") + run)
-    pick = lambda k: F.max(F.when((F.col("_end") - F.col("n") <= F.col(k)) & (F.col(k) < F.col("_end")), F.col("actual")))
-    return ties.groupBy("ci", "cj").agg(((pick("lo") + pick("hi")) / 2.0).alias("median_actual"))
+    base = _counts(_tag(df, preds, scores)).groupBy("_i", "_j").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return _label(_spread(base, [], SUMS), preds, scores)
 
 
 def thresholds(df: DataFrame, cols: Sequence[str], size: int = 15) -> dict[str, list[float]]:
     """Distinct quantiles of each column at `size` even steps from 0 to 0.95 (a few driver numbers)."""
-    probs = [0.95 * i / (size - 1) for i in range(size)]
-    tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in cols])).alias("s")).select("s.*")
-    got = O.exact_quantiles(tall, ["column"], "x", probs).collect()
-    return {c: sorted({r["q"] for r in got if r["column"] == c}) for c in cols}
+    got = S.interpolated(df, cols, [0.95 * i / (size - 1) for i in range(size)])
+    return {c: sorted(set(v)) for c, v in got.items()}
 
 
 def threshold_grid(df: DataFrame, size: int = 15, min_samples: int = 1,
@@ -87,15 +70,24 @@ def threshold_grid(df: DataFrame, size: int = 15, min_samples: int = 1,
     """Count, mean, median, win rate and score = mean * ln(1 + n) for each threshold pair.
 
     `df` has pred, score and actual. A missing actual counts as a loss in the
-    win rate and is left out of mean and median.
+    win rate and is left out of mean and median. Cells overlap, so rows are never grouped by cell: tables of
+    counts by a row's own (i, j) and bin are, and the medians are selected from those.
     """
     df = df.where(F.col("pred").isNotNull() & F.col("score").isNotNull())
     if preds is None or scores is None:
         auto = thresholds(df, ["pred", "score"], size)
         preds, scores = preds or auto["pred"], scores or auto["score"]
-    t = cell_totals(df, preds, scores).where(F.col("n") >= min_samples)
+    preds, scores = sorted(set(preds)), sorted(set(scores))
+    shared_root(df.sparkSession)
+    tagged = _tag(df, preds, scores)
+    counts = _counts(tagged).checkpoint()  # at most cells times bins
+    base = counts.groupBy("_i", "_j").agg(*[F.sum(c).alias(c) for c in SUMS])
+    t = _label(_spread(base, [], SUMS), preds, scores).where(F.col("n") >= min_samples)
+    medians = S.group_quantiles(
+        tagged, ["ci", "cj"], "actual", [0.5], ["_i", "_j"], lambda c, more: _spread(c, more, ["n"]),
+        counts.where("_path IS NOT NULL").select("_i", "_j", "_path", "n", "lo", "hi"), CELL_GRID, CELL_SMALL)
     mean = F.try_divide(F.col("sum_actual"), F.col("n_actual"))
-    return (t.join(cell_medians(df, preds, scores), ["ci", "cj"], "left")
+    return (t.join(medians.select("ci", "cj", F.col("q").alias("median_actual")), ["ci", "cj"], "left")
             .select("ci", "cj", "pred_min", "score_min", "n", mean.alias("mean_actual"), "median_actual",
                     (F.col("n_win") / F.col("n")).alias("win_rate"), (F.col("sum_pred") / F.col("n")).alias("mean_pred"),
                     (F.col("sum_score") / F.col("n")).alias("mean_score"), (mean * F.log1p("n")).alias("score")))
@@ -109,8 +101,11 @@ def best_threshold(grid: DataFrame) -> DataFrame:
 
 def score_bands(df: DataFrame, bins: int = 10, ties: Sequence[Column] = ()) -> DataFrame:
     """Two-dimensional quantile bands of pred and score with the summary of `actual`."""
-    df = O.quantile_bins(df, "pred", bins, ties, "pred_bin")
-    df = O.quantile_bins(df, "score", bins, ties, "score_bin")
+    df = df.where(F.col("pred").isNotNull() & F.col("score").isNotNull()).withColumns({f"_tie{i}": t for i, t in enumerate(ties)})
+    after = [f"_tie{i}" for i in range(len(ties))]
+    orders = {"pred_bin": ["pred", *after], "score_bin": ["score", *after]}
+    starts = S.quantile_bounds(df, orders, bins)  # both in the same passes
+    df = df.withColumns({c: S.bin_of(df, orders[c], starts[c]) for c in orders}).drop(*after)
     keys = ["pred_bin", "score_bin"]
     stats = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("actual").alias("mean_actual"),

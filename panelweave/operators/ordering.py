@@ -2,9 +2,10 @@
 
 * Top-k and keep-first use `row_number() <= k`. Spark plans a partial group
   limit before the shuffle, so a hot key sends at most k rows per map task.
-* Ranks and quantiles start from a value histogram (partial aggregation folds
-  ties). Its running count is computed per value chunk, and chunk totals are a
-  tiny table; a group that holds a third of all rows is split over the chunks.
+* Quantiles, medians and bin boundaries come from radix selection (`selection`).
+* Ranks of all rows start from a value histogram (partial aggregation folds
+  ties). Its running count is computed per bin of a fixed grid, and bin totals are a
+  small table; a group that holds a third of all rows is split over the bins.
 * A full row number comes from a range-partitioned sort plus one offset per
   partition.
 """
@@ -13,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.functions import numeric as N
+from panelweave.operators import selection as S
 from panelweave.session import shared_root
 
-MIN_CHUNKS, MAX_CHUNKS, ROWS_PER_CHUNK = 128, 8192, 1_000_000
+#: Types that order as doubles do (whole numbers up to 2^53).
+NUMBERS = {"double", "float", "integer", "long", "short", "byte", "date"}
 
 
 def top_n_per_group(df: DataFrame, n: int, group: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -40,47 +42,22 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return top_n_per_group(df, 1, keys, order)
 
 
-def chunk_bounds(df: DataFrame, value: str) -> list[float]:
-    """Inner boundaries of value chunks of about ROWS_PER_CHUNK rows each.
-
-    One pass counts the rows and takes MIN_CHUNKS - 1 approximate quantiles; only a table
-    with more rows than that covers gets a second, finer pass. The driver sees
-    at most MAX_CHUNKS numbers. Boundaries only balance work, results do not
-    depend on them.
-    """
-    probs = [i / MIN_CHUNKS for i in range(1, MIN_CHUNKS)]
-    n, got = df.agg(F.count(value), F.percentile_approx(value, F.lit(probs), 10 * MIN_CHUNKS)).first()
-    chunks = min(MAX_CHUNKS, n // ROWS_PER_CHUNK)
-    if chunks > MIN_CHUNKS:
-        got = df.approxQuantile(value, [i / chunks for i in range(1, chunks)], 0.1 / chunks)
-    return sorted(set(got or []))
-
-
-def with_chunk(df: DataFrame, value: str, bounds: Sequence[float], out: str = "_chunk") -> DataFrame:
-    """Number of the half-open chunk that holds the value."""
-    if not bounds:
-        return df.withColumn(out, F.lit(0.0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
-
-
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Histogram per (keys, value): `n_tie` rows with the value, `n_before` below it, `n_group` in all.
 
-    Exact for any choice of chunk boundaries. The key combinations times the
-    chunk count must stay a small table (days, bands, cells).
+    Values are counted within bins of a fixed grid, so no pass looks for boundaries first. The key combinations times
+    the bins must stay a small table (days, bands, cells).
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
-    hist = rows.groupBy(*keys, value).agg(F.count("*").alias("n_tie"))
-    hist = with_chunk(hist, value, chunk_bounds(rows, value))
-    inside = W.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    totals = hist.groupBy(*keys, "_chunk").agg(F.sum("n_tie").alias("_t"))
-    lower = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_low"),
+    hist = rows.groupBy(*keys, value).agg(F.count("*").alias("n_tie")).withColumn("_bin", S.order_bin(F.col(value)))
+    inside = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    totals = hist.groupBy(*keys, "_bin").agg(F.sum("n_tie").alias("_t"))
+    lower = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_bin", F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_low"),
                            F.sum("_t").over(W.partitionBy(*keys)).alias("n_group"))
     within = hist.withColumn("_in", F.coalesce(F.sum("n_tie").over(inside), F.lit(0)))
-    return (within.join(totals, keys + ["_chunk"])
+    return (within.join(totals, keys + ["_bin"])
             .select(*keys, value, "n_tie", (F.col("_in") + F.col("_low")).alias("n_before"), "n_group"))
 
 
@@ -93,23 +70,8 @@ def rank_pct(df: DataFrame, group: str, value: str, out: str = "rank_pct") -> Da
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Linear-interpolation quantiles per key as rows (keys, prob, q); exact and distributed.
-
-    For each probability the two neighbouring order statistics are looked up in
-    the ranked histogram, which is small work per row and one small aggregation.
-    """
-    keys = list(keys)
-    r = value_ranks(df, keys, value)
-    at = lambda p: p * (F.col("n_group") - 1)
-    near = lambda p: (F.col("n_before") <= F.ceil(at(p))) & (F.floor(at(p)) < F.col("n_before") + F.col("n_tie"))
-    every = F.array(*[F.lit(float(p)) for p in sorted(set(probs))])
-    t = r.select(*keys, value, "n_before", "n_tie", "n_group", F.explode(F.filter(every, near)).alias("prob"))
-    pos = at(F.col("prob"))
-    t = t.withColumns({"_lo": F.floor(pos), "_hi": F.ceil(pos), "_fr": pos - F.floor(pos)})
-    has = lambda k: (F.col("n_before") <= F.col(k)) & (F.col(k) < F.col("n_before") + F.col("n_tie"))
-    lo, hi = F.max(F.when(has("_lo"), F.col(value))), F.max(F.when(has("_hi"), F.col(value)))
-    return t.groupBy(*keys, "prob").agg(lo.alias("_a"), hi.alias("_b"), F.max("_fr").alias("_f")).select(
-        *keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("q"))
+    """Linear-interpolation quantiles per key as rows (keys, prob, q); exact and distributed, by radix selection."""
+    return S.group_quantiles(df, keys, value, probs)
 
 
 def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
@@ -132,14 +94,23 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn") -
             .withColumn(out, F.col("_s") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_p", "_s", "_id"))
 
 
-def quantile_bins(df: DataFrame, value: str, q: int, ties: Sequence[Column], out: str) -> DataFrame:
-    """Rank (ties by the given order) cut into q bins of equal rank width: max(0, ceil((r-1)*q/(n-1)) - 1)."""
+def quantile_bins(df: DataFrame, value: str, q: int, ties: Sequence[Column | str], out: str) -> DataFrame:
+    """Rank (ties by the given order) cut into q bins of equal rank width: max(0, ceil((r-1)*q/(n-1)) - 1).
+
+    The q - 1 rows at which bins begin are selected, and all rows compared with them. Ties may be numbers or dates; other
+    types need the full row number.
+    """
     rows = df.where(F.col(value).isNotNull())
-    ranked = global_row_number(rows, [F.col(value).asc(), *ties], "_rn")
+    names = {f"_tie{i}": F.col(t) if isinstance(t, str) else t for i, t in enumerate(ties)}
+    rows = rows.withColumns(names) if names else rows
+    if all(rows.schema[n].dataType.typeName() in NUMBERS for n in (value, *names)):
+        order = [value, *names]
+        starts = S.quantile_bounds(rows, {out: order}, q)[out]
+        return rows.withColumn(out, S.bin_of(rows, order, starts)).drop(*names)
+    ranked = global_row_number(rows.drop(*names), [F.col(value).asc(), *ties], "_rn")
     n = rows.agg(F.count("*")).scalar()
     span = F.greatest(n - 1, F.lit(1))
-    up = F.expr("1")
-    ceil = F.floor(((F.col("_rn") - 1) * q + span - up) / span.cast("double"))
+    ceil = F.floor(((F.col("_rn") - 1) * q + span - F.expr("1")) / span.cast("double"))
     return ranked.withColumn("_n", n).withColumn(out, F.greatest(F.lit(0), ceil - 1).cast("int")).drop("_rn", "_n")
 
 
