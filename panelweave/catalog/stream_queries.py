@@ -12,20 +12,39 @@ from panelweave.streaming import jobs as Z
 
 
 class _Streamed(Tables):
-    """The same views over file streams: each table is staged as six files in mixed order, one for each micro-batch."""
+    """The same views over file streams. Each table is staged as six files in mixed order; the later half arrives when it is asked for."""
+
+    KEYS = {"documents": "doc_id", "events": "event_id"}
+
+    def __init__(self, spark, folder, table):
+        super().__init__(spark, folder)
+        self.path, self.files = staging_path(spark, table), 1
+        self.stage(table, "< 3")
+
+    def stage(self, table, which):
+        part = F.col(self.KEYS[table]) % 6
+        super().raw(table).where(f"{self.KEYS[table]} % 6 {which}").repartition(6, part).write.mode("append").parquet(self.path)
 
     def raw(self, name):
-        path = staging_path(self.spark, name)
-        key = {"documents": "doc_id", "events": "event_id"}[name]
-        super().raw(name).repartition(6, F.col(key) % 6).write.parquet(path)
-        return Z.read_stream(self.spark, path)
+        return Z.read_stream(self.spark, self.path, self.files)
+
+
+def _in_two_runs(t, table, collect):
+    """Three files one by one; then a new query meets the other three, two at a time."""
+    first = _Streamed(t.spark, t.folder, table)
+    collect(first)
+    first.stage(table, ">= 3")
+    rest = _Streamed.__new__(_Streamed)
+    Tables.__init__(rest, t.spark, t.folder)
+    rest.path, rest.files = first.path, 2
+    collect(rest)
 
 
 @query("stream_dedup_news", "ticker:s article_hash:s", """
 SELECT DISTINCT ticker, md5(concat_ws('_', CAST(date AS VARCHAR), title, content)) AS article_hash FROM clean_news""")
 def _(t):
-    path = staging_path(t.spark, "news")
-    Z.collect_articles(_Streamed(t.spark, t.folder).news, path)
+    path = staging_path(t.spark, "articles")
+    _in_two_runs(t, "documents", lambda s: Z.collect_articles(s.news, path))
     return Z.first_articles(t.spark, path)
 
 
@@ -33,7 +52,7 @@ def _(t):
 SELECT CAST(ts AS DATE) AS date, ticker, arg_max(price, (ts, event_id)) AS price, sum(volume) AS volume FROM quotes GROUP BY ALL""")
 def _(t):
     path = staging_path(t.spark, "daily")
-    Z.collect_daily(_Streamed(t.spark, t.folder).quotes, path)
+    _in_two_runs(t, "events", lambda s: Z.collect_daily(s.quotes, path))
     return Z.daily_table(t.spark, path)
 
 
@@ -62,7 +81,7 @@ def _(t):
 @query("stream_latest_quote", "ticker:s price:f volume:i event_id:i", "SELECT * FROM latest_quotes")
 def _(t):
     path = staging_path(t.spark, "latest")
-    Z.collect_latest_quotes(_Streamed(t.spark, t.folder).quotes, "premarket", path)
+    _in_two_runs(t, "events", lambda s: Z.collect_latest_quotes(s.quotes, "premarket", path))
     return Z.latest_quote_now(t.spark, "premarket", path)
 
 

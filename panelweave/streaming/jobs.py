@@ -1,20 +1,22 @@
 """Structured Streaming forms of ingest, upsert and quotes.
 
-Each micro-batch writes its mergeable partial rows to a folder of its own, and readers
-fold the partials of all batches. Nothing is lost however late a row comes, a replayed batch
-rewrites only its own folder, readers never see a table half written, and no state grows
-in the engine.
+Articles are told apart by keyed state in the engine: each new one leaves the stream once. Tables that later rows
+change are kept as mergeable partial rows (`partials`), folded by readers and compacted as they
+grow. Progress lies beside the target, so every job goes on where its last run ended, however it was cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelweave.functions import dates, numeric as N, text as X
-from panelweave.session import staging_path
+from panelweave.streaming.partials import collect_partials, read_partials
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Quote fields in order of preference per session, then last resorts.
 SESSION_FIELDS = {
@@ -31,38 +33,52 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def collect_partials(stream: DataFrame, path: str, partial: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Write the partial rows of everything available now, one folder for each batch, and wait for the end."""
-    def write(batch: DataFrame, number: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+def new_articles(stream: DataFrame, date: str = "date", keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """Each article once, as it first arrives: by key and hash of the whole content.
+
+    The hashes seen are keyed state of the query, without a time-out; only hashes are kept, not texts.
+    """
+    h = X.article_hash(F.col(date).cast("string"), X.sanitize(F.col("title")), X.sanitize(F.col("content")))
+    return stream.withColumn("article_hash", h).dropDuplicates([*keys, "article_hash"])
+
+
+def collect_articles(stream: DataFrame, path: str, date: str = "date", keys: Sequence[str] = ("ticker",), name: str = "main") -> StreamingQuery:
+    """Append the new articles of everything available now (keys, hash, doc_id) to Parquet files, each exactly once.
 
-    w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", staging_path(stream.sparkSession, "stream"))
-    q = w.foreachBatch(write).start()
+    State lives in RocksDB on the executors and in the checkpoint beside the files, so it may outgrow memory and survives them. A
+    second run reads only files that the first has not seen.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        out = new_articles(stream, date, keys).select(*keys, "article_hash", "doc_id")
+        w = out.writeStream.trigger(availableNow=True).outputMode("append").format("parquet")
+        q = w.option("path", path).option("checkpointLocation", f"{path.rstrip('/')}/_checkpoint/{name}").start()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
     q.awaitTermination()
     return q
 
 
-def collect_articles(stream: DataFrame, path: str, date: str = "date", keys: Sequence[str] = ("ticker",)) -> StreamingQuery:
-    """Smallest id of each article of a batch, by key and hash of the whole content."""
-    h = X.article_hash(F.col(date).cast("string"), X.sanitize(F.col("title")), X.sanitize(F.col("content")))
-    return collect_partials(stream, path, lambda b: b.groupBy(*keys, h.alias("article_hash")).agg(F.min("doc_id").alias("doc_id")))
+def first_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The articles collected so far."""
+    return spark.read.parquet(path)
 
 
-def first_articles(spark: SparkSession, path: str, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """First copy of each article over all batches."""
-    return spark.read.parquet(path).groupBy(*keys, "article_hash").agg(F.min("doc_id").alias("doc_id"))
+def _fold_daily(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("date", "ticker").agg(F.max("last").alias("last"), F.sum("volume").alias("volume"))
 
 
-def collect_daily(stream: DataFrame, path: str) -> StreamingQuery:
-    """Partial day rows of each batch: the last quote with its order, and the sum of volumes."""
-    last = F.max(F.struct("ts", "event_id", "price")).alias("last")
-    return collect_partials(stream, path, lambda b: b.groupBy(F.col("ts").cast("date").alias("date"), "ticker").agg(last, F.sum("volume").alias("volume")))
+def collect_daily(stream: DataFrame, path: str, name: str = "main") -> StreamingQuery:
+    """Partial day rows: the last quote with its order, and the sum of volumes."""
+    last = F.struct("ts", "event_id", "price").alias("last")
+    return collect_partials(stream, path, lambda b: _fold_daily(b.select(F.col("ts").cast("date").alias("date"), "ticker", last, "volume")), _fold_daily, name)
 
 
 def daily_table(spark: SparkSession, path: str) -> DataFrame:
     """One row for each day and ticker over all batches."""
-    folded = spark.read.parquet(path).groupBy("date", "ticker").agg(F.max("last").alias("last"), F.sum("volume").alias("volume"))
-    return folded.select("date", "ticker", "last.price", "volume")
+    return _fold_daily(read_partials(spark, path)).select("date", "ticker", "last.price", "volume")
 
 
 def quote_rank(session: str | Column, ts: str = "ts", tie: str = "event_id") -> Column:
@@ -81,14 +97,15 @@ def latest_quote(quotes: DataFrame, session: str | Column) -> DataFrame:
     return good.groupBy("ticker").agg(best.alias("q")).select("ticker", "q.*")
 
 
-def collect_latest_quotes(stream: DataFrame, session: str, path: str) -> StreamingQuery:
-    """Latest quote of each ticker in each batch."""
-    return collect_partials(stream, path, lambda b: latest_quote(b, session))
+def collect_latest_quotes(stream: DataFrame, session: str, path: str, name: str = "main") -> StreamingQuery:
+    """Latest quote of each ticker, as partial rows."""
+    fold = lambda rows: latest_quote(rows, session)
+    return collect_partials(stream, path, fold, fold, name)
 
 
 def latest_quote_now(spark: SparkSession, session: str, path: str) -> DataFrame:
     """Latest quote of each ticker over all batches."""
-    return latest_quote(spark.read.parquet(path), session)
+    return latest_quote(read_partials(spark, path), session)
 
 
 def overlay_quote(bars: DataFrame, quotes: DataFrame) -> DataFrame:
