@@ -256,6 +256,21 @@ def _flows(longest: int, least: int, hot: int):
     return run
 
 
+def _most_frequent(words: DataFrame) -> list:
+    """At most RANKED words, most frequent first: those above the least bin of counts whose words are still few enough."""
+    short = words.where(f"octet_length(word) <= {RANKED_WORD}").withColumn("bin", F.floor(F.log2("n") * 16))
+    least, held = None, 0
+    for r in sorted(short.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):  # some hundred bins
+        held += r["count"]
+        if held > RANKED:
+            break
+        least = r["bin"]
+    if least is None:
+        return []
+    rows = short.where(F.col("bin") >= least).select("lang", "word", "n").collect()
+    return sorted(rows, key=lambda r: (-r["n"], r["lang"], bytes(r["word"])))
+
+
 def phrase_counts(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(k, w1 .. w<longest>, n of every phrase that occurs `least` times, by codes; code, lang, word, n of every word)."""
     for seed in range(100):
@@ -267,7 +282,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame,
     spark = docs.sparkSession
     total = words.agg(F.sum("n")).first()[0] or 0
     ranked: dict[str, dict[bytes, int]] = {}
-    top = words.where(f"octet_length(word) <= {RANKED_WORD}").orderBy(F.desc("n"), "lang", "word").limit(RANKED).collect()
+    top = _most_frequent(words)
     for i, r in enumerate(top):
         ranked.setdefault(r["lang"], {})[bytes(r["word"])] = i + 1
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_GRAMS))
