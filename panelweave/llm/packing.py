@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from bisect import bisect_right
 
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelweave.llm.common import columns, stored
 
 #: Words kept in a task's memo, and the longest word that enters it.
-MEMO, MEMO_WORD = 600_000, 64
+MEMO, MEMO_WORD = 800_000, 64
 #: Characters encoded at a time.
 BLOCK = 1 << 20
 _CLOSING = frozenset(".,;:!?")
+_MARKS = re.compile(r"[^\w\s][.,]|_[.,]")
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -94,16 +97,27 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        flat: list[str] = []
+        ends = []
+        for t in texts:
+            if "<|" not in t and not _OTHER.search(t):  # Latin: lower case letter by letter
+                t = t.lower()
+                if not _MARKS.search(t):  # single marks behind words: set apart, so that fewer words are met
+                    t = t.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+            flat += t.replace("\n", " ").split(" ")
+            ends.append(len(flat))
         if len(self.memo) > MEMO:
             self.memo.clear()
-        missing = set().union(*words) - self.memo.keys()
+        parts = list(map(self.memo.get, flat))
+        at = [i for i, p in enumerate(parts) if p is None]
+        missing = {flat[i] for i in at}
         self._learn(missing)
-        out = [b"".join(map(self.memo.__getitem__, w)) for w in words]
+        for i in at:
+            parts[i] = self.memo[flat[i]]
         for w in missing:
             if len(w) > MEMO_WORD:
                 del self.memo[w]
-        return out
+        return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def blocks(texts: list[str], chars: int = BLOCK):
