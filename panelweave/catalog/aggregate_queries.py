@@ -73,6 +73,15 @@ def _(t):
     return G.pivot_heatmap(bands(t), "score_bin", "pred_bin", "mean_actual", range(10), "b")
 
 
+@query("threshold_pivot", "ci:i pred_min:f " + " ".join(f"s{i}:f" for i in range(1, 16)), "SELECT ci, pred_min, " + ", ".join(
+    f"max(mean_actual) FILTER (cj = {i}) AS s{i}" for i in range(1, 16)) + """
+FROM (SELECT *, dense_rank() OVER (ORDER BY pred_min) AS ci, dense_rank() OVER (ORDER BY score_min) AS cj FROM grid_cells) GROUP BY ci, pred_min""")
+def _(t):
+    cells = grid(t).checkpoint()  # at most 225 rows
+    names = cells.groupBy("ci").agg(F.first("pred_min").alias("pred_min"))
+    return G.pivot_heatmap(cells, "ci", "cj", "mean_actual", range(1, 16), "s").join(names, "ci")
+
+
 _Q = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 

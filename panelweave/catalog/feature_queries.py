@@ -107,8 +107,9 @@ def _(t):
 @query("score_panel", "date:d ticker:s current_price:f pred_return_pct:f rank_score:f", """
 SELECT date, ticker, round_even(current_price, 2) AS current_price, round_even(pred_return_pct * 0.5e0 + rank_score * -0.25e0, 2) AS pred_return_pct, round_even(dollar_turnover * 2, 4) AS rank_score FROM signals""")
 def _(t):
-    s = M.batch_score(t.signals, ["pred_return_pct", "rank_score", "dollar_turnover"], _linear, _apply, "pred double, rank double")
-    return M.score_panel(s.select("date", "ticker", "current_price", "scored.*"))
+    w = _linear()
+    s = t.signals.withColumns({"pred": F.col("pred_return_pct") * w[0] + F.col("rank_score") * w[1], "rank": F.col("dollar_turnover") * w[2]})
+    return M.score_panel(s)
 
 
 @query("realized_outcome", "date:d ticker:s current_price:f actual_20d_return_pct:f actual_alpha_pct:f", f"""

@@ -240,12 +240,20 @@ def exit_signals(t):
                                         F.col("days_held"), F.col("price_change_pct")))
 
 
-@query("position_exit_rules", "date:d ticker:s exit_signal:s reason_kind:s", """
-SELECT date, ticker, exit_signal, CASE WHEN exit_signal IN ('EXIT NOW', 'REVERSE TO BUY') THEN 'Recommendation reversed'
-  WHEN exit_signal = 'TRIM / REDUCE' THEN 'Weakened conviction' WHEN exit_signal IN ('TAKE PROFITS', 'EXIT / STOP LOSS') THEN '20-day thesis window closing'
-  WHEN exit_signal = 'EXIT (thesis complete)' THEN '20-day forecast window expired' ELSE 'Agent verdict' END AS reason_kind FROM exit_signals""")
+@query("position_exit_rules", "date:d ticker:s exit_signal:s reason:s", """
+SELECT date, ticker, exit_signal, CASE rec_l
+ WHEN 'buy' THEN CASE exit_signal WHEN 'EXIT NOW' THEN format('Recommendation reversed: was BUY, now SELL (confidence {:.2f})', conf)
+  WHEN 'TRIM / REDUCE' THEN format('Weakened conviction: was {:.2f}, now {:.2f}; take some profits', entry_conf, conf)
+  WHEN 'TAKE PROFITS' THEN format('20-day thesis window closing; up {:.1f}%, consider exit', chg)
+  WHEN 'EXIT / STOP LOSS' THEN format('20-day thesis window closing; down {:.1f}%, cut loss', chg)
+  WHEN 'EXIT (thesis complete)' THEN '20-day forecast window expired; reassess'
+  ELSE format('Agent verdict: {} ({:.2f}); Portfolio action: HOLD, {}d held', upper(verdict), conf, days_held) END
+ WHEN 'sell' THEN CASE WHEN exit_signal = 'REVERSE TO BUY' THEN 'Recommendation reversed: was SELL, now BUY'
+  ELSE format('Agent verdict: {}; Portfolio action: MAINTAIN SELL', upper(verdict)) END
+ ELSE CASE WHEN exit_signal = 'UPGRADE TO BUY' THEN format('Agent verdict: BUY ({:.2f}); Portfolio action: UPGRADE TO BUY', conf)
+  ELSE format('Agent verdict: {} ({:.2f}); Portfolio action: HOLD', upper(verdict), conf) END END AS reason FROM exit_signals""")
 def _(t):
-    return exit_signals(t).withColumn("reason_kind", F.regexp_extract("reason", "^([^:;]+)", 1))
+    return exit_signals(t)
 
 
 @query("simple_action_map", "simple_action:s n:i position:i", """
@@ -289,8 +297,8 @@ def _(t):
 
 @query("column_prune_pool", "date:d ticker:s dollar_turnover:f news_corpus_len:i", """
 SELECT date, ticker, dollar_turnover, 0 AS news_corpus_len FROM (
- SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dollar_turnover DESC, date) AS r FROM (
-  SELECT * FROM signals WHERE dollar_turnover >= 60000 ORDER BY dollar_turnover DESC, ticker, date LIMIT 40)) WHERE r = 1""")
+ SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dollar_turnover DESC, date) AS r FROM signals WHERE dollar_turnover >= 60000) WHERE r = 1
+ORDER BY dollar_turnover DESC, ticker, date LIMIT 40""")
 def _(t):
     return P.screening_pool(t.signals, 60_000, 40)
 

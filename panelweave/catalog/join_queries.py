@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.catalog.registry import SHARED_SQL, query
-from panelweave.operators import grid as G, joins as J, ordering as O, windows as X
+from panelweave.operators import aggregates as A, grid as G, joins as J, ordering as O, windows as X
 from panelweave.sources.readers import lag_publication
 
 SHARED_SQL["sparse_market"] = "SELECT date, spy_close, CASE WHEN day(date) <> 4 THEN vix_close END AS vix_close FROM market WHERE day(date) % 4 = 0"
@@ -94,7 +94,7 @@ SHARED_SQL["numbered_bars"] = "SELECT *, row_number() OVER (PARTITION BY ticker
 
 @query("trade_path_range", "date:d ticker:s i:i day:d close:f", """
 SELECT s.date, s.ticker, b.rn - s.rn AS i, b.date AS day, b.close FROM (
- SELECT s.date, s.ticker, e.rn, e.rn + k.range AS at FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date, range(15) k
+ SELECT s.date, s.ticker, e.rn, e.rn + unnest(range(15)) AS at FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date
  WHERE e.rn + 14 <= e.n_rows) s JOIN numbered_bars b ON b.ticker = s.ticker AND b.rn = s.at""")
 def _(t):
     pos = X.positions(t.bars)
@@ -117,7 +117,7 @@ def _(t):
 
 @query("lookup_contradiction", "date:d ticker:s i:i day:d day_pred:f", """
 SELECT s.date, s.ticker, b.rn - s.rn AS i, b.date AS day, g.pred_return_pct AS day_pred FROM (
- SELECT s.date, s.ticker, e.rn, e.rn + k.range AS at FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date, range(15) k
+ SELECT s.date, s.ticker, e.rn, e.rn + unnest(range(15)) AS at FROM top_signals s JOIN numbered_bars e ON s.ticker = e.ticker AND s.date = e.date
  WHERE e.rn + 14 <= e.n_rows) s JOIN numbered_bars b ON b.ticker = s.ticker AND b.rn = s.at
 LEFT JOIN (SELECT * FROM signals WHERE ticker_id % 2 = 0) g ON g.ticker = b.ticker AND g.date = b.date""")
 def _(t):
@@ -153,9 +153,14 @@ def _(t):
     return J.pair_align(t.bars, sparse_market(t))
 
 
-@query("broadcast_market_vector", "ticker:s date:d market_v1:f market_v2:f", """
-SELECT v.ticker, v.date, coalesce(m.v1, 0) AS market_v1, coalesce(m.v2, 0) AS market_v2 FROM (SELECT DISTINCT ticker, date FROM vectors) v
-LEFT JOIN (SELECT date, avg(CAST(emb[1] AS DOUBLE)) AS v1, avg(CAST(emb[2] AS DOUBLE)) AS v2 FROM vectors WHERE ticker = 'T0' GROUP BY date) m ON v.date = m.date""")
+@query("broadcast_market_vector", "ticker:s date:d market_1:f market_64:f total:f", """
+SELECT v.ticker, v.date, coalesce(m.emb[1], 0) AS market_1, coalesce(m.emb[64], 0) AS market_64, coalesce(list_sum(list_transform(m.emb, lambda x, i: x * i)), 0) AS total
+FROM (SELECT DISTINCT ticker, date FROM vectors) v LEFT JOIN (
+ SELECT date, list(v ORDER BY dim) AS emb FROM (SELECT date, dim, avg(CAST(v AS DOUBLE)) AS v FROM (
+  SELECT date, unnest(emb) AS v, unnest(range(64)) AS dim FROM vectors WHERE ticker = 'T0') GROUP BY date, dim) GROUP BY date) m ON v.date = m.date""")
 def _(t):
-    daily = t.vectors.groupBy("ticker", "date").agg(F.avg(F.col("emb")[0]).alias("v1"), F.avg(F.col("emb")[1]).alias("v2"))
-    return J.attach_market_vector(daily, daily, "T0")
+    dims = [f"d{i + 1}" for i in range(64)]
+    daily = A.daily_vector_mean(t.vectors, 64).select("ticker", "date", *[F.col("emb")[i].alias(d) for i, d in enumerate(dims)])
+    out = J.attach_market_vector(daily, daily, "T0")
+    return out.withColumns({"market_1": F.col("market_d1"), "market_64": F.col("market_d64"),
+                            "total": F.expr(" + ".join(f"market_{d} * {i + 1}" for i, d in enumerate(dims)))})

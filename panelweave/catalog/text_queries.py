@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.catalog.registry import SHARED_SQL, query
 from panelweave.functions import rules as R, text as X
 from panelweave.operators import text as T
+from panelweave.plans.fixtures import ANSWER_PARTS, answer_piece
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
@@ -183,16 +184,24 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS p
  SELECT page_id, headline, min(o) AS first FROM (
   SELECT page_id, unnest(h) AS headline, unnest(range(len(h))) AS o FROM (SELECT page_id, CASE WHEN len(h) > 0 THEN h ELSE j END AS h FROM (
    SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:title|h[1-4])(?:\\s[^>]*)?>(.*?)</(?:title|h[1-4])>', 1), lambda x: {_TAGS}), lambda x: length(x) > 10) AS h,
-    list_transform(regexp_extract_all(html, '"(?:title|newsTitle)"\\s*:\\s*"([^"\\\\]{{12,}}.*?)"', 1), lambda x: trim(x)) AS j FROM pages))) GROUP BY page_id, headline) QUALIFY pos < 20""")
+    list_transform(regexp_extract_all(html, '"(?:title|newsTitle)"\\s*:\\s*"([^"\\\\]{{12,}}.*?)"', 1), lambda x: trim(x)) AS j FROM pages))) GROUP BY page_id, headline)""")
 def _(t):
     return T.html_headlines(t.raw("pages"))
 
 
 # An empty section swallows the line break, so its body is the next line; the pattern of the original does the same.
-@query("section_extract", "conv_id:i turn:i technical_analysis:s risk_assessment:s timeline:s", f"""
-SELECT conv_id, turn, technical_analysis, CASE WHEN risk = '' THEN regexp_extract(text, 'Final Recommendation: [*]+[A-Za-z]+[*]+') ELSE risk END AS risk_assessment, '' AS timeline FROM (
- SELECT *, {STRIP.format("regexp_extract(text, '(?s)Technical Analysis: (.*)\\nRisk Assessment: ', 1)")} AS technical_analysis,
-  {STRIP.format("regexp_extract(text, '(?s)Risk Assessment: (.*)\\nFinal Recommendation: ', 1)")} AS risk FROM responses)""")
+def _sections_sql():
+    trim = STRIP.format
+    parts = []
+    for i, h in enumerate(ANSWER_PARTS):
+        after = f"concat('{ANSWER_PARTS[i + 1]}: ', p{i + 1})" if i + 1 < len(ANSWER_PARTS) else "regexp_extract(text, 'Final Recommendation: [*]+[A-Za-z]+[*]+')"
+        parts.append(f"CASE WHEN {trim(f'p{i}')} = '' THEN {trim(after)} ELSE {trim(f'p{i}')} END AS {h.lower().replace(' ', '_')}")
+    pieces = ", ".join(f"{answer_piece(i)} AS p{i}" for i in range(len(ANSWER_PARTS)))
+    return (f"SELECT conv_id, turn, {', '.join(parts)} FROM (SELECT conv_id, turn, {pieces} FROM conversations WHERE role = 'assistant') "
+            "JOIN (SELECT conv_id, turn, text FROM responses) USING (conv_id, turn)")
+
+
+@query("section_extract", "conv_id:i turn:i " + " ".join(f"{h.lower().replace(' ', '_')}:s" for h in ANSWER_PARTS), _sections_sql())
 def _(t):
     return T.extract_sections(t.responses)
 
@@ -262,7 +271,7 @@ def _(t):
 
 
 SHARED_SQL["reports"] = """
-SELECT conv_id, turn, concat('# Report', chr(10), substr(text, 1, 60), chr(10), CASE WHEN conv_id % 3 = 0 THEN '**Final Recommendation**: **STRONG_BUY**' ELSE '' END, chr(10),
+SELECT conv_id, turn, concat('# Report', chr(10), text, chr(10), CASE WHEN conv_id % 3 = 0 THEN '**Final Recommendation**: **STRONG_BUY**' ELSE '' END, chr(10),
  CASE conv_id % 4 WHEN 0 THEN '- Should Buy Now: YES' WHEN 1 THEN 'Hold or Sell: SELL' ELSE '' END, chr(10), CASE WHEN conv_id % 5 > 0 THEN concat('- Current Verdict: WAIT', chr(10), 'Confidence: 0.', turn) ELSE '' END) AS report FROM conversations"""
 
 
@@ -273,7 +282,7 @@ FROM (SELECT *, nullif(regexp_extract(report, '(?:Should Buy Now|Decision|Hold o
 def _(t):
     k = F.col("conv_id")
     nl = F.lit("\n")
-    report = F.concat(F.lit("# Report"), nl, F.substring("text", 1, 60), nl, F.when(k % 3 == 0, "**Final Recommendation**: **STRONG_BUY**").otherwise(""), nl,
+    report = F.concat(F.lit("# Report"), nl, F.col("text"), nl, F.when(k % 3 == 0, "**Final Recommendation**: **STRONG_BUY**").otherwise(""), nl,
                       F.when(k % 4 == 0, "- Should Buy Now: YES").when(k % 4 == 1, "Hold or Sell: SELL").otherwise(""), nl,
                       F.when(k % 5 > 0, F.concat(F.lit("- Current Verdict: WAIT\nConfidence: 0."), F.col("turn").cast("string"))).otherwise(""))
     return t.raw("conversations").withColumn("report", report).withColumns(X.report_fields(F.col("report")))

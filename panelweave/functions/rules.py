@@ -51,6 +51,11 @@ def crosscheck(agent: DataFrame, model: DataFrame, conf_min: float, min_pred: fl
         F.col("pred_return_pct"), F.col("rank_score"), conf_min, min_pred, min_score))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Number with fixed decimals, rounded from its exact binary value as the printing functions of most languages do."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits))
+
+
 def exit_signal(entry_rec: Column, entry_conf: Column, verdict: Column, conf: Column, days_held: Column,
                 change_pct: Column, window_days: int = 20) -> dict[str, Column]:
     """Exit signal of a tracked recommendation and the reason in words."""
@@ -63,20 +68,20 @@ def exit_signal(entry_rec: Column, entry_conf: Column, verdict: Column, conf: Co
            .when(expired & (change_pct < -5), "EXIT / STOP LOSS")
            .when(expired, "EXIT (thesis complete)").otherwise("HOLD"))
     buy_why = (
-        F.when(now == "sell", F.format_string("Recommendation reversed: was BUY, now SELL (confidence %.2f)", conf))
-        .when(weaker, F.format_string("Weakened conviction: was %.2f, now %.2f; take some profits", entry_conf, conf))
+        F.when(now == "sell", F.format_string("Recommendation reversed: was BUY, now SELL (confidence %s)", fixed(conf, 2)))
+        .when(weaker, F.format_string("Weakened conviction: was %s, now %s; take some profits", fixed(entry_conf, 2), fixed(conf, 2)))
         .when(expired & (change_pct > 3),
-              F.format_string("20-day thesis window closing; up %.1f%%, consider exit", change_pct))
+              F.format_string("20-day thesis window closing; up %s%%, consider exit", fixed(change_pct, 1)))
         .when(expired & (change_pct < -5),
-              F.format_string("20-day thesis window closing; down %.1f%%, cut loss", change_pct))
+              F.format_string("20-day thesis window closing; down %s%%, cut loss", fixed(change_pct, 1)))
         .when(expired, F.lit("20-day forecast window expired; reassess"))
-        .otherwise(F.format_string("Agent verdict: %s (%.2f); Portfolio action: HOLD, %dd held", shout, conf, days_held)))
+        .otherwise(F.format_string("Agent verdict: %s (%s); Portfolio action: HOLD, %dd held", shout, fixed(conf, 2), days_held)))
     sell = F.when(now == "buy", "REVERSE TO BUY").otherwise("MAINTAIN SELL")
     sell_why = (F.when(now == "buy", F.lit("Recommendation reversed: was SELL, now BUY"))
                 .otherwise(F.format_string("Agent verdict: %s; Portfolio action: MAINTAIN SELL", shout)))
     other = F.when(now == "buy", "UPGRADE TO BUY").otherwise("HOLD")
-    other_why = (F.when(now == "buy", F.format_string("Agent verdict: BUY (%.2f); Portfolio action: UPGRADE TO BUY", conf))
-                 .otherwise(F.format_string("Agent verdict: %s (%.2f); Portfolio action: HOLD", shout, conf)))
+    other_why = (F.when(now == "buy", F.format_string("Agent verdict: BUY (%s); Portfolio action: UPGRADE TO BUY", fixed(conf, 2)))
+                 .otherwise(F.format_string("Agent verdict: %s (%s); Portfolio action: HOLD", shout, fixed(conf, 2))))
     return {
         "exit_signal": F.when(rec == "buy", buy).when(rec == "sell", sell).otherwise(other),
         "reason": F.when(rec == "buy", buy_why).when(rec == "sell", sell_why).otherwise(other_why),

@@ -14,11 +14,14 @@ from panelweave.operators import ordering as O
 
 def daily_vector_mean(df: DataFrame, dim: int, vec: str = "emb", keys: Sequence[str] = ("ticker", "date"),
                       also: Sequence[str] = ()) -> DataFrame:
-    """Element-wise mean of a fixed-width vector and of further columns.
+    """Element-wise mean of a vector of `dim` elements and of further columns; a vector of another width is an error.
 
     One average per element inside a single aggregate: no explode, and partial
     sums of `dim` numbers leave each map task.
     """
+    fit = F.when(F.col(vec).isNull() | (F.size(vec) == dim), F.col(vec)).otherwise(
+        F.raise_error(F.format_string("vector of %d elements where " + str(dim) + " are expected", F.size(vec))))
+    df = df.withColumn(vec, fit)
     avgs = [F.avg(F.get(F.col(vec), F.lit(i)).cast("double")).alias(f"_e{i}") for i in range(dim)]
     out = df.groupBy(*keys).agg(*avgs, *[F.avg(c).alias(c) for c in also])
     return out.select(*keys, F.array(*[F.col(f"_e{i}") for i in range(dim)]).alias(vec), *also)

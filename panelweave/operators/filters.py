@@ -181,12 +181,12 @@ SCREEN_FIELDS = {
 }
 
 
-def screening_pool(df: DataFrame, min_turnover: float = 5_000_000, top_n: int = 40) -> DataFrame:
-    """Non-model fields of the most traded names, one row per ticker.
+def screening_pool(df: DataFrame, min_turnover: float, top_n: int) -> DataFrame:
+    """Non-model fields of the `top_n` most traded names, one row per ticker; all names for 0.
 
     Absent fields are filled by defaults. The turnover floor is dropped when no
-    row reaches it. The top-n report is taken before de-duplication, so the
-    de-duplicating window sees at most n rows.
+    row reaches it. A name's best row is chosen before names are counted, so a name with many rows takes one place;
+    Spark keeps one row per name and task before that shuffle.
     """
     blank = {"news_corpus": F.lit(""), "news_corpus_len": F.lit(0).cast("bigint")}
     pool = df.withColumns({c: blank.get(c, F.lit(None).cast(t)) for c, t in SCREEN_FIELDS.items() if c not in df.columns})
@@ -196,11 +196,9 @@ def screening_pool(df: DataFrame, min_turnover: float = 5_000_000, top_n: int =
         pool = cascade_filter(pool, [F.col("dollar_turnover") >= min_turnover, F.lit(True)]).drop("tier")
     order = [F.col("dollar_turnover").desc_nulls_last(), F.col("news_corpus_len").desc_nulls_last(),
              F.col("ticker").asc(), F.col("date").asc_nulls_last()]
-    pool = pool.select(*SCREEN_FIELDS)
-    if top_n > 0:
-        pool = pool.orderBy(*order).limit(top_n)
-    first = F.row_number().over(W.partitionBy("ticker").orderBy(*order))
-    return pool.withColumn("_r", first).where("_r = 1").drop("_r")
+    best = F.row_number().over(W.partitionBy("ticker").orderBy(*order))
+    pool = pool.select(*SCREEN_FIELDS).withColumn("_r", best).where("_r = 1").drop("_r")
+    return pool.orderBy(*order).limit(top_n) if top_n > 0 else pool
 
 
 def position_age(df: DataFrame, asof: Column, entry_date: str = "entry_date", entry_price: str = "entry_price",

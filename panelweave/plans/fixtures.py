@@ -15,6 +15,16 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from panelweave.plans.panel_store import stored_panel
 
 
+# The whole text of an answer is dealt over these headings.
+ANSWER_PARTS = ("Technical Analysis", "Fundamental Assessment", "Risk Assessment", "Price Target", "Catalysts", "Investment Thesis", "Timeline")
+
+
+def answer_piece(i: int) -> str:
+    """DuckDB text of one part."""
+    n = len(ANSWER_PARTS)
+    return f"substr(text, length(text) * {i} // {n} + 1, length(text) * {i + 1} // {n} - length(text) * {i} // {n})"
+
+
 class Tables:
     """Lazy access to the tables of one folder and the views derived from them."""
 
@@ -97,11 +107,13 @@ class Tables:
     @cached_property
     def responses(self) -> DataFrame:
         t, k = F.col("text"), (F.col("conv_id") + F.col("turn")) % 4
+        start = lambda i: F.floor(F.length(t) * i / len(ANSWER_PARTS)).cast("int")
+        piece = lambda i: F.substring(t, start(i) + 1, start(i + 1) - start(i))
         word = F.when(k == 0, "BUY").when(k == 1, "SELL").when(k == 2, "HOLD").otherwise("maybe")
         return self.raw("conversations").where(F.col("role") == "assistant").select(
             "conv_id", "turn", F.concat(F.lit("T"), (F.col("conv_id") % 20).cast("string")).alias("ticker"),
-            F.concat(F.lit("Technical Analysis: "), F.substring(t, 1, 120), F.lit("\nRisk Assessment: "),
-                     F.substring(t, 121, 120), F.lit("\nFinal Recommendation: **"), word, F.lit("**\nConfidence: "),
+            F.concat(*[x for i, h in enumerate(ANSWER_PARTS) for x in (F.lit(f"{h}: "), piece(i), F.lit("\n"))],
+                     F.lit("Final Recommendation: **"), word, F.lit("**\nConfidence: "),
                      ((F.col("conv_id") * 7 + F.col("turn")) % 101).cast("string")).alias("text"))
 
     @cached_property
@@ -150,10 +162,8 @@ FROM documents""",
 SELECT vec_id, concat('T', label) AS ticker,
        DATE '2015-06-01' + CAST(vec_id % 300 AS INT) AS date, embedding AS emb
 FROM embeddings""",
-    "responses": """
-SELECT conv_id, turn, concat('T', conv_id % 20) AS ticker,
-       concat('Technical Analysis: ', substr(text, 1, 120), chr(10),
-              'Risk Assessment: ', substr(text, 121, 120), chr(10),
+    "responses": f"""
+SELECT conv_id, turn, concat('T', conv_id % 20) AS ticker,        concat({", ".join(f"'{h}: ', {answer_piece(i)}, chr(10)" for i, h in enumerate(ANSWER_PARTS))},
               'Final Recommendation: **',
               CASE (conv_id + turn) % 4 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN 'HOLD' ELSE 'maybe' END,
               '**', chr(10), 'Confidence: ', CAST((conv_id * 7 + turn) % 101 AS INT)) AS text
