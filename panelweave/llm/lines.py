@@ -3,7 +3,8 @@
 A line is its set of distinct words. Lines of equal sets are one class, known by its
 first line. Every class lists its rarest words (the prefix in which similar lines must
 meet); lists are split by word over the cluster and stream through their tasks in order.
-Length, positional and bit map filters bound the overlap before two whole sets are compared.
+Length, positional and bit map filters bound the overlap before two whole sets are compared; two lines are paired where
+they may meet in their first common word, so nothing before it counts towards the overlap.
 Long lists compare each line with their first line, which resolves large groups of
 near copies at linear cost; only lines without an earlier partner so far are then compared with all
 earlier ones.
@@ -18,21 +19,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from panelweave.llm.common import (LOWER, SLOTS, columns, frequency_table, hashed_frequencies, ids_and_bytes,
-                                   mixed, stored, token_hashes)
+from panelweave.llm.common import LOWER, columns, ids_and_bytes, mixed, stored, token_hashes
 
-#: Rows up to this number are broadcast (about 100 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables up to this many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Frequent words whose counts order the words of a line (16 bytes each, broadcast). All others count as rare.
+FREQUENT = 1 << 17
+#: Words counted at a time in a task; words met less than SEEN times among them are not reported as frequent.
+COUNTED, SEEN = 1 << 22, 3
 #: Lists up to this length are paired where they are sorted; longer ones by the exact two rounds of `_long_lists`.
 SHORT_LIST = 256
 
 
-def _ranked(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Word hashes with the weight of their slot in the top bits: their order is rarity, their value names the word."""
-    return (weight[(h % np.uint64(SLOTS)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))
+def _ranked(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Word hashes with a weight in the top bits, 0 for rare words: their order is rarity, their value names the word."""
+    known, weight = frequent
+    w = np.zeros(len(h), np.uint64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        w = np.where(known[at] == h, weight[at], np.uint64(0))
+    return (w << np.uint64(58)) | (h >> np.uint64(6))
 
 
-def _line_sets(text: bytes, weight: np.ndarray, least: int, only=None):
+def _line_sets(text: bytes, frequent: tuple, least: int, only=None):
     """(line number, distinct words, rarest first, bit map) of the lines with at least `least` distinct words.
 
     A bit map has two words of 64 bits; two maps differ in no more bits than the sets differ in words.
@@ -41,7 +50,7 @@ def _line_sets(text: bytes, weight: np.ndarray, least: int, only=None):
     if only is not None:
         rows = [rows[i] for i in only]
     words = [r.split() for r in rows]
-    ranked = _ranked(token_hashes(list(chain.from_iterable(words))), weight)
+    ranked = _ranked(token_hashes(list(chain.from_iterable(words))), frequent)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     full = np.flatnonzero(sizes)
     maps = np.zeros((2, len(words)), np.uint64)
@@ -63,29 +72,45 @@ def _line_sets(text: bytes, weight: np.ndarray, least: int, only=None):
         at += n
 
 
-def word_frequencies(docs: DataFrame, least: int) -> np.ndarray:
-    """Weight of each slot (twice the binary logarithm of the words of all lines in it): decides rarity only, never a match."""
+def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, weights from 1 up) of at most FREQUENT words of all lines, sorted by hash.
+
+    Counts decide rarity only, never a match; words that no task meets SEEN times are left to the rare ones.
+    """
     def run(batches):
-        def counts():
+        def words():
+            held, n = [], 0
             for ids, texts in columns(batches, "doc_id", "text"):
                 for t in texts:
-                    yield token_hashes(t.translate(LOWER).split()) % np.uint64(SLOTS)
-
-        def joined(size=1 << 20):
-            held, n = [], 0
-            for c in counts():
-                held.append(c)
-                n += len(c)
-                if n >= size:
-                    yield np.concatenate(held)
-                    held, n = [], 0
+                    h = token_hashes(t.translate(LOWER).split())
+                    held.append(h)
+                    n += len(h)
+                    if n >= COUNTED:
+                        yield np.concatenate(held)
+                        held, n = [], 0
             if held:
                 yield np.concatenate(held)
 
-        return hashed_frequencies(joined())
-
-    counts = frequency_table(ids_and_bytes(docs).mapInArrow(run, "slice int, counts binary"))
-    return np.minimum(np.ceil(2 * np.log2(counts + 1)), 63).astype(np.uint64)
+        for h in words():
+            h, n = np.unique(h, return_counts=True)
+            h, n = h[n >= SEEN], n[n >= SEEN]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    counts = stored(ids_and_bytes(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    counts = counts.withColumn("bin", F.floor(F.log2("n") * 8))
+    least, held = None, 0
+    for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):  # some hundred bins
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["bin"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    rows = counts.where(F.col("bin") >= least).select("h", "n").toArrow()
+    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(h)
+    low = np.log2(n.min())
+    return h[order], np.minimum(1 + np.floor(3 * (np.log2(n) - low)), 63).astype(np.uint64)[order]
 
 
 def _pieces(batches, rows: int = 500):
@@ -121,9 +146,10 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
     return ids_and_bytes(docs).where("doc_id is not null").mapInArrow(run, schema)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """Broadcast a table whose rows of `size` bytes add up to little; else leave the join to Spark."""
     df = stored(df, "small")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, weight) -> DataFrame:
@@ -136,7 +162,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, weight) -> DataFrame
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "s": pa.array(s, pa.binary())})
 
     both = pairs.select("a", "al").unionByName(pairs.select(F.col("b").alias("a"), F.col("bl").alias("al"))).distinct()
-    ids = _small(both.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("al").alias("wanted")))
+    ids = _small(both.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("al").alias("wanted")), F.size("wanted") * 8 + 40)
     return ids_and_bytes(docs).join(ids, "doc_id").mapInArrow(run, "doc_id long, line long, s binary")
 
 
@@ -172,7 +198,8 @@ def _short_pairs(percent: int):
             n1, n2 = n[i], n[j]
             need = -(-percent * (n1 + n2) // (100 + percent))
             ok = (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)) & ((c["a"][i] != c["a"][j]) | (c["al"][i] != c["al"][j]))
-            ok &= np.minimum(place[i], place[j]) + np.minimum(n1 - place[i], n2 - place[j]) >= need
+            # as their first common word: whatever they share lies from here on
+            ok &= np.minimum(n1 - place[i], n2 - place[j]) >= need
             differ = sum(np.bitwise_count((c[b][i] ^ c[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
             ok &= differ <= n1 + n2 - 2 * need
             if ok.any():
@@ -218,7 +245,7 @@ def _may_reach(percent: int) -> Column:
     """Length, positional and bit map filters for lines a and b that meet in a list."""
     n, m, p, q = (F.shiftright("xa", 32), F.shiftright("xb", 32), F.col("xa").bitwiseAND(0xFFFFFFFF), F.col("xb").bitwiseAND(0xFFFFFFFF))
     need = F.ceil(percent * (n + m) / (100 + percent))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(p, q) + F.least(n - p, m - q) >= need) & (
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - p, m - q) >= need) & (
         F.bit_count(F.col("a1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("c2"))) <= n + m - 2 * need)
 
 
@@ -247,11 +274,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFr
     empty texts and rows without doc_id have no such lines. Repeated rows of one doc_id count as one document. Lines are compared with all earlier
     ones, removed ones included, so the result doesn't depend on any order of work.
     """
-    weight = docs.sparkSession.sparkContext.broadcast(word_frequencies(docs, least))
+    weight = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
     sig = stored(line_signatures(docs, percent, least, weight), "lines")
     first = sig.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    copies = _small(sig.select("key", "doc_id", "line").join(_small(first), "key").where(
-        "doc_id <> f.doc_id or line <> f.line").select("doc_id", "line").distinct())
+    copies = _small(sig.select("key", "doc_id", "line").join(_small(first, F.lit(64)), "key").where(
+        "doc_id <> f.doc_id or line <> f.line").select("doc_id", "line").distinct(), F.lit(40))
     rows = sig.join(copies, ["doc_id", "line"], "left_anti").select(
         F.col("doc_id").alias("a"), F.col("line").alias("al"), "n", "b1", "b2", F.posexplode("rare").alias("p", "g"))
     rows = rows.select("g", "a", "al", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("x"), "b1", "b2")
@@ -271,7 +298,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFr
 
 def without_repeats(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFrame:
     """`docs` and three columns behind `_l_`: n_lines, n_removed, text (without repeated lines, null if the text is)."""
-    gone = _small(repeated_lines(docs, percent, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("_l_gone")))
+    gone = _small(repeated_lines(docs, percent, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("_l_gone")), F.size("_l_gone") * 8 + 40)
 
     def run(batches):
         for b in batches:

@@ -27,7 +27,7 @@ MEMO, MEMO_WORD = 800_000, 64
 BLOCK = 1 << 20
 _CLOSING = frozenset(".,;:!?")
 _MARKS = re.compile(r"[^\w\s][.,]|_[.,]")
-_OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u017f]")
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -100,16 +100,24 @@ class WordEncoder:
         flat: list[str] = []
         ends = []
         for t in texts:
-            if "<|" not in t and not _OTHER.search(t):  # Latin: lower case letter by letter
+            if "<|" in t or _OTHER.search(t):
+                flat += t.replace("\n", " ").split(" ")
+            else:  # Latin: lower case letter by letter, common white space only
                 t = t.lower()
                 if not _MARKS.search(t):  # single marks behind words: set apart, so that fewer words are met
                     t = t.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-            flat += t.replace("\n", " ").split(" ")
+                flat += t.split()
             ends.append(len(flat))
         if len(self.memo) > MEMO:
             self.memo.clear()
         parts = list(map(self.memo.get, flat))
-        at = [i for i, p in enumerate(parts) if p is None]
+        at, i = [], -1
+        try:
+            while True:
+                i = parts.index(None, i + 1)
+                at.append(i)
+        except ValueError:
+            pass
         missing = {flat[i] for i in at}
         self._learn(missing)
         for i in at:

@@ -1,13 +1,17 @@
 """Toxicity, URL filter, surrogates, license scan and the pipeline."""
 
+import base64
 import datetime
 import random
 import re
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_contract_operators import brute_components, brute_lines
 from panelweave.llm import decontaminate, licenses, lines, pii, quality, similarity, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -112,30 +116,44 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
+    """Every stage once, each against a brute-force version of its own input."""
     docs = read(spark, "documents")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
     before = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
-        after = stage(spark, before, SF).cache()
+        stage(spark, before, SF).write.parquet(str(tmp_path / str(k)))
+        after = spark.read.parquet(str(tmp_path / str(k)))
         assert after.columns == docs.columns, name
-        ids = {r.doc_id for r in after.select("doc_id").collect()}
+        was, now = ([tuple(r) for r in d.select("doc_id", "text").collect()] for d in (before, after))
+        ids, text = {d for d, _ in now}, dict(now)
         if k == 0:
             verdict = quality.report(before, read(spark, "labels").where("quality = 1"))
             assert ids == {r.doc_id for r in verdict.where("kept").select("doc_id").collect()}
         if k == 1:
+            gone, left = brute_lines(was, 80, 1), {}
+            for d, t in was:
+                rows = (t or "").split("\n")
+                left[d] = "\n".join(x for i, x in enumerate(rows) if (d, i) not in gone)
+            assert ids == {d for d, t in was if left[d].split() or left[d] == (t or "")} and all(text[d] == left[d] for d in ids)
             assert after.where("n_chars <> length(text)").count() == 0
-            left = {r.doc_id: r.kept_sha256 for r in lines.line_report(before).collect()}
-            assert {r.doc_id: r.h for r in after.select("doc_id", F.sha2("text", 256).alias("h")).collect()} == {d: left[d] for d in ids}
         if k == 2:
-            found = similarity.jaccard_components(before).collect()
-            assert ids == {r.component_id for r in found}
+            assert ids == {c for _, _, c in brute_components(was, 5, 80)} and all(text[d] == dict(was)[d] for d in ids)
         if k == 3:
             assert decontaminate.leak_report(after, read(spark, "benchmark")).where("contaminated").count() <= 1
         before = after
-    tokens = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in tokens.select("doc_id").collect()} == ids
+    tokens = corpus_pipeline.STAGES[4][1](spark, before, SF).select("doc_id", "ids").collect()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r.doc_id: r.ids for r in tokens} == {d: library.encode_ordinary(t or "") for d, t in now}
+
+
+def test_run_hands_each_result_to_the_next_stage(spark, monkeypatch):
+    step = lambda n: (str(n), lambda spark, docs, sf: docs.where(f"doc_id % {n} <> 0").withColumn("n_chars", F.col("n_chars") + n))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [step(2), step(3), step(5)])
+    got = {r.doc_id: r.n_chars for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_chars").collect()}
+    assert got == {r.doc_id: r.n_chars + 10 for r in read(spark, "documents").collect() if r.doc_id % 2 and r.doc_id % 3 and r.doc_id % 5}
 
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
