@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.catalog.registry import SHARED_SQL, query
-from panelweave.operators import aggregates as A, grid as G, joins as J, ordering as O
+from panelweave.operators import aggregates as A, grid as G, joins as J, ordering as O, user_aggregates as U
 
 
 @query("daily_vector_mean", "ticker:s date:d dim:i value:f", """
@@ -152,3 +152,20 @@ def _(t):
 SELECT ticker, avg(quality) AS quality, count(*) AS articles FROM news JOIN labels USING (doc_id) GROUP BY ticker""")
 def _(t):
     return A.quality_by_key(t.news, t.raw("labels"))
+
+
+# The same two measures, written by the caller: a state of sums, and of logarithms for the product.
+def _measures():
+    import numpy as np
+
+    def update(s, rows):
+        return (s[0] + int((rows["pred_return_pct"] > 0).sum()), s[1] + len(rows), s[2] * float(np.prod(1 + rows["rank_score"] / 100)))
+
+    return U.UserAggregate("wins long, n long, growth double", "win_rate double, compound_return double", lambda: (0, 0, 1.0), update,
+                           lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] * b[2]), lambda s: (s[0] / s[1], s[2] - 1))
+
+
+@query("win_rate_user_aggregate", "ticker:s win_rate:f compound_return:f", """
+SELECT ticker, count(*) FILTER (pred_return_pct > 0) / CAST(count(*) AS DOUBLE) AS win_rate, product(1 + rank_score / 100) - 1 AS compound_return FROM signals GROUP BY ticker""")
+def _(t):
+    return U.aggregate(t.signals, ["ticker"], ["pred_return_pct", "rank_score"], _measures())

@@ -88,6 +88,23 @@ def _(t):
     return M.ndcg_at_k(M.rank_scores(m.where("split = 'validation'"), model, names), 10)
 
 
+# How the pairwise ranker's training pairs follow from the rows: facts that SQL can count.
+@query("rank_pairs", "qid:i pairs:i", """
+SELECT qid, n_pairs AS pairs FROM (SELECT year(date) * 10000 + month(date) * 100 + day(date) AS qid, count(*) AS n FROM signals
+ WHERE actual_20d_return_pct IS NOT NULL GROUP BY ALL), LATERAL (SELECT sum(greatest(n - k, 0)) AS n_pairs FROM (SELECT unnest([1, 2, 3, 4]) AS k)) WHERE n > 1""")
+def _(t):
+    d = t.signals.withColumn("qid", dates.yyyymmdd(F.col("date")))
+    return M.training_pairs(d, ["pred_return_pct", "rank_score"], label="actual_20d_return_pct").groupBy("qid").agg(F.count("*").alias("pairs"))
+
+
+@query("rank_model_pairwise", "qid:i ndcg:f")
+def _(t):
+    names = M.feature_names(_F)
+    m = M.split_train_val(M.training_matrix(panel(t), _F, burn_in=BURN_IN)).checkpoint()
+    weights = M.fit_pairwise_ranker(m.where("split = 'train'"), names, rounds=20)
+    return M.ndcg_at_k(M.linear_scores(m.where("split = 'validation'"), weights, names), 10)
+
+
 def _linear():
     return [0.5, -0.25, 2.0]
 

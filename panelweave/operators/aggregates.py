@@ -235,17 +235,52 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
         (F.col("lo") + (F.col("bin") + 1) * F.col("step")).alias("right_edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def moments_state(df: DataFrame, cols: Sequence[str], batch: str | None = None) -> DataFrame:
+    """Mergeable state of a scaler: rows (feature, n, mean, m2), m2 the sum of squared deviations.
+
+    Batches that hold any non-finite value are left out as a whole; each batch has its own moments, so one pass
+    finds both, and a batch of any size is summed by partial aggregation.
+    """
+    bad = F.lit(False)
+    for c in cols:
+        bad = bad | N.finite(F.col(c).cast("double")).isNull()
+    x = lambda c: F.col(c).cast("double")
+    one = F.array(*[F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(x(c)).alias("mean"),
+                             (F.var_pop(x(c)) * F.count(c)).alias("m2")) for c in cols])
+    per = df.groupBy(*([batch] if batch else [])).agg(one.alias("s"), F.max(bad).alias("_bad"))
+    if batch is not None:
+        per = per.where("not _bad")
+    return merge_states(per.select(F.explode("s").alias("s")).select("s.*"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state of several: of batches, runs or partitions, in any order and grouping."""
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    every = every.where("n > 0")
+    # deviations of the parts' means from their common mean need that mean: a window over the few parts of a feature
+    parts = every.groupBy("feature").agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean"),
+                                         F.sum("m2").alias("inner"))
+    both = every.select("feature", F.col("n").alias("_n"), F.col("mean").alias("_m")).join(parts, "feature")
+    return both.groupBy("feature", "n", "mean", "inner").agg(F.sum(F.col("_n") * (F.col("_m") - F.col("mean")) ** 2).alias("outer")).select(
+        "feature", "n", "mean", (F.col("inner") + F.col("outer")).alias("m2"))
+
+
+def scaler_from_state(state: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with <c>_mean and <c>_scale: mean and population deviation, zero deviation as 1."""
+    at = lambda c, v: F.max(F.when(F.col("feature") == c, v))
+    sd = F.sqrt(F.col("m2") / F.col("n"))
+    return state.agg(*[x for c in cols for x in (at(c, F.col("mean")).alias(f"{c}_mean"), at(c, F.when(sd == 0, 1.0).otherwise(sd)).alias(f"{c}_scale"))])
+
+
 def scaler_fit(df: DataFrame, cols: Sequence[str], batch: str | None = None) -> DataFrame:
     """One row with <c>_mean and <c>_scale: mean and population deviation, zero deviation as 1.
 
     With `batch`, batches holding any non-finite value are left out as a whole.
     """
     if batch is not None:
-        bad = ~F.lit(True)
-        for c in cols:
-            bad = bad | N.finite(F.col(c)).isNull()
-        ok = df.groupBy(batch).agg(F.max(bad).alias("_bad")).where("not _bad").select(batch)
-        df = df.join(ok, batch, "left_semi")
+        return scaler_from_state(moments_state(df, cols, batch), cols)
     out = []
     for c in cols:
         s = F.stddev_pop(c)

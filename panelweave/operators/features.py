@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -88,6 +89,41 @@ def fit_rank_model(matrix: DataFrame, features: Sequence[str], iterations: int =
                         maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(data)
 
 
+def training_pairs(matrix: DataFrame, features: Sequence[str], group: str = "qid", key: str = "ticker", label: str = "label",
+                   partners: int = 4, seed: int = 42) -> DataFrame:
+    """Pairs of rows of one group (day) with different labels: `diff` of their features, `target` 1 where the first has the larger label.
+
+    Each row meets the next `partners` rows in an order drawn by `seed`, so a group of n rows gives at most n * partners pairs.
+    Rows without a label or with a missing feature are left out.
+    """
+    row = F.struct(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(label).cast("double").alias("y"))
+    whole = F.col(label).isNotNull()
+    for f in features:
+        whole = whole & N.finite(F.col(f).cast("double")).isNotNull()
+    w = W.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
+    d = matrix.where(whole).select(group, key, row.alias("a"))
+    d = d.select(group, "a", *[F.lead("a", k).over(w).alias(f"b{k}") for k in range(1, partners + 1)])
+    d = d.select(group, "a", F.explode(F.array(*[f"b{k}" for k in range(1, partners + 1)])).alias("b")).where("b is not null and a.y <> b.y")
+    return d.select(group, F.zip_with("a.x", "b.x", lambda p, q: p - q).alias("diff"), (F.col("a.y") > F.col("b.y")).cast("double").alias("target"))
+
+
+def fit_pairwise_ranker(matrix: DataFrame, features: Sequence[str], group: str = "qid", key: str = "ticker", label: str = "label",
+                        partners: int = 4, rounds: int = 50, ridge: float = 1e-3, seed: int = 42) -> list[float]:
+    """Weights of a linear score that orders rows within a group: logistic loss of score differences over `training_pairs`.
+
+    Gradients are summed in the tasks and joined in a tree, round by round. What all rows of a day share cancels
+    out of every pair, so the level of a day doesn't matter.
+    """
+    pairs = training_pairs(matrix, features, group, key, label, partners, seed)
+    data = pairs.select(F.col("target").alias("label"), array_to_vector("diff").alias("features"))
+    model = LogisticRegression(fitIntercept=False, maxIter=rounds, regParam=ridge, tol=1e-8).fit(data)
+    return model.coefficients.tolist()
+
+
+def linear_scores(matrix: DataFrame, weights: Sequence[float], features: Sequence[str], out: str = "score") -> DataFrame:
+    return matrix.withColumn(out, sum((F.col(f) * w for f, w in zip(features, weights)), F.lit(0.0)))
+
+
 def rank_scores(matrix: DataFrame, model, features: Sequence[str]) -> DataFrame:
     return model.transform(matrix.withColumn("features", array_to_vector(F.array(*features)))).drop("features")
 
