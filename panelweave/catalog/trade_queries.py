@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from panelweave.catalog.filter_queries import agent, latest_signal
@@ -98,8 +100,20 @@ def _(t):
     return backtest(t).ledger
 
 
-@query("trade_ledger", "date:d ticker:s side:s pred_return_pct:f rank_score:f entry_date:d entry_price:f exit_date:d exit_price:f exit_reason:s "
-       "strategy_return:f cash_used:f cash_gained:f cash_final:f strategy_return_pct:f", "SELECT *, 'LONG' AS side FROM bt_ledger")
+@query("trade_ledger_delayed", "date:d ticker:s original_signal_date:d entry_date:d", """
+SELECT k.date, k.ticker, k.original_signal_date, e.date AS entry_date FROM (
+ SELECT base + CAST(1 + 2 * ((wd + 1) // 5) AS INT) AS date, ticker, original_signal_date FROM (
+  SELECT ticker, date AS original_signal_date, rank_score, pred_return_pct, least(isodow(date) - 1, 4) AS wd, date - CAST(greatest(isodow(date) - 5, 0) AS INT) AS base FROM signals
+  WHERE pred_return_pct >= 1 AND rank_score >= -0.5)
+ QUALIFY row_number() OVER (PARTITION BY base + CAST(1 + 2 * ((wd + 1) // 5) AS INT) ORDER BY rank_score DESC, pred_return_pct DESC, ticker) = 1) k
+ASOF JOIN numbered_bars e ON k.ticker = e.ticker AND k.date <= e.date WHERE e.rn + 14 <= e.n_rows""")
+def _(t):
+    late = replace(CONFIG, signal_delay_bdays=1, contradiction_below=None)
+    return run_backtest(t.signals, t.bars, t.market, late).ledger
+
+
+@query("trade_ledger", "date:d ticker:s original_signal_date:d side:s pred_return_pct:f rank_score:f entry_date:d entry_price:f exit_date:d exit_price:f exit_reason:s "
+       "strategy_return:f cash_used:f cash_gained:f cash_final:f strategy_return_pct:f", "SELECT *, date AS original_signal_date, 'LONG' AS side FROM bt_ledger")
 def _(t):
     return backtest(t).ledger
 

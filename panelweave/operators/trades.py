@@ -140,11 +140,15 @@ def executed_paths(picks: DataFrame, bars: DataFrame, model: str, hold: int, fee
 
 
 def ledger(paths: DataFrame, capital: float, max_per_day: int, hold: int) -> DataFrame:
-    """One row per trade with the fixed-fraction size capital / (max_per_day * hold); amounts in cents."""
+    """One row per trade with the fixed-fraction size capital / (max_per_day * hold); amounts in cents.
+
+    `original_signal_date` is the day of the signal before any delay.
+    """
     used = capital / (max_per_day * hold)
     r = F.col("total_return")
+    first = F.col("original_signal_date" if "original_signal_date" in paths.columns else "date")
     return paths.where(F.col("i") == F.col("exit_i")).select(
-        "date", "ticker", F.lit("LONG").alias("side"), "pred_return_pct", "rank_score", "entry_date",
+        "date", "ticker", first.alias("original_signal_date"), F.lit("LONG").alias("side"), "pred_return_pct", "rank_score", "entry_date",
         N.half_even(F.col("entry_price"), 4).alias("entry_price"), F.col("day").alias("exit_date"),
         N.half_even(F.col("exit_price"), 4).alias("exit_price"), "exit_reason", r.alias("strategy_return"),
         N.half_even(F.lit(used), 2).alias("cash_used"), N.half_even(used * r, 2).alias("cash_gained"),
