@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelweave.functions import dates, numeric as N
 from panelweave.operators.ordering import dedupe
-from panelweave.operators.sets import union_by_name
+from panelweave.session import shared_root
 
 # Accepted names of each logical news column, in order of preference.
 NEWS_ALIASES = {
@@ -37,25 +38,68 @@ TRACKER_COLUMNS = {
 BAR_COLUMNS = ("date", "open", "high", "low", "close", "volume")
 
 
-def read_bars(spark: SparkSession, path: str, suffix: str = "_daily") -> DataFrame:
+class FileScan(NamedTuple):
+    """`rows`: file, order (place in the file) and every column of any layout as text. `report`: file, length, problem (NULL if none)."""
+
+    rows: DataFrame
+    report: DataFrame
+
+    def checked(self) -> DataFrame:
+        """The rows; an error that names a few files if any could not be read."""
+        bad = self.report.where("problem IS NOT NULL").limit(5).collect()
+        if bad:
+            raise ValueError("files that can't be read: " + "; ".join(f"{r['file']} ({r['problem']})" for r in bad))
+        return self.rows
+
+
+def scan_csv(spark: SparkSession, root: str, pattern: str | None = None, required: Sequence[str] = (), tidy: bool = False) -> FileScan:
+    """CSV files of many layouts below a folder in one distributed scan.
+
+    Each row is mapped by the header of its own file: the first line of every file is found by a partial aggregate, and
+    columns by their place in it. The driver sees the distinct column names only, no file and no header. Files that can't be
+    decoded or lack a `required` column are rows of the report and give no rows; Spark lists no files of zero bytes. `pattern` is a regular expression on
+    the path; `tidy` compares names in lower case with underscores. Values may be quoted but don't span lines.
+    """
+    shared_root(spark)
+    path = F.col("_metadata.file_path")
+    wanted = F.lit(True) if pattern is None else path.rlike(pattern)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(wanted).select(
+        path.alias("file"), F.col("_metadata.file_size").alias("length"))
+    text = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(root).where(wanted)
+    order = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    lines = text.select(path.alias("file"), order.alias("order"), "value")
+    heads = lines.groupBy("file").agg(F.min(F.struct("order", "value")).alias("h")).select(
+        "file", F.col("h.order").alias("first"), F.col("h.value").alias("header"))
+    heads = heads.checkpoint()  # a row for each file
+    width = heads.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    schema = ", ".join(f"c{i} STRING" for i in range(width))
+    cells = lambda c: F.array(*[F.from_csv(c, schema)[f"c{i}"] for i in range(width)])
+    name = (lambda n: F.replace(F.lower(F.trim(n)), F.lit(" "), F.lit("_"))) if tidy else F.trim
+    known = heads.withColumn("names", F.transform(cells(F.col("header")), name)).withColumn(
+        "missing", F.array_except(F.array(*[F.lit(n) for n in required]).cast("array<string>"), "names"))
+    report = listed.join(known.select("file", "missing"), "file", "left").select("file", "length", F.when(
+        F.col("missing").isNull(), "unreadable").when(F.size("missing") > 0, F.concat(F.lit("lacks "), F.array_join("missing", ", "))).alias("problem"))
+    good = known.where(F.size("missing") == 0).select("file", "first", "names")
+    columns = [r[0] for r in good.select(F.explode("names").alias("n")).where("n <> ''").distinct().orderBy("n").collect()]
+    body = lines.join(good, "file").where(F.col("order") != F.col("first")).withColumn("cells", cells(F.col("value")))
+    at = lambda n: F.when(F.array_position("names", n) > 0, F.get("cells", (F.array_position("names", n) - 1).cast("int")))
+    return FileScan(body.select("file", "order", *[at(n).alias(n) for n in columns]), report)
+
+
+def read_bars(spark: SparkSession, path: str, suffix: str = "_daily", strict: bool = True) -> DataFrame:
     """Per-ticker CSV files as one panel: key from the path, bad dates dropped, last row per day kept.
 
-    Columns are found by the header's lower-case names, in any order; further ones (adjusted prices,
-    indicators, macro columns) are kept as numbers, and a missing price column is an error. All files share
-    one header. Accepts `<key>_daily.csv` files and `file=<key>_daily` folders. The position in
-    the file decides which row of a day is the last.
+    Columns are found by each file's own header in lower case, in any order; further ones (adjusted prices,
+    indicators, macro columns) are kept as numbers, NULL for tickers without them. A file that can't be read or lacks a price column is
+    an error, or is left out if not `strict` (`scan_csv(...).report` names it). Accepts `<key>_daily.csv` files and
+    `file=<key>_daily` folders. The position in the file decides which row of a day is the last.
     """
-    files = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False)
-    raw = files.csv(path)
-    named = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
-    missing = [c for c in BAR_COLUMNS if c not in named]
-    if missing:
-        raise ValueError(f"price files lack the columns {missing}")
-    key = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/=]+){suffix}[^/]*(?:/[^/]*)?$", 1)
-    df = raw.select(key.alias("ticker"), dates.day(F.col(f"`{named['date']}`")).alias("date"),
-                    *[N.to_double(F.col(f"`{c}`")).alias(n) for n, c in named.items() if n != "date"],
-                    F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-                             F.monotonically_increasing_id().alias("m")).alias("_o"))
+    scan = scan_csv(spark, path, None, BAR_COLUMNS, tidy=True)
+    raw = scan.checked() if strict else scan.rows
+    key = F.regexp_extract("file", rf"([^/=]+){suffix}[^/]*(?:/[^/]*)?$", 1)
+    others = [c for c in raw.columns if c not in ("file", "order", "date")]
+    df = raw.select(key.alias("ticker"), dates.day(F.col("date")).alias("date"), *[N.to_double(F.col(f"`{c}`")).alias(c) for c in others],
+                    F.struct("file", "order").alias("_o"))
     df = df.where(F.col("date").isNotNull() & F.col("close").isNotNull())
     return dedupe(df, ["ticker", "date"], [F.col("_o").desc()]).drop("_o")
 
@@ -117,26 +161,18 @@ def read_tracker(df: DataFrame) -> DataFrame:
                      *[N.finite(col(k).try_cast("double")).alias(k) for k in num])
 
 
-def read_tagged(spark: SparkSession, root: str, globs: Sequence[str]) -> DataFrame:
+def read_tagged(spark: SparkSession, root: str, globs: Sequence[str], strict: bool = True) -> DataFrame:
     """Union of the CSV results whose file or folder name matches a pattern, tagged with `source_file`.
 
-    Layouts may differ; missing columns are NULL and corrupt files are skipped.
-    Only file names and header lines reach the driver, and files with the same
-    header are read by one scan.
+    Layouts may differ; columns that a file lacks are NULL. All files are read by one scan. A file that can't be read is an error,
+    or is left out if not `strict`.
     """
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-               .where("length > 0").select("path"))
-    pattern = "|".join(g.replace(".", r"\.").replace("*", "[^/]*") for g in globs)
-    hit = listing.where(F.col("path").rlike(f"/(?:{pattern})(?:/[^/]*)?$"))
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(r["path"] for r in hit.collect()):
-        head = tuple(spark.read.option("header", True).csv(path).columns)
-        layouts.setdefault(head, []).append(path)
-    if not layouts:
+    names = "|".join(g.replace(".", r"\.").replace("*", "[^/]*") for g in globs)
+    scan = scan_csv(spark, root, f"/(?:{names})(?:/[^/]*)?$")
+    if scan.report.isEmpty():
         raise ValueError("no result files found")
-    frames = [spark.read.option("header", True).option("ignoreCorruptFiles", True).csv(paths)
-              .withColumn("source_file", F.col("_metadata.file_path")) for paths in layouts.values()]
-    return union_by_name(frames)
+    rows = scan.checked() if strict else scan.rows
+    return rows.withColumnRenamed("file", "source_file").drop("order")
 
 
 def lag_publication(df: DataFrame, days: int = 45, date: str = "date") -> DataFrame:

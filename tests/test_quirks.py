@@ -238,6 +238,26 @@ def test_tagged_files_of_two_layouts(spark, tmp_path):
     assert rows(got, "Pred", "Rank", "Actual") == [("1", "2", None), ("3", None, "4")]
 
 
+def test_many_files_of_three_layouts_and_broken_ones(spark, tmp_path):
+    heads = ["Date,open,high,low,close,volume", "volume,Close,low,high,Open,Date,RSI 14", '"date","close","open","low","high","volume","note, long"']
+    for i in range(90):
+        day = f"2024-01-{i % 28 + 1:02d}"
+        row = [f"{day},1,2,0,{i},9", f'9,{i},0,2,1,{day},50', f'"{day}","{i}","1","0","2","9","a, b"'][i % 3]
+        (tmp_path / f"K{i}_daily.csv").write_text(f"{heads[i % 3]}\n{row}\n")
+    got = S.read_bars(spark, str(tmp_path))
+    assert rows(got, "ticker", "open", "high", "low", "close", "volume", "rsi_14") == sorted(
+        [(f"K{i}", 1.0, 2.0, 0.0, float(i), 9.0, 50.0 if i % 3 == 1 else None) for i in range(90)], key=repr)
+    (tmp_path / "BAD_daily.csv.gz").write_bytes(b"this is no archive")
+    (tmp_path / "NONE_daily.csv").write_bytes(b"")
+    (tmp_path / "LESS_daily.csv").write_text("Date,close\n2024-01-02,4\n")
+    report = S.scan_csv(spark, str(tmp_path), None, S.BAR_COLUMNS, tidy=True).report.where("problem is not null")
+    assert {(r.file.rsplit("/", 1)[1], r.problem) for r in report.collect()} == {
+        ("BAD_daily.csv.gz", "unreadable"), ("LESS_daily.csv", "lacks open, high, low, volume")}
+    with pytest.raises(ValueError, match="BAD_daily.csv.gz"):
+        S.read_bars(spark, str(tmp_path))
+    assert S.read_bars(spark, str(tmp_path), strict=False).count() == 90
+
+
 def test_schema_detection():
     assert S.detect_signal_schema(["date", "PRED_RETURN_%", "Rank", "Actual_Alpha_%"]) == {"pred": "PRED_RETURN_%", "score": "Rank", "actual": "Actual_Alpha_%"}
     with pytest.raises(ValueError):
