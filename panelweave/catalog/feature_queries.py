@@ -184,3 +184,32 @@ def _(t):
         "model_text": R.model_input_summary(c("date"), c("ticker"), c("price"), c("recent"), c("pred"), c("score"), i % 2 == 0,
                                             c("pos"), c("neg"), c("neg") / 3, c("corpus")),
         "agent_text": R.agent_input_summary(c("date"), c("ticker"), c("price"), c("recent"), c("pos"), c("neg"), c("corpus"))})
+
+
+SHARED_SQL["agent_rows"] = """
+SELECT date, ticker, pred_return_pct * 1.0137e0 AS pred, CASE WHEN ticker_id % 4 > 0 THEN pred_return_pct / 7 END AS model, rank_score * 0.1371e0 AS score,
+ ['buy', ' LONG', 'sell', 'Hold', 'init_failed', 'not_available', NULL][ticker_id % 7 + 1] AS action, CASE ticker_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN NULL ELSE 'OK ' END AS status,
+ ticker_id % 3 = 0 AS passed, concat('  because of ', ticker, ' ') AS reason FROM signals"""
+
+
+def agent_rows(t):
+    i, c = F.col("ticker_id"), F.col
+    action = F.get(F.array(*[F.lit(x) for x in ("buy", " LONG", "sell", "Hold", "init_failed", "not_available", None)]), (i % 7).cast("int"))
+    return t.signals.select(
+        "date", "ticker", (c("pred_return_pct") * 1.0137).alias("pred"), F.when(i % 4 > 0, c("pred_return_pct") / 7).alias("model"),
+        (c("rank_score") * 0.1371).alias("score"), action.alias("action"), F.when(i % 5 == 0, "failed").when(i % 5 != 1, "OK ").alias("status"),
+        (i % 3 == 0).alias("passed"), F.concat(F.lit("  because of "), c("ticker"), F.lit(" ")).alias("reason"))
+
+
+@query("agent_verdicts", "date:d ticker:s verdict:s summary:s", """
+SELECT date, ticker, CASE WHEN lower(trim(coalesce(status, 'n/a'))) <> 'ok' THEN 'ERROR' WHEN a IN ('buy', 'long') THEN 'BUY CONFIRMED' WHEN a IN ('sell', 'short') THEN 'AVOID / SELL'
+  WHEN a IN ('hold', 'neutral') THEN 'NO BUY' ELSE upper(replace(a, '_', ' ')) END AS verdict,
+ concat_ws(' | ', format('pred_ret_final={:.2f}%', pred), CASE WHEN model IS NULL THEN 'pred_ret_model=n/a' ELSE format('pred_ret_model={:.6f}', model) END,
+  format('xgb_rank_score={:.3f}', score), concat('agent_action=', coalesce(action, 'n/a')), concat('agent_status=', coalesce(status, 'n/a')),
+  CASE WHEN passed THEN 'agent_pass=True' ELSE 'agent_pass=False' END, concat('agent_reason=', trim(reason))) AS summary
+FROM (SELECT *, lower(trim(coalesce(action, 'n/a'))) AS a FROM agent_rows)""")
+def _(t):
+    c = F.col
+    return agent_rows(t).withColumns({
+        "verdict": R.agent_verdict(c("action"), c("status")),
+        "summary": R.output_summary(c("pred"), c("model"), c("score"), c("action"), c("status"), c("passed"), c("reason"))})

@@ -39,6 +39,22 @@ def _(t):
     return S.read_signals(raw, keep=["date", "ticker"])
 
 
+@query("scan_signals_fragments", "date:d ticker:s pred:f score:f actual:f", """
+SELECT date, ticker, pred_return_pct AS pred, rank_score AS score, actual_20d_return_pct AS actual FROM signals""")
+def _(t):
+    raw = t.signals.select("date", "ticker", F.col("pred_return_pct").alias("model_ALPHA_v2"), F.col("rank_score").cast("string").alias("total Score"),
+                           F.col("actual_20d_return_pct").alias("the return"))
+    return S.read_signals(raw, loose=True, keep=["date", "ticker"])
+
+
+@query("scan_tracker", "date:d ticker:s current_price:f pred_return_pct:f rank_score:f dollar_turnover:f", """
+SELECT date, ticker, current_price, pred_return_pct, rank_score, NULL AS dollar_turnover FROM signals""")
+def _(t):
+    raw = t.signals.select(F.col("date").cast("string").alias("Date"), F.col("ticker").alias("Symbol"), F.col("current_price").cast("string").alias("Close"),
+                           F.col("pred_return_pct").alias("Some_Pred"), F.col("rank_score").alias("final_Score_x"))
+    return S.read_tracker(raw)
+
+
 @query("scan_multi_tagged", "tag:s ticker:s pred:f turnover:f", """
 SELECT 'a_forward.csv' AS tag, ticker, pred_return_pct AS pred, NULL AS turnover FROM signals WHERE year(date) < 1998
 UNION ALL SELECT 'final_ensemble_results_b.csv', ticker, pred_return_pct, dollar_turnover FROM signals WHERE year(date) >= 1998""")

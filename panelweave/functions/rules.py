@@ -188,3 +188,29 @@ def agent_input_summary(day: Column, ticker: Column, price: Column, recent: Colu
         F.when(price != 0, F.format_string("Current Price: $%.2f", price)),
         F.when(recent.isNotNull(), F.concat(F.lit("Recent 20D Return (Momentum): "), signed(recent, 2), F.lit("%"))),
         mood, F.when(text != "", F.concat(F.lit("Context: "), text)))
+
+
+# Agent actions and the verdict they stand for; others are shown as they are, in capitals.
+AGENT_VERDICTS = {"buy": "BUY CONFIRMED", "long": "BUY CONFIRMED", "sell": "AVOID / SELL", "short": "AVOID / SELL",
+                  "hold": "NO BUY", "neutral": "NO BUY"}
+
+
+def agent_verdict(action: Column, status: Column) -> Column:
+    """Buy-focused verdict of an agent's action: ERROR unless its status is ok; a missing action or status counts as n/a."""
+    act, state = (F.lower(F.trim(F.coalesce(c, F.lit("n/a")))) for c in (action, status))
+    known = F.create_map(*[F.lit(x) for kv in AGENT_VERDICTS.items() for x in kv])
+    return F.when(state != "ok", "ERROR").otherwise(F.coalesce(F.try_element_at(known, act), F.upper(F.replace(act, F.lit("_"), F.lit(" ")))))
+
+
+def output_summary(pred: Column, model: Column, score: Column, action: Column, status: Column, passed: Column, reason: Column,
+                   limit: int | None = None) -> Column:
+    """Pipe-joined record of what model and agent gave; missing numbers and texts are n/a."""
+    def number(name: str, c: Column, digits: int, unit: str = "") -> Column:
+        c = N.finite(c.cast("double"))
+        return F.concat(F.lit(f"{name}="), F.coalesce(F.concat(fixed(c, digits), F.lit(unit)), F.lit("n/a")))
+
+    return F.concat_ws(
+        " | ", number("pred_ret_final", pred, 2, "%"), number("pred_ret_model", model, 6), number("xgb_rank_score", score, 3),
+        F.concat(F.lit("agent_action="), F.coalesce(action, F.lit("n/a"))), F.concat(F.lit("agent_status="), F.coalesce(status, F.lit("n/a"))),
+        F.concat(F.lit("agent_pass="), F.initcap(F.coalesce(passed, F.lit(False)).cast("string"))),
+        F.concat(F.lit("agent_reason="), X.shorten(reason, limit)))
