@@ -25,6 +25,8 @@ from panelweave.llm.common import LOWER, columns, ids_and_bytes, mixed, stored,
 BROADCAST_BYTES = 32 << 20
 #: Frequent words whose counts order the words of a line (16 bytes each, broadcast). All others count as rare.
 FREQUENT = 1 << 17
+#: Places of these words by the top bits of their hash: 9 MB in all. Of words with one place the most frequent has it.
+SLOT_BITS = 20
 #: Words counted at a time in a task; words met less than SEEN times among them are not reported as frequent.
 COUNTED, SEEN = 1 << 22, 3
 #: Lists up to this length are paired where they are sorted; longer ones by the exact two rounds of `_long_lists`.
@@ -34,10 +36,8 @@ SHORT_LIST = 256
 def _ranked(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Word hashes with a weight in the top bits, 0 for rare words: their order is rarity, their value names the word."""
     known, weight = frequent
-    w = np.zeros(len(h), np.uint64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        w = np.where(known[at] == h, weight[at], np.uint64(0))
+    at = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    w = np.where(known[at] == h, weight[at], np.uint8(0)).astype(np.uint64)
     return (w << np.uint64(58)) | (h >> np.uint64(6))
 
 
@@ -73,7 +73,7 @@ def _line_sets(text: bytes, frequent: tuple, least: int, only=None):
 
 
 def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, weights from 1 up) of at most FREQUENT words of all lines, sorted by hash.
+    """(hash, weight from 1 up) of at most FREQUENT words of all lines, each at its place.
 
     Counts decide rarity only, never a match; words that no task meets SEEN times are left to the rare ones.
     """
@@ -104,13 +104,15 @@ def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held > FREQUENT:
             break
         least = r["bin"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    rows = counts.where(F.col("bin") >= least).select("h", "n").toArrow()
-    h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(h)
-    low = np.log2(n.min())
-    return h[order], np.minimum(1 + np.floor(3 * (np.log2(n) - low)), 63).astype(np.uint64)[order]
+    known, weight = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint8)
+    if least is not None:
+        rows = counts.where(F.col("bin") >= least).select("h", "n").toArrow()
+        h, n = rows.column("h").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        order = np.lexsort((h, n))  # the last one written stays
+        h, n = h[order], n[order]
+        at = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known[at], weight[at] = h, np.minimum(1 + np.floor(3 * np.log2(n / n[0])), 63)
+    return known, weight
 
 
 def _pieces(batches, rows: int = 500):
