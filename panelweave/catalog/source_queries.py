@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.catalog.registry import query
+from panelweave.catalog.window_queries import PW, _LABEL, panel
 from panelweave.operators import windows as W
 from panelweave.session import staging_path
 from panelweave.sources import readers as S, sinks as K
@@ -128,11 +129,18 @@ def _(t):
     return K.insert_if_absent(old, new, ["date", "ticker"])
 
 
-@query("sink_tensor_batches", "ticker:s n:i", "SELECT ticker, count(*) - 60 AS n FROM bars GROUP BY ticker HAVING count(*) > 60")
+@query("sink_tensor_batches", "batch:i tickers:i n:i cells:i first:f4 y:f3", f"""
+SELECT (k - 1) // 50 AS batch, count(DISTINCT ticker) AS tickers, count(*) AS n, count(*) * 120 AS cells, sum(before) AS first, sum(label) AS y FROM (
+ SELECT ticker, {_LABEL.format(b="beta_prev")} AS label, before, dense_rank() OVER (ORDER BY ticker) AS k
+ FROM (SELECT *, CAST(lag(close, 60) {PW} AS FLOAT)::DOUBLE AS before FROM labelled) WHERE rn > 60 AND full20) GROUP BY 1""")
 def _(t):
     path = staging_path(t.spark, "sequences")
-    K.write_sequences(W.window_sequences(t.bars, ["close", "volume"]).select("ticker", "date", "seq"), path, 8)
-    return t.spark.read.parquet(path).where(F.size("seq") == 60).groupBy("ticker").agg(F.count("*").alias("n"))
+    y = W.forward_alpha_label(W.rolling_beta(panel(t)), "sequence").select("ticker", "date", F.col("label").alias("y"))
+    x = W.window_sequences(t.bars, ["close", "volume"]).select("ticker", "date", "seq")
+    K.write_sequences(x.join(y, ["ticker", "date"]), path)
+    got = t.spark.read.parquet(path)
+    return got.groupBy("batch").agg(F.countDistinct("ticker").alias("tickers"), F.count("*").alias("n"), F.sum(F.size(F.flatten("seq"))).alias("cells"),
+                                    F.sum(F.col("seq")[0][0].cast("double")).alias("first"), F.sum("y").alias("y"))
 
 
 @query("snapshot_history", "snapshot_date:d run:s ticker:s n:i", """

@@ -9,12 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from panelweave.functions import numeric as N
 from panelweave.operators.ewma import Ewma, GapEwma, add_ewma, add_ewma_present  # noqa: F401
 from panelweave.operators.frames import add_frame_moments, finite_sql
 
+#: Windows laid out at a time.
+SEQUENCES = 256
+
 # Name fragments that choose the transform of a feature column.
 PCT_WORDS = ("close", "open", "high", "low", "cpi", "m2", "volume")
 DIFF_WORDS = ("fed", "vix", "rsi", "macd")
@@ -207,13 +213,38 @@ def window_stats(df: DataFrame, cols: Sequence[str], rows: int = 60, include_cur
 
 
 def window_sequences(df: DataFrame, cols: Sequence[str], rows: int = 60, key="ticker", date="date") -> DataFrame:
-    """`seq`: rows x features array of the preceding rows, oldest first; only full windows are kept.
+    """`seq`: rows x features array of the preceding rows, oldest first; only full windows are kept. Missing values are NaN.
 
-    Each value is stored `rows` times, so build this last, right before the write.
+    Rows stream through their task in order of (key, date); only the last `rows` feature rows of the current key are carried
+    over the border of a batch, and windows are laid out a few hundred at a time, so memory stays flat.
     """
-    f = by(key, date).rowsBetween(-rows, -1)
-    packed = df.withColumn("_f", F.array(*[F.col(c).cast("float") for c in cols]))
-    return (packed.withColumn("seq", F.collect_list("_f").over(f)).where(F.size("seq") == rows).drop("_f"))
+    width, others = len(cols), list(df.columns)
+    own = df.select(*[F.col(f"`{c}`") for c in others], F.array(*[F.col(f"`{c}`").cast("float") for c in cols]).alias("_f"))
+
+    def run(batches):
+        held, last = np.zeros((0, width), np.float32), None
+        for b in batches:
+            feats = b.column("_f").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+            keys = b.column(key).to_pylist()
+            start = 0
+            while start < len(keys):
+                stop = start + next((i for i, k in enumerate(keys[start:]) if k != keys[start]), len(keys) - start)
+                if keys[start] != last:
+                    held, last = held[:0], keys[start]
+                seen = np.concatenate((held, feats[start:stop]))
+                skip = max(0, rows - len(held))  # rows of this run without a full window
+                for at in range(start + skip, stop, SEQUENCES):
+                    n = min(SEQUENCES, stop - at)
+                    first = len(held) + at - start - rows
+                    part = sliding_window_view(seen[first : first + rows + n - 1], rows, axis=0).transpose(0, 2, 1)
+                    inner = pa.ListArray.from_arrays(np.arange(n * rows + 1, dtype=np.int32) * width, pa.array(part.reshape(-1)))
+                    seq = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * rows, inner)
+                    yield pa.RecordBatch.from_arrays([b.column(c).slice(at, n) for c in others] + [seq], [*others, "seq"])
+                held = seen[-rows:]
+                start = stop
+
+    schema = T.StructType([*df.schema.fields, T.StructField("seq", T.ArrayType(T.ArrayType(T.FloatType())))])
+    return own.repartition(key).sortWithinPartitions(key, date).mapInArrow(run, schema)
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str], key: str | None = "ticker", date="date") -> DataFrame:

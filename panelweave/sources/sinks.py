@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.functions import dates, text as X
+from panelweave.operators.ordering import global_row_number
 
 
 def split_by_year(df: DataFrame, date_text: str = "date", cut: int = 2024) -> DataFrame:
@@ -64,9 +65,14 @@ def append_snapshot(history: DataFrame | None, df: DataFrame, snapshot_date: Col
     return snap if history is None else replace_by_key(history, snap, ["snapshot_date"])
 
 
-def write_sequences(df: DataFrame, path: str, partitions: int = 50, key: str = "ticker") -> None:
-    """Sequence rows (array columns and label) as Parquet, keys spread over `partitions` files."""
-    df.repartition(partitions, key).write.mode("overwrite").parquet(path)
+def write_sequences(df: DataFrame, path: str, keys_per_batch: int = 50, key: str = "ticker") -> None:
+    """Training batches: all rows (sequence, label, ...) of `keys_per_batch` neighbouring keys in one folder `batch=<k>`.
+
+    Keys are numbered by a distributed sort of the distinct keys; there are as many batches as the keys need.
+    """
+    number = global_row_number(df.select(key).distinct(), [F.col(key)], "_n")
+    numbered = df.join(number.select(key, F.expr(f"(_n - 1) div {keys_per_batch}").alias("batch")), key)
+    numbered.repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(path)
 
 
 def summary_json(summary: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:

@@ -132,3 +132,21 @@ def test_frames_of_any_length(spark, panel):
                     assert same(r.c, ((f.x - f.x.mean()) * (f.y - f.y.mean())).sum(), 1e-6) and same(r.m2y, ((f.y - f.y.mean()) ** 2).sum(), 1e-7)
             else:
                 assert (k, i + 1) not in got
+
+
+def test_sequences_carry_rows_over_batch_borders(spark, panel, monkeypatch):
+    df, pdf = panel
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(W, "SEQUENCES", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {(r.ticker, r.date): r.seq for r in W.window_sequences(df, ["x", "y"], 10).select("ticker", "date", "seq").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    n = 0
+    for k, g in pdf.sort_values("date").groupby("ticker"):
+        v = g[["x", "y"]].to_numpy("float32")
+        for i in range(10, len(g)):
+            assert [x for row in got[k, i] for x in row] == pytest.approx(v[i - 10 : i].ravel().tolist(), nan_ok=True)
+            n += 1
+    assert n == len(got)
