@@ -118,26 +118,27 @@ def cost_decision(verdict: Column, change_pct: Column) -> Column:
 
 def signed(x: Column, digits: int) -> Column:
     """Number text with a leading sign, like %+.Nf."""
-    return F.format_string(f"%+.{digits}f", x)
+    text = fixed(x, digits)
+    return F.when(F.startswith(text, F.lit("-")), text).otherwise(F.concat(F.lit("+"), text))
 
 
 def factor_narrative(action: Column, ticker: Column, pred: Column, recent: Column, score: Column,
                      pos: Column, neg: Column, market_pos: Column, market_neg: Column, fallback: Column) -> Column:
     """One-sentence reasoning from bucketed factors; at most three qualifying factors are named."""
     factors = F.array_compact(F.array(
-        F.when(recent > 5, F.format_string("strong 20D momentum (+%.1f%%)", recent))
-        .when(recent > 2, F.format_string("positive momentum (+%.1f%%)", recent))
-        .when(recent < -5, F.format_string("weak momentum (%.1f%%)", recent))
-        .otherwise(F.format_string("neutral momentum (%.1f%%)", recent)),
+        F.when(recent > 5, F.format_string("strong 20D momentum (+%s%%)", fixed(recent, 1)))
+        .when(recent > 2, F.format_string("positive momentum (+%s%%)", fixed(recent, 1)))
+        .when(recent < -5, F.format_string("weak momentum (%s%%)", fixed(recent, 1)))
+        .otherwise(F.format_string("neutral momentum (%s%%)", fixed(recent, 1))),
         F.when(F.abs(pred) > 10, F.concat(F.lit("significant predicted alpha ("), signed(pred, 1), F.lit("%)")))
         .when(F.abs(pred) > 3, F.concat(F.lit("material prediction ("), signed(pred, 1), F.lit("%)"))),
         F.when((pos > 0.6) & (neg < 0.2), "strong positive sentiment").when(pos > 0.4, "positive sentiment bias")
         .when(neg > 0.6, "strong negative sentiment").when(neg > 0.4, "negative sentiment bias")
         .otherwise("mixed sentiment"),
         F.when(market_pos > market_neg, "favorable broad market sentiment").otherwise("cautious broad market sentiment"),
-        F.when(score > 0.05, F.format_string("strong relative ranking (%.3f)", score))
+        F.when(score > 0.05, F.format_string("strong relative ranking (%s)", fixed(score, 3)))
         .when(score > -0.05, F.lit("neutral ranking"))
-        .otherwise(F.format_string("weak relative ranking (%.3f)", score)),
+        .otherwise(F.format_string("weak relative ranking (%s)", fixed(score, 3))),
     ))
 
     def best(pattern):
@@ -158,21 +159,21 @@ def factor_narrative(action: Column, ticker: Column, pred: Column, recent: Colum
     )
 
 
-def _labelled(label: str, value: Column, pattern: str) -> Column:
+def _labelled(label: str, value: Column, digits: int, unit: str = "") -> Column:
     """label=<formatted value>, or label=n/a when missing."""
-    return F.when(value.isNotNull(), F.format_string(f"{label}={pattern}", value)).otherwise(f"{label}=n/a")
+    return F.when(value.isNotNull(), F.concat(F.lit(f"{label}="), fixed(value, digits), F.lit(unit))).otherwise(f"{label}=n/a")
 
 
 def model_input_summary(day: Column, ticker: Column, price: Column, recent: Column, pred: Column, score: Column,
                         fallback: Column, pos: Column, neg: Column, neu: Column, news: Column, limit: int | None = None) -> Column:
     """Pipe-joined record of what went into a prediction."""
     known = pos.isNotNull()
-    mood = F.when(known, F.format_string("finbert_sentiment=pos:%.3f,neg:%.3f,neu:%.3f", pos, neg, neu)).otherwise("finbert_sentiment=n/a")
+    mood = F.when(known, F.format_string("finbert_sentiment=pos:%s,neg:%s,neu:%s", *[fixed(c, 3) for c in (pos, neg, neu)])).otherwise("finbert_sentiment=n/a")
     text = X.shorten(news, limit)
     return F.concat_ws(
         " | ", F.concat(F.lit("date="), day.cast("string")), F.concat(F.lit("ticker="), F.coalesce(ticker, F.lit("n/a"))),
-        _labelled("current_price", price, "%.2f"), _labelled("recent_20d_return", recent, "%.2f%%"),
-        _labelled("pred_ret_final", pred, "%.2f%%"), _labelled("xgb_rank_score", score, "%.3f"),
+        _labelled("current_price", price, 2), _labelled("recent_20d_return", recent, 2, "%"),
+        _labelled("pred_ret_final", pred, 2, "%"), _labelled("xgb_rank_score", score, 3),
         F.concat(F.lit("used_fallback="), F.initcap(fallback.cast("string"))), mood,
         F.when(text != "", F.concat(F.lit("news_excerpt="), text)).otherwise("news_excerpt=n/a"))
 
@@ -182,10 +183,10 @@ def agent_input_summary(day: Column, ticker: Column, price: Column, recent: Colu
     """Pipe-joined decision record without model internals; missing parts are left out."""
     text = X.shorten(news, limit)
     mood = F.when(pos.isNotNull() & neg.isNotNull(), F.format_string(
-        "Sentiment Tone: %s (positive:%.1f%%, negative:%.1f%%)", X.tone(pos, neg), pos * 100, neg * 100))
+        "Sentiment Tone: %s (positive:%s%%, negative:%s%%)", X.tone(pos, neg), fixed(pos * 100, 1), fixed(neg * 100, 1)))
     return F.concat_ws(
         " | ", F.concat(F.lit("Ticker: "), F.coalesce(ticker, F.lit("n/a"))), F.concat(F.lit("Date: "), day.cast("string")),
-        F.when(price != 0, F.format_string("Current Price: $%.2f", price)),
+        F.when(price != 0, F.format_string("Current Price: $%s", fixed(price, 2))),
         F.when(recent.isNotNull(), F.concat(F.lit("Recent 20D Return (Momentum): "), signed(recent, 2), F.lit("%"))),
         mood, F.when(text != "", F.concat(F.lit("Context: "), text)))
 

@@ -335,3 +335,18 @@ def test_summary_text_and_json(spark):
 def test_union_prefers_fresh_rows(spark):
     a, b = series(spark, [1, 2, 3]), series(spark, [9]).withColumn("date", F.date_add("date", 1))
     assert column(U.merge_prefer_last(a, b, ["ticker", "date"]), "close") == [1.0, 9.0, 3.0]
+
+
+def test_summaries_print_the_exact_binary_value(spark):
+    """2.675 lies below the tie and 0.125 on it; Python's own formatting is the rule."""
+    values = [2.675, 0.125, 0.375, 1.005, -2.675, 584.405, 7773.035, -0.004, 0.0, 15.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    x = F.col("x")
+    got = df.select("x", R.model_input_summary(F.lit("d"), F.lit("A"), x, x, x, x, F.lit(True), x, x, x, F.lit("")).alias("m"),
+                    R.agent_input_summary(F.lit("d"), F.lit("A"), x, x, x, x, F.lit("")).alias("a")).collect()
+    for r in got:
+        v = r.x
+        assert r.m == (f"date=d | ticker=A | current_price={v:.2f} | recent_20d_return={v:.2f}% | pred_ret_final={v:.2f}% | xgb_rank_score={v:.3f}"
+                       f" | used_fallback=True | finbert_sentiment=pos:{v:.3f},neg:{v:.3f},neu:{v:.3f} | news_excerpt=n/a")
+        price = f" | Current Price: ${v:.2f}" if v else ""
+        assert r.a == f"Ticker: A | Date: d{price} | Recent 20D Return (Momentum): {v:+.2f}% | Sentiment Tone: neutral (positive:{v * 100:.1f}%, negative:{v * 100:.1f}%)"
