@@ -99,8 +99,9 @@ SELECT event_id, coalesce(a, b, c, d) AS quote_price, CASE WHEN a > 0 THEN conca
   CASE session WHEN 'premarket' THEN 'pre_market_price' WHEN 'postmarket' THEN 'post_market_price' ELSE 'regular_market_price' END AS an,
   CASE session WHEN 'premarket' THEN 'regular_market_price' WHEN 'postmarket' THEN 'regular_market_price' ELSE 'pre_market_price' END AS bn,
   CASE session WHEN 'premarket' THEN 'post_market_price' WHEN 'postmarket' THEN 'pre_market_price' ELSE 'post_market_price' END AS cn FROM (
-  SELECT event_id, session, CASE WHEN event_id % 2 = 0 AND price > 0 THEN price END AS reg, CASE WHEN event_id % 3 = 0 AND price > 0 THEN price + 1 END AS pre,
-   CASE WHEN event_id % 5 = 0 AND price > 0 THEN price + 2 END AS post, CASE WHEN event_id % 7 = 0 AND price > 0 THEN price + 3 END AS lst FROM sessions))""")
+  SELECT event_id, session, CASE WHEN event_id % 2 = 0 AND price > 0 AND isfinite(price) THEN price END AS reg,
+   CASE WHEN event_id % 3 = 0 AND price + 1 > 0 AND isfinite(price) THEN price + 1 END AS pre, CASE WHEN event_id % 5 = 0 AND price + 2 > 0 AND isfinite(price) THEN price + 2 END AS post,
+   CASE WHEN event_id % 7 = 0 AND price + 3 > 0 AND isfinite(price) THEN price + 3 END AS lst FROM sessions))""")
 def _(t):
     e, p = F.col("event_id"), F.col("price")
     q = t.quotes.select("event_id", dates.session_label(F.col("ts")).alias("session"), F.when(e % 2 == 0, p).otherwise(0.0).alias("regular_market_price"),

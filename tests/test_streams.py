@@ -128,3 +128,17 @@ def test_latest_quotes_fold_over_compaction(spark, tmp_path, monkeypatch):
         [("B", dt.datetime(2024, 1, 5, 20, 0), 3, -1.0, 2)], [("B", dt.datetime(2024, 1, 4, 20, 0), 4, 7.0, 2)])
     Z.collect_latest_quotes(Z.read_stream(spark, src, 1), "premarket", out)
     assert rows(Z.latest_quote_now(spark, "premarket", out), "ticker", "price", "event_id") == [("A", 5.0, 1), ("B", 7.0, 4)]
+
+
+def test_quote_priority_and_its_sql_agree_on_odd_prices(spark, tmp_path):
+    import check
+    from __spark_entry__ import oracle_sql, queries
+
+    odd = [0.0, -0.5, -1.0, -2.5, None, float("nan"), float("inf"), 3.0]
+    rows = [(i, 1, dt.datetime(2024, 1, 5, (i * 5) % 24), "view", odd[i % 8], "{}") for i in range(840)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/e")
+    con = check.duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    spark.read.parquet(f"{tmp_path}/e").write.parquet(f"{tmp_path}/events.parquet")
+    ok, note = check.compare(queries()["quote_source_priority"](spark, str(tmp_path)), con, oracle_sql()["quote_source_priority"])
+    assert ok, note
