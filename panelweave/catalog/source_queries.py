@@ -135,9 +135,9 @@ SELECT (k - 1) // 50 AS batch, count(DISTINCT ticker) AS tickers, count(*) AS n,
  FROM (SELECT *, CAST(lag(close, 60) {PW} AS FLOAT)::DOUBLE AS before FROM labelled) WHERE rn > 60 AND full20) GROUP BY 1""")
 def _(t):
     path = staging_path(t.spark, "sequences")
-    y = W.forward_alpha_label(W.rolling_beta(panel(t)), "sequence").select("ticker", "date", F.col("label").alias("y"))
-    x = W.window_sequences(t.bars, ["close", "volume"]).select("ticker", "date", "seq")
-    K.write_sequences(x.join(y, ["ticker", "date"]), path)
+    y = W.forward_alpha_label(W.rolling_beta(panel(t)), "sequence").select("ticker", "date", F.col("label").alias("y"), F.lit(True).alias("labelled"))
+    rows = t.bars.select("ticker", "date", "close", "volume").join(y, ["ticker", "date"], "left")
+    K.write_sequences(K.batched_sequences(rows, ["close", "volume"], "labelled").select("batch", "ticker", "date", "seq", "y"), path)
     got = t.spark.read.parquet(path)
     return got.groupBy("batch").agg(F.countDistinct("ticker").alias("tickers"), F.count("*").alias("n"), F.sum(F.size(F.flatten("seq"))).alias("cells"),
                                     F.sum(F.col("seq")[0][0].cast("double")).alias("first"), F.sum("y").alias("y"))

@@ -4,8 +4,10 @@ import datetime as dt
 
 import pytest
 
+from panelweave.operators import windows as W
 from panelweave.plans import panel_store as P
 from panelweave.plans.fixtures import Tables
+from panelweave.sources import sinks as K
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -44,3 +46,18 @@ def test_a_hot_day_is_folded_whole(spark, tmp_path):
         px = [p for p, _ in ticks]
         assert tuple(got[k][c] for c in ("open", "high", "low", "close")) == (px[0], max(px), min(px), px[-1])
         assert got[k].volume == pytest.approx(sum(q for _, q in ticks)) and got[k].ticker == f"T{k[0]}"
+
+
+def test_batches_hold_the_same_sequences_and_sort_only_narrow_rows(spark, tmp_path):
+    bars = Tables(spark, FOLDER).bars.select("ticker", "date", "close", "volume")
+    got = K.batched_sequences(bars, ["close", "volume"], "day(date) > 3", rows=5, keys_per_batch=4)
+    p = plan(got)
+    last = p.index("collect_list")  # plans are printed from the end
+    assert "Sort" not in p[:last] and "Exchange" not in p[:last]
+    K.write_sequences(got, f"{tmp_path}/s")
+    read = spark.read.parquet(f"{tmp_path}/s")
+    want = W.window_sequences(bars, ["close", "volume"], 5).where("day(date) > 3")
+    key = lambda r: (r.ticker, r.date)
+    assert {key(r): r.seq for r in read.collect()} == {key(r): r.seq for r in want.collect()}
+    tickers = sorted(r.ticker for r in bars.select("ticker").distinct().collect())
+    assert {(r.ticker, r.batch) for r in read.select("ticker", "batch").distinct().collect()} <= {(k, i // 4) for i, k in enumerate(tickers)}
