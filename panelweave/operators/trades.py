@@ -129,11 +129,17 @@ def exit_prices(path: DataFrame, model: str, stop: float, take_profit: float | N
 def executed_paths(picks: DataFrame, bars: DataFrame, model: str, hold: int, fee: float, stop: float,
                    take_profit: float | None = None, contradiction_below: float | None = None,
                    predictions: DataFrame | None = None) -> DataFrame:
-    """Picks to executed path rows: entry, path, returns, costs, exits and prices."""
-    pos = X.positions(bars)
+    """Picks to executed path rows: entry, path, returns, costs, exits and prices.
+
+    The picks, a few rows per day, are stored first; panel and predictions are read for their tickers only.
+    """
+    shared_root(picks.sparkSession)
+    picks = picks.checkpoint()
+    own = picks.select("ticker").distinct()
+    pos = X.positions(bars.join(own, "ticker", "left_semi"))
     path = J.trade_path(J.entry_forward(picks, pos), pos, hold)
     if contradiction_below is not None:
-        path = J.lookup_prediction(path, predictions)
+        path = J.lookup_prediction(path, predictions.join(own, "ticker", "left_semi"))
     path = apply_costs(daily_returns(path, model, hold), fee)
     path = detect_exits(path, stop, take_profit, contradiction_below, hold)
     return exit_prices(path, model, stop, take_profit, hold)
@@ -266,10 +272,12 @@ def forward_tracker(signals: DataFrame, bars: DataFrame, market: DataFrame, hold
     (CLOSED), or the last row (OPEN). By default beta is the one at the first
     signal of the ticker, reused for its later signals; "per_signal" recomputes.
     """
-    pos = X.positions(bars.where(F.col("close").isNotNull()))
+    # a few rows per day, read by several branches below; only their tickers need a panel
+    shared_root(signals.sparkSession)
+    signals = signals.checkpoint()
+    own = bars.where(F.col("close").isNotNull()).join(signals.select("ticker").distinct(), "ticker", "left_semi")
+    pos = X.positions(own)
     entries = J.entry_forward(signals, pos.withColumn("_close", F.col("close")), ["entry_date", "rn", "n_rows", "_close"])
-    # a few rows per day, read by four branches below
-    shared_root(entries.sparkSession)
     entries = entries.checkpoint()
     t = X.holding_exit(entries, hold).withColumn("entry_price", F.coalesce(N.positive(F.col("current_price")), F.col("_close")))
     rows = with_shared_days(pos, market, lookback)

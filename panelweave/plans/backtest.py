@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from panelweave.operators import aggregates as A, filters as P, joins as J, ordering as O, trades as T
+from panelweave.session import shared_root
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,9 @@ class Backtest:
         return A.regime_attribution(self.daily)
 
     def value_at_risk(self, confidence: float = 0.95) -> DataFrame:
-        return A.var_cvar(self.daily, "ai_daily_return", confidence)
+        # selection passes over its input several times; one row per day, so the back-test runs once
+        shared_root(self.daily.sparkSession)
+        return A.var_cvar(self.daily.select("date", "ai_daily_return").checkpoint(), "ai_daily_return", confidence)
 
     def analytics(self) -> DataFrame:
         return A.trade_analytics(self.ledger)

@@ -61,3 +61,20 @@ def test_batches_hold_the_same_sequences_and_sort_only_narrow_rows(spark, tmp_pa
     assert {key(r): r.seq for r in read.collect()} == {key(r): r.seq for r in want.collect()}
     tickers = sorted(r.ticker for r in bars.select("ticker").distinct().collect())
     assert {(r.ticker, r.batch) for r in read.select("ticker", "batch").distinct().collect()} <= {(k, i // 4) for i, k in enumerate(tickers)}
+
+
+def test_a_back_test_reads_the_panel_for_its_tickers_and_runs_once(spark, monkeypatch):
+    from panelweave.operators import aggregates as A, trades as TR
+    from panelweave.plans.backtest import BacktestConfig, run_backtest
+
+    t, seen = Tables(spark, FOLDER), []
+    inner = W.positions
+    monkeypatch.setattr(TR.X, "positions", lambda df, *a: (seen.append(df), inner(df, *a))[1])
+    b = run_backtest(t.signals.where("ticker_id <= 3"), t.bars, t.market, BacktestConfig(start=None, end=None, holding_period=5))
+    tickers = lambda df: {r.ticker for r in df.select("ticker").distinct().collect()}
+    assert tickers(seen[0]) == tickers(b.picks) < tickers(t.bars) and tickers(seen[0]) <= {"T0", "T1", "T2", "T3"}
+    monkeypatch.setattr(A, "var_cvar", lambda df, *a: df)
+    assert "SortMergeJoin" not in plan(b.value_at_risk()) and "Window" not in plan(b.value_at_risk())
+    recs = t.signals.where("ticker_id = 2").select("date", "ticker", "pred_return_pct", "rank_score", "current_price")
+    TR.forward_tracker(recs, t.bars, t.market, 5)
+    assert tickers(seen[-1]) == {"T2"}
