@@ -1,7 +1,7 @@
 """Back-test plan: signals to ledger, portfolio days, monthly table and risk figures.
 
-Everything is lazy. Materialise `paths` once (table or checkpoint) when several
-of the results are wanted.
+The picks, a few rows per day, are stored when a run is set up; the rest is lazy. Materialise `paths` once
+(table or checkpoint) when several of the results are wanted.
 """
 
 from __future__ import annotations
