@@ -208,11 +208,6 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     other columns are ignored; an empty table gives an empty result. Titles before names stay, the
     name after them is replaced.
     """
-    def find(batches):
-        for (texts,) in columns(batches, "text"):
-            pairs = sorted({(k, n) for t in texts for _, _, k, n in mentions(t)})
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in pairs], pa.string()), "normal": pa.array([n for _, n in pairs], pa.string())})
-
     def per_doc(batches):
         for ids, texts in columns(batches, "doc_id", "text"):
             rows = sorted({(d, k, n) for d, t in zip(ids, texts) for _, _, k, n in mentions(t)})
@@ -221,9 +216,11 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))  # without an id, the text stands for it
-    entities = stored(docs.select("text").mapInArrow(find, "kind string, normal string").distinct(), "entities")
+    # texts are searched once for all that follows; only those with entities are searched again, to be rewritten
+    found = stored(keyed.mapInArrow(per_doc, "doc_id long, kind string, normal string"), "found")
+    entities = stored(found.select("kind", "normal").distinct(), "entities")
     table = stored(_assign(entities, key), "surrogates")
-    named = keyed.mapInArrow(per_doc, "doc_id long, kind string, normal string").distinct().join(table, ["kind", "normal"])
+    named = found.distinct().join(table, ["kind", "normal"])
     each = stored(named.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "normal", "new")).alias("_e")).withColumnRenamed("doc_id", "_k"), "named")
     if each.count() <= BROADCAST_ROWS // 10:
         each = F.broadcast(each)

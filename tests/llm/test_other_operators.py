@@ -81,6 +81,20 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.limit(0), b"key").count() == 0
 
 
+def test_surrogates_search_every_text_once(spark, monkeypatch):
+    frames = type(spark.range(1))
+    searched, plain = [], frames.mapInArrow
+
+    def noted(df, run, schema, *more):
+        if "text" in df.columns and "_e" not in df.columns:  # without its entities
+            searched.append(schema)
+        return plain(df, run, schema, *more)
+
+    monkeypatch.setattr(frames, "mapInArrow", noted)
+    found = pii.replace_entities(spark.createDataFrame([(1, "10.0.0.7 and 10.0.0.7"), (1, "10.0.0.7"), (2, None)], "doc_id long, text string"), b"key")
+    assert sorted((r.doc_id, r.n_entities) for r in found.collect()) == [(1, 1), (1, 2), (2, 0)] and len(searched) == 1
+
+
 def test_surrogates_stay_distinct(spark):
     ips = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]  # 81 originals in a space of 6,561
     table = pii._assign(spark.createDataFrame([("ip", x) for x in ips], "kind string, normal string"), b"k").collect()
