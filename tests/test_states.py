@@ -65,3 +65,31 @@ def test_pairwise_ranker_ignores_the_level_of_a_day(spark):
     assert pair > point
     pairs = M.training_pairs(train, names)
     assert pairs.count() <= 4 * train.count() and {r.target for r in pairs.select("target").distinct().collect()} == {0.0, 1.0}
+
+
+def test_pairwise_weights_are_the_minimum_over_the_pairs(spark):
+    """Groups lie across batches and blocks; the gradient of the documented loss, taken from the pairs themselves, vanishes."""
+    rnd = random.Random(4)
+    rows = [(day, f"T{i}", 1e3 * rnd.gauss(0, 1), rnd.gauss(0, 1), 7.0, rnd.gauss(0, 1)) for day in range(9) for i in range(day * 40 + 1)]
+    df = spark.createDataFrame(rows, "qid int, ticker string, a double, b double, c double, label double")
+    names = ["a", "b", "c"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        w = np.array(M.fit_pairwise_ranker(df, names, partners=3))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = M.training_pairs(df, names, partners=3).collect()
+    d, t = np.array([r["diff"] for r in pairs]), np.array([r.target for r in pairs])
+    scale = d.std(0, ddof=1)
+    slope = (d * (1 / (1 + np.exp(-d @ w)) - t)[:, None]).mean(0) + 1e-3 * w * scale**2
+    assert w[2] == 0 and np.abs(slope[:2] / scale[:2]).max() < 1e-8
+
+
+def test_rankers_store_narrow_rows_only(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    frames = type(spark.range(1))
+    kept, plain = [], frames.checkpoint
+    monkeypatch.setattr(frames, "checkpoint", lambda df, *a: kept.append(set(df.columns)) or plain(df, *a))
+    assert entry.queries()["rank_model_pairwise"](spark, "/root/testdata/sf0.001").count() > 0
+    assert kept == [{"qid", "ticker", "label", "score"}]
