@@ -29,6 +29,8 @@ FREQUENT = 1 << 17
 SLOT_BITS = 20
 #: Words counted at a time in a task; words met less than SEEN times among them are not reported as frequent.
 COUNTED, SEEN = 1 << 22, 3
+#: The 64-bit words of a line's bit map.
+MAPS = ("b1", "b2")
 #: Lists up to this length are paired where they are sorted; longer ones by the exact two rounds of `_long_lists`.
 SHORT_LIST = 256
 
@@ -44,7 +46,7 @@ def _ranked(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 def _line_sets(text: bytes, frequent: tuple, least: int, only=None):
     """(line number, distinct words, rarest first, bit map) of the lines with at least `least` distinct words.
 
-    A bit map has two words of 64 bits; two maps differ in no more bits than the sets differ in words.
+    Each word of the set flips one bit of the map, so two maps differ in no more bits than the sets differ in words, and long lines don't fill it.
     """
     rows = text.translate(LOWER).split(b"\n")
     if only is not None:
@@ -52,24 +54,24 @@ def _line_sets(text: bytes, frequent: tuple, least: int, only=None):
     words = [r.split() for r in rows]
     ranked = _ranked(token_hashes(list(chain.from_iterable(words))), frequent)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    full = np.flatnonzero(sizes)
-    maps = np.zeros((2, len(words)), np.uint64)
-    if len(full):
-        bit, word = np.uint64(1) << (ranked & np.uint64(63)), ranked & np.uint64(64)
-        for k in (0, 1):
-            maps[k, full] = np.bitwise_or.reduceat(np.where(word == 64 * k, bit, np.uint64(0)), (np.cumsum(sizes) - sizes)[full])
-    maps = list(zip(*maps.view(np.int64).tolist()))
-    at = 0
+    at, found = 0, []
     for i, n in enumerate(sizes.tolist()):
-        if n >= least:
+        if n >= least and n:
             s = ranked[at : at + n]
             s.sort()
             new = s[1:] != s[:-1]
             if not new.all():
                 s = s[np.concatenate(([True], new))]
             if len(s) >= least:
-                yield i if only is None else only[i], s, maps[i]
+                found.append((i if only is None else only[i], s))
         at += n
+    if not found:
+        return
+    every = np.concatenate([s for _, s in found])
+    first = np.concatenate(([0], np.cumsum([len(s) for _, s in found])[:-1]))
+    bit, place = np.uint64(1) << (every & np.uint64(63)), every >> np.uint64(6) & np.uint64(len(MAPS) - 1)
+    maps = [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), first).view(np.int64).tolist() for k in range(len(MAPS))]
+    yield from ((i, s, m) for (i, s), m in zip(found, zip(*maps)))
 
 
 def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ def _pieces(batches, rows: int = 500):
 
 
 def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFrame:
-    """doc_id, line, n (distinct words), key (digest of the set), rare (names of the prefix lists, rarest first), b1, b2 (bit map).
+    """doc_id, line, n (distinct words), key (digest of the set), rare (names of the prefix lists, rarest first), MAPS (bit map).
 
     A list is named by 32 bits of a word's hash; words that share a name only add candidates.
     Sets too small to be similar to any other set (at 80 percent those of 1 to 3 words) are in no list; their key finds equal ones.
@@ -136,15 +138,15 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
                 for i, s, bits in _line_sets(t, f, least):
                     n = len(s)
                     out.append((d, i, n, hashlib.blake2b(s, digest_size=16).digest(), s[: n + percent * n // -100 + 1 if 100 * n >= percent * (n + 1) else 0], *bits))
-            d, i, n, key, rare, b1, b2 = zip(*out) if out else ((),) * 7
+            d, i, n, key, rare, *maps = zip(*out) if out else ((),) * (5 + len(MAPS))
             ends = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
             rare = (mixed(np.concatenate([np.zeros(0, np.uint64), *rare])) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "n": pa.array(n, pa.int64()),
                 "key": pa.array(key, pa.binary()), "rare": pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)),
-                "b1": pa.array(b1, pa.int64()), "b2": pa.array(b2, pa.int64())})
+                **{b: pa.array(v, pa.int64()) for b, v in zip(MAPS, maps)}})
 
-    schema = "doc_id long, line long, n long, key binary, rare array<int>, b1 long, b2 long"
+    schema = "doc_id long, line long, n long, key binary, rare array<int>, " + ", ".join(f"{b} long" for b in MAPS)
     return ids_and_bytes(docs).where("doc_id is not null").mapInArrow(run, schema)
 
 
@@ -202,11 +204,12 @@ def _short_pairs(percent: int):
             ok = (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)) & ((c["a"][i] != c["a"][j]) | (c["al"][i] != c["al"][j]))
             # as their first common word: whatever they share lies from here on
             ok &= np.minimum(n1 - place[i], n2 - place[j]) >= need
-            differ = sum(np.bitwise_count((c[b][i] ^ c[b][j]).view(np.uint64)).astype(np.int64) for b in ("b1", "b2"))
-            ok &= differ <= n1 + n2 - 2 * need
-            if ok.any():
-                i1, j1 = i[ok], j[ok]
-                yield {"a": c["a"][i1], "al": c["al"][i1], "x": differ[ok], "b": c["a"][j1], "bl": c["al"][j1]}
+            i1, j1, room = i[ok], j[ok], (n1 + n2 - 2 * need)[ok]
+            differ = sum((np.bitwise_count((c[m][i1] ^ c[m][j1]).view(np.uint64)).astype(np.int64) for m in MAPS), np.zeros(len(i1), np.int64))
+            ok = differ <= room
+            i1, j1, differ = i1[ok], j1[ok], differ[ok]
+            if len(i1):
+                yield {"a": c["a"][i1], "al": c["al"][i1], "x": differ, "b": c["a"][j1], "bl": c["al"][j1]}
             d += 1
 
     def batch(found: dict) -> pa.RecordBatch:
@@ -217,7 +220,7 @@ def _short_pairs(percent: int):
         held, long = None, None
         for b in chain(batches, (None,)):
             if b is not None:
-                c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("g", "a", "al", "x", "b1", "b2")}
+                c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in LISTED[:-2]}
                 held = c if held is None else {n: np.concatenate((held[n], v)) for n, v in c.items()}
             if held is None or not len(held["g"]):
                 continue
@@ -240,15 +243,15 @@ def _short_pairs(percent: int):
     return run
 
 
-LISTED = ("g", "a", "al", "x", "b1", "b2", "b", "bl")
+LISTED = ("g", "a", "al", "x", *MAPS, "b", "bl")
 
 
 def _may_reach(percent: int) -> Column:
     """Length, positional and bit map filters for lines a and b that meet in a list."""
     n, m, p, q = (F.shiftright("xa", 32), F.shiftright("xb", 32), F.col("xa").bitwiseAND(0xFFFFFFFF), F.col("xb").bitwiseAND(0xFFFFFFFF))
     need = F.ceil(percent * (n + m) / (100 + percent))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - p, m - q) >= need) & (
-        F.bit_count(F.col("a1").bitwiseXOR(F.col("c1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("c2"))) <= n + m - 2 * need)
+    apart = sum((F.bit_count(F.col(f"a{b}").bitwiseXOR(F.col(f"c{b}"))) for b in MAPS), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - p, m - q) >= need) & (apart <= n + m - 2 * need)
 
 
 def _long_lists(rows: DataFrame, done: DataFrame, percent: int, similar) -> DataFrame:
@@ -256,10 +259,10 @@ def _long_lists(rows: DataFrame, done: DataFrame, percent: int, similar) -> Data
 
     First against the first line of each list, then what is left against all earlier lines.
     """
-    hub = rows.groupBy("g").agg(F.min(F.struct("a", "al", "x", "b1", "b2")).alias("h")).select(
-        "g", F.col("h.a").alias("b"), F.col("h.al").alias("bl"), F.col("h.x").alias("xb"), F.col("h.b1").alias("c1"), F.col("h.b2").alias("c2"))
-    left = rows.join(done, ["a", "al"], "left_anti").select("g", "a", "al", F.col("x").alias("xa"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
-    right = rows.select("g", F.col("a").alias("b"), F.col("al").alias("bl"), F.col("x").alias("xb"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
+    hub = rows.groupBy("g").agg(F.min(F.struct("a", "al", "x", *MAPS)).alias("h")).select(
+        "g", F.col("h.a").alias("b"), F.col("h.al").alias("bl"), F.col("h.x").alias("xb"), *[F.col(f"h.{b}").alias(f"c{b}") for b in MAPS])
+    left = rows.join(done, ["a", "al"], "left_anti").select("g", "a", "al", F.col("x").alias("xa"), *[F.col(b).alias(f"a{b}") for b in MAPS])
+    right = rows.select("g", F.col("a").alias("b"), F.col("al").alias("bl"), F.col("x").alias("xb"), *[F.col(b).alias(f"c{b}") for b in MAPS])
     earlier = F.expr("(b < a or b = a and bl < al)") & _may_reach(percent)
     pairs = stored(left.join(hub, "g").where(earlier).select("a", "al", "b", "bl").distinct(), "pairs")
     near = similar(pairs)
@@ -282,8 +285,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least: int = 1) -> DataFr
     copies = _small(sig.select("key", "doc_id", "line").join(_small(first, F.lit(64)), "key").where(
         "doc_id <> f.doc_id or line <> f.line").select("doc_id", "line").distinct(), F.lit(40))
     rows = sig.join(copies, ["doc_id", "line"], "left_anti").select(
-        F.col("doc_id").alias("a"), F.col("line").alias("al"), "n", "b1", "b2", F.posexplode("rare").alias("p", "g"))
-    rows = rows.select("g", "a", "al", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("x"), "b1", "b2")
+        F.col("doc_id").alias("a"), F.col("line").alias("al"), "n", *MAPS, F.posexplode("rare").alias("p", "g"))
+    rows = rows.select("g", "a", "al", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("x"), *MAPS)
     lists = stored(rows.repartition("g").sortWithinPartitions("g", "a", "al").mapInArrow(
         _short_pairs(percent), ", ".join(f"{n} long" for n in LISTED)), "lists")
     similar = lambda pairs: _similar(docs, pairs, percent, least, weight)

@@ -7,7 +7,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -241,6 +243,20 @@ def test_short_lines(spark, sample):
     assert kept[5] == "all rights\nx x x x x x" and 8 not in kept
 
 
+def test_long_unlike_lines_seldom_become_pairs():
+    """Lines of 200 words of which half are common to all: no two are similar, save the planted ones with words twice and a further one."""
+    rows = [" ".join(f"w{w}" if w < 100 else f"x{i}.{w}" for w in range(200)) for i in range(240)]
+    rows += [f"{rows[i]} {rows[i][:200]} z" for i in range(10)]
+    none = (np.zeros(1 << lines.SLOT_BITS, np.uint64), np.zeros(1 << lines.SLOT_BITS, np.uint8))
+    sets = list(lines._line_sets("\n".join(rows).encode(), none, 1))
+    listed = {"g": [0] * len(sets), "a": [0] * len(sets), "al": [i for i, _, _ in sets], "x": [len(s) << 32 for _, s, _ in sets]}
+    listed |= {f"b{k + 1}": [m[k] for _, _, m in sets] for k in range(len(sets[0][2]))}
+    found = list(lines._short_pairs(80)([pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in listed.items()})]))
+    pairs = {(a, b) for r in found for a, b in zip(r.column("al").to_pylist(), r.column("bl").to_pylist())}
+    assert {(240 + i, i) for i in range(10)} <= pairs
+    assert len(pairs) < 100  # of 31,125
+
+
 # decontamination
 
 def test_automaton():
