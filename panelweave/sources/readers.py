@@ -73,31 +73,35 @@ def scan_csv(spark: SparkSession, root: str, pattern: str | None = None, require
     heads = heads.checkpoint()  # a row for each file
     width = heads.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
     schema = ", ".join(f"c{i} STRING" for i in range(width))
-    cells = lambda c: F.array(*[F.from_csv(c, schema)[f"c{i}"] for i in range(width)])
+    cells = F.array(*[f"c{i}" for i in range(width)])
+    parsed = lambda df, c, *kept: df.select(*kept, F.inline(F.array(F.from_csv(c, schema))))  # noqa: E731  once a line: nothing is pushed below `inline`
     name = (lambda n: F.replace(F.lower(F.trim(n)), F.lit(" "), F.lit("_"))) if tidy else F.trim
-    known = heads.withColumn("names", F.transform(cells(F.col("header")), name)).withColumn(
+    known = parsed(heads, "header", "file", "first").withColumn("names", F.transform(cells, name)).withColumn(
         "missing", F.array_except(F.array(*[F.lit(n) for n in required]).cast("array<string>"), "names"))
     report = listed.join(known.select("file", "missing"), "file", "left").select("file", "length", F.when(
         F.col("missing").isNull(), "unreadable").when(F.size("missing") > 0, F.concat(F.lit("lacks "), F.array_join("missing", ", "))).alias("problem"))
     good = known.where(F.size("missing") == 0).select("file", "first", "names")
     columns = [r[0] for r in good.select(F.explode("names").alias("n")).where("n <> ''").distinct().orderBy("n").collect()]
-    body = lines.join(good, "file").where(F.col("order") != F.col("first")).withColumn("cells", cells(F.col("value")))
-    at = lambda n: F.when(F.array_position("names", n) > 0, F.get("cells", (F.array_position("names", n) - 1).cast("int")))
-    return FileScan(body.select("file", "order", *[at(n).alias(n) for n in columns]), report)
+    place = lambda n: F.nullif(F.array_position("names", n), F.lit(0)).cast("int") - 1
+    placed = good.select("file", "first", *[place(n).alias(f"p{k}") for k, n in enumerate(columns)])
+    body = parsed(lines.join(placed, "file").where(F.col("order") != F.col("first")), "value", "file", "order", *[f"p{k}" for k in range(len(columns))])
+    return FileScan(body.select("file", "order", *[F.get(cells, f"p{k}").alias(n) for k, n in enumerate(columns)]), report)
 
 
 def read_bars(spark: SparkSession, path: str, suffix: str = "_daily", strict: bool = True) -> DataFrame:
-    """Per-ticker CSV files as one panel: key from the path, bad dates dropped, last row per day kept.
+    """CSV files as one panel: key from the `ticker` column or else from the path, bad dates dropped, last row per day kept.
 
     Columns are found by each file's own header in lower case, in any order; further ones (adjusted prices,
     indicators, macro columns) are kept as numbers, NULL for tickers without them. A file that can't be read or lacks a price column is
-    an error, or is left out if not `strict` (`scan_csv(...).report` names it). Accepts `<key>_daily.csv` files and
-    `file=<key>_daily` folders. The position in the file decides which row of a day is the last.
+    an error, or is left out if not `strict` (`scan_csv(...).report` names it). Accepts `<key>_daily.csv` files,
+    `file=<key>_daily` folders, and files of many keys with a `ticker` column. The position in the file decides which row of a day is the last.
     """
     scan = scan_csv(spark, path, None, BAR_COLUMNS, tidy=True)
     raw = scan.checked() if strict else scan.rows
     key = F.regexp_extract("file", rf"([^/=]+){suffix}[^/]*(?:/[^/]*)?$", 1)
-    others = [c for c in raw.columns if c not in ("file", "order", "date")]
+    if "ticker" in raw.columns:
+        key = F.coalesce(F.nullif(F.trim("ticker"), F.lit("")), key)
+    others = [c for c in raw.columns if c not in ("file", "order", "date", "ticker")]
     df = raw.select(key.alias("ticker"), dates.day(F.col("date")).alias("date"), *[N.to_double(F.col(f"`{c}`")).alias(c) for c in others],
                     F.struct("file", "order").alias("_o"))
     df = df.where(F.col("date").isNotNull() & F.col("close").isNotNull())

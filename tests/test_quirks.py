@@ -229,6 +229,22 @@ def test_price_file_keeps_last_row_of_a_day(spark, tmp_path):
     assert rows(S.read_bars(spark, str(tmp_path)), "ticker", "date", "close") == [("ABC", dt.date(2024, 1, 2), 2.0)]
 
 
+@pytest.mark.parametrize("folders", [False, True])
+def test_panel_of_many_keys_needs_few_files(spark, tmp_path, folders):
+    path = str(tmp_path / "bars")
+    df = spark.range(600).selectExpr("concat('T', id % 300) as ticker", "cast(date_add(date'2024-01-01', cast(id div 300 as int)) as string) as Date",
+                                     "1.5 as open", "2.0 as high", "1.0 as low", "id + 0.5 as close", "id as volume")
+    K.write_bars_csv(df, path, folders=folders)
+    files = [f for f in (tmp_path / "bars").rglob("*.csv")]
+    assert len(files) == 300 if folders else len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (tmp_path / "bars" / "ONE_daily.csv").write_text("Date,open,high,low,close,volume\n2024-01-02,1,2,0,7.5,9\n")
+    want = [(f"T{i % 300}", dt.date(2024, 1, 1 + i // 300), i + 0.5, float(i)) for i in range(600)] + [("ONE", dt.date(2024, 1, 2), 7.5, 9.0)]
+    got = S.read_bars(spark, path)
+    assert rows(got, "ticker", "date", "close", "volume") == sorted(want, key=repr)
+    # headers and lines are parsed once each, not once for every column
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") <= 2
+
+
 def test_tagged_files_of_two_layouts(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a_forward.csv").write_text("Pred,Rank\n1,2\n")
