@@ -39,7 +39,7 @@ BAR_COLUMNS = ("date", "open", "high", "low", "close", "volume")
 
 
 class FileScan(NamedTuple):
-    """`rows`: file, order (place in the file) and every column of any layout as text. `report`: file, length, problem (NULL if none)."""
+    """`rows`: file, order (of the file by its path, then the place in it) and every column of any layout as text. `report`: file, length, problem (NULL if none)."""
 
     rows: DataFrame
     report: DataFrame
@@ -70,21 +70,21 @@ def scan_csv(spark: SparkSession, root: str, pattern: str | None = None, require
     lines = text.select(path.alias("file"), order.alias("order"), "value")
     heads = lines.groupBy("file").agg(F.min(F.struct("order", "value")).alias("h")).select(
         "file", F.col("h.order").alias("first"), F.col("h.value").alias("header"))
-    heads = heads.checkpoint()  # a row for each file
+    heads = heads.sort("file").withColumn("number", F.monotonically_increasing_id()).checkpoint()  # a row for each file
     width = heads.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
     schema = ", ".join(f"c{i} STRING" for i in range(width))
     cells = F.array(*[f"c{i}" for i in range(width)])
     parsed = lambda df, c, *kept: df.select(*kept, F.inline(F.array(F.from_csv(c, schema))))  # noqa: E731  once a line: nothing is pushed below `inline`
     name = (lambda n: F.replace(F.lower(F.trim(n)), F.lit(" "), F.lit("_"))) if tidy else F.trim
-    known = parsed(heads, "header", "file", "first").withColumn("names", F.transform(cells, name)).withColumn(
+    known = parsed(heads, "header", "file", "number", "first").withColumn("names", F.transform(cells, name)).withColumn(
         "missing", F.array_except(F.array(*[F.lit(n) for n in required]).cast("array<string>"), "names"))
     report = listed.join(known.select("file", "missing"), "file", "left").select("file", "length", F.when(
         F.col("missing").isNull(), "unreadable").when(F.size("missing") > 0, F.concat(F.lit("lacks "), F.array_join("missing", ", "))).alias("problem"))
-    good = known.where(F.size("missing") == 0).select("file", "first", "names")
+    good = known.where(F.size("missing") == 0).select("file", "number", "first", "names")
     columns = [r[0] for r in good.select(F.explode("names").alias("n")).where("n <> ''").distinct().orderBy("n").collect()]
     place = lambda n: F.nullif(F.array_position("names", n), F.lit(0)).cast("int") - 1
-    placed = good.select("file", "first", *[place(n).alias(f"p{k}") for k, n in enumerate(columns)])
-    body = parsed(lines.join(placed, "file").where(F.col("order") != F.col("first")), "value", "file", "order", *[f"p{k}" for k in range(len(columns))])
+    placed = good.select("file", "number", "first", *[place(n).alias(f"p{k}") for k, n in enumerate(columns)])
+    body = parsed(lines.join(placed, "file").where(F.col("order") != F.col("first")), "value", "file", F.struct("number", "order.*").alias("order"), *[f"p{k}" for k in range(len(columns))])
     return FileScan(body.select("file", "order", *[F.get(cells, f"p{k}").alias(n) for k, n in enumerate(columns)]), report)
 
 
@@ -103,7 +103,7 @@ def read_bars(spark: SparkSession, path: str, suffix: str = "_daily", strict: bo
         key = F.coalesce(F.nullif(F.trim("ticker"), F.lit("")), key)
     others = [c for c in raw.columns if c not in ("file", "order", "date", "ticker")]
     df = raw.select(key.alias("ticker"), dates.day(F.col("date")).alias("date"), *[N.to_double(F.col(f"`{c}`")).alias(c) for c in others],
-                    F.struct("file", "order").alias("_o"))
+                    F.col("order").alias("_o"))
     df = df.where(F.col("date").isNotNull() & F.col("close").isNotNull())
     return dedupe(df, ["ticker", "date"], [F.col("_o").desc()]).drop("_o")
 

@@ -245,6 +245,16 @@ def test_panel_of_many_keys_needs_few_files(spark, tmp_path, folders):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") <= 2
 
 
+def test_files_of_one_key_are_ordered_by_number(spark, tmp_path):
+    """The order of a row holds the number of its file, not the path; of one day in two files, the row of the later path stays."""
+    for name, close in (("a", 1), ("c", 3), ("b", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "K_daily.csv").write_text(f"Date,open,high,low,close,volume\n2024-01-02,1,1,1,{close},1\n")
+    order = S.scan_csv(spark, str(tmp_path)).rows.schema["order"].dataType
+    assert [f.name for f in order] == ["number", "b", "m"] and all(f.dataType.typeName() != "string" for f in order)
+    assert rows(S.read_bars(spark, str(tmp_path)), "ticker", "close") == [("K", 3.0)]
+
+
 def test_tagged_files_of_two_layouts(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a_forward.csv").write_text("Pred,Rank\n1,2\n")
