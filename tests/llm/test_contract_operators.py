@@ -257,6 +257,62 @@ def test_long_unlike_lines_seldom_become_pairs():
     assert len(pairs) < 100  # of 31,125
 
 
+def listed(rows, step):
+    """Prefix lists, sorted as `_short_pairs` takes them, in batches of `step` rows."""
+    rows = sorted(rows, key=lambda r: (r[0], r[3]))
+    for at in range(0, len(rows), step):
+        cols = zip(*rows[at : at + step])
+        yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(lines.LISTED, cols)})
+
+
+def split_lists(found):
+    """Pairs (a, al, b, bl) and names of the lists whose rows are handed on."""
+    rows = [r for b in found for r in b.to_pylist()]
+    return [(r["a"], r["al"], r["b"], r["bl"]) for r in rows if r["g"] is None], {r["g"] for r in rows if r["g"] is not None}
+
+
+@pytest.mark.parametrize("step", [7, 10_000])
+def test_lists_are_paired_as_by_brute_force(monkeypatch, step):
+    monkeypatch.setattr(lines, "GATHERED", 2 * step)
+    monkeypatch.setattr(lines, "PAIRED", 50)
+    rnd = random.Random(step)
+    rows = []
+    for g in range(60):
+        for _ in range(rnd.randint(1, 30)):
+            n = rnd.randint(4, 40)
+            rows.append((g, rnd.randint(0, 9), rnd.randint(0, 9), n << 32 | rnd.randint(0, n // 5), rnd.getrandbits(4), rnd.getrandbits(3)))
+    want = set()
+    for r in rows:
+        for q in rows:
+            (n, p), (m, o) = divmod(r[3], 1 << 32), divmod(q[3], 1 << 32)
+            need = -(-80 * (n + m) // 180)
+            if r[0] == q[0] and r[1:3] > q[1:3] and 100 * min(n, m) >= 80 * max(n, m) and min(n - p, m - o) >= need:
+                if (r[4] ^ q[4]).bit_count() + (r[5] ^ q[5]).bit_count() <= n + m - 2 * need:
+                    want.add((*r[1:3], *q[1:3]))
+    pairs, handed_on = split_lists(lines._short_pairs(80)(listed(rows, step)))
+    assert set(pairs) == want and not handed_on and want
+
+
+def test_only_lists_of_many_pairs_are_handed_on():
+    """A list of 3,000 unlike lines is settled where it is sorted; one of 300 near copies is not written as 44,850 pairs."""
+    rnd = random.Random(5)
+    rows = [(1, i, 0, 50 << 32, rnd.getrandbits(62), rnd.getrandbits(62)) for i in range(3000)]
+    rows += [(2, i, 0, 50 << 32, 1, 1) for i in range(300)] + [(3, i, 0, 50 << 32, 1, 1) for i in range(2)]
+    pairs, handed_on = split_lists(lines._short_pairs(80)(listed(rows, 1000)))
+    assert handed_on == {2} and (1, 0, 0, 0) in pairs and len(pairs) < 100
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = random.Random(6)
+    words = [bytes(rnd.choices(b"aAb\x00\xc3\xa9.", k=k)) for k in [*range(1, 140), 300] for _ in range(6)]
+    text = b"".join(w + bytes(rnd.choices(b" \t\n\v\f\r", k=rnd.randint(1, 3))) for w in words)
+    hashes, start = lines._word_hashes(text)
+    low = [w.translate(lines.LOWER) for w in words]
+    assert [text[s : s + len(w)] for s, w in zip(start, words)] == words and len(start) == len(words)
+    assert len(set(zip(low, hashes.tolist()))) == len(set(low)) == len(set(hashes.tolist()))
+    assert all(len(lines._word_hashes(t)[0]) == 0 for t in (b"", b" ", b"\n \n"))
+
+
 # decontamination
 
 def test_automaton():
