@@ -19,7 +19,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelweave.llm.common import columns
+from panelweave.llm.common import columns, pieces
 
 _LOW = 0xFFFFFFFF
 
@@ -153,14 +153,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Tru
     def run(batches):
         vocab = shared.value
         split, memo = regex.compile(pattern).findall, _Encoded(vocab)
-        pieces = _pieces(max(vocab.ids, default=0) + 1, vocab)
-        for doc_ids, texts in columns(batches, "doc_id", "text"):
+        known = _pieces(max(vocab.ids, default=0) + 1, vocab)
+        for doc_ids, texts in columns(pieces(batches), "doc_id", "text"):
             cols = {"doc_id": pa.array(doc_ids, pa.int64())}
             n, hashes, backs, ids, raws = [], [], [], [], []
             for t in texts:
                 packed = b"".join(map(memo.__getitem__, split(t or "")))
                 numbers = np.frombuffer(packed, "<u4")
-                raw = b"".join(map(pieces.__getitem__, numbers.tolist()))
+                raw = b"".join(map(known.__getitem__, numbers.tolist()))
                 n.append(len(numbers))
                 hashes.append(hashlib.sha256(packed).hexdigest())
                 backs.append(hashlib.sha256(raw).hexdigest())

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,17 @@ def columns(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[li
             yield tuple(b.column(n).to_pylist() for n in names)
 
 
+def pieces(batches, size: int = 1 << 21):
+    """Batches in pieces of about `size` bytes of text, a document at least, so that the arrays of their words stay small."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def fenced(df: DataFrame, condition) -> DataFrame:
     """Rows that meet a condition on computed columns, which Spark must not compute again below them."""
     return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelweave.llm.common import columns, ids_and_bytes, stored
+from panelweave.llm.common import columns, ids_and_bytes, pieces, stored
 
 #: A-Z in lower case; letters, digits and all bytes of other scripts stay; the rest separates words.
 TABLE = bytes(
@@ -178,7 +178,7 @@ def _pass(docs: DataFrame, block, window: int) -> tuple[DataFrame, object]:
 
     def run(batches):
         automaton = shared.value
-        for *ids, texts in columns(batches, *keys, "text"):
+        for *ids, texts in columns(pieces(batches), *keys, "text"):
             n, starts, ends, items = [], [], [], []
             for t in texts:
                 words = normal_words(t)
@@ -286,7 +286,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
         out = numbered.join(found.select(ROW, F.struct("n_words", "starts", "ends").alias("_hit")), ROW, "left")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             hits = b.column("_hit").to_pylist() if shared is None else repeat(None)
             keep, new = [], []
@@ -300,11 +300,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage:
                 keep.append(sum(e - s for s, e in spans) <= max_coverage * n)
                 if spans and keep[-1]:
                     at = _word_ranges(raw)
-                    pieces, last = [], 0
+                    parts, last = [], 0
                     for s, e in spans:
-                        pieces.append(raw[last : at[s, 0]])
+                        parts.append(raw[last : at[s, 0]])
                         last = at[e - 1, 1]
-                    t = b"".join([*pieces, raw[last:]]).decode()
+                    t = b"".join([*parts, raw[last:]]).decode()
                 new.append(t)
             cols = {n: b.column(n) for n in b.schema.names if n not in (ROW, "_hit")} | {"text": pa.array(new, pa.string())}
             yield pa.RecordBatch.from_pydict(cols).filter(pa.array(keep, pa.bool_()))

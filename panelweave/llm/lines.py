@@ -18,11 +18,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from panelweave.llm.common import LOWER, columns, ids_and_bytes, mixed, stored
+from panelweave.llm.common import LOWER, columns, ids_and_bytes, mixed, pieces, stored
 
 #: Tables up to this many bytes are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -112,7 +111,7 @@ def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         def words():
             held, n = np.empty(COUNTED, np.uint64), 0
-            for ids, texts in columns(_pieces(batches), "doc_id", "text"):
+            for ids, texts in columns(pieces(batches), "doc_id", "text"):
                 h = _word_hashes(b"\n".join(texts))[0]
                 while len(h):
                     part, h = h[: COUNTED - n], h[COUNTED - n :]
@@ -149,17 +148,6 @@ def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known, weight
 
 
-def _pieces(batches, size: int = 1 << 21):
-    """Batches in pieces of about `size` bytes of text, a document at least, so that the arrays of their words stay small."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-            yield b.slice(at, stop - at)
-            at = stop
-
-
 def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFrame:
     """doc_id, line, n (distinct words), key (digest of the set), rare (names of the prefix lists, rarest first), MAPS (bit map).
 
@@ -168,7 +156,7 @@ def line_signatures(docs: DataFrame, percent: int, least: int, weight) -> DataFr
     """
     def run(batches):
         f = weight.value
-        for ids, texts in columns(_pieces(batches), "doc_id", "text"):
+        for ids, texts in columns(pieces(batches), "doc_id", "text"):
             rows = np.array([t.count(b"\n") + 1 for t in texts])
             line, bounds, words, maps = _sets(b"\n".join(texts), f, least)
             doc = np.repeat(np.arange(len(rows)), rows)[line]
@@ -197,7 +185,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, weight) -> DataFrame
     """Whole sets of the lines in `pairs` only."""
     def run(batches):
         f = weight.value
-        for ids, texts, wanted in columns(_pieces(batches), "doc_id", "text", "wanted"):
+        for ids, texts, wanted in columns(pieces(batches), "doc_id", "text", "wanted"):
             rows = [(d, i, s.astype("<u8").tobytes()) for d, t, w in zip(ids, texts, wanted) for i, s, _ in _line_sets(t, f, least, w)]
             d, i, s = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "line": pa.array(i, pa.int64()), "s": pa.array(s, pa.binary())})
@@ -373,7 +361,7 @@ def without_repeats(docs: DataFrame, percent: int = 80, least: int = 1) -> DataF
     gone = _small(repeated_lines(docs, percent, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("_l_gone")), F.size("_l_gone") * 8 + 40)
 
     def run(batches):
-        for b in _pieces(batches):
+        for b in pieces(batches):
             n, cut, new = [], [], []
             for t, gone in zip(b.column("text").to_pylist(), b.column("_l_gone").to_pylist()):
                 drop = set(gone or ())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelweave.llm.common import (LOWER, SLOTS, columns, frequency_table, hashed_frequencies, ids_and_bytes,
-                                   open_lists, shingles, stored, token_hashes)
+                                   open_lists, pieces, shingles, stored, token_hashes)
 from panelweave.llm.components import components
 
 
@@ -38,8 +38,8 @@ BROADCAST_IDS = 2_000_000
 
 
 def _sets(batches, k: int):
-    """(doc ids, list of shingle arrays) of each batch."""
-    for ids, texts in columns(batches, "doc_id", "text"):
+    """(doc ids, list of shingle arrays) of each piece of a batch."""
+    for ids, texts in columns(pieces(batches), "doc_id", "text"):
         yield ids, [shingles(token_hashes(t.translate(LOWER).split()), k) for t in texts]
 
 

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from panelweave.llm import bpe, decontaminate, lines, quality, similarity, suffix_dedup
+from panelweave.llm.common import pieces
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -302,6 +303,13 @@ def test_only_lists_of_many_pairs_are_handed_on():
     assert handed_on == {2} and (1, 0, 0, 0) in pairs and len(pairs) < 100
 
 
+def test_pieces_hold_few_bytes_and_every_row():
+    texts = [b"x" * k for k in [0, 3, 4, 50, 1, 1, 1, 0, 9]] + [None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(10)), "text": pa.array(texts, pa.binary())})
+    found = [b.column("doc_id").to_pylist() for b in pieces([batch, batch.slice(0, 0)], 10)]
+    assert found == [[0, 1, 2], [3], [4, 5, 6, 7], [8, 9]]
+
+
 def test_word_hashes_tell_words_apart():
     rnd = random.Random(6)
     words = [bytes(rnd.choices(b"aAb\x00\xc3\xa9.", k=k)) for k in [*range(1, 140), 300] for _ in range(6)]
