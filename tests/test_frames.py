@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import windows as W
+from panelweave.operators import features as M, windows as W
 from panelweave.operators.frames import add_doubling_moments, add_frame_moments, frame_moments
 
 
@@ -150,3 +150,39 @@ def test_sequences_carry_rows_over_batch_borders(spark, panel, monkeypatch):
             assert [x for row in got[k, i] for x in row] == pytest.approx(v[i - 10 : i].ravel().tolist(), nan_ok=True)
             n += 1
     assert n == len(got)
+
+
+@pytest.fixture(scope="module")
+def priced(spark):
+    """Prices with gaps, NaN, zeros, constant stretches and a key without a name; keys shorter and longer than a frame."""
+    rnd, rows = random.Random(11), []
+    odd = [None, float("nan"), float("inf"), 0.0, -1.0, 1e150]
+    for k, n in enumerate((1, 7, 8, 9, 40, 61, 200, 203)):
+        for i in range(n):
+            price = lambda share=0.04, k=k, i=i: rnd.choice(odd) if k > 3 and rnd.random() < share else 50.0 if 20 < i < 35 else 100 + rnd.gauss(0, 5)
+            market = 10 + (i % 5 if k % 2 else 0)
+            rows.append((None if k == 5 else f"K{k}", i, price(), price(), price(), None if i == 50 else float(market), float(market)))
+    return spark.createDataFrame(rows, "ticker string, date int, open double, close double, x double, spy_open double, spy_close double").repartition(5)
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+@pytest.mark.parametrize("variant,rows,horizon", [("tabular", 8, 3), ("sequence", 60, 20), ("inference", 7, 1), ("tabular", 1, 2)])
+def test_labelled_stats_are_those_of_the_single_operators(spark, priced, monkeypatch, variant, rows, horizon, batch):
+    monkeypatch.setattr(W, "BLOCKS", 3)
+    cols, by = ["open", "x"], ["ticker", "date"]
+    steps = W.forward_alpha_label(W.window_stats(W.rolling_beta(priced, rows=rows), cols, rows), variant, horizon, rows)
+    names = [*by, "label", "actual_return_pct", *[f"{c}_{s}" for c in cols for s in ("last", "mean", "std")]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = sorted(map(repr, W.labelled_stats(priced, cols, rows, variant, horizon).select(*names).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(repr, steps.select(*names).collect())) and len(got) > 100
+
+
+def test_training_matrix_sorts_its_rows_once(priced):
+    """Sorted again and again with the running sums of all frames, a pass over the rows took most of the time of `rank_model`."""
+    panel = priced.withColumns({"date": F.date_add(F.lit("1995-12-01").cast("date"), F.col("date")), "volume": F.lit(1.0)})
+    matrix = M.training_matrix(panel, ["open", "close", "volume"], M.feature_stats(panel, ["open", "close", "volume"], "1996-01-01"))
+    plan = matrix._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Sort [") <= 2  # one for the statistics of the features, one for the rows
