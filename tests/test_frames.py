@@ -186,3 +186,8 @@ def test_training_matrix_sorts_its_rows_once(priced):
     matrix = M.training_matrix(panel, ["open", "close", "volume"], M.feature_stats(panel, ["open", "close", "volume"], "1996-01-01"))
     plan = matrix._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Sort [") <= 2  # one for the statistics of the features, one for the rows
+
+
+def test_a_change_reads_its_previous_value_once(priced):
+    plan = W.diff(W.pct_change(priced, ["open", "close"], 0.5), ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lag(") == 3
